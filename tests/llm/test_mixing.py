@@ -1,0 +1,98 @@
+import duckdb
+import pytest
+
+from tidewater.llm import mixing
+
+SCHEMA = "doc_id long, text string, source string, full int, part int, range int"
+ROWS = [
+    (1, "one two three", "a", 0, 0, 0),
+    (1, "one two three", "a", 0, 0, 0),
+    (2, None, "a", 0, 0, 0),
+    (3, "  \t lead and trail \n", "b", 0, 0, 0),
+    (4, "", None, 0, 0, 0),
+    (5, "w " * 5000, None, 0, 0, 0),
+    (None, "no id here", "c", 0, 0, 0),
+    (6, "e é 日本 x", "é", 0, 0, 0),
+]
+
+
+def water(sizes, weights, most=3):
+    """Targets by resharing what is beyond a cap until none is above."""
+    out, free, left = {}, set(sizes), float(sum(sizes.values()))
+    while True:
+        total = sum(weights[s] for s in free)
+        over = {s for s in free if left * weights[s] / total > most * sizes[s]}
+        if not over:
+            return out | {s: left * weights[s] / total for s in free}
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        free -= over
+
+
+def by_name(sources):
+    return {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 3}, {"a": 1, "b": 1, "c": 1, "d": 10_000}, {"a": 0, None: 7}, {"a": 0}, {"x": 5}])
+def test_targets(spark, sizes):
+    table = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, rows long")
+    got = {r.source: r.target for r in mixing.targets(table).collect()}
+    assert got == pytest.approx(water(sizes, by_name(sizes)))
+
+
+def check(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for own in by.values():
+        taken = sum(r.rows * (r.full * r.size + r.part) for r in own)
+        repeated = max(r.rows for r in own)
+        assert abs(taken - own[0].target) <= 0.5 + repeated
+        low, high = min(r.full for r in own if r.size), max(r.full for r in own if r.size)
+        assert high - low <= 1  # complete epochs first
+        assert sum(r.part > 0 for r in own) <= 1
+        assert all(r.full * r.size + r.part <= 3 * r.size for r in own)
+
+
+def test_edge_rows(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    rows = mixing.shares(docs).collect()
+    assert sum(r.rows for r in rows) == len(ROWS)
+    check([r for r in rows if r.source_size])
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    words = sum(len((r.text or "").split()) for r in mixed.collect())
+    assert words == sum(r.rows * (r.full * r.size + r.part) for r in rows)
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert mixing.shares(docs).count() == 0 and mixing.mix(docs).count() == 0
+
+
+def test_table_and_ranges(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted(mixing.shares(docs, mixing.quality_weights(labels)).collect())
+    check(rows)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    assert sorted(mixing.shares(docs, mixing.quality_weights(labels)).collect()) == rows
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = con.execute(f"select doc_id, size, source_size, target, taken from ({mixing.SQL})").fetchall()
+    got = [(r.doc_id, r.size, r.source_size, r.target, r.full * r.size + r.part) for r in rows]
+    assert sorted(got) == sorted(want)
+
+
+def test_weights_draw_good_documents_more_often(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('w', id, ' a b') as text", "if(id % 4 = 0, 'x', 'y') as source")
+    weights = spark.range(3000).selectExpr("id as doc_id", "if(id % 2 = 0, 2.0D, 0.5D) as weight")
+    rows = mixing.shares(docs, weights).where("source = 'y' and full > 0 and part = 0").collect()
+    even = sum(r.doc_id % 2 == 0 for r in rows)
+    assert even > len(rows) / 3 * 1.3 and len(rows) < 2250
+
+
+def test_first_words(spark):
+    row = spark.createDataFrame([("\t a  b\ncc  d ", 3)], "text string, n int")
+    assert row.select(mixing.first_words(row.text, row.n)).first()[0] == "\t a  b\ncc"

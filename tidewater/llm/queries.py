@@ -5,21 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.shares(_table(spark, sf_dir, "documents"), mixing.quality_weights(_table(spark, sf_dir, "labels")))
+    rows = taken.withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_best_fit_packing,)}
+    return {f.__name__: f for f in (op6_mixing, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.SQL}
