@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import matroska, mixing, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(matroska.write(_table(spark, sf_dir, "documents")))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.shares(_table(spark, sf_dir, "documents"), mixing.quality_weights(_table(spark, sf_dir, "labels")))
     rows = taken.withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
@@ -24,9 +28,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_mixing, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op4_matroska, op6_mixing, op9_best_fit_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL}
+    return {"op6_mixing": mixing.SQL, "op10_warc": warc.SQL}
