@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import matroska, mixing, packing, warc
+from . import ann, matroska, mixing, packing, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.write(_table(spark, sf_dir, "documents")))
 
@@ -33,7 +37,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_matroska, op6_mixing, op9_best_fit_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op4_matroska, op6_mixing, op9_best_fit_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
