@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, matroska, mixing, packing, quality, warc
+from . import ann, katz, langid, matroska, mixing, packing, quality, warc
 from .common import remainder
 
 
@@ -40,6 +40,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs)).withColumn("held_out", remainder("doc_id") == 0)
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = katz.score(docs, katz.fit(docs, remainder("doc_id") != 1))
+    return scored.withColumn("held_out", remainder("doc_id") == 1)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_quality, op4_matroska, op6_mixing, op7_langid, op9_best_fit_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_quality, op4_matroska, op6_mixing, op7_langid, op8_katz, op9_best_fit_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
