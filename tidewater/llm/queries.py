@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, katz, langid, matroska, mixing, packing, quality, warc
+from . import ann, katz, langid, matroska, mixing, near_dedup, packing, quality, warc
 from .common import remainder
 
 
@@ -25,6 +25,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.write(_table(spark, sf_dir, "documents")))
 
@@ -55,8 +60,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_quality, op4_matroska, op6_mixing, op7_langid, op8_katz, op9_best_fit_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_quality, op3_near_dedup, op4_matroska, op6_mixing, op7_langid, op8_katz, op9_best_fit_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op10_warc": warc.SQL}
+    return {"op6_mixing": mixing.SQL, "op3_near_dedup": near_dedup.SQL, "op10_warc": warc.SQL}
