@@ -300,14 +300,14 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 SQL = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
-s as (select doc_id, case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) end as items from w),
+s as (select doc_id, case when len(ws) < 2 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as items from w),
 x as (select doc_id, len(items) as size, unnest(items) as item from s),
 f as (select item, count(*) as n from x group by item),
 r as (select doc_id, size, x.item, row_number() over (partition by doc_id order by f.n, x.item) as nth from x join f on x.item = f.item),
 p as (select doc_id, item from r where nth <= size - (80 * size + 99) // 100 + 1),
 c as (select distinct a.doc_id as a, b.doc_id as b from p a join p b on a.item = b.item and a.doc_id < b.doc_id),
-i as (select a, b, len(u.items) + len(v.items) as both, len(list_intersect(u.items, v.items)) as shared from c join s u on u.doc_id = a join s v on v.doc_id = b),
-l as (select a, b from i where 100 * shared >= 80 * (both - shared)),
+i as (select a, b, len(u.items) + len(v.items) as total, len(list_intersect(u.items, v.items)) as shared from c join s u on u.doc_id = a join s v on v.doc_id = b),
+l as (select a, b from i where 100 * shared >= 80 * (total - shared)),
 e as (select a, b from l union all select b, a from l),
 reach(doc_id, other) as (select doc_id, doc_id from s union select reach.doc_id, e.b from reach join e on e.a = reach.other),
 low as (select doc_id, min(other) as component_id from reach group by doc_id)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, katz, langid, matroska, mixing, near_dedup, packing, quality, warc
+from . import ann, katz, langid, matroska, mixing, near_dedup, packing, quality, secrets, warc
 from .common import remainder
 
 
@@ -34,6 +34,10 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.write(_table(spark, sf_dir, "documents")))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_findings(spark))).drop("tie")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.shares(_table(spark, sf_dir, "documents"), mixing.quality_weights(_table(spark, sf_dir, "labels")))
     rows = taken.withColumn("row", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
@@ -60,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_quality, op3_near_dedup, op4_matroska, op6_mixing, op7_langid, op8_katz, op9_best_fit_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_quality, op3_near_dedup, op4_matroska, op5_secrets, op6_mixing, op7_langid, op8_katz, op9_best_fit_packing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
