@@ -18,6 +18,7 @@ A null id is linked like any, and never chosen while its component has another i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, candidates: np.ndarray)
         yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(blobs, pa.binary())], ["node", "items"])
 
 
+@cache
 def least_matches(n: int, percent: int, miss: float = MISS) -> int:
     """The fewest of n equal minima with which the similarity is still percent or more with probability miss."""
     x = (np.arange(20_000) + 0.5) / 20_000
