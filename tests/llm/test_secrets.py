@@ -54,7 +54,7 @@ def test_edge_rows(spark, model):
 
 def test_features_by_hand(spark):
     row = secrets.features(spark.createDataFrame([(1, 0, 0, "aab-12XY", 'my token = "', '"', "tests/x", 1)], "doc_id long, tie long, nth int, value string, before string, after string, path string, start long")).first()
-    assert row.turns == pytest.approx(3 / 7) and row.digits == 2 / 8 and row.upper == 2 / 8 and row.variety == 7 / 8 and row.repeats == 7 / 8
+    assert row.turns == pytest.approx(3 / 7) and row.digits == 2 / 8 and row.upper == 2 / 8 and row.variety == 7 / 8 and row.repeats == 1 / 8
     assert (row.near, row.assigned, row.quoted, row.far, row.path, row.hex) == (1, 1, 1, 0, 1, 0)
 
 
