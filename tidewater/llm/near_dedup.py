@@ -34,7 +34,7 @@ BATCH = 32
 MISS = 1e-4
 BLOCK = 1024
 #: Documents of a block of the last verification, on average.
-VERIFIED = 256
+VERIFIED = 2048
 #: Bits of the map that tells which texts may be candidates; false ones cost a set, nothing else.
 MAP_BITS = 24
 SIGNED = "doc_id long, n_shingles long, node long, signature binary"
