@@ -1,0 +1,117 @@
+"""robots.txt: parsed to rule rows, matched against URLs and agents, suggested from a crawl."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import urls
+
+#: Directives that are known though they have no effect here.
+KNOWN = {"host", "clean-param", "noindex", "request-rate", "visit-time"}
+ROWS = "source string, kind string, grp int, agents array<string>, rule int, line int, path string, value double"
+
+
+def _rows(content: str) -> Iterator[tuple]:
+    """(kind, group, agents, rule, line, path, value): agent and rule rows carry their group's agents."""
+    groups: list[dict] = []
+    other, open_agents = [], False
+    for line, raw in enumerate(re.split(r"\r?\n", content), 1):
+        bare = raw.split("#", 1)[0].strip()
+        if not bare:
+            continue
+        m = re.fullmatch(r"([A-Za-z-]+)\s*:\s*(.*)", bare)
+        if not m:
+            other.append(("warning", line, f"Malformed line: {raw.strip()}"))
+            continue
+        name, value = m[1].lower(), m[2].strip()
+        if name == "user-agent":
+            if not value:
+                other.append(("warning", line, "Empty user-agent"))
+                continue
+            if not groups or not open_agents:
+                groups.append({"agents": [], "rules": [], "delay": None})
+                open_agents = True
+            groups[-1]["agents"].append(value.lower())
+        elif name == "sitemap":
+            if value:
+                other.append(("sitemap", line, value))
+        elif name in ("allow", "disallow"):
+            if not groups:
+                other.append(("warning", line, f"{m[1]} before any user-agent"))
+                continue
+            open_agents = False
+            if name == "allow" or value:
+                groups[-1]["rules"].append((name, line, value))
+        elif name == "crawl-delay":
+            if groups:
+                try:
+                    groups[-1]["delay"] = (line, float(value))
+                except ValueError:
+                    pass
+        elif name not in KNOWN:
+            other.append(("warning", line, f"Unknown directive: {m[1]}"))
+    for g, own in enumerate(groups):
+        yield "group", g, own["agents"], None, None, None, None
+        for k, (name, line, path) in enumerate(own["rules"]):
+            yield name, g, own["agents"], k, line, path, None
+        if own["delay"]:
+            yield "crawl-delay", g, own["agents"], None, own["delay"][0], None, own["delay"][1]
+    for kind, line, what in other:
+        yield kind, None, None, None, line, what, None
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """ROWS of files (source, content): one row a group, rule, delay, sitemap and warning."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in ROWS.split(", ")]
+        for batch in batches:
+            rows = [(source, *r) for source, content in zip(batch["source"], batch["content"], strict=True) for r in _rows(content or "")]
+            out = pd.DataFrame(rows, columns=columns)
+            for c in ("grp", "rule", "line"):
+                out[c] = out[c].astype("Int32")
+            yield out
+
+    return files.select("source", "content").mapInPandas(parsed, ROWS)
+
+
+def pattern(path: Column) -> Column:
+    """A rule's path as a regular expression: `*` is anything, a last `$` the end."""
+    path = F.when(path == "", "/").otherwise(path)
+    body = F.regexp_replace(F.regexp_replace(path, r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.endswith(path, F.lit("$")), "$").otherwise(""))
+
+
+def match(parsed: DataFrame, tests: DataFrame) -> DataFrame:
+    """source, url, agent, allowed, kind, path, line of tests (source, url, agent): the winning rule, null if none matched."""
+    rows = parsed.where("kind in ('group', 'allow', 'disallow')")
+    agents = rows.where("kind = 'group'").select("source", "grp", F.posexplode("agents").alias("nth", "token"))
+    cases = tests.select("source", "url", "agent").distinct()
+    # the longest token in the agent's name, the first of equals; else the last group for all
+    fits = cases.join(agents, "source").where((F.col("token") != "*") & F.contains(F.lower("agent"), F.col("token")) | (F.col("token") == "*"))
+    order = Window.partitionBy("source", "url", "agent").orderBy((F.col("token") == "*").cast("int"), F.when(F.col("token") == "*", 0).otherwise(-F.length("token")), F.when(F.col("token") == "*", -F.col("grp")).otherwise(F.col("grp")), "nth")
+    chosen = fits.withColumn("k", F.row_number().over(order)).where("k = 1").select("source", "url", "agent", "grp")
+    where = F.concat(urls.path(F.col("url")), urls.query(F.col("url")))
+    rules = rows.where("kind <> 'group'").select("source", "grp", "kind", "path", "line", "rule")
+    specific = F.length(F.regexp_replace(F.regexp_replace("path", r"\*", ""), r"\$$", ""))
+    hit = chosen.join(rules, ["source", "grp"]).where(urls.is_absolute(F.col("url")) & F.rlike(where, pattern(F.col("path"))))
+    best = Window.partitionBy("source", "url", "agent").orderBy(F.desc(specific), (F.col("kind") == "disallow").cast("int"), "rule")
+    won = hit.withColumn("k", F.row_number().over(best)).where("k = 1").select("source", "url", "agent", "kind", "path", "line")
+    return cases.join(won, ["source", "url", "agent"], "left").select("source", "url", "agent", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"), "kind", "path", "line")
+
+
+def suggested(crawl: DataFrame) -> DataFrame:
+    """prefix, errors of first directories with two or more errors of the kind that should not be crawled."""
+    rows = crawl.where(F.col("status_code").isin(401, 403, 404, 410)).where(F.size(urls.segments(F.col("url"))) > 0)
+    return rows.groupBy(F.concat(urls.segment(F.col("url")), F.lit("/")).alias("prefix")).agg(F.count("*").alias("errors")).where("errors >= 2")
+
+
+def generate(crawl: DataFrame, domain: str) -> DataFrame:
+    """One row: the text of a robots.txt that keeps crawlers out of the suggested directories."""
+    lines = suggested(crawl).agg(F.array_join(F.transform(F.array_sort(F.collect_list("prefix")), lambda p: F.concat(F.lit("Disallow: "), p)), "\n").alias("rules"))
+    return lines.select(F.concat_ws("\n", F.lit("User-agent: *"), F.lit("Allow: /"), F.when(F.col("rules") != "", F.col("rules")), F.lit(""), F.lit(f"Sitemap: https://{domain}/sitemap.xml"), F.lit("")).alias("content"))
