@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .scalars import text
+from .scalars import cut_at_word, text
 
 
 def without_comments(c: Column) -> Column:
@@ -97,13 +97,13 @@ def headings(c: Column, tag: str) -> Column:
 
 def json_ld(c: Column) -> Column:
     found = F.regexp_extract_all(text(c), F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def schema_label(c: Column) -> Column:
     """The types that a JSON-LD text declares; `Raw` if it is no JSON."""
     parsed = F.try_parse_json(c)
-    types = lambda v: F.coalesce(F.try_variant_get(v, "$['@type']", "string"), F.array_join(F.try_variant_get(v, "$['@type']", "array<string>"), ", "))
+    types = lambda v: F.coalesce(F.array_join(F.try_variant_get(v, "$['@type']", "array<string>"), ", "), F.try_variant_get(v, "$['@type']", "string"))
     graph = F.array_join(F.filter(F.transform(F.try_variant_get(parsed, "$['@graph']", "array<variant>"), types), lambda x: x.isNotNull() & (x != "")), " + ")
     many = F.array_join(F.filter(F.transform(F.try_variant_get(parsed, "$", "array<variant>"), types), lambda x: x.isNotNull() & (x != "")), " + ")
     full = lambda x: F.when(x != "", x)
@@ -176,15 +176,70 @@ def main_content(c: Column) -> Column:
     return without_blocks(without_comments(F.when(body != "", body).otherwise(text(c))), "header", "footer", "nav", "script", "style", "noscript", "iframe")
 
 
+def _plain(x: Column) -> Column:
+    return collapse(decode(F.regexp_replace(x, r"(?s)<[^>]*>", "")))
+
+
+def _heading(inner: Column) -> Column:
+    return _plain(F.regexp_extract(inner, r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", 1))
+
+
 def anchor_text(inner: Column) -> Column:
-    """Heading, short inline label, image alt, or the whole text cut at a word."""
-    plain = lambda x: collapse(decode(without_tags(x)))
-    heading = F.substring(plain(F.regexp_extract(inner, r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>", 1)), 1, 150)
-    label = plain(F.regexp_extract(inner, r"(?is)<(?:span|strong|b|em)\b[^>]*>([^<]*)</(?:span|strong|b|em)>", 1))
-    alt = F.substring(F.trim(decode(attribute(F.regexp_extract(inner, r"(?is)(<img\b[^>]*>)", 1), "alt"))), 1, 150)
-    whole = plain(inner)
-    cut = F.when(F.length(whole) > 100, F.concat(F.regexp_replace(F.substring(whole, 1, 100), r"\s+\S*$", ""), F.lit("…"))).otherwise(whole)
-    return F.when(heading != "", heading).when(F.length(label).between(2, 100), label).when((whole == "") & (alt != ""), alt).otherwise(cut)
+    """What a link says: its heading, a short inline label, its image's alt, or the whole text cut at a word."""
+    label = _plain(F.regexp_extract(inner, r"(?is)<(span|strong|b|em|p)\b[^>]*>(.*?)</\1>", 2))
+    alt = collapse(decode(attribute(F.regexp_extract(inner, r"(?is)(<img\b[^>]*>)", 1), "alt")))
+    heading = _heading(inner)
+    return F.when(F.length(heading) > 1, F.substring(heading, 1, 150)).when(F.length(label).between(2, 100), label).when(F.length(alt) > 1, F.substring(alt, 1, 150)).otherwise(cut_at_word(_plain(inner), 100))
+
+
+_PRICE, _PRICED = r"(?i)MRP|₹|\$", r"(?i)MRP|₹|\$|inclusive of|taxes"
+
+
+def card_text(inner: Column) -> Column:
+    """`heading — description` of a link around a card, null if it is none: the longest description that is no price, else what follows the heading."""
+    heading, whole = _heading(inner), _plain(inner)
+    blocks = F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)<(div|p)\b[^>]*>(.*?)</\1>"), F.lit(2)), _plain)
+    fit = F.filter(blocks, lambda x: F.length(x).between(40, 500) & ~x.rlike(_PRICED + r"|(?i)save |off\b"))
+    longest = F.array_max(F.transform(fit, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("i"), x.alias("text"))))["text"]
+    unmarked = lambda c: F.trim(F.regexp_replace(c, "[®™©]", ""))
+    after = lambda c, start: F.trim(F.substring(c, F.length(start) + 1, F.length(c)))
+    first = F.when(F.startswith(longest, heading), after(longest, heading)).otherwise(longest)
+    clean = F.when(F.startswith(unmarked(first), unmarked(heading)), after(unmarked(first), unmarked(heading))).otherwise(first)
+    return F.when(heading == "", None).when(F.length(clean) > 20, F.concat(heading, F.lit(" — "), cut_at_word(clean, 120))).otherwise(_card_tail(heading, whole))
+
+
+def _card_tail(heading: Column, whole: Column) -> Column:
+    """What follows the last mention of the heading, up to a price."""
+    place = F.length(whole) - F.instr(F.reverse(whole), F.reverse(heading)) - F.length(heading) + 2
+    rest = F.substring(whole, place + F.length(heading), F.length(whole))
+    price = F.length(F.regexp_extract(F.trim(rest), "(?is)^(.*?)(?:MRP|₹|\\$)", 1))
+    described = F.when(~F.trim(rest).rlike(_PRICED), F.trim(rest)).when(F.trim(rest).rlike(_PRICE) & (price > 20), F.trim(F.substring(F.trim(rest), F.lit(1), price)))
+    return F.when((F.instr(F.reverse(whole), F.reverse(heading)) > 0) & (F.length(rest) > 30) & (F.length(described) > 20), F.concat(heading, F.lit(" — "), cut_at_word(described, 120)))
+
+
+def link_text(inner: Column) -> Column:
+    """The link's text, or its card's where the text is at most 3 characters or the card's heading."""
+    own, card = anchor_text(inner), card_text(inner)
+    return F.when(card.isNotNull() & ((F.length(own) <= 3) | (own == _heading(inner))), card).otherwise(own)
+
+
+#: Link texts that say nothing of their target.
+GENERIC = "shop now|read more|click here|learn more|view more|see more|buy now|order now|add to cart|view details|more info|details|here|link|go|visit|explore|discover|get started|continue|next|previous|back|submit|download|sign up|subscribe|join|contact us|get in touch"
+
+
+def is_generic(anchor: Column) -> Column:
+    return F.lower(F.trim(anchor)).isin(GENERIC.split("|"))
+
+
+def hrefs(c: Column) -> Column:
+    """Every link of the page as written that may lead to a page."""
+    tags = F.transform(_tags(without_comments(text(c)), "a"), lambda t: F.trim(attribute(t, "href")))
+    return F.filter(tags, lambda x: (x != "") & ~x.rlike("^(javascript|mailto|tel):"))
+
+
+def social_map(c: Column) -> Column:
+    """property -> content of the social tags, the last of a property."""
+    return F.aggregate(social_tags(c), F.create_map().cast("map<string,string>"), lambda m, t: F.map_concat(F.map_filter(m, lambda k, _: k != t["property"]), F.create_map(t["property"], t["content"])))
 
 
 def anchors(c: Column) -> Column:

@@ -62,3 +62,9 @@ def near_groups(items: DataFrame, threshold: float = NEAR) -> DataFrame:
     leaders = state.where("leads").select("ord")
     follows = pairs.join(leaders.select(F.col("ord").alias("a")), "a", "left_semi").join(state.where("not leads").select(F.col("ord").alias("b")), "b", "left_semi").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
     return follows.unionByName(follows.select(F.col("leader").alias("ord"), "leader").distinct())
+
+
+def summary(exact: DataFrame, near: DataFrame) -> DataFrame:
+    """How many exact and near groups there are, and how many pages they hold."""
+    a = exact.agg(F.count("*").alias("exact_groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("exact_pages"))
+    return a.join(near.agg(F.countDistinct("leader").alias("near_groups"), F.count("*").alias("near_pages")))

@@ -132,6 +132,16 @@ QUICK: dict[str, Callable[[], Column]] = {
 }
 
 
+#: Of exploded, audited links.
+LINKS: dict[str, Callable[[], Column]] = {"all": lambda: F.lit(True), "external": lambda: ~F.col("is_internal"), "missing-rel": lambda: F.col("missing_rel"), "nofollow": lambda: F.col("nofollow"), "sponsored": lambda: F.col("sponsored"), "ugc": lambda: F.col("ugc")}
+
+
+def issues(df: DataFrame, severity: str | None = None, query: str = "") -> DataFrame:
+    """Issues of a severity whose title or group contains a text."""
+    found = search(query, {"title": F.col("title"), "grp": F.col("grp")})
+    return df.where(found & (F.col("severity") == severity) if severity else found)
+
+
 def quick(df: DataFrame, name: str) -> DataFrame:
     return df.where(QUICK[name]())
 

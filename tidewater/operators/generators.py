@@ -115,6 +115,46 @@ def page_rows(crawl: DataFrame) -> DataFrame:
     return crawl.select("url", "status_code", text("title").alias("title"), F.length(text("title")).alias("title_length"), text("description").alias("description"), F.length(text("description")).alias("description_length"), F.array_join("h1s", " | ").alias("h1"), size("h1s").alias("h1_count"), text("canonical").alias("canonical"), text("canonical_status").alias("canonical_status"), text("robots").alias("robots"), size("images").alias("images"), missing.alias("images_without_alt"), F.coalesce(inner, F.lit(0)).alias("internal_links"), size("schemas").alias("schemas"), size("hreflangs").alias("hreflangs"), F.coalesce("hop_count", F.lit(0)).alias("hops"), text("final_url").alias("final_url"))
 
 
+def meta_rows(crawl: DataFrame, flags: set[str]) -> DataFrame:
+    """The meta table with the columns of the fields that were asked for."""
+    many = lambda c: [F.array_join(F.coalesce(c, F.array().cast("array<string>")), " | ").alias(c), F.size(F.coalesce(c, F.array())).alias(c + "_count")]
+    parts = {"title": [text("title").alias("title")], "description": [text("description").alias("description")], "h1": many("h1s"), "h2": many("h2s"), "h3": many("h3s"), "robots": [text("robots").alias("robots")], "canonical": [text("canonical").alias("canonical"), F.coalesce("canonical_status", F.lit("Missing")).alias("canonical_status")]}
+    return crawl.select("url", *(c for k, own in parts.items() if k in flags for c in own), "status", "status_code", "fetch_time")
+
+
+def nested_rows(crawl: DataFrame, column: str, placeholder: str) -> DataFrame:
+    """url and the fields of a nested column, a row an element; a placeholder in the first field of answered pages without."""
+    rows = crawl.where("status = 'OK'").select("url", F.explode_outer(column).alias("x"))
+    element = crawl.schema[column].dataType.elementType
+    if element.typeName() != "struct":
+        return rows.select("url", F.coalesce("x", F.lit(placeholder)).alias("value"))
+    first, *rest = element.names
+    return rows.select("url", F.coalesce(F.col(f"x.{first}").cast("string"), F.lit(placeholder)).alias(first), *(text(F.col(f"x.{c}").cast("string")).alias(c) for c in rest))
+
+
+def preview(crawl: DataFrame) -> DataFrame:
+    """url, title, description, image as a shared link shows them: social tags first, then the page's own."""
+    tag = lambda name: F.get(F.filter(F.coalesce("social_tags", F.array().cast("array<struct<network:string,property:string,content:string>>")), lambda t: t["property"] == name), F.lit(0))["content"]
+    full = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs), F.lit(""))
+    return crawl.select("url", full(tag("og:title"), tag("twitter:title"), F.col("title")).alias("title"), full(tag("og:description"), tag("twitter:description"), F.col("description")).alias("description"), full(tag("og:image"), tag("twitter:image"), F.get(F.coalesce("images", F.array().cast("array<struct<src:string,alt:string>>")), F.lit(0))["src"]).alias("image"))
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, by: list, n: int = 500) -> DataFrame:
+    """One row: the first n nodes in an order and the edges between them, as JSON for a viewer."""
+    from .links import capped
+
+    kept, inside = capped(nodes, edges, by, n)
+    lists = kept.agg(F.collect_list(F.struct("*")).alias("nodes")).join(inside.agg(F.collect_list(F.struct("*")).alias("links")))
+    return lists.select(F.to_json(F.struct("nodes", "links")).alias("graph"))
+
+
+def messages(summary: DataFrame, turns: DataFrame, question: str, system: str) -> DataFrame:
+    """One row: the chat messages of a question about a crawl, as JSON; turns (ord, role, content). Nothing is sent."""
+    past = turns.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "role", "content"))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("past"))
+    say = lambda role, content: F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
+    return summary.select("summary").join(past).select(F.to_json(F.concat(say("system", F.concat(F.lit(system + "\n"), F.col("summary"))), F.coalesce("past", F.array().cast("array<struct<role:string,content:string>>")), say("user", F.lit(question)))).alias("messages"))
+
+
 def csv_lines(df: DataFrame, quote_all: bool = True) -> DataFrame:
     """line: the rows as CSV text, quoted always or only where needed."""
     quote = csv_quoted if quote_all else csv_if_needed

@@ -34,3 +34,11 @@ def newest(turns: DataFrame, scope: str, order: str, n: int = 50) -> DataFrame:
 def truncated(turns: DataFrame, scope: str, order: str, at: DataFrame) -> DataFrame:
     """Turns before the one that was edited: at (scope, cut)."""
     return turns.join(at, scope, "left").where(F.col("cut").isNull() | (F.col(order) < F.col("cut"))).drop("cut")
+
+
+def nested(parents: DataFrame, children: DataFrame, key: str, parent: str, order: str, name: str) -> DataFrame:
+    """parents with an array of their children, in order; empty where there are none."""
+    own = [c for c in children.columns if c != parent]
+    kind = f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in children.schema if f.name != parent)}>>"
+    lists = children.groupBy(F.col(parent).alias("_parent")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*own).alias("_c")))), lambda x: x["_c"]).alias(name))
+    return parents.join(lists, F.col(key) == F.col("_parent"), "left").drop("_parent").withColumn(name, F.coalesce(name, F.array().cast(kind)))

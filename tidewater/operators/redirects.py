@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import html, urls
 from ..plans.storage import stored
 
 MOST_HOPS = 10
@@ -39,3 +39,12 @@ def walk(starts: DataFrame, hops: DataFrame, most: int = MOST_HOPS) -> DataFrame
         if state.where("ended = ''").isEmpty():
             break
     return state.select("key", (F.size("path") - 1).alias("hop_count"), F.col("at").alias("final_key"), F.when(F.col("ended") == "", "most").otherwise(F.col("ended")).alias("ended"))
+
+
+def next_hop(status: Column, location: Column, refresh_header: Column, page: Column) -> Column:
+    """(type, target as written) of where an answer leads: HTTP redirect, Refresh header, meta refresh, script; null if it is the end."""
+    at_once = html.refresh(refresh_header)
+    meta = html.meta_refresh(page)
+    script = html.script_redirect(page)
+    hop = lambda kind, target: F.struct(F.lit(kind).alias("type"), target.alias("target"))
+    return F.when(status.between(300, 399) & (F.coalesce(location, F.lit("")) != ""), hop("http", location)).when(at_once.isNotNull(), hop("meta-refresh", at_once["target"])).when(meta.isNotNull(), hop("meta-refresh", meta["target"])).when(script.isNotNull(), hop("javascript", script))

@@ -6,13 +6,20 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 
 #: Directives that are known though they have no effect here.
 KNOWN = {"host", "clean-param", "noindex", "request-rate", "visit-time"}
+#: Agents by kind.
+BOTS = {
+    "Search": ["Googlebot", "Googlebot-Image", "Googlebot-News", "Googlebot-Video", "Bingbot", "Slurp", "DuckDuckBot", "YandexBot", "Baiduspider", "Applebot"],
+    "AI": ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-Web", "anthropic-ai", "PerplexityBot", "Perplexity-User", "Google-Extended", "CCBot", "Bytespider", "Amazonbot", "Meta-ExternalAgent", "cohere-ai", "Diffbot"],
+    "Social": ["facebookexternalhit", "Twitterbot", "LinkedInBot", "Pinterestbot", "WhatsApp", "TelegramBot"],
+    "SEO": ["AhrefsBot", "SemrushBot", "MJ12bot", "DotBot", "rogerbot", "Screaming Frog SEO Spider"],
+}
 ROWS = "source string, kind string, grp int, agents array<string>, rule int, line int, path string, value double"
 
 
@@ -105,6 +112,11 @@ def match(parsed: DataFrame, tests: DataFrame) -> DataFrame:
     return cases.join(won, ["source", "url", "agent"], "left").select("source", "url", "agent", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"), "kind", "path", "line")
 
 
+def bots(spark: SparkSession) -> DataFrame:
+    """kind, agent of the known agents, to test a page against all of them."""
+    return spark.createDataFrame([(k, a) for k, own in BOTS.items() for a in own], "kind string, agent string")
+
+
 def suggested(crawl: DataFrame) -> DataFrame:
     """prefix, errors of first directories with two or more errors of the kind that should not be crawled."""
     rows = crawl.where(F.col("status_code").isin(401, 403, 404, 410)).where(F.size(urls.segments(F.col("url"))) > 0)

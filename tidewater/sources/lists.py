@@ -48,7 +48,27 @@ def sitemap(files: DataFrame, roots: list[str], domain: str, levels: int = 10, l
 
 
 def declared_sitemaps(content: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text(content), F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text(content), F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1)), lambda x: F.trim(x))
+
+
+def all_locations(xml: Column) -> Column:
+    """Every loc of a document, whatever wraps it."""
+    found = F.regexp_extract_all(text(xml), F.lit(r"(?is)<loc\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</loc>"), F.lit(1))
+    return F.filter(F.transform(found, lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&"))), lambda u: u != "")
+
+
+#: Where sitemaps are if robots.txt names none.
+WELL_KNOWN = ["sitemap_index.xml", "sitemap.xml", "wp-sitemap.xml", "sitemap-index.xml"]
+
+
+def sitemap_candidates(origin: Column, content: Column) -> Column:
+    """The sitemaps that robots.txt declares, then the usual places."""
+    return F.array_distinct(F.concat(declared_sitemaps(content), F.array(*(F.concat(origin, F.lit("/" + p)) for p in WELL_KNOWN))))
+
+
+def site_scope(crawl: DataFrame) -> DataFrame:
+    """One row: the host of the first address."""
+    return crawl.where(urls.is_absolute(F.col("url"))).agg(F.min_by(urls.hostname(F.col("url")), "ord").alias("scope"))
 
 
 def with_sitemap(spidered: DataFrame, listed: DataFrame, limit: int = 50_000) -> DataFrame:

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as h
@@ -24,7 +24,7 @@ def extract(pages: DataFrame, links: str = "main") -> DataFrame:
     c = F.col("html")
     area = h.without_furniture(h.main_content(c)) if links == "main" else h.without_comments(c)
     rows = pages.select(F.col("page_id").alias("ord"), "url", "html", h.anchors(area).alias("found"))
-    link = lambda p: F.struct(h.anchor_text(p["inner"]).alias("anchor_text"), p["href"].alias("href"), (~urls.is_absolute(p["href"]) | urls.same_site(p["href"], F.col("url"))).alias("is_internal"), p["rel"].alias("rel"), *(F.array_contains(F.split(p["rel"], r"\s+"), k).alias(k) for k in ("nofollow", "sponsored", "ugc")))
+    link = lambda p: F.struct(h.link_text(p["inner"]).alias("anchor_text"), p["href"].alias("href"), (~urls.is_absolute(p["href"]) | urls.same_site(p["href"], F.col("url"))).alias("is_internal"), p["rel"].alias("rel"), *(F.array_contains(F.split(p["rel"], r"\s+"), k).alias(k) for k in ("nofollow", "sponsored", "ugc")))
     named = F.filter(F.transform("found", link), lambda x: x["anchor_text"] != "")
     canonical = h.canonical(c)
     return rows.select("ord", "url", h.title(c).alias("title"), h.description(c).alias("description"), *(h.headings(c, t).alias(t + "s") for t in ("h1", "h2", "h3")), h.images(c).alias("images"), h.json_ld(c).alias("schemas"), h.robots(c).alias("robots"), canonical.alias("canonical"), h.canonical_status(F.col("url"), canonical).alias("canonical_status"), h.hreflangs(c).alias("hreflangs"), named.alias("internal_links"), h.social_tags(c).alias("social_tags"))
@@ -81,3 +81,14 @@ def fetch(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int
             yield pd.DataFrame([(o, u, *r) for o, u, r in zip(batch["ord"], batch["url"], rows, strict=True)], columns=[c.split()[0] for c in FETCHED.split(", ")])
 
     return addresses.where(urls.is_safe(F.col("url"))).select("ord", "url").mapInPandas(fetched, FETCHED)
+
+
+def assemble(fetched: DataFrame) -> DataFrame:
+    """Fetched rows (ord, url, status_code, html, ...) with `status`, and html emptied where nothing was answered; a last 3xx stays OK."""
+    good = F.col("status_code").between(200, 399)
+    return fetched.withColumn("status", F.when(good, "OK").otherwise("Error")).withColumn("html", F.when(F.col("status_code").between(200, 299), F.col("html")).otherwise(""))
+
+
+def table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table of a database."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
