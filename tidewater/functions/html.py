@@ -306,3 +306,31 @@ def script_redirect(c: pd.Series) -> pd.Series:
         return None
 
     return c.map(one)
+
+
+#: What rich text may hold.
+ALLOWED_TAGS = {"a", "b", "blockquote", "br", "code", "em", "h1", "h2", "h3", "h4", "i", "img", "li", "ol", "p", "pre", "s", "span", "strong", "u", "ul"}
+ALLOWED_ATTRIBUTES = {"href", "src", "alt", "title", "target", "rel", "class"}
+
+
+@F.pandas_udf(StringType())
+def sanitise(c: pd.Series) -> pd.Series:
+    """Rich text without other tags, attributes and addresses than the allowed; scripts and styles go with what they hold."""
+    drop = re.compile(r"<(script|style|iframe|object)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)", re.I | re.S)
+    tag = re.compile(r"<(/?)([a-z][a-z0-9]*)\b([^>]*)>", re.I)
+    pair = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+    def kept(m: re.Match) -> str:
+        name = m[2].lower()
+        if name not in ALLOWED_TAGS:
+            return ""
+        if m[1]:
+            return f"</{name}>"
+        own = []
+        for p in pair.finditer(m[3]):
+            value = entities.unescape(p[2] or p[3] or p[4] or "")
+            if p[1].lower() in ALLOWED_ATTRIBUTES and not re.match(r"[\s\x00-\x1f]*(javascript|data|vbscript)\s*:", value, re.I):
+                own.append(f' {p[1].lower()}="{entities.escape(value)}"')
+        return f"<{name}{''.join(own)}>"
+
+    return c.map(lambda s: None if s is None else tag.sub(kept, drop.sub("", s)))

@@ -11,6 +11,7 @@ from ..functions import html, urls
 from ..functions.scalars import grade, js_round, length_badge
 from ..operators import dedupe, filters, generators, graph, links, merge, redirects, report, robots, rules
 from ..operators.filters import Condition
+from ..sources import lists
 from ..sources import pages as page_source
 from . import fixtures as fx
 from .storage import stored
@@ -75,14 +76,14 @@ def page_records(s, d):
     return r.select("ord", "title", "description", F.size("h1s").alias("h1"), F.size("images").alias("images"), "canonical_status", F.size("internal_links").alias("links"), F.size(F.filter("internal_links", lambda x: x["is_internal"])).alias("internal"), F.size("social_tags").alias("social"))
 
 
-@query()
+@query("select page_id as ord, cast(0 as int) as links from pages")  # all links of these pages are in their nav
 def main_content_links(s, d):
     return page_source.extract(_pages(s, d)).select("ord", F.size("internal_links").alias("links"))
 
 
-@query()
+@query("select page_id, coalesce(nullif(regexp_extract(html, '<script>location.href=.([^;]*).;</script>', 1), ''), 'none') as target from pages")
 def script_redirects(s, d):
-    return _pages(s, d).select("page_id", html.script_redirect(F.col("html")).alias("target"), F.col("html").isNotNull().alias("read"))
+    return _pages(s, d).select("page_id", F.coalesce(html.script_redirect(F.col("html")), F.lit("none")).alias("target"))
 
 
 # URLs.
@@ -205,9 +206,10 @@ def _directories(s, d):
 _SEG = "'/' || regexp_extract(url, '^[a-z]+://[^/?#]*/+([^/?#]+)', 1)"
 _KEY = "regexp_extract(url, '^([a-z]+)://', 1) || '://' || regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www[.]', '') || case when regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) in ('', '/') then '/' else regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/$', '') end || regexp_extract(url, '^[^?#]*([?][^#]*)', 1)"
 query(f"with recursive {C}, {E}, {_BFS}, u as (select {_KEY} as k, min(depth) as depth from depths join c on c.ord = depths.key group by 1) select {_SEG} as segment, count(*) as urls, {_n('ok')} as ok, {_n('hop_count > 0')} as redirects, {_n('status_code >= 400')} as errors, {_n('robots like ' + chr(39) + '%noindex%' + chr(39))} as noindex, {_n('ok and title = ' + chr(39) * 2)} as missing_title, floor(avg(depth) * 10 + 0.5) / 10 as avg_depth from c left join u on u.k = {_KEY} group by 1", "directory_rollup")(_directories)
-query(None, "path_tree_nodes")(lambda s, d: graph.path_nodes(_pages(s, d)))
-query(None, "path_tree_links")(lambda s, d: graph.path_links(graph.path_nodes(_pages(s, d))))
-query(None, "path_tree_colours")(lambda s, d: graph.colours(graph.path_nodes(_pages(s, d))))
+_TREE = "t as (select distinct regexp_extract(url, '^([a-z]+)://', 1) || '://' || host as origin, host, string_split(trim(path, '/'), '/') as parts from (select url, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www[.]', '') as host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path from pages)), n as (select distinct origin || '/' || array_to_string(parts[1:d], '/') as id, case when d = 0 then host else parts[d] end as label, case when d = 0 then host else host || '/' || parts[1] end as grp, cast(d as int) as depth, case when d > 0 then origin || '/' || array_to_string(parts[1:d-1], '/') end as parent, cast(case when d = 0 then 8 else greatest(1, 4 - d) end as int) as size from t, range(4) r(d) where d <= (case when parts[1] = '' then 0 else len(parts) end))"
+query(f"with {_TREE} select * from n", "path_tree_nodes")(lambda s, d: graph.path_nodes(_pages(s, d)))
+query(f"with {_TREE} select distinct parent as source, id as target from n where parent is not null", "path_tree_links")(lambda s, d: graph.path_links(graph.path_nodes(_pages(s, d))))
+query(f"with {_TREE}, f as (select grp, cast((row_number() over (order by min(id)) - 1) % 12 as int) as colour from n group by grp) select id, colour from n join f using (grp)", "path_tree_colours")(lambda s, d: graph.colours(graph.path_nodes(_pages(s, d))))
 
 # Filters.
 _DNF = [[Condition("title", "contains", "the"), Condition("status_code", "equals", "200")], [Condition("url", "regex", "/(fr|de)/"), Condition("robots", "not_contains", "noindex")], [Condition("title", "not_regex", "[a-z]"), Condition("absent", "equals", "x")]]
@@ -283,7 +285,7 @@ query(None, "near_duplicate_groups")(lambda s, d: dedupe.near_groups(_near_items
 query(f"with {C} select ord, hop_count, loops and hop_count > 0 as is_loop, status_code >= 400 as ends_in_error, status_code as final_status, 'http' as kind from c where hop_count > 0", "redirect_chains")(lambda s, d: redirects.chains(fx.crawl(s, d)).select("ord", "hop_count", "is_loop", "ends_in_error", "final_status", "kind"))
 query(f"with {C} select ord from c where hop_count > 0 and loops", "redirect_loops")(lambda s, d: redirects.chains(fx.crawl(s, d)).where("is_loop").select("ord"))
 query(f"with {C} select ord, case when hop_count > 0 then 'http' else 'none' end as kind from c", "redirect_type")(lambda s, d: fx.crawl(s, d).select("ord", redirects.kind(F.col("redirect_chain")).alias("kind")))
-query(None, "redirect_walk")(lambda s, d: redirects.walk(fx.keys(s, d).select("key"), fx.edges(s, d).where("pos = 0").select("src", "dst")))
+query(f"with recursive {C}, {E}, w(key, cur, path, ended) as (select ord, ord, [ord], '' from c union all select w.key, coalesce(e.dst, w.cur), case when e.dst is null then w.path else list_append(w.path, e.dst) end, case when e.dst is null then 'end' when list_contains(w.path, e.dst) then 'loop' else '' end from w left join (select src, dst from e where pos = 0) e on e.src = w.cur where w.ended = '' and len(w.path) <= 10) select key, cast(len(path) - 1 as int) as hop_count, cur as final_key, case when ended = '' then 'most' else ended end as ended from w where ended <> '' or len(path) = 11", "redirect_walk")(lambda s, d: redirects.walk(fx.keys(s, d).select("key"), fx.edges(s, d).where("pos = 0").select("src", "dst")))
 _MAP = "m as (select ord, regexp_replace(case when hop_count > 0 and not loops then 'https://end.example/' || ord else url end, '#.*$', '') as loc from c where ok and (hop_count = 0 or first_hop = 301))"
 query(f"with {C}, {_MAP} select distinct loc, cast(null as varchar) as lastmod from m", "sitemap_entries")(lambda s, d: generators.sitemap_entries(fx.crawl(s, d)))
 query(f"with {C}, {_MAP} select count(*) as total, {_n('not ok')} as dropped_non_2xx, {_n('ok and hop_count > 0 and first_hop <> 301')} as dropped_temporary, (select count(distinct loc) from m) as included, cast(count(*) - {_n('not ok')} - {_n('ok and hop_count > 0 and first_hop <> 301')} - (select count(distinct loc) from m) as bigint) as dropped_duplicate from c", "sitemap_stats")(lambda s, d: generators.sitemap_stats(fx.crawl(s, d)))
@@ -296,10 +298,47 @@ def _files(s):
     return s.createDataFrame([("x", ROBOTS)], "source string, content string")
 
 
-query(None, "robots_parse")(lambda s, d: robots.parse(_files(s)).withColumn("agents", F.array_join("agents", ",")))
+query("select * from (values ('group', 0, '*', null, null, null, null), ('disallow', 0, '*', 0, 2, '/private/', null), ('allow', 0, '*', 1, 3, '/private/open', null), ('crawl-delay', 0, '*', null, 4, null, 2.0::double), ('group', 1, 'googlebot,bingbot', null, null, null, null), ('disallow', 1, 'googlebot,bingbot', 0, 8, '/*.pdf$', null), ('disallow', 1, 'googlebot,bingbot', 1, 9, '/fr/', null), ('allow', 1, 'googlebot,bingbot', 2, 10, '/fr/a', null), ('sitemap', null, null, null, 11, 'https://x.example/sitemap.xml', null), ('warning', null, null, null, 12, 'Malformed line: nonsense', null)) v(kind, grp, agents, rule, line, path, value)", "robots_parse")(lambda s, d: robots.parse(_files(s)).withColumn("agents", F.array_join("agents", ",")).drop("source"))
 query("select page_id, not (regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '/fr/%' and not regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '/fr/a%') as allowed from pages", "robots_match")(lambda s, d: _pages(s, d).select("page_id", "url").join(robots.match(robots.parse(_files(s)), _pages(s, d).select(F.lit("x").alias("source"), "url", F.lit("Mozilla/5.0 (compatible; Googlebot/2.1)").alias("agent"))), "url").select("page_id", "allowed"))
 
 
+# Literal rows for what the tables lack: the expected rows are the SQL.
+def _literal(name: str, rows: list[tuple[str, object]], expression: Callable[[], F.Column]) -> None:
+    sql = " union all ".join(f"select {k} as case_no, {'null' if want is None else chr(39) + str(want).replace(chr(39), chr(39) * 2) + chr(39)} as result" for k, (_, want) in enumerate(rows))
+    query(sql, name)(lambda s, d: s.createDataFrame([(k, c) for k, (c, _) in enumerate(rows)], "case_no int, c string").select("case_no", expression().alias("result")))
+
+
+_each = lambda c, f: F.array_join(F.transform(c, f), "; ")
+_literal("anchor_text_cascade", [("<h2>A &amp; B</h2><p>x</p>", "A & B"), ("<div><p>label here</p> more</div>", "label here"), ('<img alt="picture" src="x">', "picture"), ("words " * 30, "words " * 15 + "words…"), ("", "")], lambda: html.anchor_text(F.col("c")))
+_literal("card_context", [("<h3>Name</h3><p>" + "this text describes the thing in full " * 2 + "</p>", "Name — " + ("this text describes the thing in full " * 2).strip()), ("<h3>Name</h3><p>from $20 and more, inclusive of everything that there is</p>", None), ("<p>no heading but a text that would be long enough to be one</p>", None)], lambda: html.card_text(F.col("c")))
+_literal("js_redirect", [("<script>window.location.href='/a'</script>", "/a"), ("<script>x.onclick=function(){location='/b'}</script>", None), ("<script>location.replace(\"/c\")</script>", "/c"), ("<p>location='/d'</p>", None)], lambda: html.script_redirect(F.col("c")))
+_literal("meta_refresh", [('<meta http-equiv="refresh" content="5;url=/a">', "/a"), ('<meta http-equiv="refresh" content="6;url=/a">', None), ("<p>", None)], lambda: html.meta_refresh(F.col("c"))["target"])
+_literal("meta_description", [('<meta name="description" content=""><meta name="description" content="two">', "two"), ("<!-- <meta name=description content=x> -->", ""), ("<meta content='it''s' name='description'>", "it")], lambda: html.description(F.col("c")))
+_literal("jsonld_types", [('{"@type":"A"}', "A"), ('{"@type":["A","B"]}', "A, B"), ('{"@graph":[{"@type":"A"},{"@type":"B"}]}', "A + B"), ("{", "Raw"), ("{}", "Schema")], lambda: html.schema_label(F.col("c")))
+_literal("social_tags_dedup", [('<meta property="og:title" content="T"><meta property="OG:title" content="T"><meta name="twitter:card" content="s">', "og:title=T; twitter:card=s"), ("<p>", "")], lambda: _each(html.social_tags(F.col("c")), lambda t: F.concat(t["property"], F.lit("="), t["content"])))
+_literal("hreflang_extract", [('<link rel="alternate" hreflang="de" href="/de"><link rel="alternate" href="/f"><!-- <link rel="alternate" hreflang="fr" href="/fr"> -->', "de=/de; fr=/fr")], lambda: _each(html.hreflangs(F.col("c")), lambda t: F.concat(t["hreflang"], F.lit("="), t["href"])))
+_literal("image_alt_audit", [('<img src="a.png" alt=""><img src="data:x"><img src=\'b.png\' alt="b">', "a.png:none; b.png:b")], lambda: _each(html.images(F.col("c")), lambda i: F.concat(i["src"], F.lit(":"), F.coalesce(i["alt"], F.lit("none")))))
+_literal("sanitise_html", [('<p onclick="x">a<script>b</script><a href="javascript:c" class="d">e</a></p>', '<p>a<a class="d">e</a></p>')], lambda: html.sanitise(F.col("c")))
+_literal("entity_numbers", [("&#233;&#x41;&eacute;", "éA&eacute;")], lambda: html.decode_numbers(F.col("c")))
+_literal("sitemap_locations", [("<urlset><url><loc><![CDATA[http://a/?x=1&amp;y]]></loc></url><url><lastmod>1</lastmod></url><url><loc> http://b\n</loc></url></urlset>", "http://a/?x=1&y; http://b")], lambda: F.array_join(lists.locations(F.col("c"), "url"), "; "))
+_literal("robots_sitemaps", [("User-agent: *\n sitemap : http://a/1.xml\nSitemap: http://a/2.xml", "http://a/1.xml; http://a/2.xml")], lambda: F.array_join(lists.declared_sitemaps(F.col("c")), "; "))
+_literal("url_safety", [("http://10.1.1.1/", "false"), ("https://x.example/", "true"), ("http://[::1]/", "false"), ("ftp://x.example/", "false")], lambda: urls.is_safe(F.col("c")).cast("string"))
+query("select 'http://a' as url union all select 'https://b'", "url_list_text")(lambda s, d: lists.from_text(s.createDataFrame([(0, " http://a "), (1, "x"), (2, "https://b"), (3, "http://a")], "ord int, value string")).select("url"))
+query("select 'http://a' as url union all select 'http://c'", "url_list_rows")(lambda s, d: lists.from_rows(s.createDataFrame([(0, "x,http://a,http://b"), (1, "y"), (2, '"http://c",1')], "ord int, value string")).select("url"))
+_CLUSTER = "cluster int, canonical string, x_default string, alternates array<struct<language:string,country:string,href:string>>"
+query("select 1 as cluster, 'a code is there twice' as warning union all select 1, 'an alternate is no absolute address' union all select 2, 'canonical is missing' union all select 2, 'fewer than two alternates'", "hreflang_validate")(lambda s, d: generators.hreflang_warnings(s.createDataFrame([(1, "http://c/", None, [("en", "gb", "http://a/"), ("EN", "GB", "b")]), (2, "", None, [("de", "", "http://d/")])], _CLUSTER)))
+query("select page_id, code, 'https://x.example/' || code as href from pages, (values ('en-GB'), ('de')) v(code)", "hreflang_bulk")(lambda s, d: _pages(s, d).select("page_id", "url").join(generators.hreflang_bulk(_pages(s, d).select("url"), s.createDataFrame([("en", "gb", "https://x.example/en-GB"), ("de", "", "https://x.example/de")], "language string, country string, href string")), "url").select("page_id", "code", "href"))
+query("select 'u' as url, 'og:description is missing' as warning union all select 'u', 'og:image is no absolute address'", "social_validate")(lambda s, d: generators.social_warnings(s.createDataFrame([("u", "title", "", "/rel", None, None, None, None)], "url string, og_title string, og_description string, og_image string, twitter_title string, twitter_description string, twitter_image string, card string")))
+query(f"with {C}, {E}, l as (select ord as k from c where ord % 3 = 0), w as (select distinct dst as k from e) select cast(k as varchar) as url, 'spider' as origin from w union all select cast(k as varchar), 'sitemap' from l where k not in (select k from w)", "spider_union_sitemap")(lambda s, d: lists.with_sitemap(fx.edges(s, d).select(F.col("dst").cast("string").alias("url")).distinct(), fx.keys(s, d).where("key % 3 = 0").select(F.col("key").cast("string").alias("url"))))
+query("with x as (select conv_id, count(*) as turns, string_agg(role, ',' order by turn) as roles from conversations group by 1) select conv_id, turns, roles from x", "conversation_turns_nested")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").transform(lambda t: merge.nested(t.select("conv_id").distinct(), t, "conv_id", "conv_id", "turn", "items")).select("conv_id", F.size("items").cast("long").alias("turns"), F.array_join(F.transform("items", lambda i: i["role"]), ",").alias("roles")))
+query(f"with {C} select url, title, n_h1 as h1s_count, case when canonical_status = 'Missing' then '' else 'x' end as canonical, canonical_status, status_code from c", "meta_export")(lambda s, d: generators.meta_rows(fx.crawl(s, d), {"title", "h1", "canonical"}).drop("h1s", "status", "fetch_time"))
+query(f"with {C} select url, case when n_hreflang = 0 then 'No hreflang' else k.h end as href, case when n_hreflang = 0 then '' when k.h = 'a' then 'en' when has_default then 'x-default' else 'fr' end as hreflang from c left join (values ('a'), ('b')) k(h) on n_hreflang > 0 where not (status_code = 0 or status_code >= 400)", "hreflang_export")(lambda s, d: generators.nested_rows(fx.crawl(s, d), "hreflangs", "No hreflang"))
+query(f"with {C} select url, case when n_schema > 0 then '{{}}' else 'No schema' end as value from c where not (status_code = 0 or status_code >= 400)", "schema_export")(lambda s, d: generators.nested_rows(fx.crawl(s, d), "schemas", "No schema"))
+query(f"with {C} select '\"' || replace(url, '\"', '\"\"') || '\",\"' || replace(title, '\"', '\"\"') || '\",' || status_code as line from c", "csv_lines")(lambda s, d: generators.csv_lines(fx.crawl(s, d).select("url", "title", "status_code")))
+query(f"with {C} select url || chr(9) || title || chr(9) || status_code as line from c", "tsv_lines")(lambda s, d: generators.tsv_lines(fx.crawl(s, d).select("url", "title", "status_code")))
+query(f"with {C} select url, case when has_og then 'x' else title end as title, description, case when n_img > 0 then 'img1.png' else '' end as image from c", "social_preview")(lambda s, d: generators.preview(fx.crawl(s, d)))
+
+
 # Incremental crawls, history, streams.
 def _fresh(s, d):
     return fx.crawl(s, d).where("ord % 3 = 0").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("robots", F.lit("none"))

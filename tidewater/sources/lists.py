@@ -23,6 +23,18 @@ def from_rows(lines: DataFrame) -> DataFrame:
     return first_of(rows, F.col("url")).orderBy("ord")
 
 
+def from_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """ord, url of a workbook's first sheet: the first address of a row. Needs a reader of such files for pandas."""
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError as error:
+        raise NotImplementedError("reading workbooks needs openpyxl") from error
+    import pandas as pd
+
+    sheet = pd.read_excel(path, header=None, dtype=str).fillna("")
+    return from_rows(spark.createDataFrame([(i, ",".join(row)) for i, row in enumerate(sheet.itertuples(index=False))], "ord int, value string"))
+
+
 def locations(xml: Column, wrapper: str) -> Column:
     """The first loc of each wrapper element: CDATA taken off, white space removed, `&amp;` decoded."""
     found = F.regexp_extract_all(text(xml), F.lit(rf"(?is)<{wrapper}\b[^>]*>(.*?)</{wrapper}>"), F.lit(1))
