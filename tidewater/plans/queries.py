@@ -329,7 +329,7 @@ _CLUSTER = "cluster int, canonical string, x_default string, alternates array<st
 query("select 1 as cluster, 'a code is there twice' as warning union all select 1, 'an alternate is no absolute address' union all select 2, 'canonical is missing' union all select 2, 'fewer than two alternates'", "hreflang_validate")(lambda s, d: generators.hreflang_warnings(s.createDataFrame([(1, "http://c/", None, [("en", "gb", "http://a/"), ("EN", "GB", "b")]), (2, "", None, [("de", "", "http://d/")])], _CLUSTER)))
 query("select page_id, code, 'https://x.example/' || code as href from pages, (values ('en-GB'), ('de')) v(code)", "hreflang_bulk")(lambda s, d: _pages(s, d).select("page_id", "url").join(generators.hreflang_bulk(_pages(s, d).select("url"), s.createDataFrame([("en", "gb", "https://x.example/en-GB"), ("de", "", "https://x.example/de")], "language string, country string, href string")), "url").select("page_id", "code", "href"))
 query("select 'u' as url, 'og:description is missing' as warning union all select 'u', 'og:image is no absolute address'", "social_validate")(lambda s, d: generators.social_warnings(s.createDataFrame([("u", "title", "", "/rel", None, None, None, None)], "url string, og_title string, og_description string, og_image string, twitter_title string, twitter_description string, twitter_image string, card string")))
-query(f"with {C}, {E}, l as (select ord as k from c where ord % 3 = 0), w as (select distinct dst as k from e) select cast(k as varchar) as url, 'spider' as origin from w union all select cast(k as varchar), 'sitemap' from l where k not in (select k from w)", "spider_union_sitemap")(lambda s, d: lists.with_sitemap(fx.edges(s, d).select(F.col("dst").cast("string").alias("url")).distinct(), fx.keys(s, d).where("key % 3 = 0").select(F.col("key").cast("string").alias("url"))))
+query(f"with {C}, {E}, l as (select ord as k from c), w as (select distinct dst as k from e) select cast(k as varchar) as url, 'spider' as origin from w union all select cast(k as varchar), 'sitemap' from l where k not in (select k from w)", "spider_union_sitemap")(lambda s, d: lists.with_sitemap(fx.edges(s, d).select(F.col("dst").cast("string").alias("url")).distinct(), fx.keys(s, d).select(F.col("key").cast("string").alias("url"))))
 query("with x as (select conv_id, count(*) as turns, string_agg(role, ',' order by turn) as roles from conversations group by 1) select conv_id, turns, roles from x", "conversation_turns_nested")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").transform(lambda t: merge.nested(t.select("conv_id").distinct(), t, "conv_id", "conv_id", "turn", "items")).select("conv_id", F.size("items").cast("long").alias("turns"), F.array_join(F.transform("items", lambda i: i["role"]), ",").alias("roles")))
 query(f"with {C} select url, title, n_h1 as h1s_count, case when canonical_status = 'Missing' then '' else 'x' end as canonical, canonical_status, status_code from c", "meta_export")(lambda s, d: generators.meta_rows(fx.crawl(s, d), {"title", "h1", "canonical"}).drop("h1s", "status", "fetch_time"))
 query(f"with {C} select url, case when n_hreflang = 0 then 'No hreflang' else k.h end as href, case when n_hreflang = 0 then '' when k.h = 'a' then 'en' when has_default then 'x-default' else 'fr' end as hreflang from c left join (values ('a'), ('b')) k(h) on n_hreflang > 0 where not (status_code = 0 or status_code >= 400)", "hreflang_export")(lambda s, d: generators.nested_rows(fx.crawl(s, d), "hreflangs", "No hreflang"))
@@ -341,10 +341,10 @@ query(f"with {C} select url, case when has_og then 'x' else title end as title,
 
 # Incremental crawls, history, streams.
 def _fresh(s, d):
-    return fx.crawl(s, d).where("ord % 3 = 0").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("robots", F.lit("none"))
+    return fx.crawl(s, d).where("status = 'OK'").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("robots", F.lit("none"))
 
 
-query(f"with {C}, u as (select url, arg_max(title, ord) as title from c where ord % 3 = 0 group by url) select c.ord, case when u.url is not null then 'new ' || u.title else c.title end as title, c.robots from c left join u on u.url = c.url", "incremental_merge")(lambda s, d: merge.overlay(fx.crawl(s, d), _fresh(s, d), ["title"]).select("ord", "title", "robots"))
+query(f"with {C}, u as (select url, arg_max(title, ord) as title from c where not (status_code = 0 or status_code >= 400) group by url) select c.ord, case when u.url is not null then 'new ' || u.title else c.title end as title, c.robots from c left join u on u.url = c.url", "incremental_merge")(lambda s, d: merge.overlay(fx.crawl(s, d), _fresh(s, d), ["title"]).select("ord", "title", "robots"))
 query("select conv_id, turn, role from (select *, row_number() over (partition by role order by conv_id desc, turn desc) as n from conversations) where n <= 50", "history_last_50")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").withColumn("at", F.struct("conv_id", "turn")).transform(lambda t: merge.newest(t, "role", "at")).select("conv_id", "turn", "role"))
 query("select conv_id, turn from conversations where turn < 1 + conv_id % 3", "history_truncated")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").transform(lambda t: merge.truncated(t, "conv_id", "turn", t.select("conv_id", (1 + F.col("conv_id") % 3).alias("cut")).distinct())).select("conv_id", "turn"))
 
