@@ -3,7 +3,7 @@ import pytest
 
 from tidewater.llm import mixing
 
-SCHEMA = "doc_id long, text string, source string, full int, part int, range int"
+SCHEMA = "doc_id long, text string, source string, row int, cut int, tie int"
 ROWS = [
     (1, "one two three", "a", 0, 0, 0),
     (1, "one two three", "a", 0, 0, 0),

@@ -7,7 +7,7 @@ import pytest
 
 from tidewater.llm import near_dedup as nd
 
-SCHEMA = "doc_id long, text string, node int, component int, band int"
+SCHEMA = "doc_id long, text string, node int, row int, stay int"
 
 
 def sets_of(rows, size):

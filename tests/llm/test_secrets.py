@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import secrets
 
-SCHEMA = "doc_id long, text string, source string, value int, label int, path int"
+SCHEMA = "doc_id long, text string, source string, row int, hits int, nth int"
 PLANTED = re.compile(r'(?i)(?<=token = ")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}|AKIA[A-Z0-9]{16}')
 
 

@@ -52,6 +52,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`, so that no name of theirs meets another."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def unnested(rows: DataFrame, docs: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The columns of docs from rows (row), with this text; n_chars, if it is there, follows where the text has changed."""
+    columns = []
+    for field in docs.schema:
+        own = F.col("row")[field.name]
+        if field.name == "text":
+            own = text.cast(field.dataType)
+        elif field.name == "n_chars":
+            own = F.when(changed, F.length(text)).otherwise(own).cast(field.dataType)
+        columns.append(own.alias(field.name))
+    return rows.select(*columns)
+
+
 def remainder(doc_id: Column | str, divisor: int = 5) -> Column:
     """crc32(doc_id as text) mod divisor; 0 for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -60,7 +78,9 @@ def remainder(doc_id: Column | str, divisor: int = 5) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the text of a slice takes at most limit bytes, or is one row."""
-    for batch in batches:
+    for number, batch in enumerate(batches):
+        if number % 16 == 15:
+            release()
         n = batch.num_rows
         if not n:
             continue
@@ -72,6 +92,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, floor + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Gives back what Arrow and the allocator keep of freed memory: Python workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def plain(array: pa.Array) -> pa.Array:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, nested, stored, unnested
 
 SOURCE_WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -99,17 +99,12 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix") -> DataFrame:
     """The mixed corpus: rows of docs, each as often as it is taken; the document at a source's border with its first words only."""
-    own = [c for c in docs.columns]
-    taken = shares(docs, weights, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("full").alias("_full"), F.col("part").cast("int").alias("_part")).where("_full > 0 or _part > 0")
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_tie")))
-    copies = F.concat(F.array_repeat(F.lit(0), F.col("_full").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<int>")))
-    out = joined.withColumn("_cut", F.explode(copies))
-    text = F.when(F.col("_cut") > 0, first_words(F.col("text"), F.col("_cut"))).otherwise(F.col("text"))
-    changed = {"text": text}
-    if "n_chars" in own:
-        changed["n_chars"] = F.when(F.col("_cut") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(changed).select(*own)
+    rows = nested(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("tie"))
+    taken = shares(docs, weights, seed).where("full > 0 or part > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("tie").alias("own"), F.col("full").cast("int").alias("full"), F.col("part").cast("int").alias("part"))
+    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("own")))
+    copies = F.concat(F.array_repeat(F.lit(0), F.col("full")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<int>")))
+    out = joined.select("row", F.explode(copies).alias("cut"))
+    return unnested(out, docs, F.when(F.col("cut") > 0, first_words(F.col("row.text"), F.col("cut"))).otherwise(F.col("row.text")), F.col("cut") > 0)
 
 
 SQL = rf"""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mix, ragged, rows_of, slices, stored, words
+from .common import hashes, mix, nested, rows_of, slices, stored, unnested, words
 
 SHINGLE = 2
 PERCENT = 80
@@ -37,7 +37,7 @@ BLOCK = 1024
 VERIFIED = 2048
 #: Bits of the map that tells which texts may be candidates; false ones cost a set, nothing else.
 MAP_BITS = 24
-SIGNED = "doc_id long, n_shingles long, node long, signature binary"
+SIGNED = "doc_id long, tie long, n_shingles long, node long, signature binary"
 
 
 def shingles(text: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         count = np.diff(at).astype(np.int64)
         node = fingerprints(at, key)
         blobs = [r.tobytes() if n else None for r, n in zip(rows, count, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(node), pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "node", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(count), pa.array(node), pa.array(blobs, pa.binary())], ["doc_id", "tie", "n_shingles", "node", "signature"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +240,8 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
 
 
 def find(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (of its set; 0: empty), component_id of every row of docs (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, tie (the text's hash), n_shingles, node (of its set; 0: empty), component_id of every row of docs (doc_id, text)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
     signed = stored(texts.mapInArrow(lambda b: _sign(b, size), SIGNED), "signatures")
     # equal sets: one node, with the least id and any of the equal signatures
     nodes = signed.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
@@ -280,7 +280,7 @@ def find(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     low = nodes.select("node", "low").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = low.select("node", "component").join(low.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("node", "component_id")
     out = signed.drop("signature").join(low, "node", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "tie", "n_shingles", "node", F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _with_band(table: pa.Table) -> pa.Table:
@@ -296,8 +296,10 @@ def _with_band(table: pa.Table) -> pa.Table:
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with one document of each component, that of the least id; all columns."""
     found = find(docs, size, percent)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id"), F.col("tie").alias("own")).distinct()
+    rows = nested(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("tie"))
+    kept = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("own")), "left_semi").dropDuplicates(["doc_id", "tie"])
+    return unnested(kept, docs, F.col("row.text"), F.lit(False))
 
 
 SQL = r"""

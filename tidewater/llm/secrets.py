@@ -18,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import nested, unnested
+
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 40, 7, 17
 FINDINGS = 6000
@@ -154,12 +156,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, path: str | No
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, path: str | None = "source") -> DataFrame:
     """docs with each secret replaced by MASK; n_chars, if it is there, follows the text."""
-    hits = scan(docs, model, path).groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.collect_set("nth").alias("_hits"))
-    own = docs.columns
-    joined = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string"))).join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left")
+    hits = scan(docs, model, path).groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("own")).agg(F.collect_set("nth").alias("hits"))
+    rows = nested(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("own")), "left")
     gaps, found = F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1))
-    parts = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f")), lambda p, i: F.concat(p["g"], F.when(F.array_contains("_hits", i), F.lit(MASK)).otherwise(F.coalesce(p["f"], F.lit("")))))
-    changed = {"text": F.when(F.col("_hits").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text"))}
-    if "n_chars" in own:
-        changed["n_chars"] = F.when(F.col("_hits").isNotNull(), F.length(changed["text"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(changed).select(*own)
+    parts = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f")), lambda p, i: F.concat(p["g"], F.when(F.array_contains("hits", i), F.lit(MASK)).otherwise(F.coalesce(p["f"], F.lit("")))))
+    return unnested(joined, docs, F.when(F.col("hits").isNotNull(), F.array_join(parts, "")).otherwise(F.col("text")), F.col("hits").isNotNull())
