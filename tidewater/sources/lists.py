@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.scalars import text
 from ..operators.merge import first_of
+from ..plans.storage import stored
 
 
 def from_text(lines: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def sitemap(files: DataFrame, roots: list[str], domain: str, levels: int = 10, l
         pages = own.where(~F.col("xml").rlike("(?i)<sitemapindex")).select(F.explode(locations(F.col("xml"), "url")).alias("url"))
         found = pages if found is None else found.unionByName(pages)
         frontier = own.where(F.col("xml").rlike("(?i)<sitemapindex")).select(F.explode(locations(F.col("xml"), "sitemap")).alias("url")).distinct().join(seen, "url", "left_anti")
-        frontier = spark.createDataFrame(frontier.collect(), "url string")  # sitemaps of one site: a list of files
+        frontier = stored(frontier, "sitemaps")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
