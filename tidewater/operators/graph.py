@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..plans.storage import stored
+from ..plans.storage import counted, stored
 
 
 def homepage(keys: DataFrame, path: str = "path") -> DataFrame:
@@ -21,12 +21,11 @@ def bfs(edges: DataFrame, roots: DataFrame, most: int = 100, limit: int | None =
     limit: stop after the level with which so many are reached.
     """
     links = stored(edges.where("src <> dst").select("src", "dst").distinct(), "links")
-    frontier = stored(roots.select("key", F.lit(0).alias("depth")), "level")
-    seen, count = frontier, frontier.count()
+    frontier, count = counted(roots.select("key", F.lit(0).alias("depth")), "level")
+    seen = frontier
     for depth in range(1, most + 1):
         found = links.join(frontier.select(F.col("key").alias("src")), "src").select(F.col("dst").alias("key")).distinct().join(seen.select("key"), "key", "left_anti")
-        frontier = stored(found.select("key", F.lit(depth).alias("depth")), "level")
-        new = frontier.count()
+        frontier, new = counted(found.select("key", F.lit(depth).alias("depth")), "level")
         if not new:
             break
         seen, count = seen.unionByName(frontier), count + new

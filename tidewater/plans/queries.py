@@ -69,7 +69,11 @@ def entity_decode_basic(s, d):
     return _pages(s, d).select("page_id", F.md5(html.decode(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query()
+_HOST = "regexp_replace(regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', ''), ':[0-9]*$', '')"
+_ANCHORS = "a as (select page_id, url, t, trim(regexp_extract(t, '(?is)^<a\\b[^>]*\\bhref\\s*=\\s*\"([^\"]*)\"', 1)) as href, trim(regexp_replace(regexp_replace(t, '(?s)<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as said from (select page_id, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<a\\b[^>]*>.*?</a>')) as t from pages)), l as (select page_id, count(*) as links, count(*) filter (where not regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') or " + _HOST.format("href") + " = " + _HOST.format("url") + ") as internal from a where href <> '' and said <> '' and not regexp_matches(href, '(?i)^(#|javascript:|mailto:|tel:)') group by 1)"
+
+
+@query(f"with {_ANCHORS} select p.page_id as ord, trim(regexp_replace({_DECODE.format(f'''regexp_extract({_CLEAN}, '(?is)<title\\b[^>]*>(.*?)</title>', 1)''')}, '\\s+', ' ', 'g')) as title, '' as description, cast(len(regexp_extract_all({_CLEAN}, '(?is)<h1\\b[^>]*>.*?</h1>')) as int) as h1, cast(len(regexp_extract_all(html, '(?is)<img\\b[^>]*>')) as int) as images, 'Missing' as canonical_status, cast(coalesce(links, 0) as int) as links, cast(coalesce(internal, 0) as int) as internal, cast(0 as int) as social from pages p left join l on l.page_id = p.page_id")
 def page_records(s, d):
     """Every extractor over raw pages, all links of the page."""
     r = page_source.extract(_pages(s, d), links="all")

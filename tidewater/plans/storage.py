@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -27,6 +28,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As stored, with the number of rows, counted as they are written."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    table = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, int(seen.get["n"])
+
+
 def _remove(spark, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
