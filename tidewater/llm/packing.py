@@ -26,7 +26,9 @@ CLOSING_ID = 1
 #: Pieces that one task ranks at most, on average.
 RANK_ROWS = 100_000
 #: Distinct words whose ids a Python worker keeps; others are encoded again when they return.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
+#: Words whose ids a task holds at once, if no document has more.
+GROUP_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,7 +75,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encoder = _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, WordIds(path)) or _ENCODERS[path]
-    for batch in slices(batches, limit=16 << 20):
+    for batch in slices(batches, limit=8 << 20):
         code, row, distinct = words(batch.column("text"), lower=False)
         table = encoder(distinct.to_pylist())
         size = np.fromiter(map(len, table), np.int64, len(table))
@@ -81,9 +83,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
         start = np.cumsum(size) - size
         at = rows_of(row, batch.num_rows)
         out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32")}
-        step = 4096
-        for lo in range(0, batch.num_rows, step):  # documents in groups: their ids take bounded memory
-            hi = min(lo + step, batch.num_rows)
+        hi = 0
+        while hi < batch.num_rows:  # documents in groups: their ids take bounded memory
+            lo = hi
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP_WORDS, side="right")) - 1)
             part = code[at[lo] : at[hi]]
             ids = flat[ragged(start[part], size[part])]
             ends = np.concatenate(([0], np.cumsum(size[part])))[at[lo : hi + 1] - at[lo]]

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, plain, remainder, slices, words
+from .common import hashes, plain, release, remainder, slices, words
 
 BUCKETS = 1 << 16
 RANK = 8
-SAMPLE = 8000
+SAMPLE = 4000
 EPOCHS = 12
 THRESHOLD = 0.3
 #: Upper ends of the statistics' bins.
@@ -160,7 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         return train(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32), label)
     lists = [pa.concat_arrays(got.column(c).chunks) for c in ("feature", "value")]
     row = np.repeat(np.arange(len(label)), np.diff(lists[0].offsets.to_numpy()))
-    return train(row, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), label)
+    machine = train(row, lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy(), label)
+    del got, lists, row
+    release()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
