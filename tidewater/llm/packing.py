@@ -10,9 +10,11 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ from .common import ragged, rows_of, slices, stored, words
 
 CAPACITY = 4096
 CLOSING_ID = 1
-#: Pieces that one task ranks at most, on average.
-RANK_ROWS = 100_000
+#: Pieces of one length that are ranked together, on average: so many, or for very many pieces the root of their number.
+RANK_ROWS = 1000
 #: Distinct words whose ids a Python worker keeps; others are encoded again when they return.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 300_000
 #: Words whose ids a task holds at once, if no document has more.
 GROUP_WORDS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -41,30 +43,43 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}  # places in start and size
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __call__(self, distinct: list[str]) -> list[np.ndarray]:
-        known = self.known
-        out = [known.get(w) for w in distinct]
-        new = [i for i, x in enumerate(out) if x is None]
+    def __call__(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of many words, where each word's begin, how many they are)."""
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0).tolist()
         plain = [i for i in new if "<|" not in distinct[i] and distinct[i]]
+        parts, sizes = [], []
         for at in range(0, len(plain), 20_000):  # many words a call: the mark keeps them apart
-            part = plain[at : at + 20_000]
-            texts = [self.mark.join(distinct[i] for i in part[k : k + 500]) for k in range(0, len(part), 500)]
-            k = 0
-            for ids in (np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            own = plain[at : at + 20_000]
+            texts = [self.mark.join([distinct[i] for i in own[k : k + 500]]) for k in range(0, len(own), 500)]
+            for encoded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.asarray(encoded.ids, np.uint32)
                 cuts = np.flatnonzero(ids == self.mark_id)
-                begin = np.concatenate(([0], cuts + 1))
-                end = np.concatenate((cuts, [len(ids)]))
-                for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-                    out[part[k]] = ids[b:e]
-                    k += 1
-        for i in new:
-            if out[i] is None:
-                out[i] = np.asarray(self.tokenizer.encode(distinct[i], add_special_tokens=False).ids, np.uint32)
-            if len(known) < KEPT_WORDS and len(distinct[i]) < 40:
-                known[distinct[i]] = out[i].copy()
-        return out
+                sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+                parts.append(np.delete(ids, cuts))
+        special = [i for i in new if "<|" in distinct[i] or not distinct[i]]
+        for i in special:
+            ids = np.asarray(self.tokenizer.encode(distinct[i], add_special_tokens=False).ids, np.uint32)
+            parts.append(ids)
+            sizes.append(np.array([len(ids)]))
+        size, start = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        seen = place >= 0
+        size[seen], start[seen] = self.size[place[seen]], self.start[place[seen]]
+        if not new:
+            return self.flat, start, size
+        order, own_size = np.array(plain + special), np.concatenate(sizes).astype(np.int64)
+        own_start = len(self.flat) + np.cumsum(own_size) - own_size
+        size[order], start[order] = own_size, own_start
+        flat = np.concatenate([self.flat, *parts])
+        if keep := min(len(plain), KEPT_WORDS - len(self.known)):
+            first = len(self.known)
+            self.known.update(zip((distinct[i] for i in plain[:keep]), range(first, first + keep), strict=True))
+            self.start, self.size = np.append(self.start, own_start[:keep]), np.append(self.size, own_size[:keep])
+            self.flat = flat[: own_start[keep - 1] + own_size[keep - 1]].copy()
+        return flat, start, size
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -77,10 +92,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
     encoder = _ENCODERS.setdefault(path, None) or _ENCODERS.__setitem__(path, WordIds(path)) or _ENCODERS[path]
     for batch in slices(batches, limit=8 << 20):
         code, row, distinct = words(batch.column("text"), lower=False)
-        table = encoder(distinct.to_pylist())
-        size = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
-        start = np.cumsum(size) - size
+        flat, start, size = encoder(distinct.to_pylist())
         at = rows_of(row, batch.num_rows)
         out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32")}
         hi = 0
@@ -169,10 +181,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def ranked(table: DataFrame, by: str, order: list[str], total: int) -> DataFrame:
-    """table with `rank` from 0 among the rows of equal `by`; a frequent value is dealt to many tasks by a salt."""
-    salts = max(1, -(-total // RANK_ROWS))
-    salted = table.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+def ranked(table: DataFrame, by: str, order: list[str], counts: dict[int, int]) -> DataFrame:
+    """table with `rank` from 0 among the rows of equal `by` (counts: how many); a frequent value is dealt to many tasks by a salt."""
+    rows = max(RANK_ROWS, math.isqrt(sum(counts.values())))
+    salts = table.sparkSession.createDataFrame([(k, -(-n // rows)) for k, n in counts.items()], f"{by} long, salts int")
+    salted = table.join(F.broadcast(salts), by).withColumn("salt", F.pmod(F.xxhash64(*order), F.col("salts")).cast("int")).drop("salts")
     before = Window.partitionBy(by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy(by, "salt").agg(F.count("*").alias("n")).select(by, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy(by, "salt").orderBy(*order)
@@ -190,6 +203,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     table = stored(pieces(docs, tokenizer_path, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, capacity), "length long, from long, to long, first long, each long, base long")
-    placed = ranked(table, "length", ["doc_id", "piece", "ids_crc32"], sum(counts.values())).join(F.broadcast(slots), "length").where("rank >= from and rank < to")
+    placed = ranked(table, "length", ["doc_id", "piece", "ids_crc32"], counts).join(F.broadcast(slots), "length").where("rank >= from and rank < to")
     step = F.col("rank") - F.col("from")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"), (F.col("base") + F.pmod(step, F.col("each")) * F.col("length")).cast("long").alias("offset"))
