@@ -34,7 +34,7 @@ from .common import hashes, rows_of, slices, stored, words
 
 BITS = 20
 KATZ = 5
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 CHUNK_ROWS = 1 << 16
 #: Text bytes for which one part of the words' and of the pairs' table is made; the pairs of a context are dealt to SPLIT parts.
 WORD_BYTES, PAIR_BYTES, SPLIT = 64 << 20, 32 << 20, 4
@@ -302,7 +302,7 @@ def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordB
         cuts = np.searchsorted(parts.of_word(keys), np.arange(parts.words + 1))
         rows += [(WORDS, k, chunk, n, squeeze_keys(keys[a:b]), squeeze(np.diff(ends[a : b + 1])), squeeze(refs[ends[a] : ends[b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
         yield _emit(rows)
-        del held, key, rank
+        del held, key, rank, refs, code, known
         held = (pair << np.uint64(16)) | row.astype(np.uint64)
         held.sort()
         key = held >> np.uint64(16)
