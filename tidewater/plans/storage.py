@@ -6,8 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -29,10 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """As stored, with the number of rows, counted as they are written."""
-    seen = Observation(f"{name}-{uuid.uuid4().hex}")
-    table = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return table, int(seen.get["n"])
+    """As stored, with the number of rows (read from the files' footers).
+
+    No Observation: a session that has had one fails to serialise tasks that hold it, as those of Spark ML do.
+    """
+    table = stored(df, name)
+    return table, table.count()
 
 
 def _remove(spark, path: str) -> None:
