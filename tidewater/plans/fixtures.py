@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored
 
 #: name: expression over pages (page_id, url, html, n); {g} is what a dialect adds to replace all.
 FLAT = {
@@ -89,4 +88,3 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl(spark, sf_dir).select(F.col("ord").alias("key"), "ord", "status_code", "robots", F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"))
 
 
-__all__ = ["C_SQL", "E_SQL", "crawl", "edges", "flat", "keys", "stored"]

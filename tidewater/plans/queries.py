@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from ..functions.scalars import grade, js_round, length_badge
+from ..functions.scalars import grade, length_badge
 from ..operators import dedupe, filters, generators, graph, links, merge, redirects, report, robots, rules
 from ..operators.filters import Condition
 from ..sources import lists
 from ..sources import pages as page_source
 from . import fixtures as fx
-from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -368,4 +367,3 @@ def event_dedup_stream(s: SparkSession, d: str) -> DataFrame:
 
 query("select distinct user_id, event_type from events", "event_dedup_stream")(event_dedup_stream)
 
-__all__ = ["QUERIES", "SQL", "Window", "js_round", "stored"]
