@@ -1,0 +1,84 @@
+from collections import Counter, defaultdict
+from math import log10
+
+import pytest
+import xxhash
+
+from tidewater.llm import backoff, katz, queries
+from tidewater.llm.common import remainder
+
+from .test_katz import EDGE, SCHEMA, split
+
+
+class Brute:
+    """The formulas over dictionaries of whole words."""
+
+    def __init__(self, texts, order):
+        self.order, self.n = order, 0
+        self.counts = {n: defaultdict(Counter) for n in range(1, order + 1)}
+        for t in texts:
+            w = ["^"] * (order - 1) + split(t)
+            for i in range(order - 1, len(w)):
+                self.n += 1
+                for n in range(1, order + 1):
+                    self.counts[n][tuple(w[i - n + 1 : i])][w[i]] += 1
+        self.words = self.counts[1][()]
+        self.d = {}
+        for n in range(2, order + 1):
+            by_count = Counter(r for c in self.counts[n].values() for r in c.values())
+            self.d[n] = katz.discounts([by_count[r] for r in range(1, katz.KATZ + 2)])
+
+    def p(self, context, w):
+        if not context:
+            return (self.words[w] + 0.5) / (self.n + (len(self.words) + 1) / 2)
+        n = len(context) + 1
+        seen = self.counts[n].get(context)
+        if not seen:
+            return self.p(context[1:], w)
+        left = sum((1 - self.d[n][r]) * r for r in seen.values() if r <= katz.KATZ)
+        over = sum(seen.values()) + (0 if left else 1)
+        if w in seen:
+            return self.d[n][min(seen[w], katz.KATZ + 1)] * seen[w] / over
+        return (left or 1) / over / (1 - sum(self.p(context[1:], x) for x in seen)) * self.p(context[1:], w)
+
+    def score(self, text):
+        w = ["^"] * (self.order - 1) + split(text)
+        at = range(self.order - 1, len(w))
+        return len(at), sum(w[i] in self.words for i in at), self.n, sum(log10(self.p((), w[i])) for i in at), sum(log10(self.p(tuple(w[i - self.order + 1 : i]), w[i])) for i in at)
+
+
+def hold(got, rows, brute):
+    want = sorted(((r[0], *brute.score(r[1])) for r in rows), key=repr)
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=repr), want, strict=True):
+        assert g[:4] == w[:4] and g[4:6] == pytest.approx(w[4:], rel=1e-8, abs=1e-8)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_edge_rows(spark, order, monkeypatch):
+    monkeypatch.setattr(backoff, "HOT", 8)
+    docs = spark.createDataFrame(EDGE, SCHEMA)
+    brute = Brute([r[1] for r in EDGE if r[0] is None or r[0] % 5 != 1], order)
+    hold(backoff.score(docs, backoff.fit(docs, "doc_id is null or doc_id % 5 <> 1", order)).collect(), EDGE, brute)
+
+
+def test_words_of_one_hash_class_stay_apart(spark, tmp_path):
+    """By 20 bits of their hashes the two words are the same one."""
+    classes: dict[int, str] = {}
+    for i in range(100_000):
+        word = f"w{i}"
+        other = classes.setdefault(xxhash.xxh3_64_intdigest(word) >> 44, word)
+        if other != word:
+            break
+    rows = [(i, f"before {other} after and {i % 7} before", 0, 0, 0) for i in range(60)] + [(i, f"before {word} after", 0, 0, 0) for i in range(60, 90)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    held = {r.doc_id for r in spark.createDataFrame(rows, SCHEMA).where(remainder("doc_id") == 1).collect()}
+    got = queries.op8_katz(spark, str(tmp_path)).drop("held_out").collect()
+    hold(got, rows, Brute([r[1] for r in rows if r[0] not in held], 2))
+
+
+def test_no_training_and_no_rows(spark):
+    docs = spark.createDataFrame(EDGE, SCHEMA)
+    rows = backoff.score(docs, backoff.fit(docs, "false")).collect()
+    assert len(rows) == len(EDGE) and {r.n_known for r in rows} == {0} and all(r.score == 0 for r in rows)
+    assert backoff.score(docs.limit(0), backoff.fit(docs.limit(0), "true")).count() == 0

@@ -1,0 +1,219 @@
+"""A Katz backoff language model of any order over the whole corpus, its statistics in ordinary rows.
+
+A text is its words, lower-cased, and one end. Words are known by their whole 64-bit hash, contexts by that of their words (before a text stand `order` - 1 begins).
+
+    P(word | context) = d_r r / D(context)                          if the n-gram was counted r times,
+                        alpha(context) P(word | shorter context)    otherwise,
+    P(word)           = (c + 1/2) / (N + (V + 1) / 2)               with N tokens, V different words, and one place for unknown words.
+
+d_r are Good-Turing discounts of each order for r up to `katz.KATZ` (`katz.discounts`). D is the sum of a context's counts, and one more where no count is small enough for a
+discount. alpha is exact: what the discounts leave, over the shorter context's mass of the words not seen; it is 1 for a context never seen.
+
+Tables: counts (n, context, lower, word, count), and of each order contexts (context, total, divisor, log_alpha). Scoring joins tokens to them from the highest order down;
+what is not counted goes on to the next. Keys with more than 1/`HOT` of all tokens (so fewer than HOT) are joined by broadcast, and their rows dealt by a salt. Logarithms of
+a row's n-gram are added as multiples of 2^-30, so sums are the same in any order.
+
+Null and empty texts are one end. Repeated rows are counted and scored each. Without training rows all counts are 0, and the formulas hold. An empty table gives an empty
+result. Extra columns are ignored. Rows keep their number when a task is run again if the input's order is stable, as a file scan's is.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import hashes, mix, rows_of, slices, stored, words
+from .katz import KATZ, discounts, end_hash
+
+ORDER = 2
+CHUNK_BYTES = 8 << 20
+HOT = 4096
+SALTS = 64
+ONE = 1 << 30
+COUNTS = "n int, context long, lower long, word long, count long"
+OWN = "row long, word long, times long, doc_id long, n_tokens long, known long, base long"
+
+
+def begin_hash() -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest("\n\n")
+
+
+def tokens(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(row, hash, contexts of 0 to order - 1 words) of each token."""
+    code, row, distinct = words(text)
+    n = len(text)
+    h = np.append(hashes(distinct), np.uint64(end_hash()))
+    at = rows_of(row, n)
+    own, rows = np.empty(len(code) + n, np.uint64), np.empty(len(code) + n, np.int64)
+    place, ends = np.arange(len(code)) + row, at[1:] + np.arange(n)
+    own[place], own[ends] = h[code], h[-1]
+    rows[place], rows[ends] = row, np.arange(n)
+    position = np.arange(len(own)) - (at[:-1] + np.arange(n))[rows]
+    contexts = [np.zeros(len(own), np.uint64)]
+    for k in range(1, order):
+        before = np.full(len(own), begin_hash(), np.uint64)
+        inside = np.flatnonzero(position >= k)
+        before[inside] = own[inside - k]
+        contexts.append(before if k == 1 else mix(contexts[-1] * np.uint64(0x9E3779B97F4A7C15) + before))
+    return rows, own, contexts
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each distinct row of keys, how often it is there); the first key changes slowest."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    first = np.flatnonzero(new)
+    return order[first], np.diff(first, append=len(order))
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, limit=CHUNK_BYTES):
+        _, own, contexts = tokens(batch.column("text"), order)
+        for n in range(1, order + 1):
+            at, count = _runs(contexts[n - 1], own)
+            lower = contexts[n - 2][at] if n > 1 else np.zeros(len(at), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), _long(contexts[n - 1][at]), _long(lower), _long(own[at]), _long(count)], ["n", "context", "lower", "word", "count"])
+
+
+def _fixed(x: Column) -> Column:
+    return F.round(x * ONE).cast("long")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: list[str], hot: Column, values: list[str]) -> DataFrame:
+    """rows with values of table (null where it has none): its hot rows by broadcast, the others by key."""
+    warm = table.where(hot).select(*key, F.struct(*values).alias("_warm"))
+    cold = table.where(~hot).select(*key, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    salt = F.when(F.col("_warm").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") + 1).otherwise(0)
+    joined = rows.join(F.broadcast(warm), key, "left").withColumn("_salt", salt).join(cold, [*key, "_salt"], "left")
+    return joined.select(*(F.col(c) for c in rows.columns), *(F.coalesce(F.col("_warm")[v], F.col("_cold")[v]).alias(v) for v in values))
+
+
+class Model(NamedTuple):
+    order: int
+    counts: DataFrame
+    contexts: dict[int, DataFrame]  # by order
+    discounts: dict[int, list[float]]
+    tokens: int
+    vocabulary: int
+
+    def hot(self, count: str) -> Column:
+        return F.col(count) * HOT > self.tokens
+
+    def mass(self) -> int:
+        return 2 * self.tokens + self.vocabulary + 1
+
+    def words(self) -> DataFrame:
+        """word, count, p."""
+        return self.counts.where("n = 1").select("word", "count", ((2 * F.col("count") + 1) / F.lit(float(self.mass()))).alias("p"))
+
+    def kept(self, n: int) -> Column:
+        """d_r r of a count."""
+        d = F.array(*(F.lit(float(x)) for x in self.discounts[n]))
+        return F.get(d, F.least(F.col("count"), F.lit(KATZ + 1)).cast("int")) * F.col("count")
+
+    def seen(self, n: int) -> DataFrame:
+        """context, word, count, p of the counted n-grams of an order above 1."""
+        own = self.counts.where(F.col("n") == n).select("context", "word", "count")
+        return _looked_up(own, self.contexts[n], ["context"], self.hot("total"), ["divisor"]).select("context", "word", "count", (self.kept(n) / F.col("divisor")).alias("p"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def fit(docs: DataFrame, training: Column | str, order: int = ORDER) -> Model:
+    """The model of the rows of docs (doc_id, text) for which training holds."""
+    texts = _texts(docs.where(F.expr(training) if isinstance(training, str) else training))
+    counts = stored(texts.mapInArrow(lambda b: _count(b, order), COUNTS).groupBy("n", "context", "lower", "word").agg(F.sum("count").alias("count")), "ngrams")
+    tally = {r["n"]: r for r in counts.groupBy("n").agg(F.count("*").alias("size"), F.sum("count").alias("total"), *(F.count_if(F.col("count") == r).alias(f"n{r}") for r in range(1, KATZ + 2))).collect()}
+    by_order = {n: discounts([tally[n][f"n{r}"] if n in tally else 0 for r in range(1, KATZ + 2)]).tolist() for n in range(2, order + 1)}
+    model = Model(order, counts, {}, by_order, tally[1]["total"] if tally else 0, tally[1]["size"] if tally else 0)
+    for n in range(2, order + 1):
+        own = counts.where(F.col("n") == n).select("context", F.col("lower").alias("_lower"), "word", "count")
+        if n == 2:
+            rows = _looked_up(own.withColumnRenamed("count", "r"), model.words(), ["word"], model.hot("count"), ["p"])
+        else:
+            rows = _looked_up(own.withColumnRenamed("count", "r"), model.seen(n - 1).withColumnRenamed("context", "_lower"), ["_lower", "word"], model.hot("count"), ["p"])
+        rows = rows.withColumnRenamed("r", "count")
+        sums = rows.groupBy("context").agg(F.sum("count").alias("total"), F.sum(F.when(F.col("count") <= KATZ, F.col("count") - model.kept(n)).otherwise(0.0)).alias("left"), F.sum("p").alias("lower"))
+        divisor = F.when(F.col("left") > 0, F.col("total")).otherwise(F.col("total") + 1)
+        left = F.when(F.col("left") > 0, F.col("left")).otherwise(1.0)
+        model.contexts[n] = stored(sums.select("context", "total", divisor.alias("divisor"), F.log10(left / divisor / (1 - F.col("lower"))).alias("log_alpha")), "contexts")
+    return model
+
+
+def _ask(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct n-grams of the highest order."""
+    for batch in slices(batches, limit=CHUNK_BYTES):
+        number = batch.column("row").to_numpy()
+        row, own, contexts = tokens(batch.column("text"), order)
+        at, times = _runs(contexts[-1], own, row)
+        yield pa.RecordBatch.from_arrays([_long(number[row[at]]), _long(own[at]), _long(times), *(_long(c[at]) for c in contexts[1:])], ["row", "word", "times", *(f"c{n}" for n in range(2, order + 1))])
+
+
+def _own(batches: Iterator[pa.RecordBatch], hot: np.ndarray, log_hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each row with its sums over the hot words, and its other distinct words."""
+    names = [c.split()[0] for c in OWN.split(", ")]
+    for batch in slices(batches, limit=CHUNK_BYTES):
+        number = batch.column("row").to_numpy()
+        row, own, _ = tokens(batch.column("text"), 1)
+        n = batch.num_rows
+        at = np.minimum(np.searchsorted(hot, own), max(0, len(hot) - 1))
+        known = hot[at] == own if len(hot) else np.zeros(len(own), bool)
+        base = np.rint(np.bincount(row[known], log_hot[at[known]], n) * ONE).astype(np.int64)
+        none = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), none, none, batch.column("doc_id").cast(pa.int64()), _long(np.bincount(row, minlength=n)), _long(np.bincount(row[known], minlength=n)), _long(base)], names)
+        row, own = row[~known], own[~known]
+        at, times = _runs(own, row)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([_long(number[row[at]]), _long(own[at]), _long(times), none, none, none, none], names)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
+    order, texts = model.order, _texts(docs).withColumn("row", F.monotonically_increasing_id())
+    hot = sorted((r["word"] & (2**64 - 1), r["log_p"]) for r in model.words().where(model.hot("count")).select("word", F.log10("p").alias("log_p")).collect())
+    hashes_, logs = np.array([h for h, _ in hot], np.uint64), np.array([x for _, x in hot], np.float64)
+    unknown = F.lit(-float(np.log10(model.mass())))
+    own = texts.mapInArrow(lambda b: _own(b, hashes_, logs), OWN)
+    words_ = model.words().select("word", "count", "p")
+    none = F.lit(None).cast("long")
+    # rows without a word are dealt by their number, and find none
+    cold = words_.where(~model.hot("count")).select(F.col("word").alias("_word"), F.lit(0).cast("long").alias("_row"), "p")
+    rest = own.join(cold, (F.coalesce("word", "row") == F.col("_word")) & (F.when(F.col("word").isNull(), F.lit(1)).otherwise(0) == F.col("_row")), "left")
+    known = F.when(F.col("word").isNull(), F.col("known")).when(F.col("p").isNotNull(), F.col("times")).otherwise(0)
+    base = F.when(F.col("word").isNull(), F.col("base")).otherwise(_fixed(F.coalesce(F.log10("p"), unknown) * F.col("times")))
+    every = rest.select("row", "doc_id", "n_tokens", known.alias("known"), base.alias("base"), F.lit(0).cast("long").alias("score"))
+    parts = []
+    rows = texts.mapInArrow(lambda b: _ask(b, order), ", ".join(["row long", "word long", "times long", *(f"c{n} long" for n in range(2, order + 1))])).withColumn("value", F.lit(0).cast("long"))
+    for n in range(order, 1, -1):
+        found = _looked_up(rows, model.seen(n).withColumnRenamed("context", f"c{n}"), [f"c{n}", "word"], model.hot("count"), ["p"])
+        missed = F.col("p").isNull()
+        value = F.col("value") + F.coalesce(_fixed(F.log10("p") * F.col("times")), F.lit(0))
+        keys = ["word", *(f"c{k}" for k in range(2, n + 1))]
+        reached = stored(found.select("row", value.alias("value"), "times", *(F.when(missed, F.col(c)).alias(c) for c in keys)).groupBy("row", *keys).agg(F.sum("value").alias("value"), F.sum("times").alias("times")), "reached")
+        parts.append(reached.where("word is null").select("row", "value"))
+        rows = reached.where("word is not null").select("row", "word", "times", *(c for c in keys[1:]), "value")
+        rows = _looked_up(rows, model.contexts[n].withColumnRenamed("context", f"c{n}"), [f"c{n}"], model.hot("total"), ["log_alpha"])
+        rows = rows.withColumn("value", F.col("value") + _fixed(F.coalesce("log_alpha", F.lit(0.0)) * F.col("times"))).drop("log_alpha", f"c{n}")
+    last = _looked_up(rows, words_, ["word"], model.hot("count"), ["p"])
+    parts.append(last.select("row", (F.col("value") + _fixed(F.coalesce(F.log10("p"), unknown) * F.col("times"))).alias("value")))
+    for part in parts:
+        every = every.unionByName(part.select("row", none.alias("doc_id"), none.alias("n_tokens"), none.alias("known"), none.alias("base"), F.col("value").alias("score")))
+    by_row = every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+    return by_row.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") / ONE).alias("base_score"), (F.col("score") / ONE).alias("score"))
