@@ -222,3 +222,12 @@ def test_path_tree(spark, depth):
     ids = {r.id: r for r in nodes.collect()}
     assert len(ids) == depth + 1 and ids["https://x.y/"].size == 8 and ids["https://x.y/a"].parent == "https://x.y/"
     assert graph.path_links(nodes).count() == depth and graph.colours(nodes).count() == depth + 1
+
+
+def test_click_depth_of_a_long_chain(spark):
+    n = 104
+    keys = df(spark, [(i, i, 200, f"/{'x' * i}") for i in range(n)], "key long, ord long, status_code int, path string")
+    edges = df(spark, [(i, i + 1, True) for i in range(n - 1)], "src long, dst long, is_internal boolean")
+    depths = graph.click_depth(keys, edges)
+    assert {r.key: r.depth for r in depths.collect()} == {i: i for i in range(n)}
+    assert graph.unreachable(keys, depths).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count as numbers
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +17,23 @@ def homepage(keys: DataFrame, path: str = "path") -> DataFrame:
     return keys.where("status_code between 200 and 299").orderBy(length, "ord").limit(1).select("key")
 
 
-def bfs(edges: DataFrame, roots: DataFrame, most: int = 100, limit: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, roots: DataFrame, most: int | None = None, limit: int | None = None) -> DataFrame:
     """key, depth of what is reached from roots (key) over edges (src, dst); each level is a stored table.
 
-    limit: stop after the level with which so many are reached.
+    It goes on until a level adds nothing. most: stop after so many levels. limit: stop after the level with which so many are reached.
+    Levels read the union of all before; every 32nd level that is one table again, so that plans do not grow with the depth.
     """
     links = stored(edges.where("src <> dst").select("src", "dst").distinct(), "links")
     frontier, count = counted(roots.select("key", F.lit(0).alias("depth")), "level")
     seen = frontier
-    for depth in range(1, most + 1):
+    for depth in numbers(1) if most is None else range(1, most + 1):
         found = links.join(frontier.select(F.col("key").alias("src")), "src").select(F.col("dst").alias("key")).distinct().join(seen.select("key"), "key", "left_anti")
         frontier, new = counted(found.select("key", F.lit(depth).alias("depth")), "level")
         if not new:
             break
         seen, count = seen.unionByName(frontier), count + new
+        if depth % 32 == 0:
+            seen = stored(seen, "reached")
         if limit and count >= limit:
             break
     return seen
