@@ -231,3 +231,11 @@ def test_click_depth_of_a_long_chain(spark):
     depths = graph.click_depth(keys, edges)
     assert {r.key: r.depth for r in depths.collect()} == {i: i for i in range(n)}
     assert graph.unreachable(keys, depths).count() == 0
+
+
+def test_spider_and_sitemap_keep_every_page(spark):
+    n = 50_010
+    edges = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    assert graph.spider(edges, 0).count() == n + 1 and graph.spider(edges, 0, 7).count() == 7
+    listed = spark.range(n).select(F.col("id").cast("string").alias("url"))
+    assert lists.with_sitemap(listed.limit(5), listed).count() == n and lists.with_sitemap(listed.limit(5), listed, 7).count() == 7

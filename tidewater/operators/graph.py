@@ -53,10 +53,11 @@ def unreachable(keys: DataFrame, depths: DataFrame) -> DataFrame:
     return keys.where("status_code between 200 and 299").join(depths.select("key"), "key", "left_anti").select("key")
 
 
-def spider(edges: DataFrame, seed, most: int = 50_000) -> DataFrame:
-    """key, depth of pages found from a seed; `most` in the order of depth and key."""
+def spider(edges: DataFrame, seed, most: int | None = None) -> DataFrame:
+    """key, depth of pages found from a seed; with `most`, so many in the order of depth and key."""
     roots = edges.sparkSession.createDataFrame([(seed,)], f"key {edges.schema['src'].dataType.simpleString()}")
-    return bfs(edges, roots, limit=most).orderBy("depth", "key").limit(most)
+    found = bfs(edges, roots, limit=most)
+    return found if most is None else found.orderBy("depth", "key").limit(most)
 
 
 def path_nodes(pages: DataFrame, depth: int = 3) -> DataFrame:

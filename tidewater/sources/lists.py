@@ -84,11 +84,11 @@ def site_scope(crawl: DataFrame) -> DataFrame:
     return crawl.where(urls.is_absolute(F.col("url"))).agg(F.min_by(urls.hostname(F.col("url")), "ord").alias("scope"))
 
 
-def with_sitemap(spidered: DataFrame, listed: DataFrame, limit: int = 50_000) -> DataFrame:
-    """url, origin: spidered pages first, then what only the sitemap lists."""
+def with_sitemap(spidered: DataFrame, listed: DataFrame, limit: int | None = None) -> DataFrame:
+    """url, origin of spidered pages and of what only the sitemap lists; with a limit, so many in this order."""
     rest = listed.join(spidered.select("url"), "url", "left_anti").select("url", F.lit("sitemap").alias("origin"))
     every = spidered.select("url", F.lit("spider").alias("origin")).unionByName(rest)
-    return every.orderBy(F.col("origin") != "spider", "url").limit(limit)
+    return every if limit is None else every.orderBy(F.col("origin") != "spider", "url").limit(limit)
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
