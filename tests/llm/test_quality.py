@@ -55,3 +55,14 @@ def test_fold_is_never_learned(spark, sf_dir):
     changed = labels.selectExpr("doc_id", "if(coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5, 0) = 0, 1 - quality, quality) as quality")
     a, b = q.fit(docs, labels), q.fit(docs, changed)
     assert a.bias == b.bias and (a.weights == b.weights).all() and (a.factors == b.factors).all()
+
+
+def test_learns_from_all_labels_up_to_the_bound(spark, monkeypatch):
+    docs = spark.range(10_600).selectExpr("id as doc_id", "concat('word ', id % 50) as text", "cast(8 as int) as n_chars")
+    labels = spark.range(10_600).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    seen = []
+    monkeypatch.setattr(q, "train", lambda row, feature, value, label, seed=5: seen.append(len(label)))
+    q.fit(docs, labels.where("doc_id < 9000"))
+    q.fit(docs, labels)
+    known = labels.where("doc_id < 9000 and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").count()
+    assert 4000 < known < 8000 and seen == [known, 8000]

@@ -23,7 +23,7 @@ from .common import hashes, plain, release, remainder, slices, words
 
 BUCKETS = 1 << 16
 RANK = 8
-SAMPLE = 4000
+SAMPLE = 8000
 EPOCHS = 12
 THRESHOLD = 0.3
 #: Upper ends of the statistics' bins.
