@@ -1,119 +1,240 @@
-"""A Katz backoff language model over the whole corpus, kept and evaluated in hash-partitioned tables.
+"""A Katz backoff language model of any order over the whole corpus, its counts in tables partitioned by context.
 
-A text is its words, lower-cased, and one end. For the n-gram part a word is its hash class (2^`BITS` classes, whatever the corpus), so that what tasks hold of the lower
-order is bounded: P(word | previous) = P(class | previous class) P(word | class), each factor a proper distribution.
+A text is its words, lower-cased, and one end. Words are known by their whole 64-bit hash, contexts by that of their words (before a text stand `order` - 1 begins).
 
-    P(class | context) = d_r r / c(context)                    if the pair was counted r times,
-                         alpha(context) P(class)               otherwise,
-    P(class)           = (C + (V + 1) / 2) / sum over classes,
-    P(word | class)    = (c + 1/2) / (C + (V + 1) / 2)         with C words, V different ones, and one place for unknown words.
+    P(word | context) = d_r r / D(context)                          if the n-gram was counted r times,
+                        alpha(context) P(word | shorter context)    otherwise,
+    P(word)           = (c + 1/2) / (N + (V + 1) / 2)               with N tokens, V different words, and one place for unknown words.
 
-d_r are Good-Turing discounts for r up to `KATZ` (counts above keep their share); alpha is exact: what the discounts leave, over the lower-order mass of
-the classes not seen. Counting and scoring are two passes. In each, a task turns a chunk of texts into sorted distinct
-keys, dealt by word class and by (context class, part of the classes); counts of all chunks are merged by part and stored as the model's table. To score, chunks send
-their keys with the documents that hold them to the parts, and get back sums by document. Words of more than 1/4096 of all tokens (at most 4096) are known to every task.
+d_r are Good-Turing discounts of each order for r up to `KATZ` (`discounts`). D is the sum of a context's counts, and one more where no count is small enough for a
+discount. alpha is exact: what the discounts leave, over the shorter context's mass of the words not seen; it is 1 for a context never seen.
 
-Null and empty texts are one end. Repeated rows are counted and scored each. Without training rows all counts are 0, and the formulas hold. An empty
-table gives an empty result. Extra columns are ignored. Documents keep their place in a chunk when a task is run again if the input's order is
-stable, as a file scan's is.
+Evaluated from the shortest context up. A chunk of at most `CHUNK_BYTES` of texts is turned into its distinct n-grams of the highest order, each with its training count
+and documents, and these are dealt by word, then by context of one word, of two, and so on. A part holds all n-grams of its contexts: it counts them
+(a stored table of each order), and once the counts of counts are known gives each its probability, which the next order's alpha and backoff need. At the end a chunk gets the sums of
+its documents. Words are dealt only if they are not among the `HOT` most frequent, whose counts every task knows.
+
+Skew: an n-gram reaches its part once a chunk, with at most `SHIPPED` documents; where more documents of a chunk hold it, they stay with the chunk, and its probability goes back. A
+context whose last word has more than `SPLIT` tokens is dealt to several parts by word, and these share their sums. Parts are made for `PART_BYTES` of text each.
+
+Null and empty texts are one end. Repeated rows are counted and scored each. Without training rows all counts are 0, and the formulas hold. An empty table gives an empty
+result. Extra columns are ignored. Documents keep their place in a chunk when a task is run again if the input's order is stable, as a file scan's is.
+Logarithms are added as multiples of 2^-30, so sums are the same in any order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, rows_of, slices, stored, words
+from .common import hashes, mix, ragged, rows_of, slices, stored, words
 
-BITS = 20
+ORDER = 2
 KATZ = 5
-CHUNK_BYTES = 6 << 20
-CHUNK_ROWS = 1 << 16
-#: Text bytes for which one part of the words' and of the pairs' table is made; the pairs of a context are dealt to SPLIT parts.
-WORD_BYTES, PAIR_BYTES, SPLIT = 64 << 20, 32 << 20, 4
-HOT = 4096
-WORDS, PAIRS, DOCS = 0, 1, 2
-BLOBS = "kind int, part int, chunk long, n int, keys binary, counts binary, docs binary"
-TABLE = "kind int, part int, n long, total long, keys binary, counts binary, repeats array<long>"
-SUMS = "chunk long, kind int, docs binary, base binary, known binary, score binary"
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes."""
-    import zstandard
+CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 15
+PART_BYTES = 24 << 20
+SPLIT = 1 << 20
+HOT = 1 << 18
+SHIPPED = 8
+ONE = 1 << 30
+#: Sums of probabilities that parts share are multiples of this.
+FINE = float(1 << 60)
+DEALT = "part int, chunk long, data binary"
+SHARED = ["key", "total", *(f"n{r}" for r in range(1, KATZ + 1)), "lower"]
+COUNTED = pa.schema([("part", pa.int32()), ("chunks", pa.list_(pa.int64())), ("data", pa.list_(pa.binary())), ("repeats", pa.list_(pa.int64())), ("shared", pa.list_(pa.struct([(c, pa.int64()) for c in SHARED])))])
+COUNTED_SQL = f"part int, chunks array<long>, data array<binary>, repeats array<long>, shared array<struct<{', '.join(f'{c}: long' for c in SHARED)}>>"
+OWN = "chunk long, doc_id array<long>, n_tokens array<long>, known array<long>, base array<long>, kept binary"
+SCORED = "doc_id long, n_tokens long, n_known long, base long, score long"
+
+FIELDS = ("key", "many", "code", "cold", "p", "count", "docs", "doc", "times", "slot", "deals", "above", "own", "known", "base")
+HASHED = ("key", "cold", "above")
 
-    x = np.ascontiguousarray(x, dtype="<u8")
-    planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return zstandard.ZstdCompressor(level=1).compress(bytes([planes]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[:planes]).tobytes())
-
-
-def expand(data: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    planes = int(raw[0])
-    n = (len(raw) - 1) // planes
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :planes] = raw[1:].reshape(planes, n).T
-    return out.view("<u8").ravel()
-
-
-def squeeze_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys by their differences."""
-    return squeeze(np.diff(keys, prepend=np.uint64(0)))
 
+def end_hash() -> int:
+    import xxhash
 
-def expand_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(expand(data), dtype=np.uint64)
+    return xxhash.xxh3_64_intdigest("\n")  # no word has white space
 
 
-def end_hash() -> int:
+def begin_hash() -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest("\n")  # no word has white space
+    return xxhash.xxh3_64_intdigest("\n\n")
 
 
-class Parts(NamedTuple):
-    bits: int
-    words: int
-    contexts: int
+def discounts(repeats: list[int]) -> np.ndarray:
+    """d_0 to d_(KATZ + 1) from how many n-grams were counted 1, 2, ... KATZ + 1 times; (r - 1/2) / r where Good-Turing gives none in (0, 1)."""
+    n = [0, *repeats]
+    d = np.ones(KATZ + 2)
+    tail = (KATZ + 1) * n[KATZ + 1] / n[1] if n[1] else 1.0
+    for r in range(1, KATZ + 1):
+        good = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail != 1 else 0.0
+        d[r] = good if 0 < good < 1 else (r - 0.5) / r
+    return d
 
-    def of_word(self, h: np.ndarray) -> np.ndarray:
-        return (((h >> np.uint64(64 - self.bits)) * np.uint64(self.words)) >> np.uint64(self.bits)).astype(np.int64)
 
-    def bounds(self) -> np.ndarray:
-        """The first context of each range, and the end; the context past the classes is a text's begin."""
-        classes = (1 << self.bits) + 1
-        return np.array([-(-classes * k // self.contexts) for k in range(self.contexts + 1)], np.int64)
+def pack(**arrays: np.ndarray) -> bytes:
+    """Arrays of FIELDS as byte planes, compressed unless they are tiny; `key` by its differences (it ascends)."""
+    import zstandard
 
+    widths, sizes, body = [], [], []
+    for name in FIELDS:
+        a = arrays.get(name)
+        if a is None or not len(a):
+            widths.append(0)
+            sizes.append(0)
+            continue
+        if a.dtype.kind == "f":
+            width, planes = 9, np.ascontiguousarray(a, np.float64).view(np.uint8).reshape(-1, 8).T
+        else:
+            a = np.ascontiguousarray(a).astype(np.uint64)
+            if name == "key":
+                a = np.diff(a, prepend=np.uint64(0))
+            width = max(1, (int(a.max()).bit_length() + 7) // 8)
+            planes = a.view(np.uint8).reshape(-1, 8).T[:width]
+        widths.append(width)
+        sizes.append(len(a))
+        body.append(np.ascontiguousarray(planes).tobytes())
+    count = np.array(sizes, np.uint64)
+    size = next(s for s in (1, 2, 4, 8) if max(sizes) < 1 << 8 * s)
+    data = bytes([size, *widths]) + count.astype(f"<u{size}").tobytes() + b"".join(body)
+    return b"\0" + data if len(data) < 200 else b"\1" + zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    import zstandard
 
-def tokens(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code and row of each token, hash of each code, pair key of each token); the last code is the end."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]) if data[0] else data[1:], np.uint8)
+    size, n = int(raw[0]), len(FIELDS)
+    widths, sizes = raw[1 : n + 1], raw[n + 1 : n + 1 + n * size].view(f"<u{size}").astype(np.int64)
+    at, out = n + 1 + n * size, {}
+    for name, width, length in zip(FIELDS, widths.tolist(), sizes.tolist(), strict=True):
+        planes = np.zeros((length, 8), np.uint8)
+        real = min(width, 8)
+        planes[:, :real] = raw[at : at + real * length].reshape(real, length).T
+        at += real * length
+        own = planes.view(np.float64 if width == 9 or name == "p" else np.uint64).ravel()
+        if name == "key":
+            own = np.cumsum(own, dtype=np.uint64)
+        out[name] = own if name in HASHED or own.dtype.kind == "f" else own.astype(np.int64)
+    return out
+
+
+@dataclass
+class Frequent:
+    """The most frequent words by their hashes, and the formula of P(word)."""
+
+    word: np.ndarray
+    count: np.ndarray
+    mass: int  # 2 N + V + 1
+    begins: int
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.word)
+        self.sorted = self.word[self.order]
+
+    def __reduce__(self) -> tuple:
+        return Frequent, (self.word, self.count, self.mass, self.begins)
+
+    def code(self, own: np.ndarray) -> np.ndarray:
+        """1 and the place of a word in the list; 0 where it is not in it."""
+        if not len(self.word):
+            return np.zeros(len(own), np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, own), len(self.word) - 1)
+        return np.where(self.sorted[at] == own, self.order[at] + 1, 0)
+
+    def p(self, count: np.ndarray) -> np.ndarray:
+        return (2 * count + 1) / self.mass
+
+    def deals(self, context: np.ndarray) -> np.ndarray:
+        """To how many parts a context that ends in this word is dealt."""
+        code = self.code(context)
+        count = np.where(code > 0, self.count[code - 1], 0) if len(self.count) else np.zeros(len(context), np.int64)
+        return 1 + np.where(context == np.uint64(begin_hash()), self.begins, count) // SPLIT
+
+
+@dataclass
+class Grams:
+    """Distinct n-grams of a chunk: by key (the word, or the context), with what the orders above need."""
+
+    key: np.ndarray
+    w: np.ndarray
+    code: np.ndarray
+    p: np.ndarray  # of the order below
+    count: np.ndarray  # in training rows
+    docs: np.ndarray  # documents that travel with it; 0: they stay with the chunk
+    slot: np.ndarray
+    deals: np.ndarray
+    above: np.ndarray  # the longer contexts
+    doc: np.ndarray
+    times: np.ndarray
+
+    def take(self, at: np.ndarray) -> Grams:
+        inner = ragged((np.cumsum(self.docs) - self.docs)[at], self.docs[at])
+        return Grams(*(x[at] for x in (self.key, self.w, self.code, self.p, self.count, self.docs, self.slot, self.deals)), self.above[:, at], self.doc[inner], self.times[inner])
+
+    def packed(self, n: int, **sums: np.ndarray) -> bytes:
+        first = np.flatnonzero(_new(self.key))
+        many = np.diff(first, append=len(self.key))
+        own = {}
+        if n > 1:
+            cold = self.code == 0
+            own = {"code": self.code, "cold": self.w[cold], "p": self.p[cold] if n == 2 else self.p}
+        return pack(key=self.key[first], many=many, count=self.count, docs=self.docs, doc=self.doc, times=self.times, slot=self.slot[self.docs == 0], deals=self.deals - 1, above=self.above.ravel(), **own, **sums)
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def opened(data: bytes, n: int, order: int, frequent: Frequent) -> tuple[Grams, dict[str, np.ndarray]]:
+    x = unpack(data)
+    key = np.repeat(x["key"], x["many"])
+    size = len(key)
+    if n == 1:
+        w, code, p = key, np.zeros(size, np.int64), np.zeros(size)
+    else:
+        code = x["code"]
+        hot = code > 0
+        w = np.empty(size, np.uint64)
+        w[hot], w[~hot] = frequent.word[code[hot] - 1], x["cold"]
+        p = x["p"]
+        if n == 2:
+            p = np.empty(size)
+            p[hot], p[~hot] = frequent.p(frequent.count[code[hot] - 1]), x["p"]
+    slot = np.full(size, -1)
+    slot[x["docs"] == 0] = x["slot"]
+    return Grams(key, w, code, p, x["count"], x["docs"], slot, x["deals"] + 1, x["above"].reshape(order - n, size), x["doc"], x["times"]), {k: x[k] for k in ("own", "known", "base")}
+
+
+def tokens(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(row, hash, contexts of 0 to order - 1 words) of each token."""
     code, row, distinct = words(text)
     n = len(text)
     h = np.append(hashes(distinct), np.uint64(end_hash()))
     at = rows_of(row, n)
-    all_code, all_row = np.empty(len(code) + n, np.int32), np.empty(len(code) + n, np.int32)
+    own, rows = np.empty(len(code) + n, np.uint64), np.empty(len(code) + n, np.int64)
     place, ends = np.arange(len(code)) + row, at[1:] + np.arange(n)
-    all_code[place], all_code[ends] = code, len(h) - 1
-    all_row[place], all_row[ends] = row, np.arange(n)
-    own = (h >> np.uint64(64 - bits))[all_code]
-    context = np.empty(len(own), np.uint64)
-    context[1:] = own[:-1]
-    context[at[:-1] + np.arange(n)] = 1 << bits
-    return all_code, all_row, h, (context << np.uint64(bits)) | own
-
-
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in BLOBS.split(", ")])
+    own[place], own[ends] = h[code], h[-1]
+    rows[place], rows[ends] = row, np.arange(n)
+    position = np.arange(len(own)) - (at[:-1] + np.arange(n))[rows]
+    contexts = [np.zeros(len(own), np.uint64)]
+    for k in range(1, order):
+        before = np.full(len(own), begin_hash(), np.uint64)
+        inside = np.flatnonzero(position >= k)
+        before[inside] = own[inside - k]
+        contexts.append(before if k == 1 else mix(contexts[-1] * np.uint64(0x9E3779B97F4A7C15) + before))
+    return rows, own, contexts
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,248 +243,282 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, CHUNK_ROWS)
 
 
-def _deal(parts: Parts, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, which keys) of ascending pair keys."""
-    cuts = np.searchsorted(keys, parts.bounds().astype(np.uint64) << np.uint64(parts.bits))
-    for k in range(parts.contexts):
-        own = np.arange(cuts[k], cuts[k + 1])
-        sub = keys[cuts[k] : cuts[k + 1]] & np.uint64(SPLIT - 1)
-        for s in range(SPLIT):
-            if len(some := own[sub == s]):
-                yield k * SPLIT + s, some
-
-
-def _count(batches: Iterator[pa.RecordBatch], parts: Parts) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
-        code, _, h, pair = tokens(batch.column("text"), parts.bits)
-        count = np.bincount(code, minlength=len(h))
-        order = np.argsort(h)
-        order = order[count[order] > 0]
-        own = parts.of_word(h[order])
-        cuts = np.searchsorted(own, np.arange(parts.words + 1))
-        yield _emit([(WORDS, k, 0, 0, squeeze_keys(h[order[a:b]]), squeeze(count[order[a:b]]), None) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
-        pair.sort()
-        first = np.flatnonzero(np.diff(pair, prepend=~pair[:1]))
-        keys, count = pair[first], np.diff(first, append=len(pair))
-        yield _emit([(PAIRS, k, 0, 0, squeeze_keys(keys[i]), squeeze(count[i]), None) for k, i in _deal(parts, keys)])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """The blobs of one part as one row of the model's table."""
-    keys = np.concatenate([expand_keys(x) for x in table.column("keys").to_pylist()])
-    count = np.concatenate([expand(x) for x in table.column("counts").to_pylist()])
-    order = np.argsort(keys, kind="stable")
-    keys, count = keys[order], count[order]
-    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    keys, count = keys[first], np.add.reduceat(count, first)
-    repeats = np.bincount(np.minimum(count, KATZ + 2).astype(np.int64), minlength=KATZ + 3)[1 : KATZ + 2].tolist()
-    return pa.table({"kind": pa.array([table.column("kind")[0].as_py()], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(count.sum())], pa.int64()), "keys": pa.array([squeeze_keys(keys)], pa.binary()), "counts": pa.array([squeeze(count)], pa.binary()), "repeats": pa.array([repeats], pa.list_(pa.int64()))})
-
-
-def discounts(repeats: list[int]) -> np.ndarray:
-    """d_0 to d_(KATZ + 1) from how many pairs were counted 1, 2, ... KATZ + 1 times; (r - 1/2) / r where Good-Turing gives none in (0, 1)."""
-    n = [0, *repeats]
-    d = np.ones(KATZ + 2)
-    tail = (KATZ + 1) * n[KATZ + 1] / n[1] if n[1] else 1.0
+def distinct(keys: list[np.ndarray], row: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a place, training count, number of documents) of each distinct row of keys, in their order, and (document, times) of their documents."""
+    order = np.lexsort(keys[::-1])  # stable: documents ascend
+    new = _new(*(k[order] for k in keys))
+    own = row[order]
+    start = np.flatnonzero(new | _new(own))
+    gram = (np.cumsum(new) - 1)[start]
+    doc, times = own[start], np.diff(start, append=len(order))
+    n = int(new.sum())
+    count = np.bincount(gram, times * training[doc], n).astype(np.int64)
+    return order[np.flatnonzero(new)], count, np.bincount(gram, minlength=n), doc, times
+
+
+def _grams(batch: pa.RecordBatch, order: int, frequent: Frequent, hot: bool) -> Grams:
+    """A chunk's n-grams whose word is frequent (by context), or of those whose word is not (by word)."""
+    row, own, contexts = tokens(batch.column("text"), order)
+    code = frequent.code(own)
+    some = np.flatnonzero((code > 0) == hot)
+    row, own, code, contexts = row[some], own[some], code[some], [c[some] for c in contexts[1:]]
+    keys = [contexts[0], own, *contexts[1:]] if hot else [own, *contexts]
+    at, count, docs, doc, times = distinct(keys, row, batch.column("training").to_numpy(zero_copy_only=False).astype(np.int64))
+    slot = np.full(len(at), -1)
+    deals = frequent.deals(contexts[0][at]) if contexts else np.ones(len(at), np.int64)
+    above = contexts[1:] if hot else contexts
+    above = np.array([c[at] for c in above], np.uint64).reshape(len(above), len(at))
+    grams = Grams(keys[0][at], own[at], code[at], np.zeros(len(at)), count, docs, slot, deals, above, doc, times)
+    if hot:
+        many = docs > SHIPPED
+        slot[many] = np.arange(int(many.sum()))
+    return grams
+
+
+def _kept(grams: Grams, stay: bool) -> Grams:
+    """The n-grams with the documents that stay with the chunk (these alone), or with those that travel."""
+    some = grams.slot >= 0
+    if stay:
+        return grams.take(np.flatnonzero(some))
+    inner = np.repeat(~some, grams.docs)
+    return replace(grams, docs=np.where(some, 0, grams.docs), doc=grams.doc[inner], times=grams.times[inner])
+
+
+def _deal(chunk: int, grams: Grams, n: int, parts: int, **sums: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """A chunk's n-grams by part; the sums travel with the first."""
+    deal = mix(grams.w ^ np.uint64(0x9E3779B97F4A7C15)) % grams.deals.astype(np.uint64) if n > 1 else np.uint64(0)
+    part = (mix(grams.key + deal * np.uint64(0xD1B54A32D192ED03)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((grams.w, grams.key, part)) if n > 1 else np.lexsort((grams.key, part))
+    start = np.flatnonzero(_new(part[order]))
+    for a, b in zip(start, start + np.diff(start, append=len(order)), strict=True):
+        yield int(part[order[a]]), chunk, grams.take(order[a:b]).packed(n, **sums)
+        sums = {}
+
+
+def _rows(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT in batches of bounded size."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[2])
+        if size > 16 << 20:
+            yield _batch(some)
+            some, size = [], 0
+    if some:
+        yield _batch(some)
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["part", "chunk", "data"])
+
+
+def _send(batches: Iterator[pa.RecordBatch], order: int, frequent: Frequent, hot: bool, parts: int) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[int, int, bytes]]:
+        for batch in _chunks(batches):
+            grams = _kept(_grams(batch, order, frequent, hot), False)
+            yield from _deal(batch.column("row")[0].as_py(), grams, 2 if hot else 1, parts)
+
+    return _rows(rows())
+
+
+def _fixed(p: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """-log10 times each, in multiples of 1 / ONE."""
+    return np.rint(-np.log10(p) * times * ONE).astype(np.int64)
+
+
+def _sums(doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The documents, and the sum of each value over them."""
+    own, at = np.unique(doc, return_inverse=True)
+    out = [own]
+    for v in values:
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, at, v)
+        out.append(total)
+    return out
+
+
+def _words(table: pa.Table, order: int, frequent: Frequent, parts: int) -> pa.Table:
+    """A part of the words: their probabilities, and the sums of their documents; goes on to the contexts of one word."""
+    opened_ = [opened(d, 1, order, frequent)[0] for d in table.column("data").to_pylist()]
+    key = np.concatenate([g.key for g in opened_])
+    own, at = np.unique(key, return_inverse=True)
+    count = np.zeros(len(own), np.int64)
+    np.add.at(count, at, np.concatenate([g.count for g in opened_]))
+    rows, place = [], 0
+    for chunk, g in zip(table.column("chunk").to_pylist(), opened_, strict=True):
+        r = count[at[place : place + len(g.key)]]
+        place += len(g.key)
+        p = frequent.p(r)
+        doc, known, base = _sums(g.doc, np.repeat(r > 0, g.docs) * g.times, _fixed(np.repeat(p, g.docs), g.times))
+        if order == 1:
+            rows.append((0, chunk, pack(own=doc, known=known, base=base)))
+        else:
+            rows += _deal(chunk, replace(g, key=g.above[0], above=g.above[1:], p=p), 2, parts, own=doc, known=known, base=base)
+    return pa.Table.from_batches([_batch(rows)])
+
+
+def _types(grams: list[Grams]) -> tuple[np.ndarray, ...]:
+    """The n-grams of a part over all chunks: (type of each, count and key of each type, its lower probability; each key, and whether it is shared)."""
+    key, w = np.concatenate([g.key for g in grams]), np.concatenate([g.w for g in grams])
+    order = np.lexsort((w, key))
+    key, w = key[order], w[order]
+    new_key = _new(key)
+    new = new_key | _new(w)
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(np.concatenate([g.count for g in grams])[order], first)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    keys = np.flatnonzero(new_key)
+    shared = np.concatenate([g.deals for g in grams])[order[keys]] > 1
+    return kind, count, (np.cumsum(new_key) - 1)[first], np.concatenate([g.p for g in grams])[order[first]], key[keys], shared
+
+
+def _count(table: pa.Table, n: int, order: int, frequent: Frequent) -> pa.Table:
+    """One row of a part: all that came to it, how many n-grams were counted 1, 2, ... times, and the sums of contexts that lie in other parts too."""
+    data = table.column("data").to_pylist()
+    _, count, key_of, lower, key, shared = _types([opened(d, n, order, frequent)[0] for d in data])
+    repeats = [int((count == r).sum()) for r in range(1, KATZ + 2)]
+    stat = _context_sums(count, key_of, lower, len(key))
+    stat["lower"] = np.zeros(len(key), np.int64)
+    np.add.at(stat["lower"], key_of, np.where(count > 0, np.rint(lower * FINE), 0).astype(np.int64))
+    at = np.flatnonzero(shared)
+    fields = [pa.array(key[at].view(np.int64)), *(pa.array(stat[c][at].astype(np.int64)) for c in SHARED[1:])]
+    sums = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.StructArray.from_arrays(fields, SHARED))
+    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.binary())), pa.array([repeats], pa.list_(pa.int64())), sums], schema=COUNTED)
+
+
+def _context_sums(count: np.ndarray, key_of: np.ndarray, lower: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    out = {"total": np.bincount(key_of, count, n), "lower": np.bincount(key_of, np.where(count > 0, lower, 0.0), n)}
     for r in range(1, KATZ + 1):
-        good = ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and tail != 1 else 0.0
-        d[r] = good if 0 < good < 1 else (r - 0.5) / r
-    return d
-
-
-class Model(NamedTuple):
-    table: DataFrame | None
-    parts: Parts
-    tokens: int
-    vocabulary: int
-    mass: np.ndarray  # 2 C + V + 1 of each class
-    discount: np.ndarray
-    divisor: np.ndarray  # what d_r r of a context is divided by
-    backoff: np.ndarray  # alpha of a context; 1 for one never seen
-    hot: np.ndarray  # ascending hashes of the hot words
-    hot_count: np.ndarray
-
-    def log_pairs(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(class | context) of pair keys counted so often: the discounted share, or backoff to the lower order."""
-        context, own = keys >> np.uint64(self.parts.bits), keys & np.uint64((1 << self.parts.bits) - 1)
-        total = float(self.mass.sum())
-        seen = self.discount[np.minimum(count, KATZ + 1).astype(np.int64)] * count / np.maximum(self.divisor[context], 1e-300)
-        lower = self.backoff[context] * self.mass[own] / total
-        return np.log10(np.where(count > 0, seen, np.where(lower > 0, lower, 1.0)))
-
-    def log_words(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(word | class)."""
-        return np.log10((2.0 * count + 1) / self.mass[h >> np.uint64(64 - self.parts.bits)])
-
-
-def _classes(batches: Iterator[pa.RecordBatch], bits: int, hot: float) -> Iterator[pa.RecordBatch]:
-    """Of each part of the words: its classes' masses less 1, and its hot words."""
-    for batch in batches:
-        for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            h, c = expand_keys(keys), expand(counts)
-            own = (h >> np.uint64(64 - bits)).astype(np.int64)
-            base = int(own[0])
-            mass = np.bincount(own - base, weights=2.0 * c + 1).astype(np.uint64)
-            top = c > hot
-            yield pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), pa.array([squeeze(mass)], pa.binary()), pa.array([h[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([c[top].astype(np.int64).tolist()], pa.list_(pa.int64()))], ["base", "mass", "hot", "hot_count"])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch], parts: Parts, mass: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of each part of the pairs, by context of its range: pairs counted 1 to KATZ times, sum of counts, mass of the classes seen."""
-    bounds = parts.bounds()
-    for batch in batches:
-        for part, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "counts")), strict=True):
-            k, c = expand_keys(keys), expand(counts).astype(np.int64)
-            base, width = int(bounds[part // SPLIT]), int(bounds[part // SPLIT + 1] - bounds[part // SPLIT])
-            context = (k >> np.uint64(parts.bits)).astype(np.int64) - base
-            small = c <= KATZ
-            rows = np.bincount(context[small] * KATZ + c[small] - 1, minlength=width * KATZ).reshape(width, KATZ)
-            total = np.bincount(context, weights=c, minlength=width).astype(np.int64)
-            seen = np.bincount(context, weights=mass[(k & np.uint64((1 << parts.bits) - 1)).astype(np.int64)], minlength=width).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([part // SPLIT], pa.int32()), pa.array([squeeze(np.concatenate([rows.ravel(), total, seen]))], pa.binary())], ["range", "sums"])
-
-
-def _alpha(table: pa.Table, parts: Parts, discount: np.ndarray, mass_total: int) -> pa.Table:
-    """Divisor and backoff of the contexts of one range."""
-    k = table.column("range")[0].as_py()
-    width = int(parts.bounds()[k + 1] - parts.bounds()[k])
-    sums = np.zeros(width * (KATZ + 2))
-    for x in table.column("sums").to_pylist():
-        sums += expand(x)
-    rows, total, seen = sums[: width * KATZ].reshape(width, KATZ), sums[width * KATZ : width * (KATZ + 1)], sums[width * (KATZ + 1) :]
-    left = rows @ ((1 - discount[1 : KATZ + 1]) * np.arange(1, KATZ + 1))
-    unseen = (mass_total - seen) / mass_total
-    # where no count is small enough for a discount, one more observation is set aside; where all classes are seen, nothing need be left
-    divisor = np.where(unseen <= 0, total - left, np.where(left > 0, total, total + 1))
-    left = np.where(left > 0, left, 1.0)
-    backoff = np.where(total == 0, 1.0, np.where(unseen > 0, left / np.maximum(divisor, 1e-300) / np.where(unseen > 0, unseen, 1), 0.0))
-    return pa.table({"range": pa.array([k], pa.int32()), "divisor": pa.array([divisor.tobytes()], pa.binary()), "backoff": pa.array([backoff.tobytes()], pa.binary())})
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
-def fit(docs: DataFrame, training: Column | str, bits: int = BITS) -> Model:
-    """The model of the rows of docs (doc_id, text) for which training holds."""
-    condition = F.expr(training) if isinstance(training, str) else training
-    texts = docs.where(condition)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = Parts(bits, int(-(-size // WORD_BYTES) or 1), int(-(-size // (PAIR_BYTES * SPLIT)) or 1))
-    table = stored(_texts(texts).mapInArrow(lambda b: _count(b, parts), BLOBS).groupBy("kind", "part").applyInArrow(_merge, TABLE), "katz")
-    sums = table.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), *(F.sum(F.col("repeats")[r]).alias(f"n{r + 1}") for r in range(KATZ + 1))).collect()
-    by_kind = {r["kind"]: r for r in sums}
-    total, vocabulary = (by_kind[WORDS]["total"], by_kind[WORDS]["n"]) if WORDS in by_kind else (0, 0)
-
-    mass = np.ones(1 << bits, np.int64)
-    hot, hot_count = [], []
-    least = total / HOT
-    for r in table.where(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(lambda b: _classes(b, bits, least), "base long, mass binary, hot array<long>, hot_count array<long>").toLocalIterator():
-        own = expand(bytes(r["mass"])).astype(np.int64)
-        mass[r["base"] : r["base"] + len(own)] += own
-        hot += r["hot"]
-        hot_count += r["hot_count"]
-    hot_hash = np.array(hot, np.int64).view(np.uint64)
-    order = np.argsort(hot_hash)
-
-    discount = discounts([by_kind[PAIRS][f"n{r + 1}"] for r in range(KATZ + 1)] if PAIRS in by_kind else [0] * (KATZ + 1))
-    divisor, backoff = np.zeros((1 << bits) + 1), np.ones((1 << bits) + 1)
-    mass_total = int(mass.sum())
-    ranges = table.where(F.col("kind") == PAIRS).select("part", "keys", "counts").mapInArrow(lambda b: _contexts(b, parts, mass), "range int, sums binary")
-    bounds = parts.bounds()
-    for r in ranges.groupBy("range").applyInArrow(lambda t: _alpha(t, parts, discount, mass_total), "range int, divisor binary, backoff binary").toLocalIterator():
-        span = slice(int(bounds[r["range"]]), int(bounds[r["range"] + 1]))
-        divisor[span], backoff[span] = np.frombuffer(r["divisor"]), np.frombuffer(r["backoff"])
-    return Model(table, parts, total, vocabulary, mass, discount, divisor, backoff, hot_hash[order], np.array(hot_count, np.int64)[order])
-
-
-def _ask(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Each chunk's keys with the documents that hold them, by part; and the chunk's documents."""
-    parts, chunk = model.parts, TaskContext.get().partitionId() << 32
+        out[f"n{r}"] = np.bincount(key_of[count == r], minlength=n)
+    return out
+
+
+def probabilities(grams: list[Grams], shared: dict[str, np.ndarray], discount: np.ndarray) -> np.ndarray:
+    """P(word | context) of each n-gram of a part."""
+    kind, count, key_of, lower, key, _ = _types(grams)
+    stat = _context_sums(count, key_of, lower, len(key))
+    if len(shared["key"]):
+        at = np.searchsorted(key, shared["key"])
+        for c in stat:
+            stat[c] = stat[c].astype(np.float64)
+            stat[c][at] = shared[c] / FINE if c == "lower" else shared[c]
+    left = sum(stat[f"n{r}"] * r * (1 - discount[r]) for r in range(1, KATZ + 1))
+    divisor = np.where(left > 0, stat["total"], stat["total"] + 1)
+    alpha = np.where(stat["total"] > 0, np.where(left > 0, left, 1.0) / divisor / (1 - stat["lower"]), 1.0)
+    p = np.where(count > 0, discount[np.minimum(count, KATZ + 1)] * count / divisor[key_of], alpha[key_of] * lower)
+    return p[kind]
+
+
+def _evaluate(batches: Iterator[pa.RecordBatch], n: int, order: int, frequent: Frequent, discount: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Each part's probabilities: to the parts of the next order, or as sums to the chunks."""
+
+    def rows() -> Iterator[tuple[int, int, bytes]]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunks, data = batch.column("chunks")[i].as_py(), batch.column("data")[i].as_py()
+                given = batch.column("shared")[i].as_py() or []
+                shared = {c: np.array([x[c] for x in given], np.int64) for c in SHARED}
+                shared["key"] = shared["key"].view(np.uint64)
+                both = [opened(d, n, order, frequent) for d in data]
+                p, place = probabilities([g for g, _ in both], shared, discount), 0
+                for chunk, (g, sums) in zip(chunks, both, strict=True):
+                    own = p[place : place + len(g.key)]
+                    place += len(g.key)
+                    if n < order:
+                        yield from _deal(chunk, replace(g, key=g.above[0], above=g.above[1:], p=own), n + 1, parts, **sums)
+                        continue
+                    stay = g.docs == 0
+                    doc, total = _sums(g.doc, _fixed(np.repeat(own, g.docs), g.times))
+                    yield 0, chunk, pack(doc=doc, times=total, slot=g.slot[stay], p=own[stay], **sums)
+
+    return _rows(rows())
+
+
+def _own(batches: Iterator[pa.RecordBatch], order: int, frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """A chunk's documents with their sums over frequent words, and the n-grams whose documents stay."""
     for batch in _chunks(batches):
         n = batch.num_rows
-        code, row, h, pair = tokens(batch.column("text"), parts.bits)
-        own = np.bincount(row, minlength=n)
-        at = np.minimum(np.searchsorted(model.hot, h), max(0, len(model.hot) - 1))
-        hot = model.hot[at] == h if len(model.hot) else np.zeros(len(h), bool)
-        count = np.where(hot, model.hot_count[at] if len(model.hot) else 0, 0)
-        known = hot[code]
-        sums = [np.bincount(row[known], x[code[known]], n) for x in (np.log10(count + 0.5), model.log_words(h, count))]
-        rows = [(DOCS, ((chunk >> 32) * 8191 + (chunk & 0xFFFFFFFF)) & 0x7FFFFFFF, chunk, n, batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy().tobytes(), own.astype("<i8").tobytes() + batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).tobytes(), b"".join([np.bincount(row[known], minlength=n).astype("<i8").tobytes(), *(x.tobytes() for x in sums)]))]
-        order = np.argsort(h)
-        rank = np.empty(len(h), np.uint64)
-        rank[order] = np.arange(len(h), dtype=np.uint64)
-        held = (rank[code[~known]] << np.uint64(16)) | row[~known].astype(np.uint64)
-        held.sort()
-        key = held >> np.uint64(16)
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        keys, refs = h[order][key[first].astype(np.int64)], (held & np.uint64(0xFFFF))
-        ends = np.append(first, len(held))
-        cuts = np.searchsorted(parts.of_word(keys), np.arange(parts.words + 1))
-        rows += [(WORDS, k, chunk, n, squeeze_keys(keys[a:b]), squeeze(np.diff(ends[a : b + 1])), squeeze(refs[ends[a] : ends[b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-        yield _emit(rows)
-        del held, key, rank, refs, code, known
-        held = (pair << np.uint64(16)) | row.astype(np.uint64)
-        held.sort()
-        key = held >> np.uint64(16)
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-        keys, refs, size = key[first], (held & np.uint64(0xFFFF)), np.diff(first, append=len(held))
-        yield _emit([(PAIRS, k, chunk, n, squeeze_keys(keys[i]), squeeze(size[i]), squeeze(refs[np.repeat(first[i] - (np.cumsum(size[i]) - size[i]), size[i]) + np.arange(size[i].sum())])) for k, i in _deal(parts, keys)])
-        chunk += 1
-
-
-def _answer(counted: pa.Table, asked: pa.Table, model: Model) -> pa.Table:
-    """Sums by document of one part's keys; documents' own rows pass."""
-    names = [c.split()[0] for c in SUMS.split(", ")]
-    types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    kind = asked.column("kind")[0].as_py() if asked.num_rows else DOCS
-    out: list[tuple] = []
-    if kind == DOCS:
-        out = [(r["chunk"], DOCS, r["keys"], r["counts"], r["docs"], None) for r in asked.to_pylist()]
-    else:
-        k = expand_keys(counted.column("keys")[0].as_py()) if counted.num_rows else np.zeros(0, np.uint64)
-        c = expand(counted.column("counts")[0].as_py()).astype(np.int64) if counted.num_rows else np.zeros(0, np.int64)
-        for chunk, n, keys, sizes, docs in zip(*(asked.column(x) for x in ("chunk", "n", "keys", "counts", "docs")), strict=True):
-            key, size, refs, n = expand_keys(keys.as_py()), expand(sizes.as_py()).astype(np.int64), expand(docs.as_py()).astype(np.int64), n.as_py()
-            at = np.minimum(np.searchsorted(k, key), max(0, len(k) - 1))
-            count = np.where(k[at] == key, c[at], 0) if len(k) else np.zeros(len(key), np.int64)
-            held = np.flatnonzero(np.bincount(refs, minlength=n))
-
-            def by_doc(x: np.ndarray, size: np.ndarray = size, refs: np.ndarray = refs, n: int = n, held: np.ndarray = held) -> np.ndarray:
-                return np.bincount(refs, np.repeat(x, size), n)[held]
-
-            if kind == WORDS:
-                out.append((chunk.as_py(), WORDS, squeeze(held), by_doc(np.log10(count + 0.5)).tobytes(), squeeze(by_doc(count > 0)), by_doc(model.log_words(key, count)).tobytes()))
-            else:
-                out.append((chunk.as_py(), PAIRS, squeeze(held), None, None, by_doc(model.log_pairs(key, count)).tobytes()))
-    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
-
-
-SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _assemble(table: pa.Table, model: Model) -> pa.Table:
-    """The documents of one chunk with all parts' sums."""
-    own = next(r for r in table.select(["kind", "docs", "base", "known"]).to_pylist() if r["kind"] == DOCS)
-    ids = np.frombuffer(own["docs"], "<i8")
-    n = len(ids)
-    size, null = np.frombuffer(own["base"][: 8 * n], "<i8"), np.frombuffer(own["base"][8 * n :], bool)
-    known, base, score = (np.frombuffer(own["known"][8 * n * k : 8 * n * (k + 1)], t).copy() for k, t in enumerate(("<i8", "<f8", "<f8")))
-    parts = table.filter(pc.not_equal(table.column("kind"), DOCS)).sort_by([("kind", "ascending")])
-    for r in sorted(parts.to_pylist(), key=lambda r: (r["kind"], r["docs"], r["score"])):  # the same order of sums in every run
-        held = expand(r["docs"]).astype(np.int64)
-        score[held] += np.frombuffer(r["score"])
-        if r["kind"] == WORDS:
-            base[held] += np.frombuffer(r["base"])
-            known[held] += expand(r["known"]).astype(np.int64)
-    base -= size * np.log10(model.tokens + 0.5 * (model.vocabulary + 1))
-    return pa.table([pa.array(ids, pa.int64(), mask=null), size, known, np.full(n, model.tokens), base, score], names=[c.split()[0] for c in SCORED.split(", ")])
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """SCORED of every row of docs (doc_id, text)."""
-    counted = model.table.select("kind", "part", "keys", "counts")
-    model = model._replace(table=None)  # tasks need the arrays alone
-    asked = _texts(docs).mapInArrow(lambda b: _ask(b, model), BLOBS)
-    sums = counted.groupBy("kind", "part").cogroup(asked.groupBy("kind", "part")).applyInArrow(lambda a, b: _answer(a, b, model), SUMS)
-    return sums.groupBy("chunk").applyInArrow(lambda t: _assemble(t, model), SCORED)
+        row, own, _ = tokens(batch.column("text"), 1)
+        code = frequent.code(own)
+        hot = np.flatnonzero(code)
+        base = np.zeros(n, np.int64)
+        if len(hot):
+            at, times = np.unique(row[hot] * np.int64(len(frequent.word) + 1) + code[hot], return_counts=True)
+            np.add.at(base, at // (len(frequent.word) + 1), _fixed(frequent.p(frequent.count)[at % (len(frequent.word) + 1) - 1], times))
+        kept = b""
+        if order > 1:
+            stay = _kept(_grams(batch, order, frequent, True), True)
+            kept = pack(docs=stay.docs, doc=stay.doc, times=stay.times)
+        lists = [batch.column("doc_id").to_pylist(), np.bincount(row, minlength=n), np.bincount(row[hot], minlength=n), base]
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("row")[0].as_py()], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in lists), pa.array([kept], pa.binary())], [c.split()[0] for c in OWN.split(", ")])
+
+
+def _finish(own: pa.Table, answers: pa.Table, order: int) -> pa.Table:
+    """The documents of a chunk with all their sums."""
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in SCORED.split(", ")])
+    if not own.num_rows:
+        return schema.empty_table()
+    n_tokens, known, base = (own.column(c)[0].values.to_numpy().copy() for c in ("n_tokens", "known", "base"))
+    score = np.zeros(len(base), np.int64)
+    kept = own.column("kept")[0].as_py()
+    stay = unpack(kept) if kept else {"docs": np.zeros(0, np.int64)}
+    p = np.ones(len(stay["docs"]))
+    for data in answers.column("data").to_pylist():
+        x = unpack(data)
+        np.add.at(known, x["own"], x["known"])
+        np.add.at(base, x["own"], x["base"])
+        np.add.at(score, x["doc"], x["times"])
+        p[x["slot"]] = x["p"]
+    if len(p):
+        np.add.at(score, stay["doc"], _fixed(np.repeat(p, stay["docs"]), stay["times"]))
+    return pa.table([own.column("doc_id")[0].values, n_tokens, known, base, score if order > 1 else base], schema=schema)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word is in a chunk."""
+    for batch in _chunks(batches):
+        _, own, _ = tokens(batch.column("text"), 1)
+        word, count = np.unique(own, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "count"])
+
+
+def counted(dealt: DataFrame, n: int, order: int, frequent: Frequent) -> DataFrame:
+    """The stored table of an order: a row a part (COUNTED)."""
+    return stored(dealt.groupBy("part").applyInArrow(lambda t: _count(t, n, order, frequent), COUNTED_SQL), f"grams{n}")
+
+
+def _with_shared(table: DataFrame) -> DataFrame:
+    """The table with the sums of its shared contexts over all their parts."""
+    each = table.select("part", F.explode("shared").alias("s")).select("part", "s.*")
+    whole = each.groupBy("key").agg(*(F.sum(c).alias(c) for c in SHARED[1:]))
+    given = stored(each.select("part", "key").join(whole, "key").groupBy("part").agg(F.sort_array(F.collect_list(F.struct(*SHARED))).alias("shared")), "shared")
+    return table.select("part", "chunks", "data").join(given, "part", "left")
+
+
+def score(docs: DataFrame, training: Column | str, order: int = ORDER) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text), by the model of the rows for which training holds."""
+    known = F.coalesce(F.expr(training) if isinstance(training, str) else training, F.lit(False))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), known.alias("training"))
+    vocabulary = stored(texts.where("training").select("text").mapInArrow(_tally, "word long, count long").groupBy("word").agg(F.sum("count").alias("count")), "words")
+    size, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    top = vocabulary.orderBy(F.desc("count"), "word").limit(HOT).toArrow()
+    rows, width = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()
+    frequent = Frequent(top.column("word").to_numpy().view(np.uint64), top.column("count").to_numpy(), 2 * total + size + 1, rows)
+    parts = max(1, -(-width // PART_BYTES))
+    texts = texts.withColumn("row", F.monotonically_increasing_id())
+
+    answers = texts.mapInArrow(lambda b: _send(b, order, frequent, False, max(1, parts // 8)), DEALT).groupBy("part").applyInArrow(lambda t: _words(t, order, frequent, parts), DEALT)
+    if order > 1:
+        answers = answers.unionByName(texts.mapInArrow(lambda b: _send(b, order, frequent, True, parts), DEALT))
+    for n in range(2, order + 1):
+        table = counted(answers, n, order, frequent)
+        repeats = table.select(*(F.coalesce(F.sum(F.get("repeats", F.lit(r))), F.lit(0)) for r in range(KATZ + 1))).first()
+        answers = _with_shared(table).mapInArrow(_evaluator(n, order, frequent, discounts([int(x) for x in repeats]), parts), DEALT)
+    own = texts.mapInArrow(lambda b: _own(b, order, frequent), OWN)
+    scored = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _finish(a, b, order), SCORED)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / -ONE).alias("base_score"), (F.col("score") / -ONE).alias("score"))
+
+
+def _evaluator(n: int, order: int, frequent: Frequent, discount: np.ndarray, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _evaluate(batches, n, order, frequent, discount, parts)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, backoff, langid, matroska, mixing, near_dedup, packing, quality, secrets, warc
+from . import ann, katz, langid, matroska, mixing, near_dedup, packing, quality, secrets, warc
 from .common import remainder
 
 
@@ -51,8 +51,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    scored = backoff.score(docs, backoff.fit(docs, remainder("doc_id") != 1))
-    return scored.withColumn("held_out", remainder("doc_id") == 1)
+    return katz.score(docs, remainder("doc_id") != 1).withColumn("held_out", remainder("doc_id") == 1)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
