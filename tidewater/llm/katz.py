@@ -37,8 +37,8 @@ from .common import hashes, mix, ragged, rows_of, slices, stored, words
 ORDER = 2
 KATZ = 5
 CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 15
-PART_BYTES = 24 << 20
-SPLIT = 1 << 20
+PART_BYTES = 12 << 20
+SPLIT = 1 << 19
 HOT = 1 << 18
 SHIPPED = 8
 ONE = 1 << 30
@@ -48,11 +48,10 @@ DEALT = "part int, chunk long, data binary"
 SHARED = ["key", "total", *(f"n{r}" for r in range(1, KATZ + 1)), "lower"]
 COUNTED = pa.schema([("part", pa.int32()), ("chunks", pa.list_(pa.int64())), ("data", pa.list_(pa.binary())), ("repeats", pa.list_(pa.int64())), ("shared", pa.list_(pa.struct([(c, pa.int64()) for c in SHARED])))])
 COUNTED_SQL = f"part int, chunks array<long>, data array<binary>, repeats array<long>, shared array<struct<{', '.join(f'{c}: long' for c in SHARED)}>>"
-OWN = "chunk long, doc_id array<long>, n_tokens array<long>, known array<long>, base array<long>, kept binary"
 SCORED = "doc_id long, n_tokens long, n_known long, base long, score long"
 
-FIELDS = ("key", "many", "code", "cold", "p", "count", "docs", "doc", "times", "slot", "deals", "above", "own", "known", "base")
-HASHED = ("key", "cold", "above")
+FIELDS = ("key", "many", "code", "cold", "p", "count", "docs", "doc", "times", "slot", "deals", "above", "own", "known", "base", "ids", "nulls", "tokens")
+HASHED = ("key", "cold", "above", "ids")
 
 
 def end_hash() -> int:
@@ -218,23 +217,31 @@ def opened(data: bytes, n: int, order: int, frequent: Frequent) -> tuple[Grams,
 
 
 def tokens(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(row, hash, contexts of 0 to order - 1 words) of each token."""
-    code, row, distinct = words(text)
+    """(row, the words' hashes, codes of each token's word and of those before it); codes index the hashes, of which the last two are end and begin."""
+    code, row, known = words(text)
     n = len(text)
-    h = np.append(hashes(distinct), np.uint64(end_hash()))
+    h = np.append(hashes(known), np.array([end_hash(), begin_hash()], np.uint64))
     at = rows_of(row, n)
-    own, rows = np.empty(len(code) + n, np.uint64), np.empty(len(code) + n, np.int64)
+    own, rows = np.empty(len(code) + n, np.int64), np.empty(len(code) + n, np.int64)
     place, ends = np.arange(len(code)) + row, at[1:] + np.arange(n)
-    own[place], own[ends] = h[code], h[-1]
+    own[place], own[ends] = code, len(h) - 2
     rows[place], rows[ends] = row, np.arange(n)
     position = np.arange(len(own)) - (at[:-1] + np.arange(n))[rows]
-    contexts = [np.zeros(len(own), np.uint64)]
+    codes = [own]
     for k in range(1, order):
-        before = np.full(len(own), begin_hash(), np.uint64)
+        before = np.full(len(own), len(h) - 1)
         inside = np.flatnonzero(position >= k)
         before[inside] = own[inside - k]
-        contexts.append(before if k == 1 else mix(contexts[-1] * np.uint64(0x9E3779B97F4A7C15) + before))
-    return rows, own, contexts
+        codes.append(before)
+    return rows, h, codes
+
+
+def contexts(h: np.ndarray, before: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the contexts of one word, of two, ... from the codes of the words before."""
+    out = [h[c] for c in before[:1]]
+    for c in before[1:]:
+        out.append(mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + h[c]))
+    return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +250,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, CHUNK_ROWS)
 
 
-def distinct(keys: list[np.ndarray], row: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a place, training count, number of documents) of each distinct row of keys, in their order, and (document, times) of their documents."""
-    order = np.lexsort(keys[::-1])  # stable: documents ascend
-    new = _new(*(k[order] for k in keys))
+def distinct(keys: list[np.ndarray], size: int, row: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a place, training count, number of documents) of each distinct row of keys below size, and (document, times) of their documents."""
+    merged = keys[:1]
+    room = (1 << 62) // size
+    for k in keys[1:]:  # as few keys as 62 bits allow
+        if room >= size:
+            merged[-1], room = merged[-1] * size + k, room // size
+        else:
+            merged, room = [*merged, k], (1 << 62) // size
+    order = np.argsort(merged[0], kind="stable") if len(merged) == 1 else np.lexsort(merged[::-1])  # stable: documents ascend
+    new = _new(*(k[order] for k in merged))
     own = row[order]
     start = np.flatnonzero(new | _new(own))
     gram = (np.cumsum(new) - 1)[start]
@@ -256,23 +270,21 @@ def distinct(keys: list[np.ndarray], row: np.ndarray, training: np.ndarray) -> t
     return order[np.flatnonzero(new)], count, np.bincount(gram, minlength=n), doc, times
 
 
-def _grams(batch: pa.RecordBatch, order: int, frequent: Frequent, hot: bool) -> Grams:
+def _grams(row: np.ndarray, h: np.ndarray, codes: list[np.ndarray], training: np.ndarray, frequent: Frequent, hot: bool) -> Grams:
     """A chunk's n-grams whose word is frequent (by context), or of those whose word is not (by word)."""
-    row, own, contexts = tokens(batch.column("text"), order)
-    code = frequent.code(own)
-    some = np.flatnonzero((code > 0) == hot)
-    row, own, code, contexts = row[some], own[some], code[some], [c[some] for c in contexts[1:]]
-    keys = [contexts[0], own, *contexts[1:]] if hot else [own, *contexts]
-    at, count, docs, doc, times = distinct(keys, row, batch.column("training").to_numpy(zero_copy_only=False).astype(np.int64))
+    listed = frequent.code(h)
+    some = np.flatnonzero((listed[codes[0]] > 0) == hot)
+    codes = [c[some] for c in codes]
+    at, count, docs, doc, times = distinct(codes, len(h), row[some], training)
+    own, *before = (c[at] for c in codes)
+    above = contexts(h, before)
+    deals = frequent.deals(h)[before[0]] if before else np.ones(len(at), np.int64)
+    key = above.pop(0) if hot else h[own]
     slot = np.full(len(at), -1)
-    deals = frequent.deals(contexts[0][at]) if contexts else np.ones(len(at), np.int64)
-    above = contexts[1:] if hot else contexts
-    above = np.array([c[at] for c in above], np.uint64).reshape(len(above), len(at))
-    grams = Grams(keys[0][at], own[at], code[at], np.zeros(len(at)), count, docs, slot, deals, above, doc, times)
     if hot:
         many = docs > SHIPPED
         slot[many] = np.arange(int(many.sum()))
-    return grams
+    return Grams(key, h[own], listed[own], np.zeros(len(at)), count, docs, slot, deals, np.array(above, np.uint64).reshape(len(above), len(at)), doc, times)
 
 
 def _kept(grams: Grams, stay: bool) -> Grams:
@@ -288,7 +300,8 @@ def _deal(chunk: int, grams: Grams, n: int, parts: int, **sums: np.ndarray) -> I
     """A chunk's n-grams by part; the sums travel with the first."""
     deal = mix(grams.w ^ np.uint64(0x9E3779B97F4A7C15)) % grams.deals.astype(np.uint64) if n > 1 else np.uint64(0)
     part = (mix(grams.key + deal * np.uint64(0xD1B54A32D192ED03)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((grams.w, grams.key, part)) if n > 1 else np.lexsort((grams.key, part))
+    order = np.argsort(grams.key)
+    order = order[np.argsort(part[order].astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")]
     start = np.flatnonzero(_new(part[order]))
     for a, b in zip(start, start + np.diff(start, append=len(order)), strict=True):
         yield int(part[order[a]]), chunk, grams.take(order[a:b]).packed(n, **sums)
@@ -313,14 +326,36 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _send(batches: Iterator[pa.RecordBatch], order: int, frequent: Frequent, hot: bool, parts: int) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each chunk; with the frequent words also its documents, as a part of their own."""
+
     def rows() -> Iterator[tuple[int, int, bytes]]:
         for batch in _chunks(batches):
-            grams = _kept(_grams(batch, order, frequent, hot), False)
-            yield from _deal(batch.column("row")[0].as_py(), grams, 2 if hot else 1, parts)
+            chunk, training = batch.column("row")[0].as_py(), batch.column("training").to_numpy(zero_copy_only=False).astype(np.int64)
+            row, h, codes = tokens(batch.column("text"), order)
+            grams = _grams(row, h, codes, training, frequent, hot) if order > 1 or not hot else None
+            if hot:
+                part = -1 - int(mix(np.array([chunk], np.uint64))[0] & np.uint64(0x3FFFFFFF))
+                yield part, chunk, _documents(batch.column("doc_id"), row, frequent.code(h), codes[0], frequent, _kept(grams, True) if grams else None)
+            if grams:
+                yield from _deal(chunk, _kept(grams, False), 2 if hot else 1, parts)
 
     return _rows(rows())
 
 
+def _documents(doc_id: pa.Array, row: np.ndarray, listed: np.ndarray, own: np.ndarray, frequent: Frequent, stay: Grams | None) -> bytes:
+    """A chunk's documents with their sums over frequent words, and the n-grams whose documents stay."""
+    n, size = len(doc_id), len(frequent.word) + 1
+    code = listed[own]
+    hot = np.flatnonzero(code)
+    at, times = np.unique(row[hot] * size + code[hot], return_counts=True)
+    base = np.zeros(n, np.int64)
+    if len(at):
+        np.add.at(base, at // size, _fixed(frequent.p(frequent.count[at % size - 1]), times))
+    kept = {"docs": stay.docs, "doc": stay.doc, "times": stay.times} if stay else {}
+    ids = doc_id.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return pack(ids=ids, nulls=doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.int64), tokens=np.bincount(row, minlength=n), known=np.bincount(row[hot], minlength=n), base=base, **kept)
+
+
 def _fixed(p: np.ndarray, times: np.ndarray) -> np.ndarray:
     """-log10 times each, in multiples of 1 / ONE."""
     return np.rint(-np.log10(p) * times * ONE).astype(np.int64)
@@ -359,23 +394,31 @@ def _words(table: pa.Table, order: int, frequent: Frequent, parts: int) -> pa.Ta
 
 def _types(grams: list[Grams]) -> tuple[np.ndarray, ...]:
     """The n-grams of a part over all chunks: (type of each, count and key of each type, its lower probability; each key, and whether it is shared)."""
-    key, w = np.concatenate([g.key for g in grams]), np.concatenate([g.w for g in grams])
-    order = np.lexsort((w, key))
-    key, w = key[order], w[order]
-    new_key = _new(key)
-    new = new_key | _new(w)
+    keys, key = np.unique(np.concatenate([g.key for g in grams]), return_inverse=True)
+    code = np.concatenate([g.code for g in grams])
+    cold = np.flatnonzero(code == 0)
+    others, at = np.unique(np.concatenate([g.w[g.code == 0] for g in grams]), return_inverse=True)
+    code[cold] = -1 - at
+    size = int(code.max()) + len(others) + 1
+    code += len(others)
+    both = key * size + code  # below 2^62: keys and words of one part
+    order = np.argsort(both, kind="stable")
+    new = _new(both[order])
     first = np.flatnonzero(new)
     count = np.add.reduceat(np.concatenate([g.count for g in grams])[order], first)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
-    keys = np.flatnonzero(new_key)
-    shared = np.concatenate([g.deals for g in grams])[order[keys]] > 1
-    return kind, count, (np.cumsum(new_key) - 1)[first], np.concatenate([g.p for g in grams])[order[first]], key[keys], shared
+    shared = np.zeros(len(keys), bool)
+    shared[key[np.concatenate([g.deals for g in grams]) > 1]] = True
+    return kind, count, key[order[first]], np.concatenate([g.p for g in grams])[order[first]], keys, shared
 
 
 def _count(table: pa.Table, n: int, order: int, frequent: Frequent) -> pa.Table:
     """One row of a part: all that came to it, how many n-grams were counted 1, 2, ... times, and the sums of contexts that lie in other parts too."""
-    data = table.column("data").to_pylist()
+    data, part = table.column("data").to_pylist(), table.column("part")[0].as_py()
+    head = [pa.array([part], pa.int32()), pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.binary()))]
+    if part < 0:  # documents
+        return pa.table([*head, pa.array([[]], pa.list_(pa.int64())), pa.array([[]], COUNTED.field("shared").type)], schema=COUNTED)
     _, count, key_of, lower, key, shared = _types([opened(d, n, order, frequent)[0] for d in data])
     repeats = [int((count == r).sum()) for r in range(1, KATZ + 2)]
     stat = _context_sums(count, key_of, lower, len(key))
@@ -384,7 +427,7 @@ def _count(table: pa.Table, n: int, order: int, frequent: Frequent) -> pa.Table:
     at = np.flatnonzero(shared)
     fields = [pa.array(key[at].view(np.int64)), *(pa.array(stat[c][at].astype(np.int64)) for c in SHARED[1:])]
     sums = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.StructArray.from_arrays(fields, SHARED))
-    return pa.table([pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.binary())), pa.array([repeats], pa.list_(pa.int64())), sums], schema=COUNTED)
+    return pa.table([*head, pa.array([repeats], pa.list_(pa.int64())), sums], schema=COUNTED)
 
 
 def _context_sums(count: np.ndarray, key_of: np.ndarray, lower: np.ndarray, n: int) -> dict[str, np.ndarray]:
@@ -416,7 +459,10 @@ def _evaluate(batches: Iterator[pa.RecordBatch], n: int, order: int, frequent: F
     def rows() -> Iterator[tuple[int, int, bytes]]:
         for batch in batches:
             for i in range(batch.num_rows):
-                chunks, data = batch.column("chunks")[i].as_py(), batch.column("data")[i].as_py()
+                part, chunks, data = (batch.column(c)[i].as_py() for c in ("part", "chunks", "data"))
+                if part < 0:
+                    yield from ((part, chunk, own) for chunk, own in zip(chunks, data, strict=True))
+                    continue
                 given = batch.column("shared")[i].as_py() or []
                 shared = {c: np.array([x[c] for x in given], np.int64) for c in SHARED}
                 shared["key"] = shared["key"].view(np.uint64)
@@ -435,52 +481,30 @@ def _evaluate(batches: Iterator[pa.RecordBatch], n: int, order: int, frequent: F
     return _rows(rows())
 
 
-def _own(batches: Iterator[pa.RecordBatch], order: int, frequent: Frequent) -> Iterator[pa.RecordBatch]:
-    """A chunk's documents with their sums over frequent words, and the n-grams whose documents stay."""
-    for batch in _chunks(batches):
-        n = batch.num_rows
-        row, own, _ = tokens(batch.column("text"), 1)
-        code = frequent.code(own)
-        hot = np.flatnonzero(code)
-        base = np.zeros(n, np.int64)
-        if len(hot):
-            at, times = np.unique(row[hot] * np.int64(len(frequent.word) + 1) + code[hot], return_counts=True)
-            np.add.at(base, at // (len(frequent.word) + 1), _fixed(frequent.p(frequent.count)[at % (len(frequent.word) + 1) - 1], times))
-        kept = b""
-        if order > 1:
-            stay = _kept(_grams(batch, order, frequent, True), True)
-            kept = pack(docs=stay.docs, doc=stay.doc, times=stay.times)
-        lists = [batch.column("doc_id").to_pylist(), np.bincount(row, minlength=n), np.bincount(row[hot], minlength=n), base]
-        yield pa.RecordBatch.from_arrays([pa.array([batch.column("row")[0].as_py()], pa.int64()), *(pa.array([x], pa.list_(pa.int64())) for x in lists), pa.array([kept], pa.binary())], [c.split()[0] for c in OWN.split(", ")])
-
-
-def _finish(own: pa.Table, answers: pa.Table, order: int) -> pa.Table:
+def _finish(table: pa.Table, order: int) -> pa.Table:
     """The documents of a chunk with all their sums."""
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in SCORED.split(", ")])
-    if not own.num_rows:
-        return schema.empty_table()
-    n_tokens, known, base = (own.column(c)[0].values.to_numpy().copy() for c in ("n_tokens", "known", "base"))
-    score = np.zeros(len(base), np.int64)
-    kept = own.column("kept")[0].as_py()
-    stay = unpack(kept) if kept else {"docs": np.zeros(0, np.int64)}
-    p = np.ones(len(stay["docs"]))
-    for data in answers.column("data").to_pylist():
-        x = unpack(data)
-        np.add.at(known, x["own"], x["known"])
-        np.add.at(base, x["own"], x["base"])
-        np.add.at(score, x["doc"], x["times"])
-        p[x["slot"]] = x["p"]
-    if len(p):
-        np.add.at(score, stay["doc"], _fixed(np.repeat(p, stay["docs"]), stay["times"]))
-    return pa.table([own.column("doc_id")[0].values, n_tokens, known, base, score if order > 1 else base], schema=schema)
+    parts, data = table.column("part").to_pylist(), table.column("data").to_pylist()
+    own = unpack(data[next(i for i, part in enumerate(parts) if part < 0)])
+    known, base = own["known"], own["base"]
+    score, p = np.zeros(len(base), np.int64), np.ones(len(own["docs"]))
+    for part, blob in zip(parts, data, strict=True):
+        if part >= 0:
+            x = unpack(blob)
+            np.add.at(known, x["own"], x["known"])
+            np.add.at(base, x["own"], x["base"])
+            np.add.at(score, x["doc"], x["times"])
+            p[x["slot"]] = x["p"]
+    np.add.at(score, own["doc"], _fixed(np.repeat(p, own["docs"]), own["times"]))
+    ids = pa.array(own["ids"].view(np.int64), mask=own["nulls"].astype(bool))
+    return pa.table([ids, own["tokens"], known, base, score if order > 1 else base], schema=pa.schema([(c.split()[0], pa.int64()) for c in SCORED.split(", ")]))
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each word is in a chunk."""
     for batch in _chunks(batches):
-        _, own, _ = tokens(batch.column("text"), 1)
-        word, count = np.unique(own, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count)], ["word", "count"])
+        _, h, codes = tokens(batch.column("text"), 1)
+        count = np.bincount(codes[0], minlength=len(h))
+        yield pa.RecordBatch.from_arrays([pa.array(h[count > 0].view(np.int64)), pa.array(count[count > 0])], ["word", "count"])
 
 
 def counted(dealt: DataFrame, n: int, order: int, frequent: Frequent) -> DataFrame:
@@ -509,14 +533,12 @@ def score(docs: DataFrame, training: Column | str, order: int = ORDER) -> DataFr
     texts = texts.withColumn("row", F.monotonically_increasing_id())
 
     answers = texts.mapInArrow(lambda b: _send(b, order, frequent, False, max(1, parts // 8)), DEALT).groupBy("part").applyInArrow(lambda t: _words(t, order, frequent, parts), DEALT)
-    if order > 1:
-        answers = answers.unionByName(texts.mapInArrow(lambda b: _send(b, order, frequent, True, parts), DEALT))
+    answers = answers.unionByName(texts.mapInArrow(lambda b: _send(b, order, frequent, True, parts), DEALT))
     for n in range(2, order + 1):
         table = counted(answers, n, order, frequent)
         repeats = table.select(*(F.coalesce(F.sum(F.get("repeats", F.lit(r))), F.lit(0)) for r in range(KATZ + 1))).first()
         answers = _with_shared(table).mapInArrow(_evaluator(n, order, frequent, discounts([int(x) for x in repeats]), parts), DEALT)
-    own = texts.mapInArrow(lambda b: _own(b, order, frequent), OWN)
-    scored = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _finish(a, b, order), SCORED)
+    scored = answers.groupBy("chunk").applyInArrow(lambda t: _finish(t, order), SCORED)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / -ONE).alias("base_score"), (F.col("score") / -ONE).alias("score"))
 
 
