@@ -75,11 +75,41 @@ def test_lists_are_balanced():
     c = ann.bisect(x, 37)
     assert c.shape == (37, 8)
     graph = ann.Graph(c)
-    homes = graph.homes(graph.walk(x, 1.15))
+    homes = graph.homes(graph.walk(x, 1.15), 1.15)
     assert homes.any(axis=1).all() and homes.sum(axis=1).max() <= ann.REPLICAS
     assert homes.sum(axis=0).max() < 6 * homes.sum() / 37
 
 
+def test_vectors_of_one_direction_tie(spark):
+    """40 multiples of one vector, and others: the smaller ids come first."""
+    rows = [(i, [i * 3, i * 7, i * -11]) for i in range(1, 41)] + [(50, [3, 7, -11]), (0, [0, 1, 0]), (100, [0, 0, 1])]
+    have = got(ann.search(frame(spark, rows)))
+    assert have[50] == [(i, 1.0) for i in range(1, 6)] and have == brute(rows)
+
+
+def test_each_length_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3 + i % 2).astype(np.float32).tolist()) for i in range(0, 200, 5)]
+    have = got(ann.search(frame(spark, rows)))
+    assert have == {**brute([r for r in rows if len(r[1]) == 3]), **brute([r for r in rows if len(r[1]) == 4])}
+
+
+@pytest.mark.parametrize("size", [1200, 4000, 12_000])
+def test_fewer_distances_than_brute_force(spark, size):
+    """Clustered vectors, 2 to 23 lists: the same rule prunes at every size."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    rows = [(i, (centres[i % 60] + 0.15 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(size)]
+    valid = ann.valid_vectors(frame(spark, rows))
+    index = ann.build(valid)
+    probes = index.probes(valid.where("vec_id % 50 = 0").selectExpr("embedding", "vec_id as query_id"))
+    distances = sum(r.postings * r.queries for r in ann.read(index.postings, probes).collect())
+    assert len(index.graph.c) == size // ann.LIST_ROWS
+    assert distances < 0.75 * size * (size // 50)
+    want, have = brute(rows), got(ann.search(frame(spark, rows)))
+    assert sum(len({i for i, _ in want[q]} & {i for i, _ in have[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
 def test_walk_finds_the_nearest_centroid():
     rng = np.random.default_rng(2)
     graph = ann.Graph(ann.unit(rng.normal(size=(300, 8))))

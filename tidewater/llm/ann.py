@@ -3,12 +3,13 @@
 Centroids come from balanced bisection of a bounded sample (`SAMPLE` distinct vectors by hash of id; parameter). Every distinct vector
 goes to its nearest list and, near a boundary, to others too (at most `REPLICAS`, diverse ones). The centroids are the nodes of an
 in-memory neighbour graph; a search walks it from fixed entries as long as a node is within `ratio` times the best distance, and the
-lists within that ratio are read. The ratio is the smallest that finds `RECALL` of the neighbours of sampled vectors in the sample, where neighbours are farther
-apart than in the whole table. Postings and the queries that read them meet by list in blocks of bounded size; the found
-vectors are scored in double precision on the original vectors.
+lists within that ratio are read. The ratio is calibrated on the true neighbours, in the whole table, of `ASKED` vectors of the sample: the smallest that finds `RECALL`
+of them, however few or many lists there are. Of the `BOUNDARIES` within which vectors are replicated, that with the fewest distances is taken. Postings and the queries
+that read them meet by list in blocks of bounded size; the found vectors are scored in double precision on the original vectors.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or have another dimension than most, take no part. Equal vectors are
-indexed once with their smallest ids, which is exact: only so many can be among the nearest. Ties go to the smaller id. Rows that repeat an id and vector
+Vectors that are null, empty, zero, or hold null or non-finite components take no part; those of each length are searched among their own. Equal vectors are
+indexed once with their smallest ids, which is exact: only so many can be among the nearest. Scores are rounded to `DIGITS` digits, so that vectors of one direction tie;
+ties go to the smaller id. Rows that repeat an id and vector
 count once; an id with several vectors is searched with each, and counts with its best. Empty tables give an empty result. Extra columns
 are ignored.
 """
@@ -16,23 +17,26 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ragged, stored
 
 SAMPLE = 20_000
 LIST_ROWS = 512
 MOST_LISTS = 2048
 REPLICAS = 3
-BOUNDARY = 1.15
+BOUNDARIES = (1.0, 1.05, 1.15)
 DEGREE = 16
 ENTRIES = 4
-RECALL = 0.97
-FEWEST_LISTS = 4
+RECALL = 0.95
+ASKED = 64
+DIGITS = 12
 #: Distinct postings and queries of a block at most, on average.
 BLOCK_POSTINGS, BLOCK_QUERIES = 4096, 1024
 FOUND = "query_id long, vec_id long, score double"
@@ -107,13 +111,15 @@ class Graph:
             dist[rows, nodes] = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x[rows], self.c[nodes]), 0))
         return dist
 
+    def full(self, x: np.ndarray) -> np.ndarray:
+        """Distances of unit rows x to all centroids."""
+        return np.sqrt(np.maximum(2 - 2 * x.astype(np.float32) @ self.c.T, 0))
+
     def probes(self, dist: np.ndarray, ratio: float) -> np.ndarray:
-        """Which lists a search reads: those within ratio of the best distance, the nearest few anyway."""
-        best = np.sort(dist, axis=1)[:, : min(FEWEST_LISTS, dist.shape[1])]
-        fewest = np.where(np.isfinite(best), best, 0).max(axis=1, keepdims=True)
-        return np.isfinite(dist) & (dist <= np.maximum(ratio * best[:, :1], fewest))
+        """Which lists a search reads: those within ratio of the best distance."""
+        return np.isfinite(dist) & (dist <= ratio * dist.min(axis=1, keepdims=True))
 
-    def homes(self, dist: np.ndarray) -> np.ndarray:
+    def homes(self, dist: np.ndarray, boundary: float) -> np.ndarray:
         """Which lists a vector is stored in: the nearest, and near ones that are not closer to a chosen list than to it."""
         n, k = dist.shape
         order = np.argsort(dist, axis=1, kind="stable")[:, : min(k, 4 * REPLICAS)]
@@ -121,7 +127,7 @@ class Graph:
         rows = np.arange(n)
         chosen[rows, order[:, 0]] = True
         count = np.ones(n, int)
-        limit = dist[rows, order[:, 0]] * BOUNDARY
+        limit = dist[rows, order[:, 0]] * boundary
         for j in range(1, order.shape[1]):
             at = order[:, j]
             d = dist[rows, at]
@@ -132,23 +138,25 @@ class Graph:
         return chosen
 
 
-def fit(sample: np.ndarray, total: int, seed: int = 7) -> tuple[Graph, float]:
-    """(the graph of centroids, the pruning ratio) for an index of total vectors."""
+def fit(sample: np.ndarray, total: int, asked: np.ndarray, near: np.ndarray, seed: int = 7) -> tuple[Graph, float, float]:
+    """(the graph of centroids, the pruning ratio, the boundary) of an index of total vectors; near: for each of asked its true neighbours."""
     x = unit(sample)
     graph = Graph(bisect(x, int(min(MOST_LISTS, max(1, total // LIST_ROWS), len(x))), seed))
-    if len(graph.c) <= FEWEST_LISTS:
-        return graph, 10.0
-    dist = np.sqrt(np.maximum(2 - 2 * x.astype(np.float32) @ graph.c.T, 0))
-    asked = np.random.default_rng(seed).choice(len(x), min(256, len(x)), replace=False)
-    near = np.argsort(-(x[asked] @ x.T), axis=1, kind="stable")[:, 1:6]
-    homes = graph.homes(dist)
-    ratio = 1.02
-    while ratio < 10:
-        probes = graph.probes(dist[asked], ratio)
-        if (homes[near] & probes[:, None, :]).any(axis=2).mean() >= RECALL:
-            break
-        ratio *= 1.02
-    return graph, ratio
+    if len(graph.c) == 1 or not near.size:
+        return graph, 1.0, 1.0
+    q, found = unit(asked), graph.full(unit(near.reshape(-1, near.shape[2])))
+    dist = graph.full(q)
+    choices = []
+    for boundary in BOUNDARIES:
+        homes = graph.homes(found, boundary).reshape(*near.shape[:2], -1)
+        least = np.where(homes, dist[:, None, :], np.inf).min(axis=2) / np.maximum(dist.min(axis=1, keepdims=True), 1e-6)
+        ratio = max(1.0, float(np.quantile(least, RECALL, method="higher"))) * (1 + 1e-6)
+        while ratio < 10 and (homes & graph.probes(graph.walk(q, ratio), ratio)[:, None, :]).any(axis=2).mean() < RECALL:
+            ratio *= 1.02  # the walk may miss lists
+        rows = sum(graph.homes(graph.full(x[at : at + 1024]), boundary).sum(axis=0) for at in range(0, len(x), 1024))
+        choices.append(((graph.probes(graph.walk(q, ratio), ratio) @ rows).mean(), ratio, boundary))
+    _, ratio, boundary = min(choices)
+    return graph, ratio, boundary
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -170,30 +178,44 @@ def _place(batches: Iterator[pa.RecordBatch], graph: Graph, choose: Callable[[np
 
 
 def nearest(queries: np.ndarray, ids: np.ndarray, postings: np.ndarray, posting_ids: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the query, id, score) of each query's k nearest postings, in order."""
+    """(row of the query, id, score) of each query's k nearest postings, in order; all that tie with the last are looked at."""
     q, p = unit(queries), unit(postings)
-    some = min(len(p), 2 * k + 2)
+    some = min(len(p), k + 1)
     rough = q @ p.T
-    top = np.argpartition(-rough, some - 1, axis=1)[:, :some] if some < len(p) else np.tile(np.arange(len(p)), (len(q), 1))
-    width = max(map(len, posting_ids))
-    table = np.full((len(p), width), -1, np.int64)
-    real = np.zeros((len(p), width), bool)
-    for i, own in enumerate(posting_ids):
-        table[i, : len(own)], real[i, : len(own)] = own, True
-    score = (q[:, None, :] * p[top]).sum(axis=2)  # the same sum for a pair wherever it meets
-    row = np.repeat(np.arange(len(q)), some * width)
-    found, ok = table[top].reshape(len(q), -1), real[top].reshape(len(q), -1)
-    ok &= found != ids[:, None]
-    score = np.clip(np.repeat(score, width, axis=1), -1, 1).ravel()
-    found, ok = found.ravel(), ok.ravel()
+    least = np.partition(rough, len(p) - some, axis=1)[:, len(p) - some]
+    row, at = np.nonzero(rough >= least[:, None] - 10.0 ** (3 - DIGITS))
+    score = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 65536]], p[at[i : i + 65536]]) for i in range(0, len(row), 65536)])
+    score = np.round(np.clip(score, -1, 1), DIGITS)  # the same for a pair wherever it meets
+    many = np.fromiter(map(len, posting_ids), np.int64, len(posting_ids))
+    own = np.concatenate([np.asarray(x, np.int64) for x in posting_ids])
+    found = own[ragged((np.cumsum(many) - many)[at], many[at])]
+    row, score = np.repeat(row, many[at]), np.repeat(score, many[at])
+    ok = found != ids[row]
     row, found, score = row[ok], found[ok], score[ok]
     order = np.lexsort((found, -score, row))
     row, found, score = row[order], found[order], score[order]
-    first = np.searchsorted(row, row)
-    keep = np.arange(len(row)) - first < k
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[keep], found[keep], score[keep]
 
 
+def _truth(batches: Iterator[pa.RecordBatch], asked: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Of each task, the k nearest of each asked vector that are not its own direction."""
+    q = unit(asked)
+    score, kept = np.full((len(q), k), -2.0), np.zeros((len(q), k, q.shape[1]))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 2048):
+            raw = _matrix(batch.column("embedding").slice(start, 2048))
+            own = q @ unit(raw).T
+            own[own > 1 - 1e-9] = -2
+            every = np.concatenate([score, own], axis=1)
+            top = np.argpartition(-every, k - 1, axis=1)[:, :k]
+            fresh = np.maximum(top - k, 0)
+            kept = np.where((top < k)[:, :, None], np.take_along_axis(kept, np.minimum(top, k - 1)[:, :, None], 1), raw[fresh])
+            score = np.take_along_axis(every, top, 1)
+    row, nth = np.nonzero(score > -2)
+    yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(score[row, nth]), pa.array(list(kept[row, nth]), pa.list_(pa.float64()))], ["asked", "score", "embedding"])
+
+
 def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -211,33 +233,73 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return search
 
 
-def search(embeddings: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row of embeddings (vec_id, embedding) for which is_query holds."""
-    spark = embeddings.sparkSession
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    sizes = valid.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sizes is None:
-        return empty
-    valid = valid.where(F.size("embedding") == sizes["d"]).distinct()
+class Index(NamedTuple):
+    """Postings (list, embedding, ids) and how they are searched."""
+
+    postings: DataFrame
+    graph: Graph
+    ratio: float
+
+    def probes(self, asked: DataFrame) -> DataFrame:
+        """list, embedding, query_id: the lists that each of asked (embedding, query_id) reads."""
+        graph, ratio, array = self.graph, self.ratio, asked.schema["embedding"].dataType.simpleString()
+        return asked.mapInArrow(lambda b: _place(b, graph, lambda d: graph.probes(d, ratio), ratio), f"list int, embedding {array}, query_id long")
+
+
+def build(valid: DataFrame, k: int = 5, sample: int = SAMPLE) -> Index | None:
+    """The index of vectors of one length (vec_id, embedding); None if there are none."""
     # row_number() <= n is cut before the shuffle too: a very frequent vector sends k + 1 rows a task
     by_id = Window.partitionBy("embedding").orderBy("vec_id")
-    distinct = stored(valid.withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
+    distinct = stored(valid.distinct().withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     total = distinct.count()
-    rows = distinct.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("embedding").toArrow()
-    graph, ratio = fit(_matrix(rows.column("embedding")), total)
-
+    if not total:
+        return None
+    rows = _matrix(distinct.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("embedding").toArrow().column("embedding"))
+    asked = rows[:ASKED]
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "embedding")
+    truth = distinct.select("embedding").mapInArrow(lambda b: _truth(b, asked, k), "asked int, score double, embedding array<double>").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).orderBy("asked", "nth").toArrow()
+    of = truth.column("asked").to_numpy()
+    whole = np.flatnonzero(np.bincount(of, minlength=len(asked)) == k)
+    near = _matrix(truth.column("embedding")).reshape(truth.num_rows, rows.shape[1])[np.isin(of, whole)]
+    graph, ratio, boundary = fit(rows, total, asked[whole], near.reshape(len(whole), k, rows.shape[1]))
     array = distinct.schema["embedding"].dataType.simpleString()
-    postings = stored(distinct.mapInArrow(lambda b: _place(b, graph, graph.homes, BOUNDARY), f"list int, embedding {array}, ids array<long>"), "postings")
-    asked = valid.where(is_query).select("embedding", F.col("vec_id").alias("query_id"))
-    probes = stored(asked.mapInArrow(lambda b: _place(b, graph, lambda d: graph.probes(d, ratio), ratio), f"list int, embedding {array}, query_id long"), "probes")
+    postings = distinct.mapInArrow(lambda b: _place(b, graph, lambda d: graph.homes(d, boundary), max(BOUNDARIES)), f"list int, embedding {array}, ids array<long>")
+    return Index(stored(postings, "postings"), graph, ratio)
+
+
+def read(postings: DataFrame, probes: DataFrame) -> DataFrame:
+    """list, postings, queries of the lists that are read: their products are the distances computed."""
+    return postings.groupBy("list").agg(F.count("*").alias("postings")).join(probes.groupBy("list").agg(F.count("*").alias("queries")), "list")
+
+
+def _among(valid: DataFrame, is_query: str, k: int, sample: int) -> DataFrame | None:
+    """query_id, vec_id, score of candidates of vectors of one length."""
+    index = build(valid, k, sample)
+    if index is None:
+        return None
+    probes = stored(index.probes(valid.distinct().where(is_query).select("embedding", F.col("vec_id").alias("query_id"))), "probes")
     # at most MOST_LISTS rows: in how many blocks the postings and the queries of each list are dealt
-    blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_POSTINGS).cast("int").alias("p")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("q")), "list")
-    blocks = spark.createDataFrame(blocks.collect(), "list int, p int, q int")
+    blocks = read(index.postings, probes).select("list", F.ceil(F.col("postings") / BLOCK_POSTINGS).cast("int").alias("p"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("q"))
+    blocks = valid.sparkSession.createDataFrame(blocks.collect(), "list int, p int, q int")
     keys = ["list", "pb", "qb"]
-    left = postings.join(F.broadcast(blocks), "list").withColumn("pb", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("p")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    left = index.postings.join(F.broadcast(blocks), "list").withColumn("pb", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("p")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     right = probes.join(F.broadcast(blocks), "list").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q")).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    found = left.select(*keys, "embedding", "ids").groupBy(*keys).cogroup(right.select(*keys, "embedding", "query_id").groupBy(*keys)).applyInArrow(_search(k), FOUND)
+    return left.select(*keys, "embedding", "ids").groupBy(*keys).cogroup(right.select(*keys, "embedding", "query_id").groupBy(*keys)).applyInArrow(_search(k), FOUND)
+
+
+def valid_vectors(embeddings: DataFrame) -> DataFrame:
+    """vec_id, embedding of the rows that take part."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
+
+
+def search(embeddings: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row of embeddings (vec_id, embedding) for which is_query holds."""
+    valid = valid_vectors(embeddings)
+    lengths = sorted(r["d"] for r in valid.select(F.size("embedding").alias("d")).distinct().collect())
+    every = [part for d in lengths if (part := _among(valid.where(F.size("embedding") == d), is_query, k, sample)) is not None]
+    if not every:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = reduce(DataFrame.unionByName, every)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
