@@ -96,17 +96,24 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *lists], ["doc_id", "lang", "cell", "n"])
 
 
+def spark_table(docs: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table (one row a language) in the session of docs."""
+    return docs.sparkSession.createDataFrame(rows, schema)
+
+
 def fit(docs: DataFrame) -> Model | None:
     """The model learned from docs (doc_id, text, lang) outside the held-out fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (remainder("doc_id") != 0))
-    languages = known.select("lang").distinct().count()
-    if not languages:
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counted:
         return None
-    # row_number() <= n is cut before the shuffle too; the chosen ids are at most SAMPLE
+    each = max(2, min(PER_LANGUAGE, SAMPLE // len(counted)))
+    # the lowest hashes of each language: a share that holds `each` but once in many millions goes on, so that a language's task has some thousand rows at any size
+    share = spark_table(docs, [(r["lang"], min(1.0, (2 * each + 64) / r["n"])) for r in counted], "lang string, share double")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    each = max(2, min(PER_LANGUAGE, SAMPLE // languages))
-    chosen = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each).select("doc_id", "lang").distinct()
+    some = known.join(F.broadcast(share), "lang").where((F.xxhash64("doc_id") / 2.0**64 + 0.5) <= F.col("share"))
+    chosen = some.select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each).select("doc_id", "lang").distinct()
     got = known.join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_sampled, "doc_id long, lang string, cell array<int>, n array<float>").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     lang = np.array(got.column("lang").to_pylist())
     cells, values = (pa.concat_arrays(got.column(c).chunks) for c in ("cell", "n"))
