@@ -12,6 +12,8 @@ results. Results hold a digest of the secret, not the secret.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,7 +29,7 @@ MASK = "[REDACTED]"
 CANDIDATE = (
     r"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,99}+-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,400}[0-9])[A-Za-z0-9+/_-]{12,}(?:={1,2}(?![A-Za-z0-9+/_=\"'$-]))?"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}(?:={1,2}(?![A-Za-z0-9+/_=\"'$-]))?"
     r"|(?<=[ =:\"'>])(?=[^\s\"'=:,;]{8})(?<=(?i:password|passwd|passw|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|private|auth|authorization|bearer|credentials?)[ =:\"'>]{1,5})[^\s\"'=:,;]{8,})"
 )
 #: Parameter: words whose share of a candidate tells prose, names and placeholders from keys.
@@ -54,16 +56,18 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """doc_id, tie (the text's hash), nth, start (1-based), value, before, after, path of each candidate of docs (doc_id, text, path column)."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path and path in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.alias("path")).where(F.col("text").rlike(CANDIDATE))
-    rows = rows.dropDuplicates(["doc_id", "text"]).withColumn("tie", F.xxhash64("text"))
-    parts = rows.select("doc_id", "tie", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
-    each = F.transform("found", lambda v, i: F.struct(v.alias("value"), F.get("gaps", i).alias("gap"), F.left(F.get("gaps", i + 1), F.lit(20)).alias("next")))
-    out = parts.select("doc_id", "tie", "path", F.posexplode(each).alias("nth", "c")).select("doc_id", "tie", "path", "nth", "c.*")
+    gap = lambda i: F.get("gaps", i)
+    each = F.transform("found", lambda v, i: F.struct(v.alias("value"), F.right(gap(i), F.lit(60)).alias("gap"), F.length(gap(i)).alias("skipped"), F.left(gap(i + 1), F.lit(20)).alias("next")))
+    parts = rows.select("doc_id", F.xxhash64("text").alias("tie"), "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    # of equal rows the least path; only the candidates and what is beside them are shuffled
+    parts = parts.select("doc_id", "tie", "path", each.alias("each")).groupBy("doc_id", "tie").agg(F.min("path").alias("path"), F.first("each").alias("each"))
+    out = parts.select("doc_id", "tie", "path", F.posexplode("each").alias("nth", "c")).select("doc_id", "tie", "path", "nth", "c.*")
     order = Window.partitionBy("doc_id", "tie").orderBy("nth")
-    step = F.length("gap") + F.length("value")
+    step = F.col("skipped") + F.length("value")
     # a candidate has 8 characters at least: eight of them hold the 60 characters before, three the 20 after
-    earlier = F.array_join(F.collect_list(F.right(F.concat(F.right("gap", F.lit(60)), F.right("value", F.lit(60))), F.lit(60))).over(order.rowsBetween(-8, -1)), "")
+    earlier = F.array_join(F.collect_list(F.right(F.concat("gap", F.right("value", F.lit(60))), F.lit(60))).over(order.rowsBetween(-8, -1)), "")
     later = F.array_join(F.collect_list(F.left(F.concat(F.left("value", F.lit(20)), F.col("next")), F.lit(20))).over(order.rowsBetween(1, 3)), "")
-    out = out.withColumn("before", F.right(F.concat(earlier, F.right("gap", F.lit(60))), F.lit(60))).withColumn("after", F.left(F.concat("next", later), F.lit(20)))
+    out = out.withColumn("before", F.right(F.concat(earlier, "gap"), F.lit(60))).withColumn("after", F.left(F.concat("next", later), F.lit(20)))
     return out.withColumn("start", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("value") + 1).select("doc_id", "tie", "path", "nth", "value", "before", "after", "start")
 
 
@@ -97,8 +101,11 @@ def features(found: DataFrame) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Snippets (doc_id, text, source, label) by rule: secrets as they leak, and what looks like them."""
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, kinds: Iterable[int] = range(24)) -> DataFrame:
+    """Snippets (doc_id, text, source, label) by rule: secrets as they leak, and what looks like them; kinds: odd ones are of secrets.
+
+    They are made from public formats and from words, names and paths that say nothing of a corpus.
+    """
     say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
     sha = lambda salt: F.sha2(say(F.col("id").cast("string"), salt), 256)
     pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(len(xs))).cast("int") + 1)
@@ -109,7 +116,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     digits = F.regexp_replace(say(F.conv(F.substring(hexa, 1, 12), 16, 10), F.conv(F.substring(hexa, 13, 12), 16, 10)), r"^(.{16}).*$", "$1")
     cut = lambda x, a: F.substring(x, 1, a)
     assign, quote = pick("s", " = ", "=", ": ", ":", " => "), pick("q", '"', "'", "")
-    lead, tail = pick("l", "", "of the ", "on.### ", "line one\n", "et de la ", "export ", "  - ", "set %%% ", "to a.92@mail6.example.com ", "at 152.143.123.131 "), pick("t", "", " and more", "### the", "\nnext", ", éle", ";")
+    lead, tail = pick("l", "", "of the ", "on. ", "line one\n", "und die ", "export ", "  - ", "# ", "to me@host.example ", "at 10.0.0.7 "), pick("t", "", " and more", ". The", "\nnext", ", été", ";")
     name = pick("n", "token", "api_key", "secret", "password", "client_secret", "auth_token", "secret_key", "access_token", "private_key", "db_password", "clientSecret", "AWS_SECRET_ACCESS_KEY", "S3_SECRET", "'password'", "DB_PASSWORD", "credentials")
     letters = F.translate(cut(plain, 24), "0123456789", "ghjkmnpqrs")
     secret = [
@@ -120,7 +127,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         say("-----BEGIN ", pick("r", "RSA ", "EC ", ""), "PRIVATE KEY-----", pick("kb", "\n", "\\n"), cut(code, 64), "\n", F.substring(code, 7, 64), "\n-----END PRIVATE KEY-----"), say(name, assign, quote, F.substring(hexa, 7, 32), quote),
         say(name, assign, quote, letters, quote), say("-----BEGIN ", pick("r2", "RSA ", "EC ", "OPENSSH "), "PRIVATE KEY-----"),
     ]
-    word = lambda s: pick(s, "theand", "order", "release", "article", "section", "product", "button", "ouvrant", "verein", "ciones")
+    word = lambda s: pick(s, "another", "order", "release", "article", "section", "product", "button", "ouvrage", "gesamt", "canciones")
     other = [
         say("commit ", cut(hexa, 40)), say(pick("c", "sha256:", "sha256 ", "checksum ", "digest: "), sha("d")),
         say(pick("d", "", "card ", "call ", "de ", "*** "), digits), F.regexp_replace(cut(hexa, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
@@ -129,11 +136,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         say("image/png;base64,", cut(code, 70)), say(pick("e", "isbn ", "invoice ", "phone +", "id ", ""), F.substring(digits, 2, 13)),
         say(pick("v", "the secret ", "a private ", "token ", "password ", "of the auth "), pick("v2", "services", "conversation", "distribution", "protected", "organisations", "generation")), say(pick("v3", "AWS_S3_SECRET_KEY", "OAUTH2_CLIENT_SECRET", "DB1_ROOT_PASSWORD"), pick("v4", "=", "=$", ": ", " = ")),
     ]
-    path = pick("path", "src0", "src7", "src13", "app/settings.py", "deploy/env.sh", "notes.txt", "")
+    path = pick("path", "web", "a", "forum", "app/settings.py", "deploy/env.sh", "notes.txt", "")
     rows = spark.range(0, n, numPartitions=1)
     label = (F.col("id") % 2).cast("int")
     kind = F.pmod(F.col("id").cast("int").bitwiseAND(0x7FFFFFFF), F.lit(24))
     value = F.lit("")
+    rows = rows.where(kind.isin(list(kinds)))
     for k in range(12):
         value = F.when(kind == 2 * k + 1, secret[k]).when(kind == 2 * k, other[k]).otherwise(value)
     # secrets of tests are no findings: a twentieth of the assignments stand in a test's path and are labelled 0
