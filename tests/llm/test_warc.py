@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 
 import duckdb
 import pytest
@@ -72,10 +73,28 @@ def test_every_record_belongs_to_one_range(split, block):
     data = b"".join([warc.member(r) + (junk if i % 4 == 1 else b"") for i, r in enumerate(records)])
     found = []
     for start in range(0, len(data), split):
-        found += [r for at, r in warc.members(Source(data), len(data), start, min(start + split, len(data)), block) if start <= at < start + split]
+        found += [r for at, _, r in warc.members(Source(data), len(data), start, min(start + split, len(data)), block) if start <= at < start + split]
     assert found == records
 
 
+def test_records_inside_a_record(spark, tmp_path, monkeypatch):
+    """A payload that cannot be compressed and holds whole archives is one record, wherever ranges begin."""
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 500)
+    rng = random.Random(4)
+    noise = lambda n: rng.randbytes(n)
+    inner = b"".join(warc.member(warc.record(100 + i, f"http://in/{i}", noise(900), "0" * 40, None)) for i in range(5))
+    payloads = [noise(300), noise(700) + inner + noise(50), b"text", inner, inner + noise(2000) + inner]
+    data = b"".join(gzip.compress(warc.record(i, f"http://out/{i}", x, hashlib.sha1(x).hexdigest(), None), 0) for i, x in enumerate(payloads))
+    assert data.count(b"\x1f\x8b\x08") >= 25
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data), 0)], warc.MANIFEST)
+    assert warc._ranges(manifest, False).count() > len(payloads)
+    for with_payloads in (False, True):
+        rows = warc.read(manifest, with_payloads).orderBy("page_id").collect()
+        assert [(r.page_id, r.payload_digest) for r in rows] == [(i, hashlib.sha1(x).hexdigest()) for i, x in enumerate(payloads)]
+        assert not with_payloads or [bytes(r.payload) for r in rows] == payloads
+
+
 def test_payloads_and_headers():
     fields, block = warc.decode(warc.record(3, None, b"body", "ab", None))
     assert fields["warc-target-uri"] == "urn:unknown" and block.endswith(b"\r\n\r\nbody")

@@ -6,8 +6,8 @@ by decoding its header, and owns the records that start inside, read to their en
 
 Null html is an empty payload; a null url is written as `urn:unknown`. Of equal payloads the largest page_id is the response (rows that repeat
 this id are all responses); with null ids only, all are. Empty tables give no archives and an empty result. Extra columns are ignored.
-Archives of failed task attempts are never listed, so a lost executor leaves no record twice. The reader takes any gzip-per-record archive; a
-stored (uncompressed) deflate block that itself holds a whole WARC member could be taken for a record when a range begins inside it.
+Archives of failed task attempts are never listed, so a lost executor leaves no record twice. The reader takes any gzip-per-record archive. Where a range begins inside a
+record that itself holds whole WARC members (in a stored deflate block), the range takes them for records; they start before the end of a record of an earlier range, and go.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, slices, stored
@@ -30,6 +30,7 @@ MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, bytes long, records long"
+RAW = "path string, start long, at long, next long"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 PAGE_URN = "urn:x-page:"
 
@@ -86,7 +87,8 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or new_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    again = rows.where(F.octet_length("html") >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that Spark knows its size: small, it is broadcast; large, the join is by digest, and a very frequent one is split as skewed
+    again = stored(rows.where(F.octet_length("html") >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-copies")
     linked = rows.join(again, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")))
     return stored(linked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(lambda batches: _write(batches, folder), MANIFEST), "warc-manifest")
 
@@ -104,8 +106,8 @@ def decode(data: bytes) -> tuple[dict[str, str], bytes] | None:
     return fields, block[: int(length)]
 
 
-def members(source, size: int, start: int, stop: int, block: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
-    """(byte, decompressed bytes) of the gzip members that start in start..stop and hold a WARC record.
+def members(source, size: int, start: int, stop: int, block: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(byte, byte after it, decompressed bytes) of the gzip members that start in start..stop and hold a WARC record.
 
     source: a file with read_at(bytes, position).
     """
@@ -146,8 +148,9 @@ def members(source, size: int, start: int, stop: int, block: int = 1 << 20) -> I
         except zlib.error:
             at += 1
             continue
-        yield at, b"".join(parts)
-        at = position - len(unpack.unused_data)
+        after = position - len(unpack.unused_data)
+        yield at, after, b"".join(parts)
+        at = after
 
 
 def fields_of(record_bytes: bytes) -> tuple | None:
@@ -171,8 +174,8 @@ def fields_of(record_bytes: bytes) -> tuple | None:
 def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    names = [c.split()[0] for c in RECORDS.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in f"{RAW}, {RECORDS}".split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -182,10 +185,10 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
             system, name = fs.FileSystem.from_uri(path)
             rows, held = [], 0
             with system.open_input_file(name) as source:
-                for _, data in members(source, size, start, min(start + SPLIT_BYTES, size)):
+                for at, after, data in members(source, size, start, min(start + SPLIT_BYTES, size)):
                     row = fields_of(data)
                     if row is not None:
-                        rows.append(row if payloads else (*row[:6], None))
+                        rows.append((path, start, at, after, *(row if payloads else (*row[:6], None))))
                         held += len(row[6] or b"") if payloads else 0
                     if held > 8 << 20 or len(rows) >= 10_000:
                         yield out(rows)
@@ -194,12 +197,22 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
                 yield out(rows)
 
 
-def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records (RECORDS) of the archives in manifest (path, bytes)."""
+def _ranges(manifest: DataFrame, payloads: bool) -> DataFrame:
+    """RAW and RECORDS of what each range takes for its records."""
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / SPLIT_BYTES))).first()[0] or 1
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(SPLIT_BYTES)))
     splits = manifest.select("path", "bytes", starts.alias("start")).repartition(int(total), "path", "start")
-    return splits.mapInArrow(lambda batches: _read(batches, payloads), RECORDS)
+    return splits.mapInArrow(lambda batches: _read(batches, payloads), f"{RAW}, {RECORDS}")
+
+
+def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records (RECORDS) of the archives in manifest (path, bytes); with payloads, archives are read twice: first for where records lie."""
+    found = stored(_ranges(manifest, False), "warc-records")
+    ends = found.groupBy("path", "start").agg(F.min("at").alias("first"), F.max("next").alias("end"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = stored(ends.withColumn("before", F.max("end").over(before)).where("first < before").select("path", "start", "before"), "warc-inside")
+    rows = _ranges(manifest, True) if payloads else found
+    return rows.join(inside, ["path", "start"], "left").where("before is null or at >= before").select(*(c.split()[0] for c in RECORDS.split(", ")))
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -213,7 +226,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """pages written as WARC and read back: what `resolve` gives."""
-    return resolve(stored(read(write(pages), payloads=False).drop("payload"), "warc-records"))
+    return resolve(read(write(pages), payloads=False).drop("payload"))
 
 
 SQL = """
