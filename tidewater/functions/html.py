@@ -143,7 +143,10 @@ def social_tags(c: Column) -> Column:
 
 
 #: Class and id words of page furniture.
-FURNITURE = ["nav", "navbar", "menu", "header", "footer", "sidebar", "breadcrumb", "breadcrumbs", "cookie", "banner", "pagination", "social", "share", "related", "widget"]
+FURNITURE = [
+    "nav", "menu", "sidebar", "footer", "header", "breadcrumb", "social", "share", "widget", "advert", "cookie", "popup", "modal", "comment", "related", "newsletter",
+    "signup", "subscribe", "promo", "banner", "toolbar", "topbar", "bottombar", "masthead", "drawer", "overlay", "lightbox", "sticky", "dock",
+]
 
 
 @F.pandas_udf(StringType())
@@ -224,11 +227,14 @@ def link_text(inner: Column) -> Column:
 
 
 #: Link texts that say nothing of their target.
-GENERIC = "shop now|read more|click here|learn more|view more|see more|buy now|order now|add to cart|view details|more info|details|here|link|go|visit|explore|discover|get started|continue|next|previous|back|submit|download|sign up|subscribe|join|contact us|get in touch"
+GENERIC = [
+    "shop now", "read more", "click here", "learn more", "view more", "see more", "buy now", "order now", "add to cart", "view details", "more info", "details", "here", "link",
+    "go", "visit", "explore", "discover", "get started", "continue", "next", "previous", "back", "submit", "download", "sign up", "subscribe", "join", "contact us", "get in touch",
+]
 
 
 def is_generic(anchor: Column) -> Column:
-    return F.lower(F.trim(anchor)).isin(GENERIC.split("|"))
+    return F.lower(F.trim(anchor)).isin(GENERIC)
 
 
 def hrefs(c: Column) -> Column:
@@ -309,8 +315,11 @@ def script_redirect(c: pd.Series) -> pd.Series:
 
 
 #: What rich text may hold.
-ALLOWED_TAGS = {"a", "b", "blockquote", "br", "code", "em", "h1", "h2", "h3", "h4", "i", "img", "li", "ol", "p", "pre", "s", "span", "strong", "u", "ul"}
-ALLOWED_ATTRIBUTES = {"href", "src", "alt", "title", "target", "rel", "class"}
+ALLOWED_TAGS = {
+    "p", "br", "hr", "span", "div", "b", "strong", "i", "em", "u", "s", "strike", "sup", "sub", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "code",
+    "a", "img", "table", "thead", "tbody", "tr", "th", "td",
+}
+ALLOWED_ATTRIBUTES = {"href", "target", "rel", "src", "alt", "title", "class", "colspan", "rowspan"}
 
 
 @F.pandas_udf(StringType())

@@ -71,8 +71,9 @@ def analysis_key(c: Column) -> Column:
 
 
 def graph_key(c: Column) -> Column:
-    """As analysis_key; null if it is no URL."""
-    return F.when(is_absolute(c), analysis_key(c))
+    """As analysis_key, but a user stays; null if it is no URL."""
+    user = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)", 1)
+    return F.when(is_absolute(c), F.concat(protocol(c), F.lit("://"), user, _no_port(c), _bare_path(c), query(c)))
 
 
 def crawl_key(c: Column) -> Column:
@@ -110,7 +111,10 @@ def is_safe(c: Column) -> Column:
 
 
 #: File endings that are no pages.
-ASSETS = ["jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "css", "js", "mjs", "json", "xml", "pdf", "zip", "gz", "rar", "mp3", "mp4", "webm", "avi", "mov", "woff", "woff2", "ttf", "eot"]
+ASSETS = [
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "bmp", "tiff", "mp4", "mp3", "wav", "avi", "mov", "webm", "pdf", "zip", "rar", "7z", "tar", "gz", "exe", "dmg", "pkg",
+    "css", "js", "json", "xml", "woff", "woff2", "ttf", "otf", "eot",
+]
 
 
 def is_asset(c: Column) -> Column:

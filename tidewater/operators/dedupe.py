@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blank, squeeze, token_set
@@ -34,6 +34,7 @@ def near_pairs(items: DataFrame, threshold: float = NEAR) -> DataFrame:
 
     Two sets of that similarity share one of their |A| - ceil(t |A|) + 1 rarest tokens.
     """
+    items = stored(items.select("ord", F.transform(F.array_sort("tokens"), lambda t: F.xxhash64(t)).alias("tokens")), "items")  # read four times; words as 64-bit hashes
     each = items.select("ord", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
     ranked = each.join(counts, "token").groupBy("ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rare"))
@@ -64,6 +65,32 @@ def near_groups(items: DataFrame, threshold: float = NEAR) -> DataFrame:
     return follows.unionByName(follows.select(F.col("leader").alias("ord"), "leader").distinct())
 
 
+def field_groups(crawl: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """field, kind, value, urls of the exact and near groups of 2xx pages by title, description and first h1; value and urls begin with the first page."""
+    rows = crawl.where("status_code between 200 and 299").select("ord", "url", "title", "description", F.get("h1s", F.lit(0)).alias("h1"))
+    every = []
+    for field in ("title", "description", "h1"):
+        value = F.col(field)
+        own = rows.where(~blank(value)).select("ord", "url", value.alias("value"), squeeze(value).alias("norm"))
+        exact = own.join(exact_groups(rows, value).select("norm"), "norm").select(F.col("norm").alias("grp"), F.lit("exact").alias("kind"), "ord", "url", "value")
+        near = near_groups(near_candidates(rows, value), threshold).join(own, "ord").select(F.col("leader").cast("string").alias("grp"), F.lit("near").alias("kind"), "ord", "url", "value")
+        grouped = exact.unionByName(near).groupBy("kind", "grp").agg(F.min_by("value", "ord").alias("value"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("urls"))
+        every.append(grouped.select(F.lit(field).alias("field"), "kind", "value", "urls"))
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+def largest(groups: DataFrame, n: int | None = 6) -> DataFrame:
+    """Groups (field, kind, value, urls) from the largest on, exact ones first; n: so many of a field."""
+    rank = Window.partitionBy("field").orderBy(F.desc(F.size("urls")), F.col("kind") != "exact", "value")
+    ranked = groups.withColumn("rank", F.row_number().over(rank))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
+
+
+def group_rows(groups: DataFrame) -> DataFrame:
+    """field, kind, value, size, url: a row an address of each group."""
+    return groups.select("field", "kind", "value", F.size("urls").alias("size"), F.explode("urls").alias("url"))
+
+
 def summary(exact: DataFrame, near: DataFrame) -> DataFrame:
     """How many exact and near groups there are, and how many pages they hold."""
     a = exact.agg(F.count("*").alias("exact_groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("exact_pages"))

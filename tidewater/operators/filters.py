@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,10 @@ Filter = list[list[Condition]]
 
 
 def _compiles(pattern: str) -> bool:
+    """Whether the engine that runs patterns takes this one."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
         return False
     return True
 
@@ -92,6 +94,10 @@ def _some(c: str, test: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.exists(c, test), F.lit(False))
 
 
+def _answered(test: Column) -> Column:
+    """Image, schema, canonical, hreflang and link filters look at answered pages alone."""
+    return (F.col("status") == "OK") & test
+
 
 QUICK: dict[str, Callable[[], Column]] = {
     "all": lambda: F.lit(True),
@@ -109,20 +115,20 @@ QUICK: dict[str, Callable[[], Column]] = {
     "3xx": lambda: _code(300, 399) | F.col("redirect_status_code").between(300, 399),
     "4xx": lambda: _code(400, 499),
     "5xx": lambda: _code(500, 599),
-    "images-missing-alt": lambda: _some("images", lambda i: i["alt"].isNull()),
-    "images-none": lambda: _size("images") == 0,
-    "images-some": lambda: _size("images") > 0,
-    "schema-some": lambda: _size("schemas") > 0,
-    "schema-none": lambda: _size("schemas") == 0,
-    "canonical-self": lambda: F.col("canonical_status") == "Self Referencing",
-    "canonical-away": lambda: F.col("canonical_status") == "Canonicalised",
-    "canonical-missing": lambda: (F.col("canonical_status") == "Missing") | blank("canonical"),
-    "hreflang-some": lambda: _size("hreflangs") > 0,
-    "hreflang-none": lambda: _size("hreflangs") == 0,
-    "hreflang-default": lambda: _some("hreflangs", lambda h: F.lower(h["hreflang"]) == "x-default"),
-    "links-internal": lambda: _some("internal_links", lambda x: x["is_internal"]),
-    "links-external": lambda: _some("internal_links", lambda x: ~x["is_internal"]),
-    "links-none": lambda: _size("internal_links") == 0,
+    "images-missing-alt": lambda: _answered(_some("images", lambda i: i["alt"].isNull())),
+    "images-none": lambda: _answered(_size("images") == 0),
+    "images-some": lambda: _answered(_size("images") > 0),
+    "schema-some": lambda: _answered(_size("schemas") > 0),
+    "schema-none": lambda: _answered(_size("schemas") == 0),
+    "canonical-self": lambda: _answered(F.col("canonical_status") == "Self Referencing"),
+    "canonical-away": lambda: _answered(F.col("canonical_status") == "Canonicalised"),
+    "canonical-missing": lambda: _answered((F.col("canonical_status") == "Missing") | blank("canonical")),
+    "hreflang-some": lambda: _answered(_size("hreflangs") > 0),
+    "hreflang-none": lambda: _answered(_size("hreflangs") == 0),
+    "hreflang-default": lambda: _answered(_some("hreflangs", lambda h: h["hreflang"] == "x-default")),
+    "links-internal": lambda: _answered(_some("internal_links", lambda x: x["is_internal"])),
+    "links-external": lambda: _answered(_some("internal_links", lambda x: ~x["is_internal"])),
+    "links-none": lambda: _answered(_size("internal_links") == 0),
     "social-some": lambda: _size("social_tags") > 0,
     "social-none": lambda: _size("social_tags") == 0,
     "social-og": lambda: _some("social_tags", lambda t: t["network"] == "og"),

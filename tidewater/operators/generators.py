@@ -43,12 +43,18 @@ SITEMAP_LINES, SITEMAP_BYTES = 50_000, 50 << 20
 
 
 def write_sitemaps(entries: DataFrame, path: str) -> None:
-    """Sitemap files of at most 50,000 entries each, in the order of loc, under a folder per part."""
-    lines = sitemap_lines(entries)
-    whole = lines.repartitionByRange("loc").sortWithinPartitions("loc").select("xml")
-    whole.write.option("maxRecordsPerFile", SITEMAP_LINES).text(path)
-
-
+    """Sitemap files of at most SITEMAP_LINES entries and SITEMAP_BYTES bytes each, in the order of loc, under path."""
+    lines = sitemap_lines(entries).repartitionByRange("loc").select("loc", "xml", F.spark_partition_id().alias("range"))
+    order = Window.partitionBy("range").orderBy("loc").rowsBetween(Window.unboundedPreceding, -1)
+    room = SITEMAP_BYTES - (1 << 20)  # a line is far below a megabyte
+    placed = lines.withColumn("file", F.struct("range", F.floor(F.count("*").over(order) / SITEMAP_LINES), F.floor(F.coalesce(F.sum(F.octet_length("xml") + 1).over(order), F.lit(0)) / room)))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loc", "xml"))), lambda x: x["xml"]), "\n")
+    files = placed.groupBy("file").agg(F.concat(F.lit(SITEMAP_HEAD + "\n"), body, F.lit("\n</urlset>")).alias("xml"))
+    files.select("xml").write.option("maxRecordsPerFile", 1).text(path)
+
+
+#: Languages and countries that one page can name.
+MOST_ALTERNATES = 1000
 SOCIAL = ["og:title", "og:description", "og:image", "twitter:title", "twitter:description", "twitter:image"]
 
 
@@ -91,8 +97,12 @@ def hreflang_block(as_xml: bool = False) -> Column:
 
 
 def hreflang_bulk(addresses: DataFrame, alternates: DataFrame) -> DataFrame:
-    """url, code, href: every address with every shared alternate (a short list)."""
-    return addresses.select("url").crossJoin(F.broadcast(alternates.select(hreflang_code(F.col("language"), F.col("country")).alias("code"), "href")))
+    """url, code, href: every address with every shared alternate (a form's list: at most MOST_ALTERNATES, more are refused)."""
+    rows = alternates.select(hreflang_code(F.col("language"), F.col("country")).alias("code"), "href").limit(MOST_ALTERNATES + 1).collect()
+    if len(rows) > MOST_ALTERNATES:
+        raise ValueError(f"more than {MOST_ALTERNATES} shared alternates")
+    shared = F.array(*(F.struct(F.lit(r["code"]).alias("code"), F.lit(r["href"]).alias("href")) for r in rows)).cast("array<struct<code:string,href:string>>")
+    return addresses.select("url", F.explode(shared).alias("a")).select("url", "a.code", "a.href")
 
 
 def image_rows(crawl: DataFrame) -> DataFrame:

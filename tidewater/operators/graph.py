@@ -7,7 +7,7 @@ from itertools import count as numbers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import html, urls
 from ..plans.storage import counted, stored
 
 
@@ -60,6 +60,15 @@ def spider(edges: DataFrame, seed, most: int | None = None) -> DataFrame:
     return found if most is None else found.orderBy("depth", "key").limit(most)
 
 
+def page_links(pages: DataFrame, seed: str) -> DataFrame:
+    """src, dst of the links of pages (url, html) that a spider from seed follows: to http pages of its site, fragments off, no assets."""
+    found = pages.select(urls.without_fragment(F.col("url")).alias("src"), F.explode(html.hrefs(F.col("html"))).alias("href"))
+    absolute = F.when(urls.is_absolute(F.col("href")), F.col("href")).otherwise(urls.join(F.col("src"), F.col("href")))
+    links = found.select("src", urls.without_fragment(absolute).alias("dst"))
+    dst = F.col("dst")
+    return links.where(urls.is_absolute(dst) & urls.protocol(dst).isin("http", "https") & urls.same_site(dst, F.lit(seed)) & ~urls.is_asset(dst)).distinct()
+
+
 def path_nodes(pages: DataFrame, depth: int = 3) -> DataFrame:
     """id, label, grp, depth, parent, size of every origin and path prefix of pages (url), down to a depth."""
     rows = pages.select(urls.tree_key(F.col("url")).alias("u")).where("u is not null").distinct().select("u", F.concat(urls.protocol(F.col("u")), F.lit("://"), urls.host(F.col("u"))).alias("origin"), urls.host(F.col("u")).alias("host"), urls.segments(F.col("u")).alias("parts"))
@@ -82,6 +91,10 @@ def path_links(nodes: DataFrame) -> DataFrame:
 
 def colours(nodes: DataFrame, palette: int = 12) -> DataFrame:
     """id, colour: groups in the order of their first id, modulo the palette."""
-    order = Window.orderBy("first")
-    groups = nodes.groupBy("grp").agg(F.min("id").alias("first")).select("grp", ((F.row_number().over(order) - 1) % palette).alias("colour"))
+    ranges = nodes.groupBy("grp").agg(F.min("id").alias("first")).repartitionByRange("first").sortWithinPartitions("first")
+    ranges = stored(ranges.select("grp", F.spark_partition_id().alias("range"), (F.monotonically_increasing_id() % (1 << 33)).alias("place")), "groups")
+    # one row a range: how many groups are in those before
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    groups = ranges.join(F.broadcast(sizes), "range").select("grp", ((F.col("before") + F.col("place")) % palette).cast("int").alias("colour"))
     return nodes.join(groups, "grp").select("id", "colour")

@@ -29,7 +29,7 @@ def chains(crawl: DataFrame) -> DataFrame:
 
 def walk(starts: DataFrame, hops: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     """key, hop_count, final_key, ended ('end', 'loop', 'most') of starts (key) followed through hops (src, dst)."""
-    links = hops.groupBy("src").agg(F.min_by("dst", "src").alias("dst"))
+    links = hops.groupBy("src").agg(F.min("dst").alias("dst"))  # of several hops the least
     state = starts.select("key", F.col("key").alias("at"), F.array("key").alias("path"), F.lit("").alias("ended"))
     for _ in range(most):
         step = state.where("ended = ''").join(links.withColumnRenamed("src", "at"), "at", "left")

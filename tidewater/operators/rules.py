@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import links, redirects
 from ..functions.scalars import blank, js_round, leading_number, mentions, ok, text
 
 WEIGHTS = {"critical": 55, "warning": 25, "info": 8}
@@ -101,10 +102,25 @@ def hits(crawl: DataFrame, flags: set[str] | None = None) -> DataFrame:
     return with_shared(crawl).select("ord", "url", found.alias("found")).select("ord", "url", F.explode("found").alias("rule_id"))
 
 
+def insights(crawl: DataFrame, keys: DataFrame, edges: DataFrame, depths: DataFrame, flags: set[str] | None = None) -> DataFrame:
+    """ord, url, rule_id of the INSIGHTS: redirects of two hops and more, in loops, to errors; and, if links were crawled, what links and depths (key, depth) say.
+
+    keys: key, ord, status_code, robots of each page; edges between keys.
+    """
+    hops = redirects.chains(crawl)
+    named = lambda rows, rule: rows.select("ord", "url", F.lit(rule).alias("rule_id"))
+    found = named(hops.where("hop_count >= 2"), "insight-redirect-chains").unionByName(named(hops.where("is_loop"), "insight-redirect-loops")).unionByName(named(hops.where("ends_in_error"), "insight-redirect-broken-end"))
+    if flags is not None and "links" not in flags or edges.where("is_internal").isEmpty():
+        return found
+    pages = keys.select("key", "ord").join(crawl.select("ord", "url"), "ord")
+    own = lambda rows, rule: named(pages.join(rows.select("key"), "key", "left_semi"), rule)
+    return found.unionByName(own(links.orphans(keys, edges).where("indexable"), "insight-orphan-pages")).unionByName(own(links.low_links(keys, edges), "insight-low-link-pages")).unionByName(own(depths.where("depth > 3"), "insight-deep-pages"))
+
+
 def dimension(spark) -> DataFrame:
     """rule_id, severity, grp, category, title, rule_ord, flag; rules of every crawl stand with the title flag."""
     rows = [(r.id, r.severity, r.group, CATEGORIES[r.group], r.title, k, r.flag or "title") for k, r in enumerate(RULES)]
-    rows += [(i, s, g, CATEGORIES[g], t, len(RULES) + k, "links") for k, (i, s, g, t) in enumerate(INSIGHTS)]
+    rows += [(i, s, g, CATEGORIES[g], t, len(RULES) + k, "canonical" if g == "Redirects" else "links") for k, (i, s, g, t) in enumerate(INSIGHTS)]
     return spark.createDataFrame(rows, "rule_id string, severity string, grp string, category string, title string, rule_ord int, flag string")
 
 

@@ -14,6 +14,7 @@ from ..operators.filters import Condition
 from ..sources import lists
 from ..sources import pages as page_source
 from . import fixtures as fx
+from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,7 +222,7 @@ query(f"with {C} select ord from c where lower(url) like '%guide%' or lower(titl
 _ERR = "(status_code = 0 or status_code >= 400)"
 _QUICK = {
     "all": "true", "errors": _ERR, "missing-title": f"not {_ERR} and title = ''", "missing-desc": f"not {_ERR} and description = ''", "title-long": "length(title) > 60", "multi-h1": "n_h1 > 1", "missing-h1": f"not {_ERR} and n_h1 = 0", "has-robots": "robots <> ''", "no-robots": f"not {_ERR} and robots = ''", "noindex": "robots like '%noindex%'", "nofollow": "robots like '%nofollow%'", "2xx": "ok", "3xx": "status_code between 300 and 399 or first_hop between 300 and 399", "4xx": "status_code between 400 and 499", "5xx": "status_code between 500 and 599",
-    "images-missing-alt": "n_no_alt > 0", "images-none": "n_img = 0", "images-some": "n_img > 0", "schema-some": "n_schema > 0", "schema-none": "n_schema = 0", "canonical-self": "canonical_status = 'Self Referencing'", "canonical-away": "canonical_status = 'Canonicalised'", "canonical-missing": "canonical_status = 'Missing'", "hreflang-some": "n_hreflang > 0", "hreflang-none": "n_hreflang = 0", "hreflang-default": "n_hreflang > 0 and has_default", "links-internal": "n_links - n_external > 0", "links-external": "n_external > 0", "links-none": "n_links = 0",
+    "images-missing-alt": f"not {_ERR} and (n_no_alt > 0)", "images-none": f"not {_ERR} and (n_img = 0)", "images-some": f"not {_ERR} and (n_img > 0)", "schema-some": f"not {_ERR} and (n_schema > 0)", "schema-none": f"not {_ERR} and (n_schema = 0)", "canonical-self": f"not {_ERR} and (canonical_status = 'Self Referencing')", "canonical-away": f"not {_ERR} and (canonical_status = 'Canonicalised')", "canonical-missing": f"not {_ERR} and (canonical_status = 'Missing')", "hreflang-some": f"not {_ERR} and (n_hreflang > 0)", "hreflang-none": f"not {_ERR} and (n_hreflang = 0)", "hreflang-default": f"not {_ERR} and (n_hreflang > 0 and has_default)", "links-internal": f"not {_ERR} and (n_links - n_external > 0)", "links-external": f"not {_ERR} and (n_external > 0)", "links-none": f"not {_ERR} and (n_links = 0)",
     "social-some": "has_og or has_twitter", "social-none": "not has_og and not has_twitter", "social-og": "has_og", "social-twitter": "has_twitter", "social-no-og": "not has_og", "social-no-twitter": "not has_twitter",
 }
 
@@ -243,28 +244,42 @@ _RULES = {
     "status-4xx": "status_code between 400 and 499", "status-5xx": "status_code between 500 and 599", "redirect-temporary": "hop_count > 0 and first_hop = 302", "perf-slow": "ok and tenths > 30",
 }
 _HITS = "h as (" + " union all ".join(f"select ord, '{k}' as rule_id from c where {v}" for k, v in _RULES.items()) + ")"
-_DIM = "dim(rule_id, severity, grp, category, rule_ord) as (values " + ", ".join(f"('{r.id}', '{r.severity}', '{r.group}', '{rules.CATEGORIES[r.group]}', {k})" for k, r in enumerate(rules.RULES)) + ")"
+_DIM = "dim(rule_id, severity, grp, category, rule_ord) as (values " + ", ".join(f"('{r.id}', '{r.severity}', '{r.group}', '{rules.CATEGORIES[r.group]}', {k})" for k, r in enumerate(rules.RULES)) + ", " + ", ".join(f"('{i}', '{v}', '{g}', '{rules.CATEGORIES[g]}', {len(rules.RULES) + k})" for k, (i, v, g, _) in enumerate(rules.INSIGHTS)) + ")"
 _ISSUES = f"{_HITS}, {_DIM}, s as (select rule_id, count(*) as count from h group by 1), w as (select s.rule_id, severity, grp, category, rule_ord, count, case severity when 'critical' then 55 when 'warning' then 25 else 8 end as weight, least(1.0::double, count * 1.0::double / (select count(*) from c)) as share from s join dim on dim.rule_id = s.rule_id), p as (select *, cast(floor(weight * (0.35::double + 0.65::double * share) * (100::double / 55) + 0.5) as int) as priority from w)"
 
+# What redirects, links and depths say, and all hits with it.
+_SAID = f"v as (select ord, 'insight-redirect-chains' as rule_id from c where hop_count >= 2 union all select ord, 'insight-redirect-loops' from c where hop_count > 0 and loops union all select ord, 'insight-redirect-broken-end' from c where hop_count > 0 and status_code >= 400 union all select key, 'insight-orphan-pages' from ({_ORPHAN}) where indexable union all select dst, 'insight-low-link-pages' from e where is_internal group by dst having count(*) <= 2 union all select key, 'insight-deep-pages' from depths where depth > 3)"
+_EVERY_HIT = _HITS.replace("h as (", "own as (", 1) + f", {_SAID}, h as (select ord, rule_id from own union all select ord, rule_id from v)"
+_REPORT = f"{E}, {_BFS}, " + _ISSUES.replace(_HITS, _EVERY_HIT)
+
 
 def _hits(s, d):
     return rules.hits(fx.crawl(s, d))
 
 
+def _insights(s, d):
+    return rules.insights(fx.crawl(s, d), fx.keys(s, d), fx.edges(s, d), _depths(s, d))
+
+
+def _every_hit(s, d):
+    return stored(_hits(s, d).unionByName(_insights(s, d)), "hits")
+
+
 def _rated(s, d):
     c = fx.crawl(s, d)
-    return rules.prioritised(rules.hits(c), c.count())
+    return rules.prioritised(_every_hit(s, d), c.count())
 
 
 query(f"with {C}, {_HITS} select ord, rule_id from h", "rule_hits")(lambda s, d: _hits(s, d).select("ord", "rule_id"))
 query(f"with {C}, {_ISSUES} select rule_id, severity, grp, count, cast(row_number() over (order by case severity when 'critical' then 0 when 'warning' then 1 else 2 end, count desc, rule_ord) as int) as rank from p", "seo_issues_ranked")(lambda s, d: rules.ranked(_hits(s, d)).select("rule_id", "severity", "grp", "count", "rank"))
 query(f"with {C}, {_ISSUES} select severity, count(*) as issues from p group by 1", "severity_counts")(lambda s, d: rules.issues(_hits(s, d)).groupBy("severity").agg(F.count("*").alias("issues")))
 query(f"with {C}, {_ISSUES} select rule_id, count from p where grp = 'Meta Titles' or rule_id in ('status-4xx', 'status-5xx', 'redirect-temporary', 'perf-slow')", "section_issues")(lambda s, d: rules.issues(_hits(s, d)).where("flag = 'title'").select("rule_id", "count"))
-query(f"with {C}, {_ISSUES} select rule_id, category, count, share, priority from p order by priority desc, count desc, rule_id limit 10", "audit_priorities")(lambda s, d: _rated(s, d).orderBy(F.desc("priority"), F.desc("count"), "rule_id").limit(10).select("rule_id", "category", "count", "share", "priority"))
+query(f"with recursive {C}, {E}, {_BFS}, {_SAID} select ord, rule_id from v", "insight_issues")(lambda s, d: _insights(s, d).select("ord", "rule_id"))
+query(f"with recursive {C}, {_REPORT} select rule_id, category, count, share, priority from p order by priority desc, count desc, rule_id limit 10", "audit_priorities")(lambda s, d: _rated(s, d).orderBy(F.desc("priority"), F.desc("count"), "rule_id").limit(10).select("rule_id", "category", "count", "share", "priority"))
 _CAT = "k(category) as (values " + ", ".join(f"('{c}')" for c in rules.CATEGORY_FLAGS) + "), x as (select k.category, cast(greatest(0, least(100, floor(100 - coalesce(sum(weight * share), 0) + 0.5))) as int) as score, count(p.rule_id) as issues, count(p.rule_id) filter (where severity = 'critical') as critical from k left join p on p.category = k.category group by 1)"
-query(f"with {C}, {_ISSUES}, {_CAT} select category, score, case when score >= 90 then 'Excellent' when score >= 75 then 'Good' when score >= 50 then 'Needs work' else 'Critical' end as grade, issues, critical from x", "category_scores")(lambda s, d: rules.categories(_rated(s, d)).select("category", "score", grade(F.col("score")).alias("grade"), "issues", "critical"))
-query(f"with {C}, {_ISSUES}, {_CAT} select cast(floor(avg(score) + 0.5) as int) as overall_score from x", "overall_score")(lambda s, d: rules.overall(rules.categories(_rated(s, d))))
-query(f"with {C}, {_HITS}, {_DIM} select c.url, c.status_code, severity, category, grp from h join c on c.ord = h.ord join dim on dim.rule_id = h.rule_id", "issue_url_export")(lambda s, d: generators.issue_rows(_hits(s, d), fx.crawl(s, d), rules.dimension(s)).drop("title"))
+query(f"with recursive {C}, {_REPORT}, {_CAT} select category, score, case when score >= 90 then 'Excellent' when score >= 75 then 'Good' when score >= 50 then 'Needs work' else 'Critical' end as grade, issues, critical from x", "category_scores")(lambda s, d: rules.categories(_rated(s, d)).select("category", "score", grade(F.col("score")).alias("grade"), "issues", "critical"))
+query(f"with recursive {C}, {_REPORT}, {_CAT} select cast(floor(avg(score) + 0.5) as int) as overall_score from x", "overall_score")(lambda s, d: rules.overall(rules.categories(_rated(s, d))))
+query(f"with recursive {C}, {_REPORT} select c.url, c.status_code, severity, category, grp from h join c on c.ord = h.ord join dim on dim.rule_id = h.rule_id", "issue_url_export")(lambda s, d: generators.issue_rows(_every_hit(s, d), fx.crawl(s, d), rules.dimension(s)).drop("title"))
 query(f"with {C} select url, status_code, title, cast(length(title) as int) as title_length, cast(length(description) as int) as description_length, n_h1 as h1_count, canonical_status, robots, n_img as images, n_no_alt as images_without_alt, cast(n_links - n_external as int) as internal_links, n_schema as schemas, n_hreflang as hreflangs, hop_count as hops, case when hop_count > 0 and not loops then 'https://end.example/' || ord else url end as final_url from c", "page_summary_export")(lambda s, d: generators.page_rows(fx.crawl(s, d)).drop("description", "h1", "canonical"))
 query(f"with {C} select url, coalesce('img' || i || '.png', 'No images') as src, case when i is null or (ord + i - 1) % 3 = 0 then '' else 'alt' end as alt, n_img as images from c left join (values (1), (2), (3)) v(i) on i <= n_img", "images_unnest")(lambda s, d: generators.image_rows(fx.crawl(s, d)))
 
@@ -282,6 +297,7 @@ def _near_items(s, d):
 _STOP = ", ".join(f"'{w}'" for w in dedupe.token_set.__globals__["STOP_WORDS"])
 _TOKENS = f"t as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as norm, list_distinct(list_filter(string_split_regex(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 and w not in ({_STOP}))) as tokens from documents), u as (select t.* from t join (select norm from t group by norm having count(*) = 1) using (norm) where len(tokens) >= 4 and norm <> '')"
 query(f"with {_TOKENS} select a.doc_id as a, b.doc_id as b, len(list_intersect(a.tokens, b.tokens)) * 1.0::double / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) as similarity from u a join u b on a.doc_id < b.doc_id and least(len(a.tokens), len(b.tokens)) >= 0.85 * greatest(len(a.tokens), len(b.tokens)) - 1e-9 where len(list_intersect(a.tokens, b.tokens)) * 1.0::double / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) >= 0.85", "near_duplicate_pairs")(lambda s, d: dedupe.near_pairs(_near_items(s, d)))
+query(None, "duplicate_group_rows")(lambda s, d: dedupe.group_rows(dedupe.field_groups(fx.crawl(s, d))))
 query(None, "near_duplicate_groups")(lambda s, d: dedupe.near_groups(_near_items(s, d)))
 
 # Redirects, sitemap, robots.
@@ -321,7 +337,7 @@ _literal("jsonld_types", [('{"@type":"A"}', "A"), ('{"@type":["A","B"]}', "A, B"
 _literal("social_tags_dedup", [('<meta property="og:title" content="T"><meta property="OG:title" content="T"><meta name="twitter:card" content="s">', "og:title=T; twitter:card=s"), ("<p>", "")], lambda: _each(html.social_tags(F.col("c")), lambda t: F.concat(t["property"], F.lit("="), t["content"])))
 _literal("hreflang_extract", [('<link rel="alternate" hreflang="de" href="/de"><link rel="alternate" href="/f"><!-- <link rel="alternate" hreflang="fr" href="/fr"> -->', "de=/de; fr=/fr")], lambda: _each(html.hreflangs(F.col("c")), lambda t: F.concat(t["hreflang"], F.lit("="), t["href"])))
 _literal("image_alt_audit", [('<img src="a.png" alt=""><img src="data:x"><img src=\'b.png\' alt="b">', "a.png:none; b.png:b")], lambda: _each(html.images(F.col("c")), lambda i: F.concat(i["src"], F.lit(":"), F.coalesce(i["alt"], F.lit("none")))))
-_literal("sanitise_html", [('<p onclick="x">a<script>b</script><a href="javascript:c" class="d">e</a></p>', '<p>a<a class="d">e</a></p>')], lambda: html.sanitise(F.col("c")))
+_literal("sanitise_html", [('<p onclick="x">a<script>b</script><a href="javascript:c" class="d">e</a></p>', '<p>a<a class="d">e</a></p>'), ('<form><table><tr><td colspan="2" style="x">a<sup>2</sup></td></tr></table><hr></form>', '<table><tr><td colspan="2">a<sup>2</sup></td></tr></table><hr>')], lambda: html.sanitise(F.col("c")))
 _literal("entity_numbers", [("&#233;&#x41;&eacute;", "éA&eacute;")], lambda: html.decode_numbers(F.col("c")))
 _literal("sitemap_locations", [("<urlset><url><loc><![CDATA[http://a/?x=1&amp;y]]></loc></url><url><lastmod>1</lastmod></url><url><loc> http://b\n</loc></url></urlset>", "http://a/?x=1&y; http://b")], lambda: F.array_join(lists.locations(F.col("c"), "url"), "; "))
 _literal("robots_sitemaps", [("User-agent: *\n sitemap : http://a/1.xml\nSitemap: http://a/2.xml", "http://a/1.xml; http://a/2.xml")], lambda: F.array_join(lists.declared_sitemaps(F.col("c")), "; "))

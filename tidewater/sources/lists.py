@@ -43,12 +43,15 @@ def locations(xml: Column, wrapper: str) -> Column:
     return F.filter(F.transform(found, loc), lambda u: u != "")
 
 
-def sitemap(files: DataFrame, roots: list[str], domain: str, levels: int = 10, limit: int = 50_000) -> DataFrame:
-    """url of what the sitemaps from roots list, within a domain and its subdomains; files: (url, xml) of every sitemap."""
+def sitemap(files: DataFrame, roots: list[str], domain: str, limit: int | None = None) -> DataFrame:
+    """url of what the sitemaps from roots list, within a domain and its subdomains; files: (url, xml) of every sitemap.
+
+    Indexes are followed until they name no new sitemap. limit: so many in the order of the addresses.
+    """
     spark = files.sparkSession
     frontier = spark.createDataFrame([(r,) for r in roots], "url string")
     seen, found = frontier, None
-    for _ in range(levels):
+    while True:
         own = files.join(frontier, "url", "left_semi")
         pages = own.where(~F.col("xml").rlike("(?i)<sitemapindex")).select(F.explode(locations(F.col("xml"), "url")).alias("url"))
         found = pages if found is None else found.unionByName(pages)
@@ -57,7 +60,8 @@ def sitemap(files: DataFrame, roots: list[str], domain: str, levels: int = 10, l
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return found.where(urls.within_domain(F.col("url"), domain)).distinct().orderBy("url").limit(limit)
+    listed = found.where(urls.within_domain(F.col("url"), domain)).distinct()
+    return listed if limit is None else listed.orderBy("url").limit(limit)
 
 
 def declared_sitemaps(content: Column) -> Column:

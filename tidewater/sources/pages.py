@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from email.utils import parsedate_to_datetime
 from typing import NamedTuple
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import html as h
 from ..functions import urls
+from ..operators import redirects
+from ..plans.storage import stored
 
 #: Answers worth another try, and how often and how long.
 RETRY = {408, 425, 429}
@@ -36,6 +39,16 @@ class Answer(NamedTuple):
     body: str
 
 
+def retry_after(value: str, now: Callable[[], float] = time.time) -> float | None:
+    """The seconds that a Retry-After header asks for: a number of them, or a date."""
+    if value.strip().isdigit():
+        return float(value)
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - now())
+    except (TypeError, ValueError):
+        return None
+
+
 def fetch_one(url: str, send: Callable[[str, int], Answer], wait: Callable[[float], None] = time.sleep) -> tuple[Answer | None, int]:
     """(the answer, tries): tries again on busy and server errors, longer each time; none if nothing answered."""
     for attempt in range(1, TRIES + 1):
@@ -51,11 +64,12 @@ def fetch_one(url: str, send: Callable[[str, int], Answer], wait: Callable[[floa
             return answer, attempt
         after = answer.headers.get("retry-after", "") if answer is not None else ""
         base = LONG_WAIT if answer is not None and answer.status in (429, 503) else WAIT
-        wait(min(float(after), MOST_WAIT) if after.isdigit() else base * 2 ** (attempt - 1))
+        asked = retry_after(after)
+        wait(min(asked, MOST_WAIT) if asked is not None else base * 2 ** (attempt - 1))
     return None, TRIES
 
 
-FETCHED = "ord long, url string, status string, status_code int, html string, fetch_time string"
+FETCHED = "ord long, url string, status string, status_code int, html string, fetch_time string, location string, refresh string"
 
 
 def fetch(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int = 3, deadline: float = 125.0) -> DataFrame:
@@ -67,14 +81,14 @@ def fetch(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int
 
             def one(url: str) -> tuple:
                 if time.monotonic() > end:
-                    return "Error", 0, "", "skipped (deadline)"
+                    return "Error", 0, "", "skipped (deadline)", "", ""
                 began = time.monotonic()
                 answer, _ = fetch_one(url, send)
                 took = f"{time.monotonic() - began:.1f}s"
                 if answer is None or not 200 <= answer.status < 400:
-                    return "Error", answer.status if answer else 0, "", took
+                    return "Error", answer.status if answer else 0, "", took, "", ""
                 page = 200 <= answer.status < 300 and "html" in answer.headers.get("content-type", "text/html")
-                return "OK", answer.status, answer.body if page else "", took
+                return "OK", answer.status, answer.body if page else "", took, answer.headers.get("location", ""), answer.headers.get("refresh", "")
 
             with ThreadPoolExecutor(workers) as pool:
                 rows = list(pool.map(one, batch["url"]))
@@ -83,6 +97,40 @@ def fetch(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int
     return addresses.where(urls.is_safe(F.col("url"))).select("ord", "url").mapInPandas(fetched, FETCHED)
 
 
+HOPS = "array<struct<url:string,status:int,type:string>>"
+
+
+def follow(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int = 3, deadline: float = 125.0, most: int = redirects.MOST_HOPS) -> DataFrame:
+    """Addresses (ord, url) fetched through their redirects: FETCHED of the last answer, with the columns of the chain.
+
+    initial_url, redirect_chain (the addresses that led on, with their status and kind), hop_count, final_url, redirected_url (null without a hop), redirect_type,
+    redirect_status_code (the first hop's). A chain ends at an answer that leads nowhere, at an address it had before, or after `most` hops. An unsafe address is an error.
+    """
+    going = addresses.select("ord", F.col("url").alias("initial_url"), F.col("url").alias("at"), F.array().cast(HOPS).alias("redirect_chain"))
+    done = None
+    for turn in range(most + 1):
+        answers = fetch(going.select("ord", F.col("at").alias("url")), send, workers, deadline).drop("url")
+        hop = redirects.next_hop(F.col("status_code"), F.col("location"), F.col("refresh"), F.col("html"))
+        rows = stored(going.join(answers, "ord", "left").withColumn("hop", hop), "answers")
+        target = F.when(urls.is_absolute(F.col("hop.target")), F.col("hop.target")).otherwise(urls.join(F.col("at"), F.col("hop.target")))
+        rows = rows.withColumn("next", F.when(F.col("hop.target").isNotNull(), urls.without_fragment(target)))
+        visited = F.array_append(F.transform("redirect_chain", lambda h: urls.without_fragment(h["url"])), urls.without_fragment(F.col("at")))
+        chain = F.array_append("redirect_chain", F.struct(F.col("at").alias("url"), F.col("status_code").alias("status"), F.col("hop.type").alias("type")))
+        leads = F.col("next").isNotNull() & (F.lit(turn) < most)
+        again = F.array_contains(visited, F.col("next"))
+        ended = rows.where(~leads | again).withColumn("redirect_chain", F.when(leads, chain).otherwise(F.col("redirect_chain"))).withColumn("final_url", F.when(leads, F.col("next")).otherwise(F.col("at")))
+        ended = ended.drop("hop", "next", "at", "location", "refresh")
+        done = ended if done is None else done.unionByName(ended)
+        going = rows.where(leads & ~again).select("ord", "initial_url", F.col("next").alias("at"), chain.alias("redirect_chain"))
+        if going.isEmpty():
+            break
+    hops = F.size("redirect_chain")
+    return done.select(
+        "ord", F.col("initial_url").alias("url"), F.coalesce("status", F.lit("Error")).alias("status"), F.coalesce("status_code", F.lit(0)).alias("status_code"), F.coalesce("html", F.lit("")).alias("html"), F.coalesce("fetch_time", F.lit("0.0s")).alias("fetch_time"),
+        "initial_url", "redirect_chain", hops.alias("hop_count"), "final_url", F.when(hops > 0, F.col("final_url")).alias("redirected_url"), redirects.kind(F.col("redirect_chain")).alias("redirect_type"), F.get("redirect_chain", F.lit(0))["status"].alias("redirect_status_code"),
+    )
+
+
 def assemble(fetched: DataFrame) -> DataFrame:
     """Fetched rows (ord, url, status_code, html, ...) with `status`, and html emptied where nothing was answered; a last 3xx stays OK."""
     good = F.col("status_code").between(200, 399)

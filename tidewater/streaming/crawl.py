@@ -15,8 +15,9 @@ def distinct_pages(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withColumn("page", urls.crawl_key(F.col("url"))).withWatermark("ts", late).dropDuplicatesWithinWatermark(["page"])
 
 
-def distinct_events(stream: DataFrame, keys: list[str], late: str = "40 days") -> DataFrame:
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def distinct_events(stream: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """The first event (ts) of each key, however late the others are: the state holds every key. With `late`, keys are forgotten after that time, and later events lost."""
+    return stream.dropDuplicates(keys) if late is None else stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def append_unseen(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
