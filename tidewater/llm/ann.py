@@ -31,7 +31,7 @@ SAMPLE = 20_000
 LIST_ROWS = 512
 MOST_LISTS = 2048
 REPLICAS = 3
-BOUNDARIES = (1.0, 1.05, 1.15)
+BOUNDARIES = (1.02, 1.05, 1.15)
 DEGREE = 16
 ENTRIES = 4
 RECALL = 0.95
