@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blank, squeeze, token_set
 from ..plans.storage import stored
 
-NEAR, FEWEST = 0.85, 4
+NEAR, FEWEST, BLOCK = 0.85, 4, 1000
 
 
 def exact_groups(rows: DataFrame, value: Column) -> DataFrame:
@@ -24,24 +24,37 @@ def repeated(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def near_candidates(rows: DataFrame, value: Column, fewest: int = FEWEST) -> DataFrame:
-    """ord, value, tokens of texts of enough tokens that are in no exact group."""
-    items = rows.where(~blank(value)).select("ord", value.alias("value"), squeeze(value).alias("norm"), token_set(value).alias("tokens"))
-    return items.join(exact_groups(rows, value).select("norm"), "norm", "left_anti").where(F.size("tokens") >= fewest).select("ord", "value", "tokens")
+    """ord, value, tokens of texts of enough tokens that are in no exact group.
+
+    Texts are read once: their tokens and the digest that tells equal ones are a table, and digests are what is shuffled.
+    """
+    items = rows.where(~blank(value)).select("ord", value.alias("value"), F.sha2(squeeze(value), 256).alias("same"), token_set(value).alias("tokens"))
+    items = stored(items, "texts")
+    single = items.groupBy("same").agg(F.count("*").alias("copies")).where("copies = 1").select("same")
+    return items.where(F.size("tokens") >= fewest).join(single, "same", "left_semi").select("ord", "value", "tokens")
 
 
-def near_pairs(items: DataFrame, threshold: float = NEAR) -> DataFrame:
+def near_pairs(items: DataFrame, threshold: float = NEAR, block: int = BLOCK) -> DataFrame:
     """a, b, similarity of items (ord, tokens) alike enough: exact, by the rarest tokens of each set.
 
-    Two sets of that similarity share one of their |A| - ceil(t |A|) + 1 rarest tokens.
+    Two sets of that similarity share one of their |A| - ceil(t |A|) + 1 rarest tokens, and after the first that they share each has
+    enough tokens left for what they must have in common. Sets that share a token meet in blocks of about `block` of them, so that a
+    frequent one is spread over many tasks.
     """
-    items = stored(items.select("ord", F.transform(F.array_sort("tokens"), lambda t: F.xxhash64(t)).alias("tokens")), "items")  # read four times; words as 64-bit hashes
+    items = stored(items.select("ord", F.sort_array(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens")), "items")  # read four times; words as 64-bit hashes
     each = items.select("ord", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "token").groupBy("ord", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("rare"))
+    ranked = each.join(counts, "token").groupBy("ord", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
     prefix = F.slice("rare", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    heads = ranked.select("ord", "n", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
-    a, b = heads.select(F.col("ord").alias("a"), F.col("n").alias("na"), "token"), heads.select(F.col("ord").alias("b"), F.col("n").alias("nb"), "token")
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
+    heads = stored(ranked.select("ord", "n", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("place", "token")), "heads")
+    shared = heads.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
+    heads = heads.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = heads.select("token", F.col("own").alias("i"), F.col("other").alias("j"), F.col("ord").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    b = heads.select("token", F.col("other").alias("i"), F.col("own").alias("j"), F.col("ord").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    common = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    left_over = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (left_over >= common)
+    pairs = a.join(b, ["token", "i", "j"]).where(alike).select("a", "b").distinct()
     left, right = items.select(F.col("ord").alias("a"), F.col("tokens").alias("ta")), items.select(F.col("ord").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
     similarity = F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))

@@ -298,7 +298,9 @@ _STOP = ", ".join(f"'{w}'" for w in dedupe.token_set.__globals__["STOP_WORDS"])
 _TOKENS = f"t as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as norm, list_distinct(list_filter(string_split_regex(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 and w not in ({_STOP}))) as tokens from documents), u as (select t.* from t join (select norm from t group by norm having count(*) = 1) using (norm) where len(tokens) >= 4 and norm <> '')"
 query(f"with {_TOKENS} select a.doc_id as a, b.doc_id as b, len(list_intersect(a.tokens, b.tokens)) * 1.0::double / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) as similarity from u a join u b on a.doc_id < b.doc_id and least(len(a.tokens), len(b.tokens)) >= 0.85 * greatest(len(a.tokens), len(b.tokens)) - 1e-9 where len(list_intersect(a.tokens, b.tokens)) * 1.0::double / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) >= 0.85", "near_duplicate_pairs")(lambda s, d: dedupe.near_pairs(_near_items(s, d)))
 query(None, "duplicate_group_rows")(lambda s, d: dedupe.group_rows(dedupe.field_groups(fx.crawl(s, d))))
-query(None, "near_duplicate_groups")(lambda s, d: dedupe.near_groups(_near_items(s, d)))
+_BESIDE = "p as ({pairs}), b as (select ord, row_number() over (order by ord) as k, coalesce(e, []) as earlier from (select a as ord from p union select b from p) left join (select b as ord, list(a) as e from p group by b) using (ord))"
+_GREEDY = "r(k, ord, leader, leaders) as (select 0::bigint, null::bigint, null::bigint, []::bigint[] union all select b.k, b.ord, list_min(list_intersect(b.earlier, r.leaders)), case when len(list_intersect(b.earlier, r.leaders)) = 0 then list_append(r.leaders, b.ord) else r.leaders end from r join b on b.k = r.k + 1)"
+query(f"with recursive {_BESIDE.format(pairs=SQL['near_duplicate_pairs'])}, {_GREEDY} select ord, leader from r where leader is not null union select leader, leader from r where leader is not null", "near_duplicate_groups")(lambda s, d: dedupe.near_groups(_near_items(s, d)))
 
 # Redirects, sitemap, robots.
 query(f"with {C} select ord, hop_count, loops and hop_count > 0 as is_loop, status_code >= 400 as ends_in_error, status_code as final_status, 'http' as kind from c where hop_count > 0", "redirect_chains")(lambda s, d: redirects.chains(fx.crawl(s, d)).select("ord", "hop_count", "is_loop", "ends_in_error", "final_status", "kind"))
@@ -321,33 +323,60 @@ query("select * from (values ('group', 0, '*', null, null, null, null), ('disall
 query("select page_id, not (regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '/fr/%' and not regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '/fr/a%') as allowed from pages", "robots_match")(lambda s, d: _pages(s, d).select("page_id", "url").join(robots.match(robots.parse(_files(s)), _pages(s, d).select(F.lit("x").alias("source"), "url", F.lit("Mozilla/5.0 (compatible; Googlebot/2.1)").alias("agent"))), "url").select("page_id", "allowed"))
 
 
-# Literal rows for what the tables lack: the expected rows are the SQL.
-def _literal(name: str, rows: list[tuple[str, object]], expression: Callable[[], F.Column]) -> None:
-    sql = " union all ".join(f"select {k} as case_no, {'null' if want is None else chr(39) + str(want).replace(chr(39), chr(39) * 2) + chr(39)} as result" for k, (_, want) in enumerate(rows))
-    query(sql, name)(lambda s, d: s.createDataFrame([(k, c) for k, (c, _) in enumerate(rows)], "case_no int, c string").select("case_no", expression().alias("result")))
+# Elements that the pages lack are set into every page's head by rule, so that these run over whole pages; the SQL says what is found.
+def _quoted(x: str | None) -> str:
+    return "cast(null as varchar)" if x is None else "replace('" + x.replace("'", "''") + "', '{}', cast(page_id as varchar))"
+
+
+def _by_page(*wants: str | None) -> str:
+    """SQL: what is wanted of a page, dealt by page_id; {} is the page_id."""
+    return f"case page_id % {len(wants)} " + " ".join(f"when {k} then {_quoted(w)}" for k, w in enumerate(wants)) + " end"
+
+
+def _dealt(*texts: str) -> F.Column:
+    own = F.array(*(F.replace(F.lit(t), F.lit("{}"), F.col("page_id").cast("string")) for t in texts))
+    return F.element_at(own, (F.col("page_id") % len(texts) + 1).cast("int"))
+
+
+def _marked(name: str, cases: list[tuple[str, str | None]], expression: Callable[[], F.Column], sql: str | None = None) -> None:
+    """A query over every page with an element of `cases` in its head; sql: the result's expression over html and {own}, what is wanted of the element."""
+    own = _by_page(*(w for _, w in cases))
+    query(f"select page_id, {(sql or '{own}').replace('{own}', own)} as result from pages", name)(
+        lambda s, d: _pages(s, d).withColumn("c", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), _dealt(*(t for t, _ in cases))))).select("page_id", expression().alias("result"))
+    )
+
+
+def _rows(name: str, cases: list[tuple[str, str | None]], expression: Callable[[], F.Column], sql: str | None = None) -> None:
+    """A query over a text of each page: one of `cases`, where %u is the page's address."""
+    own = "replace(" + _by_page(*(w for _, w in cases)) + ", '%u', url)"
+    query(f"select page_id, {own} as result from pages", name)(lambda s, d: _pages(s, d).withColumn("c", F.replace(_dealt(*(t for t, _ in cases)), F.lit("%u"), F.col("url"))).select("page_id", expression().alias("result")))
 
 
 _each = lambda c, f: F.array_join(F.transform(c, f), "; ")
-_literal("anchor_text_cascade", [("<h2>A &amp; B</h2><p>x</p>", "A & B"), ("<div><p>label here</p> more</div>", "label here"), ('<img alt="picture" src="x">', "picture"), ("words " * 30, "words " * 15 + "words…"), ("", "")], lambda: html.anchor_text(F.col("c")))
-_literal("card_context", [("<h3>Name</h3><p>" + "this text describes the thing in full " * 2 + "</p>", "Name — " + ("this text describes the thing in full " * 2).strip()), ("<h3>Name</h3><p>from $20 and more, inclusive of everything that there is</p>", None), ("<p>no heading but a text that would be long enough to be one</p>", None)], lambda: html.card_text(F.col("c")))
-_literal("js_redirect", [("<script>window.location.href='/a'</script>", "/a"), ("<script>x.onclick=function(){location='/b'}</script>", None), ("<script>location.replace(\"/c\")</script>", "/c"), ("<p>location='/d'</p>", None)], lambda: html.script_redirect(F.col("c")))
-_literal("meta_refresh", [('<meta http-equiv="refresh" content="5;url=/a">', "/a"), ('<meta http-equiv="refresh" content="6;url=/a">', None), ("<p>", None)], lambda: html.meta_refresh(F.col("c"))["target"])
-_literal("meta_description", [('<meta name="description" content=""><meta name="description" content="two">', "two"), ("<!-- <meta name=description content=x> -->", ""), ("<meta content='it''s' name='description'>", "it")], lambda: html.description(F.col("c")))
-_literal("jsonld_types", [('{"@type":"A"}', "A"), ('{"@type":["A","B"]}', "A, B"), ('{"@graph":[{"@type":"A"},{"@type":"B"}]}', "A + B"), ("{", "Raw"), ("{}", "Schema")], lambda: html.schema_label(F.col("c")))
-_literal("social_tags_dedup", [('<meta property="og:title" content="T"><meta property="OG:title" content="T"><meta name="twitter:card" content="s">', "og:title=T; twitter:card=s"), ("<p>", "")], lambda: _each(html.social_tags(F.col("c")), lambda t: F.concat(t["property"], F.lit("="), t["content"])))
-_literal("hreflang_extract", [('<link rel="alternate" hreflang="de" href="/de"><link rel="alternate" href="/f"><!-- <link rel="alternate" hreflang="fr" href="/fr"> -->', "de=/de; fr=/fr")], lambda: _each(html.hreflangs(F.col("c")), lambda t: F.concat(t["hreflang"], F.lit("="), t["href"])))
-_literal("image_alt_audit", [('<img src="a.png" alt=""><img src="data:x"><img src=\'b.png\' alt="b">', "a.png:none; b.png:b")], lambda: _each(html.images(F.col("c")), lambda i: F.concat(i["src"], F.lit(":"), F.coalesce(i["alt"], F.lit("none")))))
-_literal("sanitise_html", [('<p onclick="x">a<script>b</script><a href="javascript:c" class="d">e</a></p>', '<p>a<a class="d">e</a></p>'), ('<form><table><tr><td colspan="2" style="x">a<sup>2</sup></td></tr></table><hr></form>', '<table><tr><td colspan="2">a<sup>2</sup></td></tr></table><hr>')], lambda: html.sanitise(F.col("c")))
-_literal("entity_numbers", [("&#233;&#x41;&eacute;", "éA&eacute;")], lambda: html.decode_numbers(F.col("c")))
-_literal("sitemap_locations", [("<urlset><url><loc><![CDATA[http://a/?x=1&amp;y]]></loc></url><url><lastmod>1</lastmod></url><url><loc> http://b\n</loc></url></urlset>", "http://a/?x=1&y; http://b")], lambda: F.array_join(lists.locations(F.col("c"), "url"), "; "))
-_literal("robots_sitemaps", [("User-agent: *\n sitemap : http://a/1.xml\nSitemap: http://a/2.xml", "http://a/1.xml; http://a/2.xml")], lambda: F.array_join(lists.declared_sitemaps(F.col("c")), "; "))
-_literal("url_safety", [("http://10.1.1.1/", "false"), ("https://x.example/", "true"), ("http://[::1]/", "false"), ("ftp://x.example/", "false")], lambda: urls.is_safe(F.col("c")).cast("string"))
-query("select 'http://a' as url union all select 'https://b'", "url_list_text")(lambda s, d: lists.from_text(s.createDataFrame([(0, " http://a "), (1, "x"), (2, "https://b"), (3, "http://a")], "ord int, value string")).select("url"))
-query("select 'http://a' as url union all select 'http://c'", "url_list_rows")(lambda s, d: lists.from_rows(s.createDataFrame([(0, "x,http://a,http://b"), (1, "y"), (2, '"http://c",1')], "ord int, value string")).select("url"))
-_CLUSTER = "cluster int, canonical string, x_default string, alternates array<struct<language:string,country:string,href:string>>"
-query("select 1 as cluster, 'a code is there twice' as warning union all select 1, 'an alternate is no absolute address' union all select 2, 'canonical is missing' union all select 2, 'fewer than two alternates'", "hreflang_validate")(lambda s, d: generators.hreflang_warnings(s.createDataFrame([(1, "http://c/", None, [("en", "gb", "http://a/"), ("EN", "GB", "b")]), (2, "", None, [("de", "", "http://d/")])], _CLUSTER)))
+_LONG = "this text describes the thing of page {} in full and " * 2
+_ANCHORS = f"array_to_string(list_prepend({{own}}, list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: trim(regexp_replace({_DECODE.format('x')}, '\\s+', ' ', 'g')))), '; ')"
+_marked("anchor_text_cascade", [("<a href='/a'><h2>A &amp; {}</h2><p>x</p></a>", "A & {}"), ("<a href='/b'><div><p>label {}</p> more</div></a>", "label {}"), ('<a href="/c"><img alt="picture {}" src="x"></a>', "picture {}"), ("<a href='/d'>" + "words " * 30 + "</a>", "words " * 15 + "words…")], lambda: _each(html.anchors(F.col("c")), lambda a: html.anchor_text(a["inner"])), _ANCHORS)
+_marked("card_context", [(f"<a href='/a'><h3>Name</h3><p>{_LONG}</p></a>", f"Name — {_LONG.strip()}"), ("<a href='/b'><h3>Name</h3><p>from $20 and more, inclusive of everything that there is</p></a>", None), ("<a href='/c'><p>no heading but a text that would be long enough to be one</p></a>", None)], lambda: html.card_text(F.get(html.anchors(F.col("c")), F.lit(0))["inner"]))
+_marked("js_redirect", [("<script>window.location.href='/a/{}'</script>", "/a/{}"), ("<script>x.onclick=function(){location='/b'}</script>", None), ('<script>location.replace("/c/{}")</script>', "/c/{}"), ("<p>location='/d'</p>", None)], lambda: html.script_redirect(F.col("c")))
+_marked("meta_refresh", [('<meta http-equiv="refresh" content="5;url=/a/{}">', "/a/{}"), ('<meta http-equiv="refresh" content="6;url=/a">', None), ("<!-- <meta http-equiv='refresh' content='0;url=/a'> -->", None)], lambda: html.meta_refresh(F.col("c"))["target"])
+_marked("meta_description", [('<meta name="description" content=""><meta name="description" content="two &amp; {}">', "two & {}"), ("<!-- <meta name=description content=x> -->", ""), ('<meta content="about {}" name="description">', "about {}")], lambda: html.description(F.col("c")))
+_LD = '<script type="application/ld+json">%s</script>'
+_marked("jsonld_types", [(_LD % '{"@type":"A{}"}', "A{}"), (_LD % '{"@type":["A","B{}"]}', "A, B{}"), (_LD % '{"@graph":[{"@type":"A"},{"@type":"B"}]}', "A + B"), (_LD % "[", "Raw"), (_LD % '{"a":1}', "Schema")], lambda: html.schema_label(F.get(html.json_ld(F.col("c")), F.lit(0))))
+_marked("social_tags_dedup", [('<meta property="og:title" content="T{}"><meta property="OG:title" content="T{}"><meta name="twitter:card" content="s">', "og:title=T{}; twitter:card=s"), ("", "")], lambda: _each(html.social_tags(F.col("c")), lambda t: F.concat(t["property"], F.lit("="), t["content"])))
+_marked("hreflang_extract", [('<link rel="alternate" hreflang="de" href="/de/{}"><link rel="alternate" href="/f"><link rel="alternate" hreflang="fr" href="/fr/{}">', "de=/de/{}; fr=/fr/{}"), ('<link rel="alternate" hreflang="de">', "")], lambda: _each(html.hreflangs(F.col("c")), lambda t: F.concat(t["hreflang"], F.lit("="), t["href"])))
+_marked("image_alt_audit", [('<img src="a{}.png" alt=""><img src="data:x"><img src=\'b.png\' alt="b &amp; {}">', "a{}.png:none; b.png:b & {}"), ("<img alt='x'>", "")], lambda: _each(html.images(F.col("c")), lambda i: F.concat(i["src"], F.lit(":"), F.coalesce(i["alt"], F.lit("none")))))
+_marked("entity_numbers", [("&#233;&#x41;{}", "éA{}"), ("&eacute;&#{};", None)], lambda: html.decode_numbers(F.col("c")), "case when page_id % 2 = 0 then replace(html, '<head>', '<head>' || {own}) else replace(html, '<head>', '<head>&eacute;' || chr(cast(page_id as int))) end")
+_GONE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)</?(html|head|meta|title|body|nav|article|footer|header|main|section|aside)\\b[^>]*>', '', 'g')"
+_marked("sanitise_html", [('<p onclick="x">a{}<script>b</script><a href="javascript:c" class="d">e</a></p>', '<p>a{}<a class="d">e</a></p>'), ('<form><table><tr><td colspan="2" style="x">{}<sup>2</sup></td></tr></table><hr></form>', '<table><tr><td colspan="2">{}<sup>2</sup></td></tr></table><hr>')], lambda: html.sanitise(F.col("c")), "'<!DOCTYPE html>' || {own} || substr(" + _GONE + ", 16)")
+_rows("sitemap_locations", [("<urlset><url><loc><![CDATA[http://a/?x={}&amp;y]]></loc></url><url><lastmod>1</lastmod></url><url><loc> %u\n</loc></url></urlset>", "http://a/?x={}&y; %u")], lambda: F.array_join(lists.locations(F.col("c"), "url"), "; "))
+_rows("robots_sitemaps", [("User-agent: *\n sitemap : http://a/{}.xml\nSitemap: %u", "http://a/{}.xml; %u"), ("Disallow: /{}", "")], lambda: F.array_join(lists.declared_sitemaps(F.col("c")), "; "))
+_rows("url_safety", [("http://10.1.1.1/{}", "false"), ("%u", "true"), ("http://[::1]/{}", "false"), ("ftp://x.example/{}", "false")], lambda: urls.is_safe(F.col("c")).cast("string"))
+query("select distinct url from pages where url like 'http%' and page_id % 3 <> 1", "url_list_text")(lambda s, d: lists.from_text(_pages(s, d).select(F.col("page_id").alias("ord"), F.concat(F.lit(" "), F.when(F.col("page_id") % 3 == 1, F.lit("x")).otherwise(F.col("url")), F.lit(" ")).alias("value")).transform(lambda t: t.union(t.withColumn("ord", F.col("ord") + 1_000_000_000)))).select("url"))
+query("select distinct url from pages where page_id % 3 <> 1", "url_list_rows")(lambda s, d: lists.from_rows(_pages(s, d).select(F.col("page_id").alias("ord"), F.when(F.col("page_id") % 3 == 1, F.lit("x,y")).when(F.col("page_id") % 3 == 2, F.concat(F.lit('"'), F.col("url"), F.lit('",1'))).otherwise(F.concat(F.lit("x,"), F.col("url"), F.lit(",http://b"))).alias("value"))).select("url"))
+_ALTERNATES = "array(named_struct('language', 'en', 'country', 'gb', 'href', url), named_struct('language', if(page_id % 2 = 0, 'EN', 'fr'), 'country', 'GB', 'href', if(page_id % 3 = 0, 'b', url || '/b')))"
+query("select page_id as cluster, w as warning from pages, (values ('a code is there twice', 2, 0), ('an alternate is no absolute address', 3, 0), ('canonical is missing', 5, 1)) v(w, m, r) where page_id % m = r", "hreflang_validate")(lambda s, d: generators.hreflang_warnings(_pages(s, d).selectExpr("page_id as cluster", "if(page_id % 5 = 1, '', url) as canonical", "cast(null as string) as x_default", f"{_ALTERNATES} as alternates")))
 query("select page_id, code, 'https://x.example/' || code as href from pages, (values ('en-GB'), ('de')) v(code)", "hreflang_bulk")(lambda s, d: _pages(s, d).select("page_id", "url").join(generators.hreflang_bulk(_pages(s, d).select("url"), s.createDataFrame([("en", "gb", "https://x.example/en-GB"), ("de", "", "https://x.example/de")], "language string, country string, href string")), "url").select("page_id", "code", "href"))
-query("select 'u' as url, 'og:description is missing' as warning union all select 'u', 'og:image is no absolute address'", "social_validate")(lambda s, d: generators.social_warnings(s.createDataFrame([("u", "title", "", "/rel", None, None, None, None)], "url string, og_title string, og_description string, og_image string, twitter_title string, twitter_description string, twitter_image string, card string")))
+query("select url, w as warning from pages, (values ('og:description is missing', 2), ('og:image is no absolute address', 3)) v(w, m) where page_id % m = 0", "social_validate")(lambda s, d: generators.social_warnings(_pages(s, d).selectExpr("url", "'title' as og_title", "if(page_id % 2 = 0, '', 'about') as og_description", "if(page_id % 3 = 0, '/rel', url) as og_image", "cast(null as string) as twitter_title", "cast(null as string) as twitter_description", "cast(null as string) as twitter_image", "cast(null as string) as card")))
 query(f"with {C}, {E}, l as (select ord as k from c), w as (select distinct dst as k from e) select cast(k as varchar) as url, 'spider' as origin from w union all select cast(k as varchar), 'sitemap' from l where k not in (select k from w)", "spider_union_sitemap")(lambda s, d: lists.with_sitemap(fx.edges(s, d).select(F.col("dst").cast("string").alias("url")).distinct(), fx.keys(s, d).select(F.col("key").cast("string").alias("url"))))
 query("with x as (select conv_id, count(*) as turns, string_agg(role, ',' order by turn) as roles from conversations group by 1) select conv_id, turns, roles from x", "conversation_turns_nested")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").transform(lambda t: merge.nested(t.select("conv_id").distinct(), t, "conv_id", "conv_id", "turn", "items")).select("conv_id", F.size("items").cast("long").alias("turns"), F.array_join(F.transform("items", lambda i: i["role"]), ",").alias("roles")))
 query(f"with {C} select url, title, n_h1 as h1s_count, case when canonical_status = 'Missing' then '' else 'x' end as canonical, canonical_status, status_code from c", "meta_export")(lambda s, d: generators.meta_rows(fx.crawl(s, d), {"title", "h1", "canonical"}).drop("h1s", "status", "fetch_time"))
