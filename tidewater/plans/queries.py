@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..functions.scalars import grade, length_badge
-from ..operators import dedupe, filters, generators, graph, links, merge, redirects, report, robots, rules
+from ..operators import access, dedupe, filters, generators, graph, links, merge, redirects, report, robots, rules
 from ..operators.filters import Condition
 from ..sources import lists
 from ..sources import pages as page_source
@@ -387,6 +387,53 @@ query(f"with {C} select url || chr(9) || title || chr(9) || status_code as line
 query(f"with {C} select url, case when has_og then 'x' else title end as title, description, case when n_img > 0 then 'img1.png' else '' end as image from c", "social_preview")(lambda s, d: generators.preview(fx.crawl(s, d)))
 
 
+# Filters, access, graph cuts and file texts over whole tables.
+_KINDS = {"all": "true", "external": "not is_internal", "missing-rel": "missing_rel", "nofollow": "nofollow", "sponsored": "sponsored", "ugc": "ugc"}
+
+
+@query(f"with {C}, {E}, {_AUDIT} " + " union all ".join(f"select '{k}' as filter, src, dst, pos from a where {w}" for k, w in _KINDS.items()))
+def link_filters(s, d):
+    audited = links.audit(fx.edges(s, d))
+    held = F.array_compact(F.array(*(F.when(c(), F.lit(k)) for k, c in filters.LINKS.items())))
+    return audited.select(F.explode(held).alias("filter"), "src", "dst", "pos")
+
+
+query(f"select rule_id, grp from ({SQL['seo_issues_ranked']}) where severity = 'warning' and grp ilike '%meta%'", "issue_filter")(lambda s, d: filters.issues(rules.ranked(_hits(s, d)).withColumn("title", F.lit("")), "warning", "META").select("rule_id", "grp"))
+
+
+@query(f"with k as ({SQL['url_normalise_crawl']}) select min(page_id) as ord from k where key not in (select key from k where page_id % 4 = 0) group by key")
+def unseen_batch(s, d):
+    """Each page comes twice in the batch; every fourth was crawled before."""
+    rows = _pages(s, d).select(F.col("page_id").alias("ord"), "url")
+    again = rows.select((F.col("ord") + 1_000_000_000).alias("ord"), "url")
+    return merge.unseen(rows.union(again), rows.where("ord % 4 = 0").select("url", F.lit(None).cast("string").alias("final_url"))).select("ord")
+
+
+_CUT = f"n as ({SQL['link_graph_nodes']}), top as (select key from n order by in_degree desc, key limit 100)"
+
+
+@query(f"with {_CUT}, g as ({SQL['link_graph_edges']}) select src, dst, links from g where src in (select key from top) and dst in (select key from top)")
+def link_graph_cut(s, d):
+    """Edges between the 100 pages that most others link to, as a viewer shows them."""
+    edges = links.graph_edges(fx.edges(s, d))
+    return links.capped(links.graph_nodes(fx.keys(s, d), edges), edges, [F.desc("in_degree"), "key"], 100)[1].select("src", "dst", "links")
+
+
+@query("select distinct page_id as row_id, user_id, event_type from events join pages on page_id = user_id % 50 where page_id % 3 = 0 or user_id % 2 = 0")
+def access_visible(s, d):
+    """Every user asks for a page with each type of event; a third of the pages is public, even users are admins."""
+    events = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type").distinct()
+    rows = _pages(s, d).select(F.col("page_id").alias("row_id"), (F.col("page_id") % 3 == 0).alias("is_public"))
+    roles = events.select("user_id", F.when(F.col("user_id") % 2 == 0, "admin").otherwise("user").alias("role"))
+    return access.visible(rows, events.withColumn("row_id", F.col("user_id") % 50), roles).select("row_id", "user_id", "event_type")
+
+
+query("select distinct user_id from events where user_id % 2 = 0", "access_admins")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("user_id").distinct().transform(lambda u: access.having_role(u, u.select("user_id", F.when(F.col("user_id") % 2 == 0, "admin").otherwise("user").alias("role")))))
+query(f"with b as ({SQL['robots_suggest']}) select concat_ws(chr(10), 'User-agent: *', 'Allow: /', (select string_agg('Disallow: ' || prefix, chr(10) order by prefix) from b), '', 'Sitemap: https://x.example/sitemap.xml', '') as content", "robots_generate")(lambda s, d: robots.generate(fx.crawl(s, d), "x.example"))
+query(f"select (select count(*) from ({SQL['duplicate_titles_exact']})) as exact_groups, (select cast(coalesce(sum(size), 0) as bigint) from ({SQL['duplicate_titles_exact']})) as exact_pages, count(distinct leader) as near_groups, count(*) as near_pages from ({SQL['near_duplicate_groups']})", "duplicate_summary")(lambda s, d: dedupe.summary(dedupe.exact_groups(fx.crawl(s, d).where("status_code between 200 and 299"), F.col("title")), dedupe.near_groups(_near_items(s, d))))
+query("select distinct page_id, unnest(list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a href=\"([^\"]*)\"', 1), lambda x: trim(x))) as href from pages", "page_hrefs")(lambda s, d: _pages(s, d).select("page_id", F.explode(html.hrefs(F.col("html"))).alias("href")).distinct())
+
+
 # Incremental crawls, history, streams.
 def _fresh(s, d):
     return fx.crawl(s, d).where("status = 'OK'").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("robots", F.lit("none"))
