@@ -1,0 +1,182 @@
+"""The opN_ queries themselves over small tables with edge rows, held against plain versions of their contracts."""
+
+import hashlib
+import math
+import re
+import zlib
+from bisect import bisect_left
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from tidewater.llm import mixing, queries
+from tidewater.llm import quality as q
+
+from .test_ann import brute as nearest_of
+from .test_ann import got as ranked
+from .test_mixing import by_name, water
+from .test_near_dedup import brute as components_of
+from .test_packing import brute as pieces_of
+from .test_packing import whole
+from .test_warc import rows_of
+
+TEXTS = ["", None, " \t\n", "One two, two THREE!\n7 é", "x" * 20_000, "the same text of six words", "the same text of six words", "The SAME text of six words", "w " * 9_000, "é" * 288, "- % # ## \x0b ok.", "日本語 テキスト"]
+DOCS = [(i, t, ("en", "de", None)[i % 3], ("a", "b", None, "é")[i % 4], len(t or "") if i % 5 else None) for i, t in enumerate(TEXTS * 4)]
+DOCS += [DOCS[3], (None, "an id is lacking", "de", "b", 16)]
+LABELS = [(i, i % 2, 0) for i in range(0, 40)] + [(3, None, 1), (None, 1, 0), (999, 0, 0), (5, 0, 0)]
+PAGES = [(1, "http://a/1", "é" * 500), (7, None, "é" * 500), (3, "http://a/3", "short"), (4, "http://a/4", "short"), (5, "http://a/5", None), (6, "http://a/6", "p" * 999), (8, "http://a/8", "p" * 999)]
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """The folder of the tables; each has a column besides, named as one that the queries make."""
+    folder = tmp_path_factory.mktemp("tables")
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist(), 0) for i in range(400)] + [(450, None, 0), (500, [0.0] * 8, 0), (550, [1.0], 0)]
+    for name, rows, schema in (
+        ("documents", DOCS, "doc_id long, text string, lang string, source string, n_chars int"),
+        ("labels", LABELS, "doc_id long, quality int, toxic int"),
+        ("pages", PAGES, "page_id long, url string, html string"),
+        ("embeddings", vectors, "vec_id long, embedding array<float>, label int"),
+    ):
+        spark.createDataFrame([(*r, "extra") for r in rows], schema + ", score string").repartition(3).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+def mod(doc_id, n=5):
+    return 0 if doc_id is None else zlib.crc32(str(doc_id).encode()) % n
+
+
+def test_op1(spark, tables):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{tables}/embeddings.parquet").where("vec_id < 400").collect()]
+    want, have = nearest_of(rows), ranked(queries.op1_ann(spark, tables))
+    assert have.keys() == want.keys()
+    assert sum(len(set(have[k]) & set(want[k])) for k in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def entries(text, chars):
+    """{feature: value} of a text by the docstring of `quality`, in plain Python."""
+    raw, own = (text or "").encode(), [w.encode().lower().decode() for w in WORD.findall(text or "")]
+    kinds = Counter()
+    for b in raw:
+        c = chr(b)
+        kinds["upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "space" if 9 <= b <= 13 or b == 32 else "wide" if b >= 128 else "mark" if 33 <= b < 127 and not c.isalnum() and c not in ".,'" else "lower"] += 1
+    size, n, count = max(len(raw), 1), len(own), Counter(own)
+    statistics = [bisect_left(q.SHARES, kinds[k] / size) for k in ("upper", "digit", "space", "wide", "mark")]
+    statistics += [bisect_left(q.LENGTHS, size / max(n, 1)), bisect_left(q.COUNTS, n), bisect_left(q.SHARES, 1 - len(count) / max(n, 1)), bisect_left(q.SHARES, max(count.values(), default=0) / max(n, 1))]
+    statistics += [bisect_left(q.SHARES, raw.count(b"\n") / size), q.BINS - 1 if chars is None else bisect_left(q.COUNTS, chars)]
+    hashed = Counter()
+    for w, c in count.items():
+        hashed[xxhash.xxh3_64_intdigest(w) % q.BUCKETS] += c
+    length = math.sqrt(sum(c * c for c in hashed.values()))
+    return {**{j: c / length for j, c in hashed.items()}, **{q.BUCKETS + k * q.BINS + b: 1.0 for k, b in enumerate(statistics)}}
+
+
+def test_op2(spark, tables, monkeypatch):
+    learned = []
+    train = q.train
+    monkeypatch.setattr(q, "train", lambda row, feature, value, label, seed=5: learned.append((len(label), train(row, feature, value, label, seed))) or learned[0][1])
+    rows = queries.op2_quality(spark, tables).collect()
+    count, machine = learned[0]
+    assert count == len({d for d, quality, _ in LABELS if d is not None and quality is not None and mod(d) and d < len(TEXTS) * 4})
+    want = []
+    for doc_id, text, _, _, chars in DOCS:
+        x = entries(text, chars)
+        z = machine.bias + sum(float(machine.weights[j]) * v for j, v in x.items())
+        factors = {j: machine.factors[j].astype(float) * v for j, v in x.items()}
+        keys = sorted(factors)
+        z += sum(float(factors[a] @ factors[b]) for i, a in enumerate(keys) for b in keys[:i])
+        want.append((doc_id, mod(doc_id) == 0, 1 / (1 + math.exp(-z))))
+    have = [(r.doc_id, r.held_out, r.score) for r in rows]
+    assert all(r.predicted == int(r.score >= 0.3) for r in rows) and len(have) == len(want)
+    for a, b in zip(sorted(have, key=repr), sorted(want, key=repr), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-5)
+
+
+def test_op3(spark, tables):
+    rows = queries.op3_near_dedup(spark, tables).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == components_of([d[:2] for d in DOCS])
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+def test_op4(spark, tables):
+    rows = queries.op4_matroska(spark, tables).collect()
+    texts = Counter((d, t) for d, t, *_ in DOCS)
+    by_text = {}
+    for r in rows:
+        text = next(t for d, t in texts if d == r.doc_id)
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        frames, signal = len(payload) // 576, [b - 128 for b in payload]
+        clusters = -(-frames // (8 * 32))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(signal, signal[1:]))
+        mean, loud = sum(signal) / len(signal), math.sqrt(sum(s * s for s in signal) / len(signal))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.feature == f"{frames} packets, {clusters} clusters, {clusters} cues, {frames * 72} ms, mean {mean:.4f}, rms {loud:.4f}, {crossings} crossings"
+        assert r.media_bytes > r.payload_bytes and by_text.setdefault(text or "", tuple(r)[1:]) == tuple(r)[1:]
+    assert len(rows) == len(DOCS) and len({v[5] for v in by_text.values()}) == len(by_text)
+
+
+def test_op5(spark, tables, tmp_path):
+    token = "ghp_" + "9aZ3kQ7xT1mB5vR8wL2nC6yD4pF0sG1hJ3uE"
+    texts = [None, "", f"export GITHUB_TOKEN={token}", "a quiet text of plain words", "w " * 5_000 + f"password: {token}"]
+    spark.createDataFrame([(i, t, None if i % 2 else "s", "extra") for i, t in enumerate(texts)], "doc_id long, text string, source string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op5_secrets(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {2, 4}
+    assert all(texts[r.doc_id][r.start - 1 : r.start - 1 + r.length] == token for r in rows)
+
+
+def test_op6(spark, tables):
+    rows = queries.op6_mixing(spark, tables).collect()
+    size = {d: len(WORD.findall(t or "")) for d, t, *_ in DOCS}
+    assert sorted((r.doc_id, r.size) for r in rows if r.doc_id is not None) == sorted((d, size[d]) for d, *_ in DOCS if d is not None) and len(rows) == len(DOCS)
+    words = Counter()
+    for d, _, _, source, _ in DOCS:
+        words[source] += size[d]
+    want = water(words, by_name(words))
+    of = {d: s for d, _, _, s, _ in DOCS}
+    taken = Counter()
+    for r in rows:
+        assert r.source_size == words[of[r.doc_id]] and r.target == pytest.approx(want[of[r.doc_id]]) and 0 <= r.taken <= 3 * r.size
+        taken[of[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - t) <= 1.5 for s, t in want.items())
+    assert sorted(map(repr, rows)) == sorted(map(repr, queries.op6_mixing(spark, tables).collect()))
+
+
+def test_op6_has_no_python(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for df in (queries.op6_mixing(spark, tables), mixing.mix(docs, mixing.quality_weights(spark.read.parquet(f"{tables}/labels.parquet")))):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_op6_with_extreme_weights(spark, monkeypatch):
+    """Weights far from 1 put every key of a source near 0 or far out: results are the same for any range size."""
+    docs = spark.range(500).selectExpr("id as doc_id", "concat('w', id, ' a b') as text", "if(id % 5 = 0, 'x', 'y') as source")
+    weights = spark.range(500).selectExpr("id as doc_id", "case id % 4 when 0 then 1e6D when 1 then 1e-6D when 2 then -1D end as weight")
+    rows = sorted(mixing.shares(docs, weights).collect())
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    assert sorted(mixing.shares(docs, weights).collect()) == rows
+    drawn = Counter(r.doc_id % 4 for r in rows if r.source == "y" and r.full)
+    assert drawn[0] == sum(r.source == "y" and r.doc_id % 4 == 0 for r in rows) and drawn[1] <= 1 and drawn[2] > 0 and drawn[3] > 0
+
+
+def test_op7(spark, tables):
+    rows = queries.op7_langid(spark, tables).collect()
+    assert sorted(((r.doc_id, r.held_out) for r in rows), key=repr) == sorted(((d, mod(d) == 0) for d, *_ in DOCS), key=repr)
+    text = {d: t for d, t, *_ in DOCS}
+    for r in rows:
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text[r.doc_id] or "")) and r.lang_pred in ("und", "en", "de") and 0 <= r.score <= 1
+
+
+def test_op9(spark, tables):
+    rows = queries.op9_best_fit_packing(spark, tables).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=repr) == sorted(pieces_of([d[:2] for d in DOCS]), key=repr)
+    assert whole(rows) >= -(-sum(r.length for r in rows) // 4096)
+
+
+def test_op10(spark, tables):
+    rows = queries.op10_warc(spark, tables).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == sorted(rows_of(PAGES))
