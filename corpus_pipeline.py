@@ -3,6 +3,11 @@
 quality: documents that the classifier rejects go. near-dedup: one document of each near-duplicate component stays (five-word shingles, similarity 0.8).
 secrets: secrets are masked in the texts. mixing: sources are sampled to their target weights, documents repeated or left out.
 packing: what is left becomes sequences of at most 4096 tokens.
+
+A null or empty text has no words: quality scores it by its structure, near-dedup links it with nothing, secrets leave it, and mixing never draws it.
+A null doc_id never decides for other rows; a null source is a source of its own. Repeated rows are one near-duplicate group. The smaller id stays; different texts
+of that id all do. Without labels of both kinds every document scores the labels' share (0.5 without any), so that all stay or, with bad labels alone, all go. Empty documents give an
+empty result. Extra columns stay through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,12 +2,14 @@
 
 import re
 from itertools import combinations
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import html, urls
 from tidewater.operators import dedupe, generators, graph, rules
+from tidewater.plans import storage
 from tidewater.sources import pages
 from tidewater.sources.pages import Answer
 
@@ -101,3 +103,17 @@ def test_furniture_words(spark, word):
 def test_assets_and_graph_keys(spark):
     row = spark.range(1).select(*(urls.is_asset(F.lit(f"http://a/x.{e}")) for e in ("bmp", "7z", "otf", "html")), urls.graph_key(F.lit("http://me@www.a:80/x/#f")), urls.analysis_key(F.lit("http://me@www.a:80/x/#f"))).first()
     assert tuple(row) == (True, True, True, False, "http://me@a/x", "http://a/x")
+
+
+@pytest.mark.parametrize("master, refused", [("local[4]", False), ("local", False), ("spark://host:7077", True), ("local-cluster[2,1,1024]", True), ("yarn", True)])
+def test_no_local_folder_on_a_cluster(master, refused):
+    """Executors elsewhere do not see the driver's own folder: without spark.checkpoint.dir a cluster's job stops at once."""
+    made = []
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    session = SimpleNamespace(conf={}, sparkContext=context)
+    if refused:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            storage.scratch(session, "x")
+        assert not made
+    else:
+        assert storage.scratch(session, "x").startswith(made[0])

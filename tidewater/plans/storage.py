@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir (in a session without one, in a folder made for it), removed at the end."""
+    """A new path in spark.checkpoint.dir (in a local session without one, in a folder made for it), removed at the end."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tidewater-{name}-{uuid.uuid4().hex}"
