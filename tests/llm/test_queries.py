@@ -6,12 +6,13 @@ import re
 import zlib
 from bisect import bisect_left
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 import xxhash
 
-from tidewater.llm import mixing, queries
+from tidewater.llm import common, mixing, queries
 from tidewater.llm import quality as q
 
 from .test_ann import brute as nearest_of
@@ -180,3 +181,15 @@ def test_op9(spark, tables):
 def test_op10(spark, tables):
     rows = queries.op10_warc(spark, tables).collect()
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == sorted(rows_of(PAGES))
+
+
+@pytest.mark.parametrize("master, refused", [("local[4]", False), ("spark://host:7077", True), ("local-cluster[2,1,1024]", True)])
+def test_no_local_folder_on_a_cluster(master, refused):
+    made = []
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append))
+    if refused:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.work_dir(session)
+        assert not made
+    else:
+        assert common.work_dir(session) == made[0]

@@ -19,11 +19,13 @@ WORD = rf"[^{SPACE}]+"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without one (tests) a new local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one (tests) a new local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
