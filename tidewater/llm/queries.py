@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables, and their SQL where SQL can express them."""
+"""The thirteen operators as queries over the tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, katz, langid, matroska, mixing, near_dedup, packing, quality, secrets, warc
+from . import ann, codes, katz, langid, matroska, mixing, near_dedup, packing, quality, secrets, sharding, warc, whitening
 from .common import remainder
 
 
@@ -62,9 +62,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.components(whitening.whiten(vectors, whitening.fit(vectors)))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.digests(_table(spark, sf_dir, "documents"))
+    placed = sharding.interleave(rows, F.col("source"), F.col("shuffled"))
+    return placed.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded = codes.compress(vectors, codes.fit(vectors)).select("row.vec_id", "row.label", "code", "error", "codebooks_sha256")
+    fits = {c: F.expr(f"try_cast({c} as long)").alias(c) for c in ("error", "label_error")}
+    return codes.with_label_error(coded).select("vec_id", "code", *fits.values(), "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_quality, op3_near_dedup, op4_matroska, op5_secrets, op6_mixing, op7_langid, op8_katz, op9_best_fit_packing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_quality, op3_near_dedup, op4_matroska, op5_secrets, op6_mixing, op7_langid, op8_katz, op9_best_fit_packing, op10_warc, op11_whitening, op12_sharding, op13_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.SQL, "op3_near_dedup": near_dedup.SQL, "op10_warc": warc.SQL}
+    return {"op6_mixing": mixing.SQL, "op3_near_dedup": near_dedup.SQL, "op10_warc": warc.SQL, "op12_sharding": sharding.SQL, "op13_codes": codes.SQL}
