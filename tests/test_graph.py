@@ -1,0 +1,93 @@
+"""Depths of deep graphs held against a plain search, and the jobs that they take."""
+
+from collections import deque
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.operators import graph, redirects
+
+
+def plain(edges, roots):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    depth, queue = {r: 0 for r in roots}, deque(roots)
+    while queue:
+        a = queue.popleft()
+        for b in out.get(a, ()):
+            if b not in depth:
+                depth[b] = depth[a] + 1
+                queue.append(b)
+    return depth
+
+
+def searched(spark, edges, roots, kind="long"):
+    found = graph.bfs(spark.createDataFrame(edges, f"src {kind}, dst {kind}"), spark.createDataFrame([(r,) for r in roots], f"key {kind}")).collect()
+    assert len(found) == len({r.key for r in found})
+    return {r.key: r.depth for r in found}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_sparse_graphs(spark, seed):
+    """Long thin graphs: chains, back links, circles, branches that meet again, parts that nothing leads to."""
+    rng = np.random.default_rng(seed)
+    n = 120
+    edges = [(int(i), int(i + 1)) for i in range(n - 1) if rng.random() < 0.97]
+    edges += [(b, a) for a, b in edges if rng.random() < (0.1, 0.9)[seed % 2]]
+    edges += [(int(a), int(b)) for a, b in rng.integers(0, n, (seed * 8, 2))] + [(200, 201), (201, 202), (202, 200), (5, 5)]
+    edges += [(int(i), 1000 + int(i)) for i in rng.integers(0, n, 30)] + [(1000 + int(i), int(i)) for i in rng.integers(0, n, 30)]
+    names = {i: f"https://x.example/{i * 7919 % 1999}" for i in range(2000)}
+    named = [(names[a], names[b]) for a, b in edges]
+    assert searched(spark, named, [names[0], names[40]], "string") == plain(named, [names[0], names[40]])
+
+
+def test_a_list_of_100_000_pages_takes_few_jobs(spark):
+    """Each page leads to the next and the one before, to the home page, and to an item of its own that leads back."""
+    n = 100_000
+    page = spark.range(n)
+    edges = page.selectExpr("id as src", "id + 1 as dst").unionByName(page.selectExpr("id + 1 as src", "id as dst")).unionByName(page.selectExpr("id as src", "0L as dst"))
+    edges = edges.unionByName(page.selectExpr("id as src", "id + 1000000 as dst")).unionByName(page.selectExpr("id + 1000000 as src", "id as dst"))
+    context = spark.sparkContext
+    context.setJobGroup("deep", "deep")
+    try:
+        depths = graph.bfs(edges, spark.createDataFrame([(0,)], "key long"))
+        jobs = len(context.statusTracker().getJobIdsForGroup("deep"))
+        wrong = depths.where(F.col("depth") != F.when(F.col("key") < 1_000_000, F.col("key")).otherwise(F.col("key") - 999_999)).count()
+        assert (depths.count(), wrong) == (2 * n + 1, 0)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 40
+
+
+def followed(hops, key):
+    at, met = key, [key]
+    while at in hops:
+        at = hops[at]
+        if at in met:
+            return len(met) - (len(met) - met.index(at)), at, len(met) - met.index(at)
+        met.append(at)
+    return len(met) - 1, at, 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ways_of_any_length_and_circles(spark, seed):
+    rng = np.random.default_rng(seed)
+    hops = {i: i + 1 for i in range(100, 400)} | {i: int(j) for i, j in zip(range(60), rng.integers(0, 90, 60))} | {500: 501, 501: 502, 502: 500, 499: 501, 600: 600, 601: 600}
+    found = {r.key: (r.length, r.final_key, r.circle) for r in redirects.resolve(spark.createDataFrame(list(hops.items()), "src long, dst long")).collect()}
+    assert found == {k: followed(hops, k) for k in hops}
+    starts = spark.createDataFrame([(k,) for k in [*hops, 4000]], "key long")
+    for r in redirects.walk(starts, spark.createDataFrame(list(hops.items()), "src long, dst long")).collect():
+        length, final, circle = followed(hops, r.key)
+        at = r.key
+        for _ in range(10):
+            at = hops.get(at, at)
+        want = (length + circle, final, "loop" if circle else "end") if length + circle <= 10 else (10, at, "most")
+        assert (r.hop_count, r.final_key, r.ended) == want
+
+
+def test_no_hops(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert redirects.resolve(none).count() == 0
+    assert [tuple(r) for r in redirects.walk(spark.createDataFrame([(1,)], "key long"), none).collect()] == [(1, 0, 1, "end")]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count as numbers
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from ..plans.storage import counted, stored
+from ..plans.storage import stored
 
 
 def homepage(keys: DataFrame, path: str = "path") -> DataFrame:
@@ -17,28 +21,113 @@ def homepage(keys: DataFrame, path: str = "path") -> DataFrame:
     return keys.where("status_code between 200 and 299").orderBy(length, "ord").limit(1).select("key")
 
 
+#: Levels that are searched one by one before what is left is contracted.
+PLAIN_LEVELS = 1
+
+
 def bfs(edges: DataFrame, roots: DataFrame, most: int | None = None, limit: int | None = None) -> DataFrame:
-    """key, depth of what is reached from roots (key) over edges (src, dst); each level is a stored table.
+    """key, depth of what is reached from roots (key) over edges (src, dst).
 
-    It goes on until a level adds nothing. most: stop after so many levels. limit: stop after the level with which so many are reached.
-    Levels read the union of all before; every 32nd level that is one table again, so that plans do not grow with the depth.
+    The first levels are searched one by one, each a stored table. What is reached by then leaves the graph; of the rest, chains are contracted (`chains`), so that the number of jobs grows with the
+    branchings on a path and the logarithm of its length, not with the depth. most: stop after so many levels. limit: stop after the level with which so many are reached; both search level by level.
     """
     links = stored(edges.where("src <> dst").select("src", "dst").distinct(), "links")
-    frontier, count = counted(roots.select("key", F.lit(0).alias("depth")), "level")
-    seen = frontier
+    frontier = stored(roots.select("key", F.lit(0).alias("depth")).distinct(), "level")
+    seen, count = frontier, frontier.count() if limit else 0
     for depth in numbers(1) if most is None else range(1, most + 1):
-        found = links.join(frontier.select(F.col("key").alias("src")), "src").select(F.col("dst").alias("key")).distinct().join(seen.select("key"), "key", "left_anti")
-        frontier, new = counted(found.select("key", F.lit(depth).alias("depth")), "level")
-        if not new:
+        if most is None and limit is None and depth > PLAIN_LEVELS:
+            return seen.unionByName(_beyond(links, seen, frontier))
+        found = links.join(frontier.select(F.col("key").alias("src")), "src").select(F.col("dst").alias("key"), F.lit(True).alias("new"))
+        new = found.unionByName(seen.select("key", F.lit(False).alias("new"))).groupBy("key").agg(F.min("new").alias("new")).where("new")
+        frontier = stored(new.select("key", F.lit(depth).alias("depth")), "level")
+        if frontier.isEmpty():
             break
-        seen, count = seen.unionByName(frontier), count + new
+        seen = seen.unionByName(frontier)
         if depth % 32 == 0:
             seen = stored(seen, "reached")
-        if limit and count >= limit:
+        if limit and (count := count + frontier.count()) >= limit:
             break
     return seen
 
 
+def _beyond(links: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
+    """key, depth of what is reached beyond the frontier (key, depth), through nothing that was seen."""
+    arcs = chains(links.join(seen.select(F.col("key").alias("dst")), "dst", "left_anti"), frontier.select("key"))
+    branchings = arcs.select(F.col("origin").alias("dst")).distinct()
+    between = stored(arcs.join(branchings, "dst").groupBy("origin", "dst").agg(F.min("length").alias("length")), "between")
+    known = front = frontier.select("key", F.col("depth").cast("long").alias("depth"))
+    for turn in numbers(1):
+        found = between.join(front.withColumnRenamed("key", "origin"), "origin").select(F.col("dst").alias("key"), (F.col("depth") + F.col("length")).alias("depth"), F.lit(None).cast("long").alias("best"))
+        nearer = found.unionByName(known.select("key", F.lit(None).cast("long").alias("depth"), F.col("depth").alias("best"))).groupBy("key").agg(F.min("depth").alias("depth"), F.min("best").alias("best"))
+        front = stored(nearer.where("depth < coalesce(best, depth + 1)").select("key", "depth"), "nearer")
+        if front.isEmpty():
+            break
+        known = known.unionByName(front)
+        if turn % 16 == 0:
+            known = stored(known.groupBy("key").agg(F.min("depth").alias("depth")), "known")
+    best = known.groupBy(F.col("key").alias("origin")).agg(F.min("depth").alias("depth"))
+    return arcs.join(best, "origin").groupBy(F.col("dst").alias("key")).agg(F.min(F.col("depth") + F.col("length")).cast("int").alias("depth"))
+
+
+def chains(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """origin, dst, length: for each link (src, dst) that a shortest path from roots (key) may take, where its chain begins and how many links there are from there to dst.
+
+    A shortest path never turns back, so it comes to the link v -> b from a page that links to v and is not b. If there is one such page, the link before is certain, and the two are one chain; with
+    several v is a branching, where chains begin, as they do at the roots; with none the link is on no shortest path and is dropped. So pages of a list, each with links to the page before and after it
+    and to its own items, are one chain. The links before are found by jumping: within the tasks of a range of src, where neighbours mostly lie, then between tasks, each round over twice the distance.
+    """
+    flagged = roots.select(F.col("key").alias("src"), F.lit(True).alias("is_root"))
+    arcs = links.join(roots.select(F.col("key").alias("dst")), "dst", "left_anti").join(flagged, "src", "left").select("src", "dst", F.coalesce("is_root", F.lit(False)).alias("is_root"))
+    # links that turn back are dropped first: their ends have fewer pages before them then
+    arcs = stored(_with_before(arcs).where("branching or before is not null").select("src", "dst", "is_root"), "arcs")
+    state = _with_before(arcs).where("branching or before is not null")
+    kind = links.schema["src"].dataType.simpleString()
+    local = state.select("src", "dst", F.when(~F.col("branching"), F.col("before")).alias("before")).repartitionByRange("src").mapInArrow(_jump_within, f"src {kind}, dst {kind}, at {kind}, via {kind}, origin {kind}, length long")
+    state, most = stored(local, "jumped"), 64
+    for turn in range(64):
+        left = state.where("at is not null")
+        if turn == 6:
+            # a circle of certain links has no beginning and is never reached: it is left when a chain of all links would have ended
+            most = state.count().bit_length()
+        if turn > most or left.isEmpty():
+            break
+        there = state.select(F.col("src").alias("at"), F.col("dst").alias("via"), F.col("at").alias("next_at"), F.col("via").alias("next_via"), F.col("origin").alias("next_origin"), F.col("length").alias("more"))
+        moved = left.join(there, ["at", "via"]).select("src", "dst", F.col("next_at").alias("at"), F.col("next_via").alias("via"), F.col("next_origin").alias("origin"), (F.col("length") + F.col("more")).alias("length"))
+        state = stored(state.where("at is null").unionByName(moved), "jumped")
+    return state.where("origin is not null").select("origin", "dst", "length")
+
+
+def _with_before(arcs: DataFrame) -> DataFrame:
+    """arcs (src, dst, is_root) with before (the one page by which a shortest path comes to src on its way to dst) and branching (there are several, or src is a root)."""
+    into = arcs.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("n"), F.min("src").alias("low"), F.max("src").alias("high"))
+    n, low, high, dst = F.coalesce("n", F.lit(0)), F.col("low"), F.col("high"), F.col("dst")
+    before = F.when((n == 1) & (low != dst), low).when((n == 2) & (low == dst), high).when((n == 2) & (high == dst), low)
+    branching = F.col("is_root") | (n > 2) | ((n == 2) & (low != dst) & (high != dst))
+    return arcs.join(into, "src", "left").select("src", "dst", "is_root", before.alias("before"), branching.alias("branching"))
+
+
+def _jump_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (src, dst, before) of a task, each with the farthest link before it among them and the length from there on; or with the origin of its chain."""
+    own = [b for b in batches if b.num_rows]
+    if not own:
+        return
+    table = pa.Table.from_batches(own).combine_chunks()
+    src, dst, before = (table.column(c).combine_chunks() for c in ("src", "dst", "before"))
+    names = pa.chunked_array([src, dst, before]).unique().drop_null()
+    code = lambda c: pc.fill_null(pc.index_in(c, names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    s, d, b = code(src), code(dst), code(before)
+    key, wanted = s * len(names) + d, b * len(names) + s
+    order = np.argsort(key)
+    place = np.minimum(np.searchsorted(key[order], wanted), len(key) - 1)
+    here = (b >= 0) & (key[order][place] == wanted)
+    jump, steps = np.where(here, order[place], np.arange(len(key))), here.astype(np.int64)
+    for _ in range(len(key).bit_length()):
+        steps, jump = steps + steps[jump], jump[jump]
+    open_ = b[jump] >= 0
+    pick = lambda c, keep: c.take(pa.array(jump, mask=~keep))
+    yield pa.RecordBatch.from_arrays([src, dst, pick(before, open_), pick(src, open_), pick(src, ~open_), pa.array(steps + 1)], ["src", "dst", "at", "via", "origin", "length"])
+
+
 def click_depth(keys: DataFrame, edges: DataFrame, path: str = "path") -> DataFrame:
     """key, depth of the crawled pages that clicks from the homepage reach."""
     inside = edges.where("is_internal").join(keys.select(F.col("key").alias("dst")), "dst", "left_semi")
