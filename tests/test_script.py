@@ -1,0 +1,50 @@
+"""Script redirects: what is code, what is a handler, and which address counts."""
+
+import pytest
+
+from tidewater.functions import script
+
+CASES = [
+    # where the page goes
+    ("location = '/a'", "/a"), ("window.location.href='/a'", "/a"), ("document.location=`/a`", "/a"), ("top.location.replace( '/a' )", "/a"), ("self.location.assign(\"/a\")", "/a"), ("parent.location='/a'", "/a"),
+    ("LOCATION.HREF = '/a'", "/a"), ("if (x) { location.href = '/a' }", "/a"), ("setTimeout(function () { location.href='/a' }, 100)", "/a"), ("setTimeout(\"location.href='/a'\", 9)", "/a"),
+    # what is no address
+    ("location='#top'; location='/b'", "/b"), ("location='javascript:void(0)'", None), ("location=`/a/${id}`", None), ("location='/{{id}}'", None), ("location='/a%24%7Bid%7D'", None), ("if (location == '/a') x()", None), ("location = target", None),
+    # comments
+    ("/* location='/a' */ location='/b'", "/b"), ("// location='/a'\nlocation='/b'", "/b"), ("var u='https://x.example/'; location='/b'", "/b"), ("location='//cdn.example/b'", "//cdn.example/b"), ("a = b / c; // location='/a'\n", None),
+    # handlers, whose bodies run later
+    ("b.addEventListener('click', function (x) { location='/a' }); location='/b'", "/b"), ("b.addEventListener('click', async () => { location='/a' })", None), ("$(b).on('click', e => { location='/a' })", None),
+    ("$(b).delegate('click', function () { if (x) { y() } location='/a' })", None), ("b.onclick = function () { location='/a' }", None), ("onload = () => { location='/a' }", None), ("var f = function (event) { location='/a' }", None), ("(function () { location='/b' })()", "/b"),
+    ("b.onclick=function(){ c.onclick=function(){ location='/a' }; location='/c' }; location='/b'", "/b"),
+    # a handler without braces ends at its own expression
+    ("a.onclick=()=>go(); location='/e'; if(x){y()}", "/e"), ("a.onclick=go; function other(){} location='/e'", "/e"),
+    # regular expressions, strings and templates hold no braces
+    ("x.onclick=function(){var r=/}/; location='/b'}", None), ("x.onclick=function(){var r=/[/}]/g; location='/b'}", None), ("x.onclick=function(){ s='}'; location='/b' }", None), ("x.onclick=function(){ s=\"\\\"}\"; location='/b' }", None),
+    ("x.onclick=function(){ s=`}${f({a:1})}}`; location='/b' }; location='/c'", "/c"), ("x.onclick=function(){ s=`${`}${1}`}`; location='/b' }", None), ("x.onclick=function(){ return /}/.test(s) ? 1 : location='/b' }", None), ("x.onclick=function(){ a = 4 / 2 } ; location='/b' /2", "/b"),
+    # an unclosed body is no body, an unclosed string ends with its line
+    ("x.onclick=function(){ location='/b'", "/b"), ("s='it\nlocation='/b'", "/b"),
+]
+
+
+@pytest.mark.parametrize("js, want", CASES)
+def test_scripts(js, want):
+    assert script.redirect(f"<p>x</p><script>{js}</script>", "https://x.example/p") == want
+
+
+def test_pages():
+    assert script.redirect("<!-- <script>location='/x'</script> --><script>location='/y'</script>", "https://x.example/") == "/y"
+    assert script.redirect("<!-- <script>location='/x'</script> -->", "https://x.example/") is None
+    assert script.redirect("<script src='a.js'>location='/x'</script>", "https://x.example/") == "/x"
+    assert script.redirect("<script>a()</script><SCRIPT type='module'>location='/x'</SCRIPT>", None) == "/x"
+    # a page does not lead to itself
+    assert script.redirect("<script>location='/p'; location='/q'</script>", "https://x.example/p") == "/q"
+    assert script.redirect("<script>location.href='https://x.example/p'</script>", "https://x.example/p") is None
+    assert script.redirect(None, "x") is None and script.redirect("", None) is None and script.redirect("<script>location='/x'", "") is None
+    # long scripts are read once
+    assert script.redirect("<script>" + "x={a:'}'};" * 50_000 + "location='/x'</script>", "") == "/x"
+
+
+def test_closing_braces():
+    assert script.lex("{a:{}}").closing == {0: 5, 3: 4}
+    assert script.lex("`${{a:1}}`{}").closing == {2: 8, 3: 7, 10: 11}
+    assert script.lex("/* { */ // {\n{}").text.strip() == "{}"

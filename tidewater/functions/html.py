@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import script
 from .scalars import cut_at_word, text
 
 
@@ -270,48 +271,13 @@ def refresh(content: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def script_redirect(c: pd.Series) -> pd.Series:
-    """The address that a script of the page goes to at once: assignments to location outside functions and event handlers."""
-    body = re.compile(r"<script\b(?![^>]*\bsrc\s*=)[^>]*>(.*?)</script>", re.I | re.S)
-    comment = re.compile(r"/\*.*?\*/|(?m:(?<![:\"'])//[^\n]*$)", re.S)
-    handler = re.compile(r"addEventListener\s*\(|\bon[a-z]+\s*=\s*(?:async\s*)?(?:function\b|\()|\.on\s*\(", re.I)
-    going = re.compile(r"(?:window\.|document\.|top\.|self\.)?location(?:\.href)?\s*(?:=(?!=)|\.(?:replace|assign)\s*\()\s*([\"'`])(.*?)\1", re.I | re.S)
-
-    def closing(s: str, at: int) -> int:
-        """The place after the brace that closes the one at `at`; strings do not count."""
-        depth, quote = 0, ""
-        while at < len(s):
-            ch = s[at]
-            if quote:
-                at += ch == "\\"
-                quote = "" if s[at : at + 1] == quote else quote
-            elif ch in "\"'`":
-                quote = ch
-            elif ch == "{":
-                depth += 1
-            elif ch == "}":
-                depth -= 1
-                if depth <= 0:
-                    return at + 1
-            at += 1
-        return len(s)
-
-    def one(page: str | None) -> str | None:
-        for m in body.finditer(page or ""):
-            s, kept, at = comment.sub("", m[1]), [], 0
-            for h in handler.finditer(s):
-                if h.start() < at:
-                    continue
-                brace = s.find("{", h.end())
-                kept.append(s[at : h.start()])
-                at = closing(s, brace) if brace >= 0 else h.end()
-            for g in going.finditer("".join([*kept, s[at:]])):
-                target = entities.unescape(g[2].strip())
-                if target and not target.startswith("#") and not target.lower().startswith("javascript:") and "${" not in target and "{{" not in target:
-                    return target
-        return None
+def _script_redirect(c: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([script.redirect(page, own) for page, own in zip(c, base, strict=True)], dtype=object)
 
-    return c.map(one)
+
+def script_redirect(c: Column, base: Column | None = None) -> Column:
+    """The address, as written, that a script of the page goes to at once: assignments to location outside event handlers. A page does not lead to itself (base)."""
+    return _script_redirect(c, F.lit("") if base is None else base)
 
 
 #: What rich text may hold.

@@ -79,10 +79,10 @@ def walk(starts: DataFrame, hops: DataFrame, most: int = MOST_HOPS) -> DataFrame
     return ways.where(F.col("hop_count") <= most).unionByName(cut)
 
 
-def next_hop(status: Column, location: Column, refresh_header: Column, page: Column) -> Column:
+def next_hop(status: Column, location: Column, refresh_header: Column, page: Column, base: Column | None = None) -> Column:
     """(type, target as written) of where an answer leads: HTTP redirect, Refresh header, meta refresh, script; null if it is the end."""
     at_once = html.refresh(refresh_header)
     meta = html.meta_refresh(page)
-    script = html.script_redirect(page)
+    script = html.script_redirect(page, base)
     hop = lambda kind, target: F.struct(F.lit(kind).alias("type"), target.alias("target"))
     return F.when(status.between(300, 399) & (F.coalesce(location, F.lit("")) != ""), hop("http", location)).when(at_once.isNotNull(), hop("meta-refresh", at_once["target"])).when(meta.isNotNull(), hop("meta-refresh", meta["target"])).when(script.isNotNull(), hop("javascript", script))

@@ -357,7 +357,7 @@ _LONG = "this text describes the thing of page {} in full and " * 2
 _ANCHORS = f"array_to_string(list_prepend({{own}}, list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: trim(regexp_replace({_DECODE.format('x')}, '\\s+', ' ', 'g')))), '; ')"
 _marked("anchor_text_cascade", [("<a href='/a'><h2>A &amp; {}</h2><p>x</p></a>", "A & {}"), ("<a href='/b'><div><p>label {}</p> more</div></a>", "label {}"), ('<a href="/c"><img alt="picture {}" src="x"></a>', "picture {}"), ("<a href='/d'>" + "words " * 30 + "</a>", "words " * 15 + "words…")], lambda: _each(html.anchors(F.col("c")), lambda a: html.anchor_text(a["inner"])), _ANCHORS)
 _marked("card_context", [(f"<a href='/a'><h3>Name</h3><p>{_LONG}</p></a>", f"Name — {_LONG.strip()}"), ("<a href='/b'><h3>Name</h3><p>from $20 and more, inclusive of everything that there is</p></a>", None), ("<a href='/c'><p>no heading but a text that would be long enough to be one</p></a>", None)], lambda: html.card_text(F.get(html.anchors(F.col("c")), F.lit(0))["inner"]))
-_marked("js_redirect", [("<script>window.location.href='/a/{}'</script>", "/a/{}"), ("<script>x.onclick=function(){location='/b'}</script>", None), ('<script>location.replace("/c/{}")</script>', "/c/{}"), ("<p>location='/d'</p>", None)], lambda: html.script_redirect(F.col("c")))
+_marked("js_redirect", [("<script>window.location.href='/a/{}'</script>", "/a/{}"), ("<script>x.onclick=function(){location='/b'}</script>", None), ('<script>location.replace("/c/{}")</script>', "/c/{}"), ("<p>location='/d'</p>", None), ("<!-- <script>location='/x'</script> -->", None), ("<script>a.onclick=()=>go(); location='/e/{}'; if(x){y()}</script>", "/e/{}"), ("<script>x.onclick=function(){var r=/}/; location='/b'}</script>", None), ("<script>x.onclick=function(){s=`}${f({a:1})}`; location='/b'}; location='/t/{}'</script>", "/t/{}"), ("<script>location=page; location.href='%u'; location='/s/{}'</script>", "/s/{}")], lambda: html.script_redirect(F.replace("c", F.lit("%u"), F.col("url")), F.col("url")))
 _marked("meta_refresh", [('<meta http-equiv="refresh" content="5;url=/a/{}">', "/a/{}"), ('<meta http-equiv="refresh" content="6;url=/a">', None), ("<!-- <meta http-equiv='refresh' content='0;url=/a'> -->", None)], lambda: html.meta_refresh(F.col("c"))["target"])
 _marked("meta_description", [('<meta name="description" content=""><meta name="description" content="two &amp; {}">', "two & {}"), ("<!-- <meta name=description content=x> -->", ""), ('<meta content="about {}" name="description">', "about {}")], lambda: html.description(F.col("c")))
 _LD = '<script type="application/ld+json">%s</script>'

@@ -110,7 +110,7 @@ def follow(addresses: DataFrame, send: Callable[[str, int], Answer], workers: in
     done = None
     for turn in range(most + 1):
         answers = fetch(going.select("ord", F.col("at").alias("url")), send, workers, deadline).drop("url")
-        hop = redirects.next_hop(F.col("status_code"), F.col("location"), F.col("refresh"), F.col("html"))
+        hop = redirects.next_hop(F.col("status_code"), F.col("location"), F.col("refresh"), F.col("html"), F.col("at"))
         rows = stored(going.join(answers, "ord", "left").withColumn("hop", hop), "answers")
         target = F.when(urls.is_absolute(F.col("hop.target")), F.col("hop.target")).otherwise(urls.join(F.col("at"), F.col("hop.target")))
         rows = rows.withColumn("next", F.when(F.col("hop.target").isNotNull(), urls.without_fragment(target)))
