@@ -224,7 +224,8 @@ def _card_tail(heading: Column, whole: Column) -> Column:
 def link_text(inner: Column) -> Column:
     """The link's text, or its card's where the text is at most 3 characters or the card's heading."""
     own, card = anchor_text(inner), card_text(inner)
-    return F.when(card.isNotNull() & ((F.length(own) <= 3) | (own == _heading(inner))), card).otherwise(own)
+    full = F.when(card.isNotNull() & ((F.length(own) <= 3) | (own == _heading(inner))), card).otherwise(own)
+    return F.when(~F.contains(inner, F.lit("<")), cut_at_word(_plain(inner), 100)).otherwise(full)  # most links hold text alone
 
 
 #: Link texts that say nothing of their target.

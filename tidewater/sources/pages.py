@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import elements as el
 from ..functions import html as h
 from ..functions import urls
 from ..operators import redirects
@@ -23,14 +24,17 @@ TRIES, WAIT, LONG_WAIT, MOST_WAIT = 4, 0.5, 1.5, 15.0
 
 
 def extract(pages: DataFrame, links: str = "main") -> DataFrame:
-    """One record a page of pages (page_id, url, html); links: of the main content, or of all the page."""
-    c = F.col("html")
-    area = h.without_furniture(h.main_content(c)) if links == "main" else h.without_comments(c)
-    rows = pages.select(F.col("page_id").alias("ord"), "url", "html", h.anchors(area).alias("found"))
-    link = lambda p: F.struct(h.link_text(p["inner"]).alias("anchor_text"), p["href"].alias("href"), (~urls.is_absolute(p["href"]) | urls.same_site(p["href"], F.col("url"))).alias("is_internal"), p["rel"].alias("rel"), *(F.array_contains(F.split(p["rel"], r"\s+"), k).alias(k) for k in ("nofollow", "sponsored", "ugc")))
+    """One record a page of pages (page_id, url, html), from one pass over its elements; links: of the main content, or of all the page."""
+    rows = pages.select(F.col("page_id").alias("ord"), "url", el.elements(F.col("html"), F.col("url")).alias("e"))
+    e = F.col("e")
+    fields = rows.select(
+        "ord", "url", el.title(e).alias("title"), el.named_meta(e, "description").alias("description"), *(el.headings(e, t).alias(t + "s") for t in ("h1", "h2", "h3")), el.images(e).alias("images"),
+        el.json_ld(e).alias("found_schemas"), el.named_meta(e, "robots").alias("robots"), el.canonical(e).alias("canonical"), el.hreflangs(e).alias("hreflangs"), el.social_tags(e, F.col("url")).alias("social_tags"), el.anchors(e, links == "main").alias("found"),
+    )
+    link = lambda p: F.struct(p["said"].alias("anchor_text"), p["href"].alias("href"), (~urls.is_absolute(p["href"]) | urls.same_site(p["href"], F.col("url"))).alias("is_internal"), p["rel"].alias("rel"), *(F.array_contains(F.split(p["rel"], r"\s+"), k).alias(k) for k in ("nofollow", "sponsored", "ugc")), p["address"].alias("address"))
     named = F.filter(F.transform("found", link), lambda x: x["anchor_text"] != "")
-    canonical = h.canonical(c)
-    return rows.select("ord", "url", h.title(c).alias("title"), h.description(c).alias("description"), *(h.headings(c, t).alias(t + "s") for t in ("h1", "h2", "h3")), h.images(c).alias("images"), h.json_ld(c).alias("schemas"), h.robots(c).alias("robots"), canonical.alias("canonical"), h.canonical_status(F.col("url"), canonical).alias("canonical_status"), h.hreflangs(c).alias("hreflangs"), named.alias("internal_links"), h.social_tags(c).alias("social_tags"))
+    schemas = el.pretty_all(F.col("found_schemas"))
+    return fields.select("ord", "url", "title", "description", "h1s", "h2s", "h3s", "images", schemas.alias("schemas"), "robots", "canonical", h.canonical_status(F.col("url"), F.col("canonical")).alias("canonical_status"), "hreflangs", named.alias("internal_links"), "social_tags")
 
 
 class Answer(NamedTuple):
