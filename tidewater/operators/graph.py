@@ -15,10 +15,11 @@ from ..functions import html, urls
 from ..plans.storage import stored
 
 
-def homepage(keys: DataFrame, path: str = "path") -> DataFrame:
-    """key of the 2xx page with the shortest path, the first of equals."""
+def homepage(keys: DataFrame, path: str = "path", site: str | None = None) -> DataFrame:
+    """key of the 2xx page with the shortest path, the first of equals; with site, one of each site."""
     length = F.length(F.regexp_replace(path, "/$", ""))
-    return keys.where("status_code between 200 and 299").orderBy(length, "ord").limit(1).select("key")
+    pages = keys.where("status_code between 200 and 299")
+    return pages.groupBy(*([site] if site else [])).agg(F.min_by("key", F.struct(length.alias("length"), F.col("ord").alias("ord"))).alias("key")).where("key is not null").select("key")
 
 
 #: Levels that are searched one by one before what is left is contracted.
@@ -128,10 +129,10 @@ def _jump_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([src, dst, pick(before, open_), pick(src, open_), pick(src, ~open_), pa.array(steps + 1)], ["src", "dst", "at", "via", "origin", "length"])
 
 
-def click_depth(keys: DataFrame, edges: DataFrame, path: str = "path") -> DataFrame:
-    """key, depth of the crawled pages that clicks from the homepage reach."""
+def click_depth(keys: DataFrame, edges: DataFrame, path: str = "path", site: str | None = None) -> DataFrame:
+    """key, depth of the crawled pages that clicks from the homepage reach; with site, from the homepage of each site."""
     inside = edges.where("is_internal").join(keys.select(F.col("key").alias("dst")), "dst", "left_semi")
-    return bfs(inside, homepage(keys, path))
+    return bfs(inside, homepage(keys, path, site))
 
 
 def depth_summary(depths: DataFrame) -> DataFrame:

@@ -171,26 +171,26 @@ query(f"with {C}, {E}, {_IN}, {_EQ} select key, incoming, outgoing, unique_ancho
 query(f"with {C}, {E}, {_IN}, {_EQ} select count(*) as pages, {_n('strength = ' + repr('strong'))} as strong, {_n('strength = ' + repr('weak'))} as weak, {_n('strength = ' + repr('orphan'))} as orphan, {_n('overlinked')} as overlinked, {_n('incoming >= 5 and diversity < 0.3')} as low_diversity, max(incoming) as max_incoming from r", "link_equity_summary")(lambda s, d: links.equity_summary(_equity(s, d)))
 query(f"with {C}, {E}, {_IN}, {_EQ} select key, incoming, outgoing, unique_anchors, diversity, score, strength, overlinked, top_anchor from r order by score desc, key limit 500", "link_equity_top")(lambda s, d: links.equity_top(_equity(s, d)))
 query(f"with {C}, {E}, {_IN} select key, top_anchor from t", "top_anchor")(lambda s, d: links.top_anchor(fx.edges(s, d)))
-_AUDIT = "a as (select src, dst, anchor, pos, rel, is_internal, rel = 'nofollow' as nofollow, rel = 'sponsored' as sponsored, false as ugc, case when rel = 'sponsored' then 'Sponsored' when rel = 'nofollow' then 'Nofollow' when rel <> '' then 'Followed' else 'No rel' end as status, not is_internal and rel = '' as missing_rel from e)"
+_AUDIT = "a as (select src, dst, anchor, pos, rel, is_internal, rel = 'nofollow' as nofollow, rel = 'sponsored' as sponsored, rel = 'ugc' as ugc, case when rel = 'sponsored' then 'Sponsored' when rel = 'ugc' then 'UGC' when rel = 'nofollow' then 'Nofollow' when rel <> '' then 'Followed' else 'No rel' end as status, not is_internal and rel not in ('nofollow', 'sponsored', 'ugc') as missing_rel from e)"
 query(f"with {C}, {E}, {_AUDIT} select * from a", "link_attribute_audit")(lambda s, d: links.audit(fx.edges(s, d)))
 query(f"with {C}, {E}, {_AUDIT} select count(*) as links, {_n('not is_internal')} as external, {_n('missing_rel')} as missing_rel, {_n('nofollow')} as nofollow, {_n('sponsored')} as sponsored, {_n('ugc')} as ugc from a", "link_attribute_counts")(lambda s, d: links.attribute_counts(links.audit(fx.edges(s, d))))
 _ORPHAN = "select ord as key, status_code, ok and robots not like '%noindex%' as indexable from c where not exists (select 1 from e where is_internal and dst = ord)"
 query(f"with {C}, {E} {_ORPHAN}", "orphans")(lambda s, d: links.orphans(fx.keys(s, d), fx.edges(s, d)))
 query(f"with {C}, {E} select * from ({_ORPHAN}) where indexable", "critical_orphans")(lambda s, d: links.orphans(fx.keys(s, d), fx.edges(s, d)).where("indexable"))
-query(f"with {C}, {E} select dst as key, count(*) as inbound from e where is_internal group by dst having count(*) <= 2", "low_link_pages")(lambda s, d: links.low_links(fx.keys(s, d), fx.edges(s, d)))
+query(f"with {C}, {E} select dst as key, count(*) as inbound from e join c on c.ord = e.dst where is_internal group by dst having count(*) <= 2", "low_link_pages")(lambda s, d: links.low_links(fx.keys(s, d), fx.edges(s, d)))
 _G = "g as (select src, dst, count(*) as links, string_agg(distinct trim(anchor) , ' | ' order by trim(anchor)) as anchors from e where is_internal and src <> dst group by src, dst)"
 query(f"with {C}, {E}, {_G} select src, dst, cast(links as bigint) as links, anchors from g", "link_graph_edges")(lambda s, d: links.graph_edges(fx.edges(s, d)).withColumn("anchors", F.array_join(F.array_sort(F.array_distinct(F.split("anchors", " \\| "))), " | ")))
-query(f"with {C}, {E}, {_G}, n as (select ord as key from c), i as (select dst as key, count(*) as v from g group by 1), o as (select src as key, count(*) as v from g group by 1) select n.key, coalesce(i.v, 0) as in_degree, coalesce(o.v, 0) as out_degree, true as crawled, coalesce(i.v, 0) = 0 as is_orphan, least(12.0::double, 2 + 2 * log2(1 + coalesce(i.v, 0))) as size from n left join i on i.key = n.key left join o on o.key = n.key", "link_graph_nodes")(lambda s, d: links.graph_nodes(fx.keys(s, d), links.graph_edges(fx.edges(s, d))))
+query(f"with {C}, {E}, {_G}, n as (select ord as key, true as crawled from c union all select distinct dst, false from g where dst not in (select ord from c)), i as (select dst as key, count(*) as v from g group by 1), o as (select src as key, count(*) as v from g group by 1) select n.key, coalesce(i.v, 0) as in_degree, coalesce(o.v, 0) as out_degree, n.crawled, coalesce(i.v, 0) = 0 as is_orphan, least(12.0::double, 2 + 2 * log2(1 + coalesce(i.v, 0))) as size from n left join i on i.key = n.key left join o on o.key = n.key", "link_graph_nodes")(lambda s, d: links.graph_nodes(fx.keys(s, d), links.graph_edges(fx.edges(s, d))))
 query(f"with {C}, {E}, {_G} select src as key, 'in' as direction, anchors from g where dst = 5 union all select dst, 'out', anchors from g where src = 5", "neighbourhood")(lambda s, d: links.neighbourhood(links.graph_edges(fx.edges(s, d)).withColumn("anchors", F.array_join(F.array_sort(F.array_distinct(F.split("anchors", " \\| "))), " | ")), 5))
 query(f"with {C}, {E} select src, dst from e where is_internal and src <> dst and dst in (select ord from c where hop_count > 0)", "links_to_redirects")(lambda s, d: links.to_redirects(fx.edges(s, d), fx.crawl(s, d).where("hop_count > 0").select(F.col("ord").alias("key"))))
 
 # Depth.
 _PATH = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/$', '')"
-_BFS = f"root as (select ord from c where ok order by length({_PATH}), ord limit 1), recursive_edges as (select distinct src, dst from e where is_internal and src <> dst), walk(key, depth) as (select ord, 0 from root union select r.dst, w.depth + 1 from walk w join recursive_edges r on r.src = w.key where w.depth < 40), depths as (select key, min(depth) as depth from walk group by key)"
+_BFS = f"root as (select ord from (select ord, row_number() over (partition by regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www[.]', '') order by length({_PATH}), ord) as nth from c where ok) where nth = 1), recursive_edges as (select distinct src, dst from e join c on c.ord = e.dst where is_internal and src <> dst), depths(key, depth) using key (key) as (select ord, 0 from root union select r.dst, w.depth + 1 from depths w join recursive_edges r on r.src = w.key left join recurring.depths d on d.key = r.dst where d.key is null)"
 
 
 def _depths(s, d):
-    return graph.click_depth(fx.keys(s, d), fx.edges(s, d))
+    return graph.click_depth(fx.keys(s, d), fx.edges(s, d), site="site")
 
 
 query(f"with recursive {C}, {E}, {_BFS} select key, depth from depths", "click_depth")(_depths)
@@ -198,7 +198,7 @@ query(f"with recursive {C}, {E}, {_BFS} select depth, count(*) as pages from dep
 query(f"with recursive {C}, {E}, {_BFS} select count(*) as reached, floor(avg(depth) * 10 + 0.5) / 10 as average, max(depth) as deepest from depths", "depth_summary")(lambda s, d: graph.depth_summary(_depths(s, d)))
 query(f"with recursive {C}, {E}, {_BFS} select key, depth from depths where depth > 3", "deep_pages")(lambda s, d: _depths(s, d).where("depth > 3"))
 query(f"with recursive {C}, {E}, {_BFS} select ord as key from c where ok and ord not in (select key from depths)", "unreachable")(lambda s, d: graph.unreachable(fx.keys(s, d), _depths(s, d)))
-query(f"with recursive {C}, {E}, walk(key, depth) as (select cast(0 as bigint), 0 union select e.dst, w.depth + 1 from walk w join e on e.src = w.key where w.depth < 40) select key, min(depth) as depth from walk group by key", "spider_bfs")(lambda s, d: graph.spider(fx.edges(s, d), 0))
+query(f"with recursive {C}, {E}, walk(key, depth) using key (key) as (select cast(0 as bigint), 0 union select e.dst, w.depth + 1 from walk w join e on e.src = w.key left join recurring.walk d on d.key = e.dst where d.key is null) select key, depth from walk", "spider_bfs")(lambda s, d: graph.spider(fx.edges(s, d), 0))
 
 
 def _directories(s, d):
@@ -240,7 +240,7 @@ query(f"with {C} select ord, title from c", "sort_meta_locale")(lambda s, d: fil
 _shared = lambda c: f"ok and lower(trim({c})) <> '' and (select count(*) from c x where x.ok and lower(trim(x.{c})) = lower(trim(c.{c}))) > 1"
 _RULES = {
     "title-missing": "ok and title = ''", "title-too-long": "ok and length(title) > 60", "title-too-short": "ok and length(title) between 1 and 29", "title-duplicate": _shared("title"), "desc-missing": "ok and description = ''", "desc-too-long": "ok and length(description) > 160", "desc-too-short": "ok and length(description) between 1 and 69", "desc-duplicate": _shared("description"),
-    "h1-missing": "ok and n_h1 = 0", "h1-multiple": "ok and n_h1 > 1", "h1-duplicate": _shared("first_h1"), "h2-missing": "ok and n_h2 = 0", "img-alt-missing": "ok and n_no_alt > 0", "robots-noindex": "ok and robots like '%noindex%'", "canonical-missing": "ok and canonical_status = 'Missing'", "canonical-away": "ok and canonical_status = 'Canonicalised'", "schema-missing": "ok and n_schema = 0", "social-missing": "ok and not has_og and not has_twitter", "internal-orphan": "ok and n_links = 0",
+    "h1-missing": "ok and n_h1 = 0", "h1-multiple": "ok and n_h1 > 1", "h1-duplicate": _shared("first_h1"), "h2-missing": "ok and n_h2 = 0", "img-alt-missing": "ok and n_no_alt > 0", "robots-noindex": "ok and robots like '%noindex%'", "canonical-missing": "ok and canonical_status = 'Missing'", "canonical-away": "ok and canonical_status = 'Canonicalised'", "schema-missing": "ok and n_schema = 0", "social-missing": "ok and not has_og and not has_twitter", "internal-orphan": "ok and n_links = 0", "links-missing-rel": "ok and n_missing_rel > 0",
     "status-4xx": "status_code between 400 and 499", "status-5xx": "status_code between 500 and 599", "redirect-temporary": "hop_count > 0 and first_hop = 302", "perf-slow": "ok and tenths > 30",
 }
 _HITS = "h as (" + " union all ".join(f"select ord, '{k}' as rule_id from c where {v}" for k, v in _RULES.items()) + ")"
@@ -248,7 +248,7 @@ _DIM = "dim(rule_id, severity, grp, category, rule_ord) as (values " + ", ".join
 _ISSUES = f"{_HITS}, {_DIM}, s as (select rule_id, count(*) as count from h group by 1), w as (select s.rule_id, severity, grp, category, rule_ord, count, case severity when 'critical' then 55 when 'warning' then 25 else 8 end as weight, least(1.0::double, count * 1.0::double / (select count(*) from c)) as share from s join dim on dim.rule_id = s.rule_id), p as (select *, cast(floor(weight * (0.35::double + 0.65::double * share) * (100::double / 55) + 0.5) as int) as priority from w)"
 
 # What redirects, links and depths say, and all hits with it.
-_SAID = f"v as (select ord, 'insight-redirect-chains' as rule_id from c where hop_count >= 2 union all select ord, 'insight-redirect-loops' from c where hop_count > 0 and loops union all select ord, 'insight-redirect-broken-end' from c where hop_count > 0 and status_code >= 400 union all select key, 'insight-orphan-pages' from ({_ORPHAN}) where indexable union all select dst, 'insight-low-link-pages' from e where is_internal group by dst having count(*) <= 2 union all select key, 'insight-deep-pages' from depths where depth > 3)"
+_SAID = f"v as (select ord, 'insight-redirect-chains' as rule_id from c where hop_count >= 2 union all select ord, 'insight-redirect-loops' from c where hop_count > 0 and loops union all select ord, 'insight-redirect-broken-end' from c where hop_count > 0 and status_code >= 400 union all select key, 'insight-orphan-pages' from ({_ORPHAN}) where indexable union all select dst, 'insight-low-link-pages' from e join c on c.ord = e.dst where is_internal group by dst having count(*) <= 2 union all select key, 'insight-deep-pages' from depths where depth > 3)"
 _EVERY_HIT = _HITS.replace("h as (", "own as (", 1) + f", {_SAID}, h as (select ord, rule_id from own union all select ord, rule_id from v)"
 _REPORT = f"{E}, {_BFS}, " + _ISSUES.replace(_HITS, _EVERY_HIT)
 
@@ -281,7 +281,7 @@ query(f"with recursive {C}, {_REPORT}, {_CAT} select category, score, case when
 query(f"with recursive {C}, {_REPORT}, {_CAT} select cast(floor(avg(score) + 0.5) as int) as overall_score from x", "overall_score")(lambda s, d: rules.overall(rules.categories(_rated(s, d))))
 query(f"with recursive {C}, {_REPORT} select c.url, c.status_code, severity, category, grp from h join c on c.ord = h.ord join dim on dim.rule_id = h.rule_id", "issue_url_export")(lambda s, d: generators.issue_rows(_every_hit(s, d), fx.crawl(s, d), rules.dimension(s)).drop("title"))
 query(f"with {C} select url, status_code, title, cast(length(title) as int) as title_length, cast(length(description) as int) as description_length, n_h1 as h1_count, canonical_status, robots, n_img as images, n_no_alt as images_without_alt, cast(n_links - n_external as int) as internal_links, n_schema as schemas, n_hreflang as hreflangs, hop_count as hops, case when hop_count > 0 and not loops then 'https://end.example/' || ord else url end as final_url from c", "page_summary_export")(lambda s, d: generators.page_rows(fx.crawl(s, d)).drop("description", "h1", "canonical"))
-query(f"with {C} select url, coalesce('img' || i || '.png', 'No images') as src, case when i is null or (ord + i - 1) % 3 = 0 then '' else 'alt' end as alt, n_img as images from c left join (values (1), (2), (3)) v(i) on i <= n_img", "images_unnest")(lambda s, d: generators.image_rows(fx.crawl(s, d)))
+query(f"with {C} select url, coalesce(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/img' || i || '.png', 'No images') as src, case when i is null or (ord + i - 1) % 3 = 0 then '' else 'alt' end as alt, n_img as images from c left join (values (1), (2), (3)) v(i) on i <= n_img", "images_unnest")(lambda s, d: generators.image_rows(fx.crawl(s, d)))
 
 # Duplicates.
 _NORM = "lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))"
@@ -306,7 +306,7 @@ query(f"with recursive {_BESIDE.format(pairs=SQL['near_duplicate_pairs'])}, {_GR
 query(f"with {C} select ord, hop_count, loops and hop_count > 0 as is_loop, status_code >= 400 as ends_in_error, status_code as final_status, 'http' as kind from c where hop_count > 0", "redirect_chains")(lambda s, d: redirects.chains(fx.crawl(s, d)).select("ord", "hop_count", "is_loop", "ends_in_error", "final_status", "kind"))
 query(f"with {C} select ord from c where hop_count > 0 and loops", "redirect_loops")(lambda s, d: redirects.chains(fx.crawl(s, d)).where("is_loop").select("ord"))
 query(f"with {C} select ord, case when hop_count > 0 then 'http' else 'none' end as kind from c", "redirect_type")(lambda s, d: fx.crawl(s, d).select("ord", redirects.kind(F.col("redirect_chain")).alias("kind")))
-query(f"with recursive {C}, {E}, w(key, cur, path, ended) as (select ord, ord, [ord], '' from c union all select w.key, coalesce(e.dst, w.cur), case when e.dst is null then w.path else list_append(w.path, e.dst) end, case when e.dst is null then 'end' when list_contains(w.path, e.dst) then 'loop' else '' end from w left join (select src, dst from e where pos = 0) e on e.src = w.cur where w.ended = '' and len(w.path) <= 10) select key, cast(len(path) - 1 as int) as hop_count, cur as final_key, case when ended = '' then 'most' else ended end as ended from w where ended <> '' or len(path) = 11", "redirect_walk")(lambda s, d: redirects.walk(fx.keys(s, d).select("key"), fx.edges(s, d).where("pos = 0").select("src", "dst")))
+query(f"with recursive {C}, {E}, w(key, cur, path, ended) as (select ord, ord, [ord], '' from c union all select w.key, coalesce(e.dst, w.cur), case when e.dst is null then w.path else list_append(w.path, e.dst) end, case when e.dst is null then 'end' when list_contains(w.path, e.dst) then 'loop' else '' end from w left join (select src, dst from e where anchor = 'next') e on e.src = w.cur where w.ended = '' and len(w.path) <= 10) select key, cast(len(path) - 1 as int) as hop_count, cur as final_key, case when ended = '' then 'most' else ended end as ended from w where ended <> '' or len(path) = 11", "redirect_walk")(lambda s, d: redirects.walk(fx.keys(s, d).select("key"), fx.edges(s, d).where("anchor = 'next'").select("src", "dst")))
 _MAP = "m as (select ord, regexp_replace(case when hop_count > 0 and not loops then 'https://end.example/' || ord else url end, '#.*$', '') as loc from c where ok and (hop_count = 0 or first_hop = 301))"
 query(f"with {C}, {_MAP} select distinct loc, cast(null as varchar) as lastmod from m", "sitemap_entries")(lambda s, d: generators.sitemap_entries(fx.crawl(s, d)))
 query(f"with {C}, {_MAP} select count(*) as total, {_n('not ok')} as dropped_non_2xx, {_n('ok and hop_count > 0 and first_hop <> 301')} as dropped_temporary, (select count(distinct loc) from m) as included, cast(count(*) - {_n('not ok')} - {_n('ok and hop_count > 0 and first_hop <> 301')} - (select count(distinct loc) from m) as bigint) as dropped_duplicate from c", "sitemap_stats")(lambda s, d: generators.sitemap_stats(fx.crawl(s, d)))
@@ -379,12 +379,12 @@ query("select page_id, code, 'https://x.example/' || code as href from pages, (v
 query("select url, w as warning from pages, (values ('og:description is missing', 2), ('og:image is no absolute address', 3)) v(w, m) where page_id % m = 0", "social_validate")(lambda s, d: generators.social_warnings(_pages(s, d).selectExpr("url", "'title' as og_title", "if(page_id % 2 = 0, '', 'about') as og_description", "if(page_id % 3 = 0, '/rel', url) as og_image", "cast(null as string) as twitter_title", "cast(null as string) as twitter_description", "cast(null as string) as twitter_image", "cast(null as string) as card")))
 query(f"with {C}, {E}, l as (select ord as k from c), w as (select distinct dst as k from e) select cast(k as varchar) as url, 'spider' as origin from w union all select cast(k as varchar), 'sitemap' from l where k not in (select k from w)", "spider_union_sitemap")(lambda s, d: lists.with_sitemap(fx.edges(s, d).select(F.col("dst").cast("string").alias("url")).distinct(), fx.keys(s, d).select(F.col("key").cast("string").alias("url"))))
 query("with x as (select conv_id, count(*) as turns, string_agg(role, ',' order by turn) as roles from conversations group by 1) select conv_id, turns, roles from x", "conversation_turns_nested")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").transform(lambda t: merge.nested(t.select("conv_id").distinct(), t, "conv_id", "conv_id", "turn", "items")).select("conv_id", F.size("items").cast("long").alias("turns"), F.array_join(F.transform("items", lambda i: i["role"]), ",").alias("roles")))
-query(f"with {C} select url, title, n_h1 as h1s_count, case when canonical_status = 'Missing' then '' else 'x' end as canonical, canonical_status, status_code from c", "meta_export")(lambda s, d: generators.meta_rows(fx.crawl(s, d), {"title", "h1", "canonical"}).drop("h1s", "status", "fetch_time"))
+query(f"with {C} select url, title, n_h1 as h1s_count, canonical, canonical_status, status_code from c", "meta_export")(lambda s, d: generators.meta_rows(fx.crawl(s, d), {"title", "h1", "canonical"}).drop("h1s", "status", "fetch_time"))
 query(f"with {C} select url, case when n_hreflang = 0 then 'No hreflang' else k.h end as href, case when n_hreflang = 0 then '' when k.h = 'a' then 'en' when has_default then 'x-default' else 'fr' end as hreflang from c left join (values ('a'), ('b')) k(h) on n_hreflang > 0 where not (status_code = 0 or status_code >= 400)", "hreflang_export")(lambda s, d: generators.nested_rows(fx.crawl(s, d), "hreflangs", "No hreflang"))
-query(f"with {C} select url, case when n_schema > 0 then '{{}}' else 'No schema' end as value from c where not (status_code = 0 or status_code >= 400)", "schema_export")(lambda s, d: generators.nested_rows(fx.crawl(s, d), "schemas", "No schema"))
+query(f"with {C} select url, case when n_schema > 0 then '{{' || chr(10) || '  ' || chr(34) || '@type' || chr(34) || ': ' || chr(34) || 'Page' || chr(34) || chr(10) || '}}' else 'No schema' end as value from c where not (status_code = 0 or status_code >= 400)", "schema_export")(lambda s, d: generators.nested_rows(fx.crawl(s, d), "schemas", "No schema"))
 query(f"with {C} select '\"' || replace(url, '\"', '\"\"') || '\",\"' || replace(title, '\"', '\"\"') || '\",' || status_code as line from c", "csv_lines")(lambda s, d: generators.csv_lines(fx.crawl(s, d).select("url", "title", "status_code")))
 query(f"with {C} select url || chr(9) || title || chr(9) || status_code as line from c", "tsv_lines")(lambda s, d: generators.tsv_lines(fx.crawl(s, d).select("url", "title", "status_code")))
-query(f"with {C} select url, case when has_og then 'x' else title end as title, description, case when n_img > 0 then 'img1.png' else '' end as image from c", "social_preview")(lambda s, d: generators.preview(fx.crawl(s, d)))
+query(f"with {C} select url, case when has_og then 'x' else title end as title, description, case when n_img > 0 then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/img1.png' else '' end as image from c", "social_preview")(lambda s, d: generators.preview(fx.crawl(s, d)))
 
 
 # Filters, access, graph cuts and file texts over whole tables.

@@ -44,3 +44,9 @@ def _remove(spark, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # noqa: BLE001  the session may be gone at exit
         pass
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table of this path is there and whole."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
