@@ -11,14 +11,15 @@ def frame(spark, rows):
 
 
 def brute(rows, k=5):
-    x = np.array([e for _, e in rows], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids = np.array([i for i, _ in rows])
+    """Sorted by the cosine in extended precision, rounded once."""
+    x = np.array([e for _, e in rows], np.float32).astype(np.longdouble)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    lengths, ids = (x * x).sum(axis=1), np.array([i for i, _ in rows])
     out = {}
-    for i, e in zip(ids, x, strict=True):
+    for row, i in enumerate(ids):
         if i % 50 == 0:
-            s = np.round((x * e).sum(axis=1), 12)
-            best = [(j, v) for j, v in zip(ids, s, strict=True) if j != i]
+            s = ((x * x[row]).sum(axis=1) / np.sqrt(lengths * lengths[row])).astype(np.float64)
+            best = [(j, min(v, 1.0)) for j, v in zip(ids, s, strict=True) if j != i]
             out[int(i)] = [(int(j), float(v)) for j, v in sorted(set(best), key=lambda p: (-p[1], p[0]))[:k]]
     return out
 
@@ -27,7 +28,7 @@ def got(df):
     out = {}
     for r in df.orderBy("query_id", "rank").collect():
         assert r.rank == len(out.setdefault(r.query_id, [])) + 1
-        out[r.query_id].append((r.vec_id, round(r.score, 12)))
+        out[r.query_id].append((r.vec_id, r.score))
     return out
 
 
@@ -87,6 +88,13 @@ def test_vectors_of_one_direction_tie(spark):
     assert have[50] == [(i, 1.0) for i in range(1, 6)] and have == brute(rows)
 
 
+def test_nearly_equal_scores_keep_their_order(spark):
+    """Cosines that differ in the 14th digit: the larger comes first, whatever the ids."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e-7]), (2, [1.0, 0.0]), (3, [1.0, -2e-7]), (4, [2.0, 0.0]), (5, [1.0, 4e-7])]
+    have = got(ann.search(frame(spark, rows)))[0]
+    assert [i for i, _ in have] == [2, 4, 1, 3, 5] and have[:2] == [(2, 1.0), (4, 1.0)] and 1 > have[2][1] > have[3][1] > have[4][1]
+
+
 def test_each_length_is_searched_among_its_own(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=3 + i % 2).astype(np.float32).tolist()) for i in range(0, 200, 5)]

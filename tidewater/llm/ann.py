@@ -8,8 +8,8 @@ of them, however few or many lists there are. Of the `BOUNDARIES` within which v
 that read them meet by list in blocks of bounded size; the found vectors are scored in double precision on the original vectors.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; those of each length are searched among their own. Equal vectors are
-indexed once with their smallest ids, which is exact: only so many can be among the nearest. Scores are rounded to `DIGITS` digits, so that vectors of one direction tie;
-ties go to the smaller id. Rows that repeat an id and vector
+indexed once with their smallest ids, which is exact: only so many can be among the nearest. A score is the cosine in extended precision, rounded to a double once at the end, so that it is
+the same wherever a pair meets and vectors of one direction tie; ties go to the smaller id. Rows that repeat an id and vector
 count once; an id with several vectors is searched with each, and counts with its best. Empty tables give an empty result. Extra columns
 are ignored.
 """
@@ -36,18 +36,30 @@ DEGREE = 16
 ENTRIES = 4
 RECALL = 0.95
 ASKED = 64
-DIGITS = 12
+#: Products in double precision are within this of the cosine.
+SLACK = 1e-9
 #: Distinct postings and queries of a block at most, on average.
 BLOCK_POSTINGS, BLOCK_QUERIES = 4096, 1024
 FOUND = "query_id long, vec_id long, score double"
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that no square overflows or vanishes."""
+    return np.ldexp(x.astype(np.float64), -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None].astype(np.int64))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; a power of two first, so that no square overflows or vanishes."""
-    x = np.ldexp(x.astype(np.float64), -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None].astype(np.int64))
+    """Rows scaled to length 1."""
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a and the row of b beside it, rounded to a double once."""
+    a, b = scaled(a).astype(np.longdouble), scaled(b).astype(np.longdouble)
+    return np.clip(((a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64), -1, 1)
+
+
 def bisect(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Centroids of `lists` equally filled cells of x (unit rows)."""
     rng = np.random.default_rng(seed)
@@ -183,9 +195,8 @@ def nearest(queries: np.ndarray, ids: np.ndarray, postings: np.ndarray, posting_
     some = min(len(p), k + 1)
     rough = q @ p.T
     least = np.partition(rough, len(p) - some, axis=1)[:, len(p) - some]
-    row, at = np.nonzero(rough >= least[:, None] - 10.0 ** (3 - DIGITS))
-    score = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 65536]], p[at[i : i + 65536]]) for i in range(0, len(row), 65536)])
-    score = np.round(np.clip(score, -1, 1), DIGITS)  # the same for a pair wherever it meets
+    row, at = np.nonzero(rough >= least[:, None] - SLACK)
+    score = np.concatenate([cosines(queries[row[i : i + 65536]], postings[at[i : i + 65536]]) for i in range(0, len(row), 65536)])
     many = np.fromiter(map(len, posting_ids), np.int64, len(posting_ids))
     own = np.concatenate([np.asarray(x, np.int64) for x in posting_ids])
     found = own[ragged((np.cumsum(many) - many)[at], many[at])]
