@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -94,21 +94,46 @@ def pattern(path: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(body, F.lit("*"), F.lit(".*")), F.when(F.endswith(path, F.lit("$")), "$").otherwise(""))
 
 
+def groups(parsed: DataFrame, agents: DataFrame) -> DataFrame:
+    """source, agent, grp: the group that speaks for each agent of agents (agent) in each file: of the longest token in its name, the first of equals; else the last group for all."""
+    tokens = parsed.where("kind = 'group'").select("source", "grp", F.posexplode("agents").alias("nth", "token"))
+    any_agent = F.col("token") == "*"
+    # tokens without `*` meet the agents that hold them: few agents, so this is one pass over the tokens
+    fits = tokens.join(F.broadcast(agents.select("agent").distinct()), any_agent | F.contains(F.lower("agent"), F.col("token")))
+    rank = F.struct((~any_agent).alias("own"), F.when(any_agent, 0).otherwise(F.length("token")).alias("length"), F.when(any_agent, F.col("grp")).otherwise(-F.col("grp")).alias("place"), (-F.col("nth")).alias("nth"))
+    return fits.groupBy("source", "agent").agg(F.max_by("grp", rank).alias("grp"))
+
+
+def index(parsed: DataFrame) -> DataFrame:
+    """source, grp, prefix, kind, path, line, rule, wild of every rule: prefix is what a matching path begins with, up to the first wildcard; wild: whether more than that is asked."""
+    rules = parsed.where("kind in ('allow', 'disallow')").select("source", "grp", "kind", "path", "line", "rule", F.when(F.col("path") == "", "/").otherwise(F.col("path")).alias("asked"))
+    prefix = F.regexp_extract("asked", r"^([^*]*?)(?:[*].*|[$])?$", 1)
+    return rules.select("source", "grp", prefix.alias("prefix"), "kind", "path", "line", "rule", (prefix != F.col("asked")).alias("wild"))
+
+
+def candidates(indexed: DataFrame, cases: DataFrame) -> DataFrame:
+    """cases (source, grp, place, ...) with each rule of their group whose prefix their place begins with.
+
+    A place is cut at the lengths of its group's prefixes, and the cuts are joined with the prefixes: a case costs as many rows as its group has lengths, however many rules it has.
+    """
+    lengths = indexed.groupBy("source", "grp").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    at = F.explode(F.filter("lengths", lambda n: n <= F.length("place")))
+    cut = cases.join(lengths, ["source", "grp"]).select(*cases.columns, at.alias("n")).withColumn("prefix", F.expr("substring(place, 1, n)")).drop("n")
+    return cut.join(indexed, ["source", "grp", "prefix"])
+
+
 def match(parsed: DataFrame, tests: DataFrame) -> DataFrame:
-    """source, url, agent, allowed, kind, path, line of tests (source, url, agent): the winning rule, null if none matched."""
-    rows = parsed.where("kind in ('group', 'allow', 'disallow')")
-    agents = rows.where("kind = 'group'").select("source", "grp", F.posexplode("agents").alias("nth", "token"))
+    """source, url, agent, allowed, kind, path, line of tests (source, url, agent): the winning rule, null if none matched.
+
+    Of the rules whose prefix the address begins with, those with wildcards are tried as patterns; the most specific wins, allow before disallow, then the first.
+    """
     cases = tests.select("source", "url", "agent").distinct()
-    # the longest token in the agent's name, the first of equals; else the last group for all
-    fits = cases.join(agents, "source").where((F.col("token") != "*") & F.contains(F.lower("agent"), F.col("token")) | (F.col("token") == "*"))
-    order = Window.partitionBy("source", "url", "agent").orderBy((F.col("token") == "*").cast("int"), F.when(F.col("token") == "*", 0).otherwise(-F.length("token")), F.when(F.col("token") == "*", -F.col("grp")).otherwise(F.col("grp")), "nth")
-    chosen = fits.withColumn("k", F.row_number().over(order)).where("k = 1").select("source", "url", "agent", "grp")
-    where = F.concat(urls.path(F.col("url")), urls.query(F.col("url")))
-    rules = rows.where("kind <> 'group'").select("source", "grp", "kind", "path", "line", "rule")
+    place = F.concat(urls.path(F.col("url")), urls.query(F.col("url")))
+    asked = cases.where(urls.is_absolute(F.col("url"))).join(groups(parsed, cases), ["source", "agent"]).withColumn("place", place)
+    met = candidates(index(parsed), asked).where(~F.col("wild") | F.rlike("place", pattern(F.col("path"))))
     specific = F.length(F.regexp_replace(F.regexp_replace("path", r"\*", ""), r"\$$", ""))
-    hit = chosen.join(rules, ["source", "grp"]).where(urls.is_absolute(F.col("url")) & F.rlike(where, pattern(F.col("path"))))
-    best = Window.partitionBy("source", "url", "agent").orderBy(F.desc(specific), (F.col("kind") == "disallow").cast("int"), "rule")
-    won = hit.withColumn("k", F.row_number().over(best)).where("k = 1").select("source", "url", "agent", "kind", "path", "line")
+    rank = F.struct(specific.alias("specific"), (F.col("kind") == "allow").alias("allow"), (-F.col("rule")).alias("rule"))
+    won = met.groupBy("source", "url", "agent").agg(F.max_by(F.struct("kind", "path", "line"), rank).alias("won")).select("source", "url", "agent", "won.*")
     return cases.join(won, ["source", "url", "agent"], "left").select("source", "url", "agent", (F.coalesce("kind", F.lit("allow")) == "allow").alias("allowed"), "kind", "path", "line")
 
 

@@ -312,15 +312,36 @@ query(f"with {C}, {_MAP} select distinct loc, cast(null as varchar) as lastmod f
 query(f"with {C}, {_MAP} select count(*) as total, {_n('not ok')} as dropped_non_2xx, {_n('ok and hop_count > 0 and first_hop <> 301')} as dropped_temporary, (select count(distinct loc) from m) as included, cast(count(*) - {_n('not ok')} - {_n('ok and hop_count > 0 and first_hop <> 301')} - (select count(distinct loc) from m) as bigint) as dropped_duplicate from c", "sitemap_stats")(lambda s, d: generators.sitemap_stats(fx.crawl(s, d)))
 query(f"with {C}, {_MAP} select distinct loc, '<url><loc>' || replace(replace(replace(replace(replace(loc, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') || '</loc></url>' as xml from m", "sitemap_xml")(lambda s, d: generators.sitemap_lines(generators.sitemap_entries(fx.crawl(s, d))))
 query(f"with {C} select {_SEG} || '/' as prefix, count(*) as errors from c where status_code in (401, 403, 404, 410) and {_SEG} <> '/' group by 1 having count(*) >= 2", "robots_suggest")(lambda s, d: robots.suggested(fx.crawl(s, d)))
-ROBOTS = "User-agent: *\nDisallow: /private/\nAllow: /private/open\nCrawl-delay: 2\n\nUser-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /*.pdf$\nDisallow: /fr/\nAllow: /fr/a\nSitemap: https://x.example/sitemap.xml\nnonsense\n"
-
-
-def _files(s):
-    return s.createDataFrame([("x", ROBOTS)], "source string, content string")
-
-
-query("select * from (values ('group', 0, '*', null, null, null, null), ('disallow', 0, '*', 0, 2, '/private/', null), ('allow', 0, '*', 1, 3, '/private/open', null), ('crawl-delay', 0, '*', null, 4, null, 2.0::double), ('group', 1, 'googlebot,bingbot', null, null, null, null), ('disallow', 1, 'googlebot,bingbot', 0, 8, '/*.pdf$', null), ('disallow', 1, 'googlebot,bingbot', 1, 9, '/fr/', null), ('allow', 1, 'googlebot,bingbot', 2, 10, '/fr/a', null), ('sitemap', null, null, null, 11, 'https://x.example/sitemap.xml', null), ('warning', null, null, null, 12, 'Malformed line: nonsense', null)) v(kind, grp, agents, rule, line, path, value)", "robots_parse")(lambda s, d: robots.parse(_files(s)).withColumn("agents", F.array_join("agents", ",")).drop("source"))
-query("select page_id, not (regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '/fr/%' and not regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '/fr/a%') as allowed from pages", "robots_match")(lambda s, d: _pages(s, d).select("page_id", "url").join(robots.match(robots.parse(_files(s)), _pages(s, d).select(F.lit("x").alias("source"), "url", F.lit("Mozilla/5.0 (compatible; Googlebot/2.1)").alias("agent"))), "url").select("page_id", "allowed"))
+#: The robots.txt of a site, by the length of its name: HTML does not hold them.
+ROBOTS = [
+    "User-agent: *\nDisallow: /private/\nAllow: /private/open\nCrawl-delay: 2\n\nUser-agent: Googlebot\nUser-agent: Bingbot\nDisallow: /*.html$\nDisallow: /fr/\nAllow: /fr/2\nSitemap: https://x.example/sitemap.xml\nnonsense\n",
+    "User-agent: *\nDisallow: /\nAllow: /en/\nAllow: /*/1\n",
+    "User-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nDisallow: /*?page=\n",
+    "",
+]
+_SITE = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '')"
+
+
+def _files(s, d):
+    sites = _pages(s, d).select(urls.host(F.col("url")).alias("source")).distinct()
+    return sites.withColumn("content", F.element_at(F.array(*map(F.lit, ROBOTS)), (F.length("source") % len(ROBOTS) + 1).cast("int")))
+
+
+_PARSED = """r(variant, kind, grp, agents, rule, line, path, value) as (values
+    (0, 'group', 0, '*', null, null, null, null), (0, 'disallow', 0, '*', 0, 2, '/private/', null), (0, 'allow', 0, '*', 1, 3, '/private/open', null), (0, 'crawl-delay', 0, '*', null, 4, null, 2.0::double),
+    (0, 'group', 1, 'googlebot,bingbot', null, null, null, null), (0, 'disallow', 1, 'googlebot,bingbot', 0, 8, '/*.html$', null), (0, 'disallow', 1, 'googlebot,bingbot', 1, 9, '/fr/', null), (0, 'allow', 1, 'googlebot,bingbot', 2, 10, '/fr/2', null),
+    (0, 'sitemap', null, null, null, 11, 'https://x.example/sitemap.xml', null), (0, 'warning', null, null, null, 12, 'Malformed line: nonsense', null),
+    (1, 'group', 0, '*', null, null, null, null), (1, 'disallow', 0, '*', 0, 2, '/', null), (1, 'allow', 0, '*', 1, 3, '/en/', null), (1, 'allow', 0, '*', 2, 4, '/*/1', null),
+    (2, 'group', 0, 'gptbot', null, null, null, null), (2, 'disallow', 0, 'gptbot', 0, 2, '/', null), (2, 'group', 1, '*', null, null, null, null), (2, 'disallow', 1, '*', 0, 5, '/*?page=', null))"""
+query(f"with {_PARSED} select source, kind, grp, agents, rule, line, path, value from (select distinct {_SITE} as source from pages) join r on r.variant = length(source) % {len(ROBOTS)}", "robots_parse")(lambda s, d: robots.parse(_files(s, d)).withColumn("agents", F.array_join("agents", ",")))
+_AGENTS = "a(agent) as (values " + ", ".join(f"('{x}')" for own in robots.BOTS.values() for x in own) + ")"
+#: Every page for every agent of the catalogue: which rule of its site's file wins, rules tried one by one in the SQL.
+_WON = f"""t as (select distinct source, url, agent, length(source) % {len(ROBOTS)} as variant, path || query as place from (select {_SITE} as source, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) as query from pages), a),
+g as (select *, case when variant = 0 then case when contains(lower(agent), 'googlebot') or contains(lower(agent), 'bingbot') then 1 else 0 end when variant = 2 then case when contains(lower(agent), 'gptbot') then 0 else 1 end else 0 end as grp from t),
+m as (select g.source, g.url, g.agent, r.kind, r.path, r.line, row_number() over (partition by g.source, g.url, g.agent order by length(replace(replace(r.path, '*', ''), '$', '')) desc, r.kind = 'disallow', r.rule) as k from g join r on r.variant = g.variant and r.grp = g.grp and r.kind in ('allow', 'disallow') and regexp_matches(place, '^' || replace(replace(replace(r.path, '.', '[.]'), '?', '[?]'), '*', '.*')))"""
+query(f"with {_AGENTS}, {_PARSED}, {_WON} select t.source, t.url, t.agent, coalesce(m.kind, 'allow') = 'allow' as allowed, m.kind, m.path, m.line from t left join m on m.source = t.source and m.url = t.url and m.agent = t.agent and m.k = 1", "robots_match")(
+    lambda s, d: robots.match(robots.parse(_files(s, d)), _pages(s, d).select(urls.host(F.col("url")).alias("source"), "url").crossJoin(F.broadcast(robots.bots(s).select("agent"))))
+)
 
 
 # Elements that the pages lack are set into every page's head by rule, so that these run over whole pages; the SQL says what is found.
