@@ -78,20 +78,31 @@ def near_groups(items: DataFrame, threshold: float = NEAR) -> DataFrame:
     return follows.unionByName(follows.select(F.col("leader").alias("ord"), "leader").distinct())
 
 
-def field_groups(crawl: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """field, kind, value, urls of the exact and near groups of 2xx pages by title, description and first h1; value and urls begin with the first page."""
+def group_members(crawl: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """field, kind, grp, value, size, ord, url: a row for each 2xx page of the exact and near groups by title, description and first h1; value is the first page's.
+
+    A group is rows that share its name: no array holds its pages, however many they are.
+    """
     rows = crawl.where("status_code between 200 and 299").select("ord", "url", "title", "description", F.get("h1s", F.lit(0)).alias("h1"))
     every = []
     for field in ("title", "description", "h1"):
         value = F.col(field)
-        own = rows.where(~blank(value)).select("ord", "url", value.alias("value"), squeeze(value).alias("norm"))
-        exact = own.join(exact_groups(rows, value).select("norm"), "norm").select(F.col("norm").alias("grp"), F.lit("exact").alias("kind"), "ord", "url", "value")
-        near = near_groups(near_candidates(rows, value), threshold).join(own, "ord").select(F.col("leader").cast("string").alias("grp"), F.lit("near").alias("kind"), "ord", "url", "value")
-        grouped = exact.unionByName(near).groupBy("kind", "grp").agg(F.min_by("value", "ord").alias("value"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"]).alias("urls"))
-        every.append(grouped.select(F.lit(field).alias("field"), "kind", "value", "urls"))
+        own = rows.where(~blank(value)).select("ord", "url", value.alias("own"), squeeze(value).alias("norm"))
+        groups = exact_groups(rows, value).select("norm", "value", "size")
+        exact = own.join(groups, "norm").select(F.lit("exact").alias("kind"), F.col("norm").alias("grp"), "value", "size", "ord", "url")
+        members = stored(near_groups(near_candidates(rows, value), threshold), "members")
+        leaders = members.groupBy("leader").agg(F.count("*").alias("size")).join(own.select(F.col("ord").alias("leader"), F.col("own").alias("value")), "leader")
+        near = members.join(leaders, "leader").join(own.select("ord", "url"), "ord").select(F.lit("near").alias("kind"), F.col("leader").cast("string").alias("grp"), "value", "size", "ord", "url")
+        every.append(exact.unionByName(near).select(F.lit(field).alias("field"), "*"))
     return every[0].unionByName(every[1]).unionByName(every[2])
 
 
+def field_groups(crawl: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """field, kind, value, urls of the groups, for display; urls in crawl order. An array holds a group: for large ones use `group_members`."""
+    urls = F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"])
+    return group_members(crawl, threshold).groupBy("field", "kind", "grp").agg(F.first("value").alias("value"), urls.alias("urls")).drop("grp")
+
+
 def largest(groups: DataFrame, n: int | None = 6) -> DataFrame:
     """Groups (field, kind, value, urls) from the largest on, exact ones first; n: so many of a field."""
     rank = Window.partitionBy("field").orderBy(F.desc(F.size("urls")), F.col("kind") != "exact", "value")

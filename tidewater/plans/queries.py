@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
@@ -155,7 +155,11 @@ query(f"with {C} select count(*) as total, {_n('ok')} as ok, {_n('hop_count > 0'
 query(f"with {C} select cast(floor(ord / size) as bigint) as chunk, floor(avg(tenths / 10.0) * 100 + 0.5) / 100 as avg_fetch, count(*) as pages from c, (select case when count(*) <= 60 then 1 else ceil(count(*) / 50.0) end as size from c) group by 1", "response_time_buckets")(lambda s, d: report.response_times(fx.crawl(s, d)))
 query(f"with {C} " + " union all ".join(f"select '{k}' as label, {v} as count from c" for k, v in {"2xx Success": _n("ok"), "3xx Redirects": _n("hop_count > 0"), "4xx Client errors": _n("status_code between 400 and 499"), "5xx Server errors": _n("status_code >= 500")}.items()), "response_breakdown")(lambda s, d: report.response_breakdown(fx.crawl(s, d)))
 query(f"with {C} " + " union all ".join(f"select '{k}' as label, {v} as count from c" for k, v in {"Indexable pages": f"greatest(0, {_n('ok')} - {_n(chr(114) + 'obots like ' + chr(39) + '%noindex%' + chr(39))})", "Noindex": _n("robots like '%noindex%'"), "Nofollow": _n("robots like '%nofollow%'"), "Canonicalised away": _n("canonical_status = 'Canonicalised'"), "Missing canonical": _n("canonical_status = 'Missing'")}.items()), "indexability")(lambda s, d: report.indexability(fx.crawl(s, d)))
-query(None, "ai_crawl_summary")(lambda s, d: report.ai_summary(fx.crawl(s, d)))
+query(
+    f"""with {C}, o as ({SQL['overview_summary']}) select '{{"total":' || total || ',"ok":' || ok || ',"redirects":' || redirects || ',"client_errors":' || client_errors || ',"server_errors":' || server_errors || ',"blocked":' || blocked || ',"missing_title":' || missing_title || ',"missing_description":' || missing_description || ',"missing_h1":' || missing_h1 || ',"noindex":' || noindex || ',"avg_fetch":' || avg_fetch
+    || ',"statuses":{{' || (select string_agg('"' || k || 'xx":' || v, ',' order by k) from (select status_code // 100 as k, count(*) as v from c group by 1)) || '}},"sample":[' || (select string_agg(to_json({{'url': url, 'title': title, 'status': status_code}})::varchar, ',' order by ord) from (select * from c order by ord limit 25)) || ']}}' as summary from o""",
+    "ai_crawl_summary",
+)(lambda s, d: report.ai_summary(fx.crawl(s, d)))
 query(f"with {C} select bool_or(title <> '') as title, bool_or(description <> '') as description, bool_or(robots <> '') as robots, bool_or(canonical_status <> 'Missing') as canonical, bool_or(n_h1 > 0) as h1s, bool_or(n_h2 > 0) as h2s, bool_or(n_h3 > 0) as h3s, bool_or(n_img > 0) as images, bool_or(n_schema > 0) as schemas, bool_or(n_hreflang > 0) as hreflangs, bool_or(n_links > 0) as internal_links, bool_or(has_og or has_twitter) as social_tags from c", "inferred_flags")(lambda s, d: report.inferred_flags(fx.crawl(s, d)))
 
 # Links.
@@ -169,7 +173,7 @@ def _equity(s, d):
 
 query(f"with {C}, {E}, {_IN}, {_EQ} select key, incoming, outgoing, unique_anchors, diversity, score, strength, overlinked, top_anchor from r", "link_equity")(_equity)
 query(f"with {C}, {E}, {_IN}, {_EQ} select count(*) as pages, {_n('strength = ' + repr('strong'))} as strong, {_n('strength = ' + repr('weak'))} as weak, {_n('strength = ' + repr('orphan'))} as orphan, {_n('overlinked')} as overlinked, {_n('incoming >= 5 and diversity < 0.3')} as low_diversity, max(incoming) as max_incoming from r", "link_equity_summary")(lambda s, d: links.equity_summary(_equity(s, d)))
-query(f"with {C}, {E}, {_IN}, {_EQ} select key, incoming, outgoing, unique_anchors, diversity, score, strength, overlinked, top_anchor from r order by score desc, key limit 500", "link_equity_top")(lambda s, d: links.equity_top(_equity(s, d)))
+query(f"with {C}, {E}, {_IN}, {_EQ} select key, incoming, outgoing, unique_anchors, diversity, score, strength, overlinked, top_anchor, cast(row_number() over (order by score desc, key) as int) as rank from r order by score desc, key limit 500", "link_equity_top")(lambda s, d: links.equity_top(_equity(s, d)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "key"))))  # 500 rows
 query(f"with {C}, {E}, {_IN} select key, top_anchor from t", "top_anchor")(lambda s, d: links.top_anchor(fx.edges(s, d)))
 _AUDIT = "a as (select src, dst, anchor, pos, rel, is_internal, rel = 'nofollow' as nofollow, rel = 'sponsored' as sponsored, rel = 'ugc' as ugc, case when rel = 'sponsored' then 'Sponsored' when rel = 'ugc' then 'UGC' when rel = 'nofollow' then 'Nofollow' when rel <> '' then 'Followed' else 'No rel' end as status, not is_internal and rel not in ('nofollow', 'sponsored', 'ugc') as missing_rel from e)"
 query(f"with {C}, {E}, {_AUDIT} select * from a", "link_attribute_audit")(lambda s, d: links.audit(fx.edges(s, d)))
@@ -178,10 +182,10 @@ _ORPHAN = "select ord as key, status_code, ok and robots not like '%noindex%' as
 query(f"with {C}, {E} {_ORPHAN}", "orphans")(lambda s, d: links.orphans(fx.keys(s, d), fx.edges(s, d)))
 query(f"with {C}, {E} select * from ({_ORPHAN}) where indexable", "critical_orphans")(lambda s, d: links.orphans(fx.keys(s, d), fx.edges(s, d)).where("indexable"))
 query(f"with {C}, {E} select dst as key, count(*) as inbound from e join c on c.ord = e.dst where is_internal group by dst having count(*) <= 2", "low_link_pages")(lambda s, d: links.low_links(fx.keys(s, d), fx.edges(s, d)))
-_G = "g as (select src, dst, count(*) as links, string_agg(distinct trim(anchor) , ' | ' order by trim(anchor)) as anchors from e where is_internal and src <> dst group by src, dst)"
-query(f"with {C}, {E}, {_G} select src, dst, cast(links as bigint) as links, anchors from g", "link_graph_edges")(lambda s, d: links.graph_edges(fx.edges(s, d)).withColumn("anchors", F.array_join(F.array_sort(F.array_distinct(F.split("anchors", " \\| "))), " | ")))
+_G = "g as (select src, dst, cast(sum(n) as bigint) as links, coalesce(string_agg(a, ' | ' order by first, a) filter (where a <> ''), '') as anchors from (select src, dst, trim(anchor) as a, count(*) as n, min(pos) as first from e where is_internal and src <> dst group by 1, 2, 3) group by src, dst)"
+query(f"with {C}, {E}, {_G} select src, dst, cast(links as bigint) as links, anchors from g", "link_graph_edges")(lambda s, d: links.graph_edges(fx.edges(s, d)))
 query(f"with {C}, {E}, {_G}, n as (select ord as key, true as crawled from c union all select distinct dst, false from g where dst not in (select ord from c)), i as (select dst as key, count(*) as v from g group by 1), o as (select src as key, count(*) as v from g group by 1) select n.key, coalesce(i.v, 0) as in_degree, coalesce(o.v, 0) as out_degree, n.crawled, coalesce(i.v, 0) = 0 as is_orphan, least(12.0::double, 2 + 2 * log2(1 + coalesce(i.v, 0))) as size from n left join i on i.key = n.key left join o on o.key = n.key", "link_graph_nodes")(lambda s, d: links.graph_nodes(fx.keys(s, d), links.graph_edges(fx.edges(s, d))))
-query(f"with {C}, {E}, {_G} select src as key, 'in' as direction, anchors from g where dst = 5 union all select dst, 'out', anchors from g where src = 5", "neighbourhood")(lambda s, d: links.neighbourhood(links.graph_edges(fx.edges(s, d)).withColumn("anchors", F.array_join(F.array_sort(F.array_distinct(F.split("anchors", " \\| "))), " | ")), 5))
+query(f"with {C}, {E}, {_G} select src as key, 'in' as direction, anchors from g where dst = 5 union all select dst, 'out', anchors from g where src = 5", "neighbourhood")(lambda s, d: links.neighbourhood(links.graph_edges(fx.edges(s, d)), 5))
 query(f"with {C}, {E} select src, dst from e where is_internal and src <> dst and dst in (select ord from c where hop_count > 0)", "links_to_redirects")(lambda s, d: links.to_redirects(fx.edges(s, d), fx.crawl(s, d).where("hop_count > 0").select(F.col("ord").alias("key"))))
 
 # Depth.
@@ -218,7 +222,7 @@ query(f"with {_TREE}, f as (select grp, cast((row_number() over (order by min(id
 # Filters.
 _DNF = [[Condition("title", "contains", "the"), Condition("status_code", "equals", "200")], [Condition("url", "regex", "/(fr|de)/"), Condition("robots", "not_contains", "noindex")], [Condition("title", "not_regex", "[a-z]"), Condition("absent", "equals", "x")]]
 query(f"with {C} select ord from c where (lower(title) like '%the%' and status_code = 200) or (regexp_matches(url, '(?i)/(fr|de)/') and robots not like '%noindex%') or not regexp_matches(title, '(?i)[a-z]')", "advanced_filter_dnf")(lambda s, d: filters.apply(fx.crawl(s, d), _DNF, "ignored", filters.meta_fields()).select("ord"))
-query(f"with {C} select ord from c where lower(url) like '%guide%' or lower(title) like '%guide%'", "universal_search")(lambda s, d: filters.apply(fx.crawl(s, d), [], " Guide ", {k: filters.meta_fields()[k] for k in ("url", "title")}).select("ord"))
+query(f"with {C} select ord from c where lower(url) like '%thon%' or lower(title) like '%thon%'", "universal_search")(lambda s, d: filters.apply(fx.crawl(s, d), [], " THon ", {k: filters.meta_fields()[k] for k in ("url", "title")}).select("ord"))
 _ERR = "(status_code = 0 or status_code >= 400)"
 _QUICK = {
     "all": "true", "errors": _ERR, "missing-title": f"not {_ERR} and title = ''", "missing-desc": f"not {_ERR} and description = ''", "title-long": "length(title) > 60", "multi-h1": "n_h1 > 1", "missing-h1": f"not {_ERR} and n_h1 = 0", "has-robots": "robots <> ''", "no-robots": f"not {_ERR} and robots = ''", "noindex": "robots like '%noindex%'", "nofollow": "robots like '%nofollow%'", "2xx": "ok", "3xx": "status_code between 300 and 399 or first_hop between 300 and 399", "4xx": "status_code between 400 and 499", "5xx": "status_code between 500 and 599",
@@ -297,7 +301,7 @@ def _near_items(s, d):
 _STOP = ", ".join(f"'{w}'" for w in dedupe.token_set.__globals__["STOP_WORDS"])
 _TOKENS = f"t as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as norm, list_distinct(list_filter(string_split_regex(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 and w not in ({_STOP}))) as tokens from documents), u as (select t.* from t join (select norm from t group by norm having count(*) = 1) using (norm) where len(tokens) >= 4 and norm <> '')"
 query(f"with {_TOKENS} select a.doc_id as a, b.doc_id as b, len(list_intersect(a.tokens, b.tokens)) * 1.0::double / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) as similarity from u a join u b on a.doc_id < b.doc_id and least(len(a.tokens), len(b.tokens)) >= 0.85 * greatest(len(a.tokens), len(b.tokens)) - 1e-9 where len(list_intersect(a.tokens, b.tokens)) * 1.0::double / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) >= 0.85", "near_duplicate_pairs")(lambda s, d: dedupe.near_pairs(_near_items(s, d)))
-query(None, "duplicate_group_rows")(lambda s, d: dedupe.group_rows(dedupe.field_groups(fx.crawl(s, d))))
+query(None, "duplicate_group_rows")(lambda s, d: dedupe.group_members(fx.crawl(s, d)).drop("grp", "ord"))
 _BESIDE = "p as ({pairs}), b as (select ord, row_number() over (order by ord) as k, coalesce(e, []) as earlier from (select a as ord from p union select b from p) left join (select b as ord, list(a) as e from p group by b) using (ord))"
 _GREEDY = "r(k, ord, leader, leaders) as (select 0::bigint, null::bigint, null::bigint, []::bigint[] union all select b.k, b.ord, list_min(list_intersect(b.earlier, r.leaders)), case when len(list_intersect(b.earlier, r.leaders)) = 0 then list_append(r.leaders, b.ord) else r.leaders end from r join b on b.k = r.k + 1)"
 query(f"with recursive {_BESIDE.format(pairs=SQL['near_duplicate_pairs'])}, {_GREEDY} select ord, leader from r where leader is not null union select leader, leader from r where leader is not null", "near_duplicate_groups")(lambda s, d: dedupe.near_groups(_near_items(s, d)))
