@@ -43,7 +43,7 @@ LINKS = [
 _LINK = "'<a href=\"' || target || '\"' || case when rel = '' then '' else ' rel=\"' || rel || '\"' end || '>' || said || '</a>'"
 
 _HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#]*)', 1)), '^www[.]', '')"
-_KEY = "lower(regexp_extract({0}, '^([A-Za-z]+)://', 1)) || '://' || " + _HOST + " || case when regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) in ('', '/') then '/' else regexp_replace(regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/$', '') end || regexp_extract({0}, '^[^?#]*([?][^#]*)', 1)"
+KEY_SQL = "lower(regexp_extract({0}, '^([A-Za-z]+)://', 1)) || '://' || " + _HOST + " || case when regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) in ('', '/') then '/' else regexp_replace(regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/$', '') end || regexp_extract({0}, '^[^?#]*([?][^#]*)', 1)"
 _TEXT = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#039;', ''''), '\\s+', ' ', 'g'))"
 _ALL = "regexp_extract_all(t, '(?is){0}', 1)"
 #: The HTML with what is written into it, as `marked`; the crawl read from it by patterns, as `c`; its links, as `e`.
@@ -60,8 +60,8 @@ c as (select *, status_code between 200 and 299 as ok from (select page_id as or
     contains(t, '"og:') as has_og, contains(t, '"twitter:') as has_twitter, coalesce(nullif(regexp_extract(t, '<meta name="robots" content="([^"]*)">', 1), ''), regexp_extract(t, '<meta content="([^"]*)" name="robots">', 1)) as robots,
     regexp_extract(t, '<link rel="canonical" href="([^"]*)">', 1) as canonical, case when canonical = '' then 'Missing' when canonical = x.url then 'Self Referencing' else 'Canonicalised' end as canonical_status, {', '.join(f'{v} as {n}' for n, v in ANSWERS.items())} from marked x) y
     left join (select page_id as p, cast(count(*) as int) as n_links, cast(count(*) filter (where not is_internal) as int) as n_external, count(*) filter (where not is_internal and rel not in ('nofollow', 'sponsored', 'ugc')) as n_missing_rel from links_of group by 1) on p = ord)"""
-E_SQL = f"""ids_of as (select {_KEY.format('url')} as key, min(page_id) as id from pages group by 1),
-e as (select page_id as src, coalesce(ids_of.id, -1 - ('0x' || substr(md5(d), 1, 12))::bigint) as dst, anchor, cast(pos as int) as pos, rel, is_internal from (select *, {_KEY.format('address')} as d from links_of) left join ids_of on ids_of.key = d)"""
+E_SQL = f"""ids_of as (select {KEY_SQL.format('url')} as key, min(page_id) as id from pages group by 1),
+e as (select page_id as src, coalesce(ids_of.id, -1 - ('0x' || substr(md5(d), 1, 12))::bigint) as dst, anchor, cast(pos as int) as pos, rel, is_internal from (select *, {KEY_SQL.format('address')} as d from links_of) left join ids_of on ids_of.key = d)"""
 
 
 def marked(pages: DataFrame) -> DataFrame:

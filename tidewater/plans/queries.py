@@ -14,6 +14,7 @@ from ..operators.filters import Condition
 from ..sources import lists
 from ..sources import pages as page_source
 from . import fixtures as fx
+from .audit import audit
 from .storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,6 +288,15 @@ query(f"with recursive {C}, {_REPORT} select c.url, c.status_code, severity, cat
 query(f"with {C} select url, status_code, title, cast(length(title) as int) as title_length, cast(length(description) as int) as description_length, n_h1 as h1_count, canonical_status, robots, n_img as images, n_no_alt as images_without_alt, cast(n_links - n_external as int) as internal_links, n_schema as schemas, n_hreflang as hreflangs, hop_count as hops, case when hop_count > 0 and not loops then 'https://end.example/' || ord else url end as final_url from c", "page_summary_export")(lambda s, d: generators.page_rows(fx.crawl(s, d)).drop("description", "h1", "canonical"))
 query(f"with {C} select url, coalesce(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/img' || i || '.png', 'No images') as src, case when i is null or (ord + i - 1) % 3 = 0 then '' else 'alt' end as alt, n_img as images from c left join (values (1), (2), (3)) v(i) on i <= n_img", "images_unnest")(lambda s, d: generators.image_rows(fx.crawl(s, d)))
 
+# One audit by keys: of the pages of one key the last stands for all, so its links count from that page and its depth and inbound links are those of all of them.
+_LAST = E.replace("min(page_id) as id", "max(page_id) as id").replace("e as (select page_id as src", "by_page as (select page_id as src") + f", e as (select own.id as src, dst, anchor, pos, rel, is_internal from by_page join pages p on p.page_id = by_page.src join ids_of own on own.key = {fx.KEY_SQL.format('p.url')}), last as (select * from c where ord in (select id from ids_of))"
+_BY_KEY = _REPORT.replace(E, _LAST).replace("from c where ok) where nth = 1", "from last where ok) where nth = 1").replace("join c on c.ord = e.dst", "join last on last.ord = e.dst").replace(_ORPHAN, _ORPHAN.replace("from c where", "from last where"))
+query(
+    f"with recursive {C}, {_BY_KEY}, {_IN} select c.ord, c.url, c.status_code, cast(depth as int) as depth, coalesce(incoming, 0) as incoming, cast(least(100, floor(log2(1 + coalesce(incoming, 0)) * 25 + 0.5)) as int) as score, coalesce(n, 0) as issues, coalesce(critical, 0) as critical from c join ids_of own on own.key = {fx.KEY_SQL.format('c.url')} left join depths on depths.key = own.id left join i on i.key = own.id left join (select ord, count(*) as n, count(*) filter (where severity = 'critical') as critical from h join dim on dim.rule_id = h.rule_id group by 1) f on f.ord = c.ord",
+    "page_audit",
+)(lambda s, d: audit(fx.crawl(s, d)).pages())
+query(f"with recursive {C}, {_BY_KEY}, {_CAT} select category, score, issues, critical from x", "audit_categories")(lambda s, d: audit(fx.crawl(s, d)).categories().drop("audited"))
+
 # Duplicates.
 _NORM = "lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))"
 query(f"with {C} select {_NORM} as norm, arg_min(title, ord) as value, count(*) as size from c where ok and title <> '' group by 1 having count(*) > 1", "duplicate_titles_exact")(lambda s, d: dedupe.exact_groups(fx.crawl(s, d).where("status_code between 200 and 299"), F.col("title")))
