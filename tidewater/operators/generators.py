@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.scalars import blank, csv_if_needed, csv_quoted, escape_attribute, escape_xml, hreflang_code, iso_date, ok, text, tsv_clean
+from ..sources import exports
 
 
 def permanent() -> Column:
@@ -38,19 +39,13 @@ def sitemap_lines(entries: DataFrame) -> DataFrame:
     return entries.select("loc", F.concat(F.lit("<url><loc>"), escape_xml(F.col("loc")), F.lit("</loc>"), F.when(F.col("lastmod").isNotNull(), F.concat(F.lit("<lastmod>"), F.col("lastmod"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>")).alias("xml"))
 
 
-SITEMAP_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
-SITEMAP_LINES, SITEMAP_BYTES = 50_000, 50 << 20
+SITEMAP_LINES, SITEMAP_BYTES = exports.SITEMAP_LINES, exports.SITEMAP_BYTES
 
 
-def write_sitemaps(entries: DataFrame, path: str) -> None:
-    """Sitemap files of at most SITEMAP_LINES entries and SITEMAP_BYTES bytes each, in the order of loc, under path."""
-    lines = sitemap_lines(entries).repartitionByRange("loc").select("loc", "xml", F.spark_partition_id().alias("range"))
-    order = Window.partitionBy("range").orderBy("loc").rowsBetween(Window.unboundedPreceding, -1)
-    room = SITEMAP_BYTES - (1 << 20)  # a line is far below a megabyte
-    placed = lines.withColumn("file", F.struct("range", F.floor(F.count("*").over(order) / SITEMAP_LINES), F.floor(F.coalesce(F.sum(F.octet_length("xml") + 1).over(order), F.lit(0)) / room)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loc", "xml"))), lambda x: x["xml"]), "\n")
-    files = placed.groupBy("file").agg(F.concat(F.lit(SITEMAP_HEAD + "\n"), body, F.lit("\n</urlset>")).alias("xml"))
-    files.select("xml").write.option("maxRecordsPerFile", 1).text(path)
+def write_sitemaps(entries: DataFrame, path: str, base: str | None = None, compressed: bool = False, mode: str = "error") -> None:
+    """Sitemap files of at most SITEMAP_LINES entries and SITEMAP_BYTES bytes each, in the order of loc, under path; with base (the address of path) an index of them, sitemap_index.xml."""
+    lines = sitemap_lines(entries).repartitionByRange("loc").sortWithinPartitions("loc").select("xml")
+    exports.write_lines(lines, path, mode, suffix=".xml.gz" if compressed else ".xml", head=exports.SITEMAP_HEAD, tail="</urlset>", lines=SITEMAP_LINES, bytes=SITEMAP_BYTES, index=base)
 
 
 #: Languages and countries that one page can name.
@@ -165,11 +160,15 @@ def messages(summary: DataFrame, turns: DataFrame, question: str, system: str) -
     return summary.select("summary").join(past).select(F.to_json(F.concat(say("system", F.concat(F.lit(system + "\n"), F.col("summary"))), F.coalesce("past", F.array().cast("array<struct<role:string,content:string>>")), say("user", F.lit(question)))).alias("messages"))
 
 
-def csv_lines(df: DataFrame, quote_all: bool = True) -> DataFrame:
-    """line: the rows as CSV text, quoted always or only where needed."""
-    quote = csv_quoted if quote_all else csv_if_needed
-    return df.select(F.concat_ws(",", *(quote(F.col(c).cast("string")) if t == "string" else text(F.col(c).cast("string")) for c, t in df.dtypes)).alias("line"))
+def csv_lines(df: DataFrame, quote_all: bool = True, columns: list[str] | None = None, keep: list[str | Column] = ()) -> DataFrame:
+    """line: columns of the rows as CSV text, quoted always or only where needed; then what else is to be kept, to sort by, as key0, key1, ..."""
+    quote, types = csv_quoted if quote_all else csv_if_needed, dict(df.dtypes)
+    return df.select(F.concat_ws(",", *(quote(F.col(c).cast("string")) if types[c] == "string" else text(F.col(c).cast("string")) for c in columns or df.columns)).alias("line"), *_keys(keep))
 
 
-def tsv_lines(df: DataFrame) -> DataFrame:
-    return df.select(F.concat_ws("\t", *(tsv_clean(F.col(c).cast("string")) for c in df.columns)).alias("line"))
+def tsv_lines(df: DataFrame, columns: list[str] | None = None, keep: list[str | Column] = ()) -> DataFrame:
+    return df.select(F.concat_ws("\t", *(tsv_clean(F.col(c).cast("string")) for c in columns or df.columns)).alias("line"), *_keys(keep))
+
+
+def _keys(keep: list[str | Column]) -> list[Column]:
+    return [(F.col(c) if isinstance(c, str) else c).alias(f"key{i}") for i, c in enumerate(keep)]

@@ -11,11 +11,11 @@ from ..functions import html, urls
 from ..functions.scalars import grade, length_badge
 from ..operators import access, dedupe, filters, generators, graph, links, merge, redirects, report, robots, rules
 from ..operators.filters import Condition
-from ..sources import lists
+from ..sources import exports, lists
 from ..sources import pages as page_source
 from . import fixtures as fx
 from .audit import audit
-from .storage import stored
+from .storage import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,6 +469,24 @@ query(f"select (select count(*) from ({SQL['duplicate_titles_exact']})) as exact
 query("select distinct page_id, unnest(list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<a href=\"([^\"]*)\"', 1), lambda x: trim(x))) as href from pages", "page_hrefs")(lambda s, d: _pages(s, d).select("page_id", F.explode(html.hrefs(F.col("html"))).alias("href")).distinct())
 
 
+# Files written and read back.
+@query("select distinct url, 'url' as kind from pages where url <> ''")
+def sitemap_files(s, d):
+    """Every address, from compressed sitemap files that name it."""
+    path = scratch(s, "sitemaps")
+    generators.write_sitemaps(_pages(s, d).select(F.col("url").alias("loc"), F.lit(None).cast("string").alias("lastmod")).distinct(), path, "https://files.example", compressed=True)
+    return lists.scan(s, path).where("kind = 'url'").select(F.replace(F.replace(F.replace(F.replace("url", F.lit("&apos;"), F.lit("'")), F.lit("&quot;"), F.lit('"')), F.lit("&gt;"), F.lit(">")), F.lit("&lt;"), F.lit("<")).alias("url"), "kind")
+
+
+@query(f"with {C} select url, status_code, title, description, canonical from c")
+def csv_files(s, d):
+    """The rows of CSV files for spreadsheets, of a hundred lines each."""
+    path = scratch(s, "csv")
+    rows = fx.crawl(s, d).select("url", "status_code", *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "description", "canonical")), "ord")
+    exports.write_csv(rows, path, ["ord"], rows.drop("ord").columns, lines=100)
+    return s.read.schema("url string, status_code int, title string, description string, canonical string").option("header", True).option("multiLine", True).option("escape", '"').csv(path).fillna("")
+
+
 # Incremental crawls, history, streams.
 def _fresh(s, d):
     return fx.crawl(s, d).where("status = 'OK'").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("robots", F.lit("none"))
@@ -482,7 +500,6 @@ query("select conv_id, turn from conversations where turn < 1 + conv_id % 3", "h
 def event_dedup_stream(s: SparkSession, d: str) -> DataFrame:
     """The first event of each user and type, from a stream over the events table."""
     from ..streaming.crawl import distinct_events
-    from .storage import scratch
 
     schema = s.read.parquet(f"{d}/events.parquet").schema
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))

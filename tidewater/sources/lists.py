@@ -64,6 +64,24 @@ def sitemap(files: DataFrame, roots: list[str], domain: str, limit: int | None =
     return listed if limit is None else listed.orderBy("url").limit(limit)
 
 
+#: What follows `<loc` of an entry up to the next: its address and the element that closes around it.
+_ENTRY = r"(?is)(?:^|<loc)(?:\s[^>]*)?>(.*?)</loc\s*>.*?</(url|sitemap)\s*>"
+
+
+def scan(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, url, kind (`url` or `sitemap`) of every entry of sitemap files, plain or .gz; files and folders of any size.
+
+    The files are read as text that `<loc` divides, so that ranges of spark.sql.files.maxPartitionBytes of a plain file are read by different tasks, an entry by the one
+    in whose range it begins, and no task holds a file; a .gz file is streamed by one task. An entry needs its </loc> and its closing </url> or </sitemap>: what a cut file ends with is
+    none. Of several loc in one element the last counts. CDATA is taken off, white space removed, `&amp;` decoded; empty addresses are left out. Commented entries count, as they do in `locations`.
+    """
+    parts = spark.read.option("lineSep", "<loc").option("recursiveFileLookup", "true").text(list(paths)).select(F.col("_metadata.file_path").alias("file"), "value")
+    found = parts.select("file", F.explode(F.regexp_extract_all("value", F.lit(_ENTRY), F.lit(0))).alias("entry"))  # more than one only where tags are in capitals
+    rows = found.select("file", F.regexp_extract("entry", _ENTRY, 1).alias("loc"), F.lower(F.regexp_extract("entry", _ENTRY, 2)).alias("kind"))
+    address = F.replace(F.regexp_replace(F.regexp_replace("loc", r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"\s+", ""), F.lit("&amp;"), F.lit("&"))
+    return rows.select("file", address.alias("url"), "kind").where("url <> ''")
+
+
 def declared_sitemaps(content: Column) -> Column:
     return F.transform(F.regexp_extract_all(text(content), F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1)), lambda x: F.trim(x))
 
