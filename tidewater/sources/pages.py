@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from email.utils import parsedate_to_datetime
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as el
@@ -17,6 +16,7 @@ from ..functions import html as h
 from ..functions import urls
 from ..operators import redirects
 from ..plans.storage import stored
+from .pacing import paced
 
 #: Answers worth another try, and how often and how long.
 RETRY = {408, 425, 429}
@@ -76,35 +76,60 @@ def fetch_one(url: str, send: Callable[[str, int], Answer], wait: Callable[[floa
 FETCHED = "ord long, url string, status string, status_code int, html string, fetch_time string, location string, refresh string"
 
 
-def fetch(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int = 3, deadline: float = 125.0) -> DataFrame:
-    """FETCHED of addresses (ord, url); unsafe ones are left out, those past the deadline of their partition are errors."""
+#: Rows, and characters of pages, that a task gathers before it hands them on.
+BATCH_ROWS, BATCH_SIZE = 200, 8 << 20
+
+
+def lanes(addresses: DataFrame, n: int | None = None) -> DataFrame:
+    """Safe addresses (ord, url) with their host, all of a host in one of n partitions, and there in turns: the first of every host, then the second.
+
+    A host is asked by one task alone, since its pace is one; a host with most of the addresses takes that task's time, but its rows are sorted and streamed, never held.
+    """
+    n = n or int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    safe = addresses.where(urls.is_safe(F.col("url"))).select("ord", "url", urls.host(F.col("url")).alias("host")).repartition(n, "host")
+    return safe.withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy("ord"))).sortWithinPartitions("turn", "host")
 
-    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = time.monotonic() + deadline
-        for batch in batches:
 
-            def one(url: str) -> tuple:
-                if time.monotonic() > end:
-                    return "Error", 0, "", "skipped (deadline)", "", ""
-                began = time.monotonic()
-                answer, _ = fetch_one(url, send)
-                took = f"{time.monotonic() - began:.1f}s"
-                if answer is None or not 200 <= answer.status < 400:
-                    return "Error", answer.status if answer else 0, "", took, "", ""
-                page = 200 <= answer.status < 300 and "html" in answer.headers.get("content-type", "text/html")
-                return "OK", answer.status, answer.body if page else "", took, answer.headers.get("location", ""), answer.headers.get("refresh", "")
+def fetch(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int = 3, deadline: float | None = 125.0, rate: float | None = None, burst: int = 1, tasks: int | None = None) -> DataFrame:
+    """FETCHED of addresses (ord, url); unsafe ones are left out, those past the deadline of their task (none: no deadline) are errors, `skipped (deadline)`, to be fetched again.
 
-            with ThreadPoolExecutor(workers) as pool:
-                rows = list(pool.map(one, batch["url"]))
-            yield pd.DataFrame([(o, u, *r) for o, u, r in zip(batch["ord"], batch["url"], rows, strict=True)], columns=[c.split()[0] for c in FETCHED.split(", ")])
+    Each of the tasks has its own hosts and workers. A host has one request at a time, at most `rate` a second with `burst` at once (none: as fast as it answers); see `lanes` and `pacing.paced`.
+    """
+
+    def one(row: tuple) -> tuple:
+        began = time.monotonic()
+        answer, _ = fetch_one(row[1], send)
+        took = f"{time.monotonic() - began:.1f}s"
+        if answer is None or not 200 <= answer.status < 400:
+            return *row, "Error", answer.status if answer else 0, "", took, "", ""
+        page = 200 <= answer.status < 300 and "html" in answer.headers.get("content-type", "text/html")
+        return *row, "OK", answer.status, answer.body if page else "", took, answer.headers.get("location", ""), answer.headers.get("refresh", "")
+
+    def skipped(row: tuple) -> tuple:
+        return *row, "Error", 0, "", "skipped (deadline)", "", ""
+
+    columns = [c.split()[0] for c in FETCHED.split(", ")]
+
+    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        end = None if deadline is None else time.monotonic() + deadline
+        asked = ((h, (o, u)) for batch in batches for o, u, h in zip(batch["ord"], batch["url"], batch["host"], strict=True))
+        rows, size = [], 0
+        for row in paced(asked, one, skipped, workers, rate, burst, end):
+            rows.append(row)
+            size += len(row[4])
+            if len(rows) >= BATCH_ROWS or size >= BATCH_SIZE:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
-    return addresses.where(urls.is_safe(F.col("url"))).select("ord", "url").mapInPandas(fetched, FETCHED)
+    return lanes(addresses, tasks).select("ord", "url", "host").mapInPandas(fetched, FETCHED)
 
 
 HOPS = "array<struct<url:string,status:int,type:string>>"
 
 
-def follow(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int = 3, deadline: float = 125.0, most: int = redirects.MOST_HOPS) -> DataFrame:
+def follow(addresses: DataFrame, send: Callable[[str, int], Answer], workers: int = 3, deadline: float | None = 125.0, most: int = redirects.MOST_HOPS, rate: float | None = None, burst: int = 1, tasks: int | None = None) -> DataFrame:
     """Addresses (ord, url) fetched through their redirects: FETCHED of the last answer, with the columns of the chain.
 
     initial_url, redirect_chain (the addresses that led on, with their status and kind), hop_count, final_url, redirected_url (null without a hop), redirect_type,
@@ -113,7 +138,7 @@ def follow(addresses: DataFrame, send: Callable[[str, int], Answer], workers: in
     going = addresses.select("ord", F.col("url").alias("initial_url"), F.col("url").alias("at"), F.array().cast(HOPS).alias("redirect_chain"))
     done = None
     for turn in range(most + 1):
-        answers = fetch(going.select("ord", F.col("at").alias("url")), send, workers, deadline).drop("url")
+        answers = fetch(going.select("ord", F.col("at").alias("url")), send, workers, deadline, rate, burst, tasks).drop("url")
         hop = redirects.next_hop(F.col("status_code"), F.col("location"), F.col("refresh"), F.col("html"), F.col("at"))
         rows = stored(going.join(answers, "ord", "left").withColumn("hop", hop), "answers")
         target = F.when(urls.is_absolute(F.col("hop.target")), F.col("hop.target")).otherwise(urls.join(F.col("at"), F.col("hop.target")))
