@@ -34,10 +34,19 @@ def _shared(name: str) -> Column:
     return F.col(f"_shared_{name}")
 
 
+#: The rules that look at other pages, by the text they compare.
+SHARED = {"title": "title-duplicate", "description": "desc-duplicate", "h1": "h1-duplicate"}
+
+
+def shared_keys() -> dict[str, Column]:
+    """What pages of one text have in common, null for pages that are not counted."""
+    texts = {"title": text("title"), "description": text("description"), "h1": text(F.get("h1s", F.lit(0)))}
+    return {name: F.when(ok() & (F.lower(F.trim(c)) != ""), F.lower(F.trim(c))) for name, c in texts.items()}
+
+
 def with_shared(crawl: DataFrame) -> DataFrame:
     """Flags for texts that several 2xx rows have: counted by text, so that a very frequent one is a sum, not a group."""
-    for name, c in (("title", text("title")), ("description", text("description")), ("h1", text(F.get("h1s", F.lit(0))))):
-        key = F.when(ok() & (F.lower(F.trim(c)) != ""), F.lower(F.trim(c)))
+    for name, key in shared_keys().items():
         counts = crawl.groupBy(key.alias("_key")).agg(F.count("*").alias("_n")).where("_key is not null and _n > 1").select("_key", F.lit(True).alias(f"_shared_{name}"))
         crawl = crawl.withColumn("_own", key).join(counts, F.col("_own") == F.col("_key"), "left").drop("_own", "_key").withColumn(f"_shared_{name}", F.coalesce(f"_shared_{name}", F.lit(False)))
     return crawl
@@ -126,8 +135,11 @@ def dimension(spark) -> DataFrame:
 
 def issues(found: DataFrame) -> DataFrame:
     """rule_id, severity, grp, category, title, rule_ord, flag, count of rules with hits."""
-    counted = found.groupBy("rule_id").agg(F.count("*").alias("count"))
-    return counted.join(F.broadcast(dimension(found.sparkSession)), "rule_id")
+    return described(found.groupBy("rule_id").agg(F.count("*").alias("count")))
+
+
+def described(counted: DataFrame) -> DataFrame:
+    return counted.join(F.broadcast(dimension(counted.sparkSession)), "rule_id")
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -138,9 +150,13 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def prioritised(found: DataFrame, pages: int) -> DataFrame:
     """Issues with share of the pages and priority (0 to 100)."""
+    return rated(issues(found), pages)
+
+
+def rated(issues: DataFrame, pages: int) -> DataFrame:
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("severity"))
     share = F.least(F.lit(1.0), F.col("count") / max(1, pages))
-    return issues(found).withColumn("weight", weight).withColumn("share", share).withColumn("priority", js_round(F.col("weight") * (0.35 + 0.65 * F.col("share")) * (100 / 55)).cast("int"))
+    return issues.withColumn("weight", weight).withColumn("share", share).withColumn("priority", js_round(F.col("weight") * (0.35 + 0.65 * F.col("share")) * (100 / 55)).cast("int"))
 
 
 def categories(rated: DataFrame, flags: set[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, urls
 from ..functions.scalars import grade, length_badge
-from ..operators import access, dedupe, filters, generators, graph, links, merge, redirects, report, robots, rules
+from ..operators import access, dedupe, filters, generators, graph, incremental, links, merge, redirects, report, robots, rules
 from ..operators.filters import Condition
 from ..sources import exports, lists
 from ..sources import pages as page_source
@@ -487,6 +487,21 @@ def csv_files(s, d):
     return s.read.schema("url string, status_code int, title string, description string, canonical string").option("header", True).option("multiLine", True).option("escape", '"').csv(path).fillna("")
 
 
+# An audit kept up to date.
+def _kept(s, d):
+    """The kept counts of two thirds of the pages with other titles, after the rest came and the titles went back."""
+    path, crawl = scratch(s, "kept"), fx.crawl(s, d)
+    old = crawl.where("ord % 3 <> 0").withColumn("title", F.concat(F.lit("old "), F.col("ord") % 5))
+    incremental.create(old, path)
+    incremental.update(path, old.limit(0), crawl.where("ord % 3 = 0"))
+    incremental.update(path, old, crawl.where("ord % 3 <> 0"))
+    return path
+
+
+query(f"select rule_id, count(*) as pages from ({SQL['rule_hits']}) group by 1", "incremental_issues")(lambda s, d: incremental.issues(s, _kept(s, d)).select("rule_id", F.col("count").alias("pages")))
+query(f"with {C} select 'title' as kind, lower(trim(title)) as key, count(*) as size from c where ok and trim(title) <> '' group by 2 having count(*) > 1 union all select 'description', lower(trim(description)), count(*) from c where ok and trim(description) <> '' group by 2 having count(*) > 1 union all select 'h1', lower(trim(first_h1)), count(*) from c where ok and trim(first_h1) <> '' group by 2 having count(*) > 1", "incremental_duplicates")(lambda s, d: incremental.duplicates(s, _kept(s, d)))
+
+
 # Incremental crawls, history, streams.
 def _fresh(s, d):
     return fx.crawl(s, d).where("status = 'OK'").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("robots", F.lit("none"))
@@ -497,6 +512,25 @@ query("select conv_id, turn, role from (select *, row_number() over (partition b
 query("select conv_id, turn from conversations where turn < 1 + conv_id % 3", "history_truncated")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").transform(lambda t: merge.truncated(t, "conv_id", "turn", t.select("conv_id", (1 + F.col("conv_id") % 3).alias("cut")).distinct())).select("conv_id", "turn"))
 
 
+def _answer(url: str, attempt: int) -> page_source.Answer:
+    """Answers by the length of an address: pages, redirects, errors, and a busy server that answers the second time."""
+    n = len(url) % 7
+    if n == 0 and attempt == 1:
+        return page_source.Answer(503, {"retry-after": "0"}, "")
+    return page_source.Answer(301, {"location": url + "/on"}, "") if n == 1 else page_source.Answer(404, {}, "") if n == 2 else page_source.Answer(200, {}, url)
+
+
+@query("select page_id as ord, url, case when length(url) % 7 = 2 then 'Error' else 'OK' end as status, cast(case length(url) % 7 when 1 then 301 when 2 then 404 else 200 end as int) as status_code, case when length(url) % 7 in (1, 2) then '' else url end as html, case when length(url) % 7 = 1 then url || '/on' else '' end as location from pages")
+def fetched_stream(s: SparkSession, d: str) -> DataFrame:
+    """Every page's address fetched, host by host, in a stream over the table."""
+    from ..streaming.crawl import append_fetched
+
+    stream = s.readStream.schema(_pages(s, d).schema).option("pathGlobFilter", "pages.parquet").parquet(d).select(F.col("page_id").alias("ord"), "url")
+    out = scratch(s, "fetched")
+    append_fetched(stream, _answer, out, scratch(s, "fetched-state"), deadline=None).awaitTermination()
+    return s.read.schema(page_source.FETCHED).parquet(f"{out}/batch=*").select("ord", "url", "status", "status_code", "html", "location")
+
+
 def event_dedup_stream(s: SparkSession, d: str) -> DataFrame:
     """The first event of each user and type, from a stream over the events table."""
     from ..streaming.crawl import distinct_events
