@@ -525,7 +525,7 @@ def fetched_stream(s: SparkSession, d: str) -> DataFrame:
     """Every page's address fetched, host by host, in a stream over the table."""
     from ..streaming.crawl import append_fetched
 
-    stream = s.readStream.schema(_pages(s, d).schema).option("pathGlobFilter", "pages.parquet").parquet(d).select(F.col("page_id").alias("ord"), "url")
+    stream = s.readStream.schema(_pages(s, d).schema).parquet(f"{d}/pages.parquet*").select(F.col("page_id").alias("ord"), "url")
     out = scratch(s, "fetched")
     append_fetched(stream, _answer, out, scratch(s, "fetched-state"), deadline=None).awaitTermination()
     return s.read.schema(page_source.FETCHED).parquet(f"{out}/batch=*").select("ord", "url", "status", "status_code", "html", "location")
