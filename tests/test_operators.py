@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.operators import dedupe, filters, generators, graph, links, merge, redirects, robots, rules
 from tidewater.operators.filters import Condition
 from tidewater.plans import fixtures as fx
+from tidewater.plans.queries import QUERIES
 from tidewater.sources import lists, pages
 
 
@@ -239,3 +240,12 @@ def test_spider_and_sitemap_keep_every_page(spark):
     assert graph.spider(edges, 0).count() == n + 1 and graph.spider(edges, 0, 7).count() == 7
     listed = spark.range(n).select(F.col("id").cast("string").alias("url"))
     assert lists.with_sitemap(listed.limit(5), listed).count() == n and lists.with_sitemap(listed.limit(5), listed, 7).count() == 7
+
+
+def test_repeated_addresses_have_each_alternate_once_a_row(spark, tmp_path):
+    rows = [(1, "http://a/", "x"), (2, "http://a/", "y"), (3, None, "z")]
+    df(spark, rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["hreflang_bulk"](spark, str(tmp_path)).select("page_id", "code").collect())
+    assert got == [(i, c) for i in (1, 2, 3) for c in ("de", "en-GB")]
+    shared = df(spark, [("de", "", "h")], "language string, country string, href string")
+    assert [tuple(r) for r in generators.hreflang_bulk(df(spark, [("u", 1)], "url string, other int"), shared).collect()] == [("u", 1, "de", "h")]
