@@ -91,3 +91,10 @@ def test_no_hops(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert redirects.resolve(none).count() == 0
     assert [tuple(r) for r in redirects.walk(spark.createDataFrame([(1,)], "key long"), none).collect()] == [(1, 0, 1, "end")]
+
+
+def test_the_last_hop_is_not_asked(spark):
+    hops = spark.createDataFrame([*[(i, i + 1) for i in range(12)], *[(20 + i, 21 + i) for i in range(9)], (29, 20)], "src long, dst long")
+    starts = spark.createDataFrame([(1,), (2,), (3,), (20,)], "key long")
+    got = {r.key: (r.hop_count, r.final_key, r.ended) for r in redirects.walk(starts, hops, ask_last=False).collect()}
+    assert got == {1: (10, 11, "most"), 2: (10, 12, "most"), 3: (9, 12, "end"), 20: (10, 20, "loop")}

@@ -66,8 +66,11 @@ def _jumped(links: DataFrame) -> DataFrame:
     return state
 
 
-def walk(starts: DataFrame, hops: DataFrame, most: int = MOST_HOPS) -> DataFrame:
-    """key, hop_count, final_key, ended ('end', 'loop', 'most') of starts (key) followed through hops (src, dst); a loop ends at the first key met again."""
+def walk(starts: DataFrame, hops: DataFrame, most: int = MOST_HOPS, ask_last: bool = True) -> DataFrame:
+    """key, hop_count, final_key, ended ('end', 'loop', 'most') of starts (key) followed through hops (src, dst); a loop ends at the first key met again.
+
+    ask_last: whether the key that the last of `most` hops comes to is asked if it leads on; a fetcher that stops there does not know, and says 'most'.
+    """
     ways = starts.join(resolve(hops), "key", "left")
     length = F.coalesce("length", F.lit(0)) + F.coalesce("circle", F.lit(0))
     ways = stored(ways.select("key", length.cast("int").alias("hop_count"), F.coalesce("final_key", "key").alias("final_key"), F.when(F.coalesce("circle", F.lit(0)) > 0, "loop").otherwise("end").alias("ended")), "ways")
@@ -76,7 +79,8 @@ def walk(starts: DataFrame, hops: DataFrame, most: int = MOST_HOPS) -> DataFrame
     for _ in range(most):
         cut = cut.join(links, "at").select("key", F.col("dst").alias("at"))
     cut = cut.select("key", F.lit(most).alias("hop_count"), F.col("at").alias("final_key"), F.lit("most").alias("ended"))
-    return ways.where(F.col("hop_count") <= most).unionByName(cut)
+    unknown = (F.col("ended") == "end") & (F.col("hop_count") == most) & F.lit(not ask_last)
+    return ways.where(F.col("hop_count") <= most).withColumn("ended", F.when(unknown, "most").otherwise(F.col("ended"))).unionByName(cut)
 
 
 def next_hop(status: Column, location: Column, refresh_header: Column, page: Column, base: Column | None = None) -> Column:
