@@ -1,5 +1,6 @@
 """Fields of pages from the element pass: what tag patterns get wrong, and every extractor's own cases."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,13 @@ def test_one_python_pass(spark):
     plan = pages.extract(df, links="all").drop("schemas")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert pages.extract(df).select(F.size("schemas")).head()[0] == 2
+
+
+def test_a_batch_is_read_in_slices(spark):
+    batch = pa.array(["<h1>a</h1>" + " " * 500_000] * 5 + [None, "<h2>b</h2>" + " " * 3_000_000, ""])
+    assert list(el.cuts(batch)) == [(0, 2), (2, 2), (4, 2), (6, 1), (7, 1)] and list(el.cuts(batch[:0])) == []
+    slices = list(el.elements.func(iter([(batch, pa.array([URL] * 8))])))
+    assert [len(s) for s in slices] == [2, 2, 2, 1, 1]
+    rows = spark.createDataFrame([(i, URL, p) for i, p in enumerate(batch.to_pylist())], "i int, u string, p string").coalesce(1)
+    got = rows.select("i", F.transform(el.elements(F.col("p"), F.col("u")), lambda x: x["said"]).alias("said")).collect()
+    assert {r.i: r.said for r in got} == {0: ["a"], 1: ["a"], 2: ["a"], 3: ["a"], 4: ["a"], 5: [], 6: ["b"], 7: []}

@@ -9,9 +9,12 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
@@ -205,11 +208,26 @@ def _inside(ranges: tuple[list[int], list[int]], place: int) -> bool:
     return k >= 0 and place < ranges[1][k]
 
 
+#: Bytes of pages that are Python objects at a time: their elements take some thirty times as much.
+SLICE = 1 << 20
+
+
+def cuts(page: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(start, length) of the ranges of a batch whose pages take at most limit bytes, or are one page."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(page), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(page):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield at, to - at
+        at = to
+
+
 @F.arrow_udf(TYPE)
-def elements(page: pa.Array, base: pa.Array) -> pa.Array:
-    """The elements of pages (html, url)."""
-    rows = [read(p or "", b or "") for p, b in zip(page.to_pylist(), base.to_pylist(), strict=True)]
-    return pa.array(rows, _KIND)
+def elements(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The elements of pages (html, url), handed on slice by slice: a worker never holds those of a whole batch."""
+    for page, base in batches:
+        for at, n in cuts(page):
+            yield pa.array([read(p or "", b or "") for p, b in zip(page.slice(at, n).to_pylist(), base.slice(at, n).to_pylist(), strict=True)], _KIND)
 
 
 @F.arrow_udf(ArrayType(StringType()))
