@@ -3,6 +3,7 @@
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,11 @@ def test_the_last_hop_is_not_asked(spark):
     starts = spark.createDataFrame([(1,), (2,), (3,), (20,)], "key long")
     got = {r.key: (r.hop_count, r.final_key, r.ended) for r in redirects.walk(starts, hops, ask_last=False).collect()}
     assert got == {1: (10, 11, "most"), 2: (10, 12, "most"), 3: (9, 12, "end"), 20: (10, 20, "loop")}
+
+
+def test_chains_are_found_in_blocks(spark):
+    links = spark.createDataFrame([*[(i, i + 1) for i in range(300)], *[(i + 1, i) for i in range(300)], *[(i, 1000 + i) for i in range(0, 300, 3)]], "src long, dst long").repartition(3)
+    found = [sorted(tuple(r) for r in graph.chains(links, spark.createDataFrame([(0,)], "key long"), n).collect()) for n in (7, graph.BLOCK)]
+    assert found[0] == found[1] and max(r[2] for r in found[0]) == 300
+    batch = pa.RecordBatch.from_pydict({"src": pa.array(range(50), pa.int64()), "dst": pa.array(range(1, 51), pa.int64()), "before": pa.array([None, *range(49)], pa.int64())})
+    assert max(b.num_rows for b in graph._jump_within(iter([batch, batch]), 8)) < 16

@@ -70,12 +70,16 @@ def _beyond(links: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame
     return arcs.join(best, "origin").groupBy(F.col("dst").alias("key")).agg(F.min(F.col("depth") + F.col("length")).cast("int").alias("depth"))
 
 
-def chains(links: DataFrame, roots: DataFrame) -> DataFrame:
+#: Links that a task looks at together: its memory does not grow with its range.
+BLOCK = 1 << 18
+
+
+def chains(links: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     """origin, dst, length: for each link (src, dst) that a shortest path from roots (key) may take, where its chain begins and how many links there are from there to dst.
 
     A shortest path never turns back, so it comes to the link v -> b from a page that links to v and is not b. If there is one such page, the link before is certain, and the two are one chain; with
     several v is a branching, where chains begin, as they do at the roots; with none the link is on no shortest path and is dropped. So pages of a list, each with links to the page before and after it
-    and to its own items, are one chain. The links before are found by jumping: within the tasks of a range of src, where neighbours mostly lie, then between tasks, each round over twice the distance.
+    and to its own items, are one chain. The links before are found by jumping: within blocks of a range of src, where neighbours mostly lie, then between them, each round over twice the distance.
     """
     flagged = roots.select(F.col("key").alias("src"), F.lit(True).alias("is_root"))
     arcs = links.join(roots.select(F.col("key").alias("dst")), "dst", "left_anti").join(flagged, "src", "left").select("src", "dst", F.coalesce("is_root", F.lit(False)).alias("is_root"))
@@ -83,7 +87,7 @@ def chains(links: DataFrame, roots: DataFrame) -> DataFrame:
     arcs = stored(_with_before(arcs).where("branching or before is not null").select("src", "dst", "is_root"), "arcs")
     state = _with_before(arcs).where("branching or before is not null")
     kind = links.schema["src"].dataType.simpleString()
-    local = state.select("src", "dst", F.when(~F.col("branching"), F.col("before")).alias("before")).repartitionByRange("src").mapInArrow(_jump_within, f"src {kind}, dst {kind}, at {kind}, via {kind}, origin {kind}, length long")
+    local = state.select("src", "dst", F.when(~F.col("branching"), F.col("before")).alias("before")).repartitionByRange("src").sortWithinPartitions("src").mapInArrow(lambda batches: _jump_within(batches, block), f"src {kind}, dst {kind}, at {kind}, via {kind}, origin {kind}, length long")
     state, most = stored(local, "jumped"), 64
     for turn in range(64):
         left = state.where("at is not null")
@@ -107,11 +111,21 @@ def _with_before(arcs: DataFrame) -> DataFrame:
     return arcs.join(into, "src", "left").select("src", "dst", "is_root", before.alias("before"), branching.alias("branching"))
 
 
-def _jump_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links (src, dst, before) of a task, each with the farthest link before it among them and the length from there on; or with the origin of its chain."""
-    own = [b for b in batches if b.num_rows]
-    if not own:
-        return
+def _jump_within(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The links (src, dst, before) of a task in blocks, each with the farthest link before it in its block and the length from there on; or with the origin of its chain."""
+    own, n = [], 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, block):
+            own.append(part := whole.slice(at, block))
+            n += part.num_rows
+            if n >= block:
+                yield _jump_block(own)
+                own, n = [], 0
+    if own:
+        yield _jump_block(own)
+
+
+def _jump_block(own: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(own).combine_chunks()
     src, dst, before = (table.column(c).combine_chunks() for c in ("src", "dst", "before"))
     names = pa.chunked_array([src, dst, before]).unique().drop_null()
@@ -126,7 +140,7 @@ def _jump_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, jump = steps + steps[jump], jump[jump]
     open_ = b[jump] >= 0
     pick = lambda c, keep: c.take(pa.array(jump, mask=~keep))
-    yield pa.RecordBatch.from_arrays([src, dst, pick(before, open_), pick(src, open_), pick(src, ~open_), pa.array(steps + 1)], ["src", "dst", "at", "via", "origin", "length"])
+    return pa.RecordBatch.from_arrays([src, dst, pick(before, open_), pick(src, open_), pick(src, ~open_), pa.array(steps + 1)], ["src", "dst", "at", "via", "origin", "length"])
 
 
 def click_depth(keys: DataFrame, edges: DataFrame, path: str = "path", site: str | None = None) -> DataFrame:
