@@ -104,3 +104,18 @@ def test_neighbours_across_candidates(spark, model):
     assert value.before == "AWS_S3_SECRET_KEY=" and (1, "AWS_S3_SECRET_KEY") in found and found[1, "AWS_S3_SECRET_KEY"].after.startswith("=wJalr")
     out = {r.doc_id: r.text for r in secrets.redact(docs, model).collect()}
     assert out == {0: f"the key:\n{secrets.MASK}\nend", 1: f"AWS_S3_SECRET_KEY={secrets.MASK}", 2: f"credentials: {secrets.MASK}"}
+
+
+def test_the_forest_is_planned_over_tables(spark, monkeypatch):
+    seen = []
+
+    class Forest(secrets.RandomForestClassifier):
+        def fit(self, rows):
+            seen.append(rows)
+            return super().fit(rows)
+
+    monkeypatch.setattr(secrets, "RandomForestClassifier", Forest)
+    model = secrets.fit(secrets.labelled_findings(spark, 200))
+    assert model.numFeatures == len(secrets.FEATURES)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert seen[0].inputFiles() and "xxhash64" not in plan and "regexp" not in plan.lower()
