@@ -249,3 +249,13 @@ def test_repeated_addresses_have_each_alternate_once_a_row(spark, tmp_path):
     assert got == [(i, c) for i in (1, 2, 3) for c in ("de", "en-GB")]
     shared = df(spark, [("de", "", "h")], "language string, country string, href string")
     assert [tuple(r) for r in generators.hreflang_bulk(df(spark, [("u", 1)], "url string, other int"), shared).collect()] == [("u", 1, "de", "h")]
+
+
+@pytest.mark.parametrize("side", [500, 3])
+def test_pairs_of_near_copies_are_compared_in_cells(spark, side):
+    rng = random.Random(side)
+    sets = [(i, rng.sample(range(i // 20 * 40, i // 20 * 40 + 40), 30)) for i in range(60)] + [(7, list(range(40)))]
+    items = df(spark, sets, "ord long, tokens array<long>")
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.3]
+    got = sorted(tuple(r) for r in dedupe._compared(df(spark, pairs, "a long, b long"), items, side).collect())
+    assert got == sorted((a, b, len(x), len(y), len(set(x) & set(y))) for a, b in pairs for o, x in sets if o == a for p, y in sets if p == b)

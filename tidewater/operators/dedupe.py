@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blank, squeeze, token_set
-from ..plans.storage import stored
+from ..plans.storage import counted, stored
 
 NEAR, FEWEST, BLOCK = 0.85, 4, 1000
+#: Sets of a side of a cell in which pairs are compared, and of a task's group of cells.
+SIDE, TOGETHER = 500, 2000
 
 
 def exact_groups(rows: DataFrame, value: Column) -> DataFrame:
@@ -55,12 +60,54 @@ def near_pairs(items: DataFrame, threshold: float = NEAR, block: int = BLOCK) ->
     left_over = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (left_over >= common)
     pairs = a.join(b, ["token", "i", "j"]).where(alike).select("a", "b").distinct()
-    left, right = items.select(F.col("ord").alias("a"), F.col("tokens").alias("ta")), items.select(F.col("ord").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
-    similarity = F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))
+    both = _compared(stored(pairs, "candidates"), items)
+    similarity = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _compared(pairs: DataFrame, items: DataFrame, side: int = SIDE) -> DataFrame:
+    """a, b, na, nb, both (what they have in common) of pairs (a, b) of items (ord, tokens).
+
+    Pairs whose sets have the same least neighbours meet in cells of about `side` sets a side: of a group of near copies, whose pairs grow with its square, each set is shuffled once for each cell that it
+    is in, not once for each of its pairs. Cells share groups of about TOGETHER sets.
+    """
+    low = pairs.select(F.col("a").alias("ord"), F.col("a").alias("low")).union(pairs.select(F.col("b").alias("ord"), F.col("a").alias("low"))).groupBy("ord").agg(F.min("low").alias("low"))
+    cells = pairs.join(low.select(F.col("ord").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("ord").alias("b"), F.col("low").alias("lb")), "b")
+    # estimates that only say how large cells are divided; few cells are
+    parts = cells.groupBy("la", "lb").agg(F.ceil(F.greatest(F.approx_count_distinct("a"), F.approx_count_distinct("b")) / side).alias("parts")).where("parts > 1")
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("parts", F.lit(1)))
+    cells = stored(cells.join(parts, ["la", "lb"], "left").select("a", "b", F.xxhash64("la", "lb", part("a"), part("b")).alias("cell")), "cells")
+    members = cells.select("cell", F.col("a").alias("ord")).union(cells.select("cell", F.col("b").alias("ord"))).distinct()
+    members, count = counted(members, "members")
+    group = F.pmod("cell", F.lit(count // TOGETHER + 1)).alias("group")
+    sets = members.select(group, "ord").distinct().join(items, "ord").select("group", "ord", "tokens")
+    kind = items.schema["ord"].dataType.simpleString()
+    return cells.select(group, "a", "b").groupBy("group").cogroup(sets.groupBy("group")).applyInArrow(_common, f"a {kind}, b {kind}, na int, nb int, both int")
+
+
+def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Of pairs (a, b) what their sets (ord, tokens) have in common; an ord with several sets has each."""
+    tokens = sets.column("tokens").combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    words, code = np.unique(tokens.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    places: dict = {}
+    for i, o in enumerate(sets.column("ord").to_pylist()):
+        places.setdefault(o, []).append(i)
+    of = lambda i: code[starts[i] : starts[i + 1]]
+    marked, own, found = np.zeros(len(words), bool), None, []
+    pairs = pairs.sort_by("a")
+    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+        for i in places.get(a, ()):
+            if i != own:
+                if own is not None:
+                    marked[of(own)] = False
+                marked[of(i)], own = True, i
+            found.extend((a, b, len(of(i)), len(of(j)), int(np.count_nonzero(marked[of(j)]))) for j in places.get(b, ()))
+    kinds = [pairs.schema.field("a").type, pairs.schema.field("b").type, pa.int32(), pa.int32(), pa.int32()]
+    columns = zip(*found, strict=True) if found else [[]] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "na", "nb", "both"])
+
+
 def near_groups(items: DataFrame, threshold: float = NEAR) -> DataFrame:
     """ord, leader: each item with the first earlier leader that it is like; leaders are like no earlier leader.
 
