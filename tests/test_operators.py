@@ -2,7 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +262,23 @@ def test_pairs_of_near_copies_are_compared_in_cells(spark, side):
     pairs = [(a, b) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.3]
     got = sorted(tuple(r) for r in dedupe._compared(df(spark, pairs, "a long, b long"), items, side).collect())
     assert got == sorted((a, b, len(x), len(y), len(set(x) & set(y))) for a, b in pairs for o, x in sets if o == a for p, y in sets if p == b)
+
+
+def test_a_dense_cell_is_compared_by_slices():
+    n = 400
+    sets = pa.table({"ord": pa.array(range(n)), "tokens": pa.array([[i, n + i % 7, 2 * n] for i in range(n)])})
+    a, b = np.triu_indices(n, 1)
+    tracemalloc.start()
+    got = dedupe._common(pa.table({"a": a, "b": b}), sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == len(a) and got.column("both").to_pylist() == (1 + (a % 7 == b % 7)).tolist()
+    assert peak < 8 << 20  # as many tuples as there are pairs took over 12 MB
+
+
+def test_slices_of_pairs_keep_sets_of_one_ord_and_pairs_without_any():
+    sets = pa.table({"ord": pa.array([1, 2, 2, 3]), "tokens": pa.array([[1, 2], [2], [3], [1, 3]])})
+    pairs = pa.table({"a": pa.array([1, 1, 2]), "b": pa.array([3, 2, 9])})
+    whole, sliced = (sorted(zip(*dedupe._common(pairs, sets, n).to_pydict().values(), strict=True)) for n in (100, 1))
+    assert whole == sliced == [(1, 2, 2, 1, 0), (1, 2, 2, 1, 1), (1, 3, 2, 2, 1)]
+    assert dedupe._common(pairs.slice(0, 0), sets).num_rows == 0

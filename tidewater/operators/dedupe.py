@@ -14,6 +14,8 @@ from ..plans.storage import counted, stored
 NEAR, FEWEST, BLOCK = 0.85, 4, 1000
 #: Sets of a side of a cell in which pairs are compared, and of a task's group of cells.
 SIDE, TOGETHER = 500, 2000
+#: Pairs that are Python objects at a time: a dense cell has a quarter of a million.
+SLICE = 1 << 14
 
 
 def exact_groups(rows: DataFrame, value: Column) -> DataFrame:
@@ -82,11 +84,11 @@ def _compared(pairs: DataFrame, items: DataFrame, side: int = SIDE) -> DataFrame
     group = F.pmod("cell", F.lit(count // TOGETHER + 1)).alias("group")
     sets = members.select(group, "ord").distinct().join(items, "ord").select("group", "ord", "tokens")
     kind = items.schema["ord"].dataType.simpleString()
-    return cells.select(group, "a", "b").groupBy("group").cogroup(sets.groupBy("group")).applyInArrow(_common, f"a {kind}, b {kind}, na int, nb int, both int")
+    return cells.select(group, "a", "b").groupBy("group").cogroup(sets.groupBy("group")).applyInArrow(lambda a, b: _common(a, b), f"a {kind}, b {kind}, na int, nb int, both int")
 
 
-def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Of pairs (a, b) what their sets (ord, tokens) have in common; an ord with several sets has each."""
+def _common(pairs: pa.Table, sets: pa.Table, limit: int = SLICE) -> pa.Table:
+    """Of pairs (a, b) what their sets (ord, tokens) have in common, by slices of limit pairs; an ord with several sets has each."""
     tokens = sets.column("tokens").combine_chunks()
     starts = np.concatenate([[0], np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))]).astype(np.int64)
     words, code = np.unique(tokens.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
@@ -94,18 +96,21 @@ def _common(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     for i, o in enumerate(sets.column("ord").to_pylist()):
         places.setdefault(o, []).append(i)
     of = lambda i: code[starts[i] : starts[i + 1]]
-    marked, own, found = np.zeros(len(words), bool), None, []
-    pairs = pairs.sort_by("a")
-    for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-        for i in places.get(a, ()):
-            if i != own:
-                if own is not None:
-                    marked[of(own)] = False
-                marked[of(i)], own = True, i
-            found.extend((a, b, len(of(i)), len(of(j)), int(np.count_nonzero(marked[of(j)]))) for j in places.get(b, ()))
+    marked, own, parts = np.zeros(len(words), bool), None, []
     kinds = [pairs.schema.field("a").type, pairs.schema.field("b").type, pa.int32(), pa.int32(), pa.int32()]
-    columns = zip(*found, strict=True) if found else [[]] * 5
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "na", "nb", "both"])
+    pairs = pairs.sort_by("a")
+    for at in range(0, max(1, pairs.num_rows), limit):
+        part, found = pairs.slice(at, limit), []
+        for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+            for i in places.get(a, ()):
+                if i != own:
+                    if own is not None:
+                        marked[of(own)] = False
+                    marked[of(i)], own = True, i
+                found.extend((a, b, len(of(i)), len(of(j)), int(np.count_nonzero(marked[of(j)]))) for j in places.get(b, ()))
+        columns = zip(*found, strict=True) if found else [[]] * 5
+        parts.append(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "na", "nb", "both"]))
+    return pa.concat_tables(parts)
 
 
 def near_groups(items: DataFrame, threshold: float = NEAR) -> DataFrame:
