@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -142,3 +144,20 @@ def test_packing_of_arrays():
         arrays = {"key": np.sort(rng.integers(0, 2**64, size, np.uint64)), "many": rng.integers(0, 300, size), "p": rng.random(size), "cold": rng.integers(0, 2**64, size, np.uint64), "base": rng.integers(0, 2**62, size)}
         got = katz.unpack(katz.pack(**arrays))
         assert all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in arrays.items() if size) and not len(got["doc"])
+
+
+def test_a_part_sends_a_row_to_each_other_part_whatever_the_chunks():
+    frequent, chunks, parts = katz.Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1000, 6), 6, 4
+    texts = [[f"w{i % 5} w{i} w{i + j} w{j}" for i in range(40)] for j in range(chunks)]
+    batches = [pa.RecordBatch.from_pydict({"row": pa.array(range(100 * j, 100 * j + 40)), "doc_id": pa.array(range(40)), "text": pa.array(t), "training": pa.array([True] * 40)}) for j, t in enumerate(texts)]
+    sent = pa.Table.from_batches(list(katz._send(iter(batches), 2, frequent, False, 1)))
+    assert sent.num_rows == chunks
+    out = katz._words(sent, 2, frequent, parts)
+    grams = out.filter(pc.greater_equal(out.column("part"), 0))
+    assert sorted(grams.column("part").to_pylist()) == list(range(parts))  # 24 rows when each chunk had its own
+    assert sorted(out.filter(pc.less(out.column("part"), 0)).column("chunk").to_pylist()) == [100 * j for j in range(chunks)]
+    for part in range(parts):
+        counted = katz._count(grams.filter(pc.equal(grams.column("part"), part)), 2, 2, frequent)
+        answers = pa.Table.from_batches(list(katz._evaluate(iter(counted.to_batches()), 2, 2, frequent, katz.discounts([0] * 6), parts)))
+        chunk = answers.column("chunk").to_pylist()
+        assert len(chunk) == len(set(chunk)) and set(chunk) <= {100 * j for j in range(chunks)}

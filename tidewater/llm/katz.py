@@ -11,8 +11,8 @@ discount. alpha is exact: what the discounts leave, over the shorter context's m
 
 Evaluated from the shortest context up. A chunk of at most `CHUNK_BYTES` of texts is turned into its distinct n-grams of the highest order, each with its training count
 and documents, and these are dealt by word, then by context of one word, of two, and so on. A part holds all n-grams of its contexts: it counts them
-(a stored table of each order), and once the counts of counts are known gives each its probability, which the next order's alpha and backoff need. At the end a chunk gets the sums of
-its documents. Words are dealt only if they are not among the `HOT` most frequent, whose counts every task knows.
+(a stored table of each order), and once the counts of counts are known gives each its probability, which the next order's alpha and backoff need. What a part sends to another is one row,
+whatever number of chunks its n-grams are of, so rows grow with the pairs of parts, not with these times the chunks. At the end a chunk gets the sums of its documents, from each part as one row. Words are dealt only if they are not among the `HOT` most frequent, whose counts every task knows.
 
 Skew: an n-gram reaches its part once a chunk, with at most `SHIPPED` documents; where more documents of a chunk hold it, they stay with the chunk, and its probability goes back. A
 context whose last word has more than `SPLIT` tokens is dealt to several parts by word, and these share their sums. Parts are made for `PART_BYTES` of text each.
@@ -25,7 +25,7 @@ Logarithms are added as multiples of 2^-30, so sums are the same in any order.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ COUNTED = pa.schema([("part", pa.int32()), ("chunks", pa.list_(pa.int64())), ("d
 COUNTED_SQL = f"part int, chunks array<long>, data array<binary>, repeats array<long>, shared array<struct<{', '.join(f'{c}: long' for c in SHARED)}>>"
 SCORED = "doc_id long, n_tokens long, n_known long, base long, score long"
 
-FIELDS = ("key", "many", "code", "cold", "p", "count", "docs", "doc", "times", "slot", "deals", "above", "own", "known", "base", "ids", "nulls", "tokens")
+FIELDS = ("key", "many", "code", "cold", "p", "count", "docs", "doc", "times", "slot", "deals", "above", "own", "known", "base", "ids", "nulls", "tokens", "chunks", "of")
 HASHED = ("key", "cold", "above", "ids")
 
 
@@ -159,7 +159,7 @@ class Frequent:
 
 @dataclass
 class Grams:
-    """Distinct n-grams of a chunk: by key (the word, or the context), with what the orders above need."""
+    """Distinct n-grams of each of some chunks: by key (the word, or the context), with what the orders above need."""
 
     key: np.ndarray
     w: np.ndarray
@@ -169,22 +169,26 @@ class Grams:
     docs: np.ndarray  # documents that travel with it; 0: they stay with the chunk
     slot: np.ndarray
     deals: np.ndarray
+    chunk: np.ndarray
     above: np.ndarray  # the longer contexts
     doc: np.ndarray
     times: np.ndarray
 
     def take(self, at: np.ndarray) -> Grams:
         inner = ragged((np.cumsum(self.docs) - self.docs)[at], self.docs[at])
-        return Grams(*(x[at] for x in (self.key, self.w, self.code, self.p, self.count, self.docs, self.slot, self.deals)), self.above[:, at], self.doc[inner], self.times[inner])
+        return Grams(*(x[at] for x in (self.key, self.w, self.code, self.p, self.count, self.docs, self.slot, self.deals, self.chunk)), self.above[:, at], self.doc[inner], self.times[inner])
 
-    def packed(self, n: int, **sums: np.ndarray) -> bytes:
+    def packed(self, n: int) -> bytes:
         first = np.flatnonzero(_new(self.key))
         many = np.diff(first, append=len(self.key))
         own = {}
         if n > 1:
             cold = self.code == 0
             own = {"code": self.code, "cold": self.w[cold], "p": self.p[cold] if n == 2 else self.p}
-        return pack(key=self.key[first], many=many, count=self.count, docs=self.docs, doc=self.doc, times=self.times, slot=self.slot[self.docs == 0], deals=self.deals - 1, above=self.above.ravel(), **own, **sums)
+        own["chunks"], of = _distinct(self.chunk)
+        if len(own["chunks"]) > 1:
+            own["of"] = of
+        return pack(key=self.key[first], many=many, count=self.count, docs=self.docs, doc=self.doc, times=self.times, slot=self.slot[self.docs == 0], deals=self.deals - 1, above=self.above.ravel(), **own)
 
 
 def _new(*keys: np.ndarray) -> np.ndarray:
@@ -196,7 +200,20 @@ def _new(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def opened(data: bytes, n: int, order: int, frequent: Frequent) -> tuple[Grams, dict[str, np.ndarray]]:
+def _distinct(chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different chunks, and the place of each row's."""
+    if len(chunk) and (chunk == chunk[0]).all():
+        return chunk[:1], np.zeros(len(chunk), np.int64)
+    return np.unique(chunk, return_inverse=True)
+
+
+def joined(grams: list[Grams]) -> Grams:
+    if len(grams) == 1:
+        return grams[0]
+    return Grams(*(np.concatenate([getattr(g, f.name) for g in grams], axis=-1) for f in fields(Grams)))
+
+
+def opened(data: bytes, n: int, order: int, frequent: Frequent) -> Grams:
     x = unpack(data)
     key = np.repeat(x["key"], x["many"])
     size = len(key)
@@ -211,9 +228,12 @@ def opened(data: bytes, n: int, order: int, frequent: Frequent) -> tuple[Grams,
         if n == 2:
             p = np.empty(size)
             p[hot], p[~hot] = frequent.p(frequent.count[code[hot] - 1]), x["p"]
-    slot = np.full(size, -1)
+    slot = np.full(size, -1, np.int32)
     slot[x["docs"] == 0] = x["slot"]
-    return Grams(key, w, code, p, x["count"], x["docs"], slot, x["deals"] + 1, x["above"].reshape(order - n, size), x["doc"], x["times"]), {k: x[k] for k in ("own", "known", "base")}
+    chunk = x["chunks"][x["of"]] if len(x["of"]) else np.broadcast_to(x["chunks"], size)
+    small = [a.astype(np.int32) for a in (code, x["count"], x["docs"], x["deals"] + 1, x["doc"], x["times"])]  # a part's n-grams are held together
+    code, count, docs, deals, doc, times = small
+    return Grams(key, w, code, p, count, docs, slot, deals, chunk, x["above"].reshape(order - n, size), doc, times)
 
 
 def tokens(text: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -270,7 +290,7 @@ def distinct(keys: list[np.ndarray], size: int, row: np.ndarray, training: np.nd
     return order[np.flatnonzero(new)], count, np.bincount(gram, minlength=n), doc, times
 
 
-def _grams(row: np.ndarray, h: np.ndarray, codes: list[np.ndarray], training: np.ndarray, frequent: Frequent, hot: bool) -> Grams:
+def _grams(chunk: int, row: np.ndarray, h: np.ndarray, codes: list[np.ndarray], training: np.ndarray, frequent: Frequent, hot: bool) -> Grams:
     """A chunk's n-grams whose word is frequent (by context), or of those whose word is not (by word)."""
     listed = frequent.code(h)
     some = np.flatnonzero((listed[codes[0]] > 0) == hot)
@@ -284,7 +304,7 @@ def _grams(row: np.ndarray, h: np.ndarray, codes: list[np.ndarray], training: np
     if hot:
         many = docs > SHIPPED
         slot[many] = np.arange(int(many.sum()))
-    return Grams(key, h[own], listed[own], np.zeros(len(at)), count, docs, slot, deals, np.array(above, np.uint64).reshape(len(above), len(at)), doc, times)
+    return Grams(key, h[own], listed[own], np.zeros(len(at)), count, docs, slot, deals, np.full(len(at), chunk), np.array(above, np.uint64).reshape(len(above), len(at)), doc, times)
 
 
 def _kept(grams: Grams, stay: bool) -> Grams:
@@ -296,16 +316,20 @@ def _kept(grams: Grams, stay: bool) -> Grams:
     return replace(grams, docs=np.where(some, 0, grams.docs), doc=grams.doc[inner], times=grams.times[inner])
 
 
-def _deal(chunk: int, grams: Grams, n: int, parts: int, **sums: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """A chunk's n-grams by part; the sums travel with the first."""
+def _aside(chunk: int) -> int:
+    """Where the documents of a chunk, and sums over them, wait: below 0, as no part of n-grams is."""
+    return -1 - int(mix(np.array([chunk], np.uint64))[0] & np.uint64(0x3FFFFFFF))
+
+
+def _deal(grams: Grams, n: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """N-grams by part, a row each."""
     deal = mix(grams.w ^ np.uint64(0x9E3779B97F4A7C15)) % grams.deals.astype(np.uint64) if n > 1 else np.uint64(0)
     part = (mix(grams.key + deal * np.uint64(0xD1B54A32D192ED03)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(grams.key)
     order = order[np.argsort(part[order].astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")]
     start = np.flatnonzero(_new(part[order]))
     for a, b in zip(start, start + np.diff(start, append=len(order)), strict=True):
-        yield int(part[order[a]]), chunk, grams.take(order[a:b]).packed(n, **sums)
-        sums = {}
+        yield int(part[order[a]]), 0, grams.take(order[a:b]).packed(n)
 
 
 def _rows(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -332,12 +356,11 @@ def _send(batches: Iterator[pa.RecordBatch], order: int, frequent: Frequent, hot
         for batch in _chunks(batches):
             chunk, training = batch.column("row")[0].as_py(), batch.column("training").to_numpy(zero_copy_only=False).astype(np.int64)
             row, h, codes = tokens(batch.column("text"), order)
-            grams = _grams(row, h, codes, training, frequent, hot) if order > 1 or not hot else None
+            grams = _grams(chunk, row, h, codes, training, frequent, hot) if order > 1 or not hot else None
             if hot:
-                part = -1 - int(mix(np.array([chunk], np.uint64))[0] & np.uint64(0x3FFFFFFF))
-                yield part, chunk, _documents(batch.column("doc_id"), row, frequent.code(h), codes[0], frequent, _kept(grams, True) if grams else None)
+                yield _aside(chunk), chunk, _documents(batch.column("doc_id"), row, frequent.code(h), codes[0], frequent, _kept(grams, True) if grams else None)
             if grams:
-                yield from _deal(chunk, _kept(grams, False), 2 if hot else 1, parts)
+                yield from _deal(_kept(grams, False), 2 if hot else 1, parts)
 
     return _rows(rows())
 
@@ -372,23 +395,31 @@ def _sums(doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _by_chunk(chunk: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each chunk with the places of its n-grams and those of their documents."""
+    chunks, of = _distinct(chunk)
+    order, first = np.argsort(of, kind="stable"), np.cumsum(docs) - docs
+    ends = np.cumsum(np.bincount(of, minlength=len(chunks)))
+    for c, a, b in zip(chunks.tolist(), np.append(0, ends[:-1]), ends, strict=True):
+        at = order[a:b]
+        yield c, at, ragged(first[at], docs[at])
+
+
 def _words(table: pa.Table, order: int, frequent: Frequent, parts: int) -> pa.Table:
     """A part of the words: their probabilities, and the sums of their documents; goes on to the contexts of one word."""
-    opened_ = [opened(d, 1, order, frequent)[0] for d in table.column("data").to_pylist()]
-    key = np.concatenate([g.key for g in opened_])
-    own, at = np.unique(key, return_inverse=True)
+    g = joined([opened(d, 1, order, frequent) for d in table.column("data").to_pylist()])
+    own, at = np.unique(g.key, return_inverse=True)
     count = np.zeros(len(own), np.int64)
-    np.add.at(count, at, np.concatenate([g.count for g in opened_]))
-    rows, place = [], 0
-    for chunk, g in zip(table.column("chunk").to_pylist(), opened_, strict=True):
-        r = count[at[place : place + len(g.key)]]
-        place += len(g.key)
-        p = frequent.p(r)
-        doc, known, base = _sums(g.doc, np.repeat(r > 0, g.docs) * g.times, _fixed(np.repeat(p, g.docs), g.times))
-        if order == 1:
-            rows.append((0, chunk, pack(own=doc, known=known, base=base)))
-        else:
-            rows += _deal(chunk, replace(g, key=g.above[0], above=g.above[1:], p=p), 2, parts, own=doc, known=known, base=base)
+    np.add.at(count, at, g.count)
+    r = count[at]
+    p = frequent.p(r)
+    rows = []
+    for chunk, at, inner in _by_chunk(g.chunk, g.docs):
+        docs, times = g.docs[at], g.times[inner]
+        doc, known, base = _sums(g.doc[inner], np.repeat(r[at] > 0, docs) * times, _fixed(np.repeat(p[at], docs), times))
+        rows.append((_aside(chunk), chunk, pack(own=doc, known=known, base=base)))
+    if order > 1:
+        rows += _deal(replace(g, key=g.above[0], above=g.above[1:], p=p), 2, parts)
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -405,7 +436,7 @@ def _types(grams: list[Grams]) -> tuple[np.ndarray, ...]:
     order = np.argsort(both, kind="stable")
     new = _new(both[order])
     first = np.flatnonzero(new)
-    count = np.add.reduceat(np.concatenate([g.count for g in grams])[order], first)
+    count = np.add.reduceat(np.concatenate([g.count for g in grams])[order], first, dtype=np.int64)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
     shared = np.zeros(len(keys), bool)
@@ -417,9 +448,9 @@ def _count(table: pa.Table, n: int, order: int, frequent: Frequent) -> pa.Table:
     """One row of a part: all that came to it, how many n-grams were counted 1, 2, ... times, and the sums of contexts that lie in other parts too."""
     data, part = table.column("data").to_pylist(), table.column("part")[0].as_py()
     head = [pa.array([part], pa.int32()), pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())), pa.array([data], pa.list_(pa.binary()))]
-    if part < 0:  # documents
+    if part < 0:  # documents, and sums over them
         return pa.table([*head, pa.array([[]], pa.list_(pa.int64())), pa.array([[]], COUNTED.field("shared").type)], schema=COUNTED)
-    _, count, key_of, lower, key, shared = _types([opened(d, n, order, frequent)[0] for d in data])
+    _, count, key_of, lower, key, shared = _types([opened(d, n, order, frequent) for d in data])
     repeats = [int((count == r).sum()) for r in range(1, KATZ + 2)]
     stat = _context_sums(count, key_of, lower, len(key))
     stat["lower"] = np.zeros(len(key), np.int64)
@@ -466,30 +497,36 @@ def _evaluate(batches: Iterator[pa.RecordBatch], n: int, order: int, frequent: F
                 given = batch.column("shared")[i].as_py() or []
                 shared = {c: np.array([x[c] for x in given], np.int64) for c in SHARED}
                 shared["key"] = shared["key"].view(np.uint64)
-                both = [opened(d, n, order, frequent) for d in data]
-                p, place = probabilities([g for g, _ in both], shared, discount), 0
-                for chunk, (g, sums) in zip(chunks, both, strict=True):
-                    own = p[place : place + len(g.key)]
-                    place += len(g.key)
-                    if n < order:
-                        yield from _deal(chunk, replace(g, key=g.above[0], above=g.above[1:], p=own), n + 1, parts, **sums)
-                        continue
-                    stay = g.docs == 0
-                    doc, total = _sums(g.doc, _fixed(np.repeat(own, g.docs), g.times))
-                    yield 0, chunk, pack(doc=doc, times=total, slot=g.slot[stay], p=own[stay], **sums)
+                grams = [opened(d, n, order, frequent) for d in data]
+                p = probabilities(grams, shared, discount)
+                if n < order:
+                    g = joined(grams)
+                    del data, grams
+                    yield from _deal(replace(g, key=g.above[0], above=g.above[1:], p=p), n + 1, parts)
+                else:
+                    few = [[getattr(g, f) for g in grams] for f in ("chunk", "docs", "slot", "doc", "times")]
+                    del data, grams
+                    yield from _answers(p, *map(np.concatenate, few))
 
     return _rows(rows())
 
 
+def _answers(p: np.ndarray, chunk: np.ndarray, docs: np.ndarray, slot: np.ndarray, doc: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """A part's row for each chunk: the sums of its documents, and the probabilities of n-grams whose documents stayed."""
+    for c, at, inner in _by_chunk(chunk, docs):
+        own, total = _sums(doc[inner], _fixed(np.repeat(p[at], docs[at]), times[inner]))
+        stay = at[docs[at] == 0]
+        yield 0, c, pack(doc=own, times=total, slot=slot[stay], p=p[stay])
+
+
 def _finish(table: pa.Table, order: int) -> pa.Table:
     """The documents of a chunk with all their sums."""
-    parts, data = table.column("part").to_pylist(), table.column("data").to_pylist()
-    own = unpack(data[next(i for i, part in enumerate(parts) if part < 0)])
+    data = [unpack(d) for d in table.column("data").to_pylist()]
+    own = next(x for x in data if len(x["ids"]))
     known, base = own["known"], own["base"]
     score, p = np.zeros(len(base), np.int64), np.ones(len(own["docs"]))
-    for part, blob in zip(parts, data, strict=True):
-        if part >= 0:
-            x = unpack(blob)
+    for x in data:
+        if x is not own:
             np.add.at(known, x["own"], x["known"])
             np.add.at(base, x["own"], x["base"])
             np.add.at(score, x["doc"], x["times"])
@@ -532,7 +569,7 @@ def score(docs: DataFrame, training: Column | str, order: int = ORDER) -> DataFr
     parts = max(1, -(-width // PART_BYTES))
     texts = texts.withColumn("row", F.monotonically_increasing_id())
 
-    answers = texts.mapInArrow(lambda b: _send(b, order, frequent, False, max(1, parts // 8)), DEALT).groupBy("part").applyInArrow(lambda t: _words(t, order, frequent, parts), DEALT)
+    answers = texts.mapInArrow(lambda b: _send(b, order, frequent, False, max(1, parts // 4)), DEALT).groupBy("part").applyInArrow(lambda t: _words(t, order, frequent, parts), DEALT)
     answers = answers.unionByName(texts.mapInArrow(lambda b: _send(b, order, frequent, True, parts), DEALT))
     for n in range(2, order + 1):
         table = counted(answers, n, order, frequent)
