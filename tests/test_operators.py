@@ -282,3 +282,21 @@ def test_slices_of_pairs_keep_sets_of_one_ord_and_pairs_without_any():
     whole, sliced = (sorted(zip(*dedupe._common(pairs, sets, n).to_pydict().values(), strict=True)) for n in (100, 1))
     assert whole == sliced == [(1, 2, 2, 1, 0), (1, 2, 2, 1, 1), (1, 3, 2, 2, 1)]
     assert dedupe._common(pairs.slice(0, 0), sets).num_rows == 0
+
+
+def test_pairs_whose_outlines_tell_them_apart_are_not_compared(spark, monkeypatch):
+    """Sets that share a rare word and little else are candidates; before, both were shuffled whole for each of them."""
+    rng = random.Random(5)
+    sets = {i: {f"rare{i // 10}", *rng.sample([f"w{j}" for j in range(600)], rng.choice([30, 100, 140, 300]))} for i in range(60)}
+    for i in range(0, 60, 7):  # and some that are near, of sizes on both sides of an outline's length
+        sets[100 + i] = {*list(sets[i])[3:], "other"}
+    sets[200] = {f"v{j}" for j in range(125)}
+    sets[201] = sets[200] | {f"u{j}" for j in range(10)}
+    seen = []
+    compared = dedupe._compared
+    monkeypatch.setattr(dedupe, "_compared", lambda pairs, items: seen.append(pairs.count()) or compared(pairs, items))
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])
+    want = {(a, b) for a in sets for b in sets if a < b and alike(a, b)}
+    items = df(spark, [(k, sorted(v)) for k, v in sets.items()], "ord long, tokens array<string>")
+    assert {(r.a, r.b) for r in dedupe.near_pairs(items).collect()} == want and (200, 201) in want
+    assert len(want) <= seen[0] <= len(want) + 9

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +15,9 @@ from ..plans.storage import counted, stored
 
 NEAR, FEWEST, BLOCK = 0.85, 4, 1000
 #: Sets of a side of a cell in which pairs are compared, and of a task's group of cells.
-SIDE, TOGETHER = 500, 2000
+SIDE, TOGETHER = 2000, 2000
+#: Classes of tokens of which every task knows how often they occur, and tokens for each 64 bits of an outline.
+RARE, OUTLINE = 1 << 22, 128
 #: Pairs that are Python objects at a time: a dense cell has a quarter of a million.
 SLICE = 1 << 14
 
@@ -33,27 +37,29 @@ def repeated(rows: DataFrame, value: Column) -> DataFrame:
 def near_candidates(rows: DataFrame, value: Column, fewest: int = FEWEST) -> DataFrame:
     """ord, value, tokens of texts of enough tokens that are in no exact group.
 
-    Texts are read once: their tokens and the digest that tells equal ones are a table, and digests are what is shuffled.
+    Texts are shuffled before their tokens are made, which take more bytes than they do; copies are told by digests alone.
     """
-    items = rows.where(~blank(value)).select("ord", value.alias("value"), F.sha2(squeeze(value), 256).alias("same"), token_set(value).alias("tokens"))
-    items = stored(items, "texts")
+    items = rows.where(~blank(value)).select("ord", value.alias("value"), F.sha2(squeeze(value), 256).alias("same"))
     single = items.groupBy("same").agg(F.count("*").alias("copies")).where("copies = 1").select("same")
-    return items.where(F.size("tokens") >= fewest).join(single, "same", "left_semi").select("ord", "value", "tokens")
+    return items.join(single, "same", "left_semi").select("ord", "value", token_set(F.col("value")).alias("tokens")).where(F.size("tokens") >= fewest)
 
 
 def near_pairs(items: DataFrame, threshold: float = NEAR, block: int = BLOCK) -> DataFrame:
     """a, b, similarity of items (ord, tokens) alike enough: exact, by the rarest tokens of each set.
 
     Two sets of that similarity share one of their |A| - ceil(t |A|) + 1 rarest tokens, and after the first that they share each has
-    enough tokens left for what they must have in common. Sets that share a token meet in blocks of about `block` of them, so that a
-    frequent one is spread over many tasks.
+    enough tokens left for what they must have in common. Any one order of the tokens will do, so they are ordered by counts of RARE classes of them, which every task knows, and no
+    token is shuffled for it. Sets that share a token meet in blocks of about `block` of them, so that a frequent one is spread over many tasks.
+    What they cannot have in common by their outlines (`outlined`) goes before any set is shuffled.
     """
-    items = stored(items.select("ord", F.sort_array(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens")), "items")  # read four times; words as 64-bit hashes
-    each = items.select("ord", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "token").groupBy("ord", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("rare"))
-    prefix = F.slice("rare", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    heads = stored(ranked.select("ord", "n", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("place", "token")), "heads")
+    kind = items.schema["ord"].dataType.simpleString()
+    hashed = items.select("ord", F.sort_array(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens"))
+    items = stored(hashed.mapInArrow(outlined, f"ord {kind}, tokens array<long>, outline array<long>"), "items")  # words as 64-bit hashes
+    counts = items.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(RARE - 1).cast("int").alias("of")).agg(F.count("*").alias("df")).toArrow()
+    df = np.zeros(RARE, np.int32)
+    df[counts.column("of").to_numpy()] = np.minimum(counts.column("df").to_numpy(), (1 << 31) - 1)
+    heads = items.select("ord", "tokens").mapInArrow(lambda b: _heads(b, df, threshold), f"ord {kind}, n int, place int, token long")
+    heads = stored(heads, "heads")
     shared = heads.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token", F.ceil(F.col("sets") / block).cast("int").alias("blocks"))
     heads = heads.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     a = heads.select("token", F.col("own").alias("i"), F.col("other").alias("j"), F.col("ord").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
@@ -62,11 +68,52 @@ def near_pairs(items: DataFrame, threshold: float = NEAR, block: int = BLOCK) ->
     left_over = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (left_over >= common)
     pairs = a.join(b, ["token", "i", "j"]).where(alike).select("a", "b").distinct()
-    both = _compared(stored(pairs, "candidates"), items)
+    both = _compared(stored(_possible(pairs, items.select("ord", F.size("tokens").alias("n"), "outline"), threshold), "candidates"), items.select("ord", "tokens"))
     similarity = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (ord, tokens) with an outline: 64 bits for each 2 * 64 tokens (a power of two of longs), of which each token turns one.
+
+    The outline of twice as many longs folds to one of half: its halves, one xor the other. Two sets of an outline's length differ in as many tokens at least as their outlines do in bits.
+    """
+    for batch in batches:
+        tokens = batch.column("tokens")
+        n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        width = 1 << np.ceil(np.log2(np.maximum(1, n / OUTLINE))).astype(np.int64)
+        starts = np.cumsum(width) - width
+        h = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.repeat(starts, n) + ((h >> np.uint64(6)) & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+        bits = np.zeros(int(width.sum()), np.uint64)
+        np.bitwise_xor.at(bits, at, np.uint64(1) << (h & np.uint64(63)))
+        outline = pa.ListArray.from_arrays(pa.array(np.append(starts, len(bits)).astype(np.int32)), pa.array(bits.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("ord"), tokens, outline], ["ord", "tokens", "outline"])
+
+
+def _heads(batches: Iterator[pa.RecordBatch], df: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """ord, n, place, token: the tokens of each set (ord, tokens) that are rarest by df of their classes, ties by the tokens themselves."""
+    for batch in batches:
+        n = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+        token = batch.column("tokens").flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((token, df[token & (len(df) - 1)], row))
+        place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+        some = np.flatnonzero(place < np.repeat((n - np.ceil(n * threshold - 1e-9) + 1).astype(np.int64), n))
+        yield pa.RecordBatch.from_arrays([batch.column("ord").take(pa.array(row[some])), pa.array(n[row[some]], pa.int32()), pa.array(place[some], pa.int32()), pa.array(token[order[some]])], ["ord", "n", "place", "token"])
+
+
+def _possible(pairs: DataFrame, outlines: DataFrame, threshold: float) -> DataFrame:
+    """a, b of pairs whose outlines (ord, n, outline) differ in no more bits than sets of that similarity differ in tokens."""
+    x, y = F.col("x"), F.col("y")
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), F.floor(F.size(v) / 2).cast("int")), F.slice(v, F.floor(F.size(v) / 2).cast("int") + 1, F.size(v)), lambda p, q: p.bitwiseXOR(q))
+    both = pairs.join(outlines.select(F.col("ord").alias("a"), F.col("n").alias("na"), F.col("outline").alias("x")), "a").join(outlines.select(F.col("ord").alias("b"), F.col("n").alias("nb"), F.col("outline").alias("y")), "b")
+    both = both.select("a", "b", "na", "nb", F.when(F.size(x) > F.size(y), half(x)).otherwise(x).alias("x"), F.when(F.size(y) > F.size(x), half(y)).otherwise(y).alias("y"))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    least = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    return both.where((F.size(x) != F.size(y)) | (differ <= F.col("na") + F.col("nb") - 2 * least)).select("a", "b").distinct()
+
+
 def _compared(pairs: DataFrame, items: DataFrame, side: int = SIDE) -> DataFrame:
     """a, b, na, nb, both (what they have in common) of pairs (a, b) of items (ord, tokens).
 
