@@ -300,3 +300,17 @@ def test_pairs_whose_outlines_tell_them_apart_are_not_compared(spark, monkeypatc
     items = df(spark, [(k, sorted(v)) for k, v in sets.items()], "ord long, tokens array<string>")
     assert {(r.a, r.b) for r in dedupe.near_pairs(items).collect()} == want and (200, 201) in want
     assert len(want) <= seen[0] <= len(want) + 9
+
+
+def test_rounds_of_leaders_read_the_pairs_of_undecided_items_alone(spark, monkeypatch):
+    """A chain (each item is like the next) takes a round for each leader; before, each round read every pair."""
+    n, read = 12, []
+    pairs = df(spark, [(i, i + 1) for i in range(n)] + [(100, 101), (100, 102), (101, 102)], "a long, b long")
+    monkeypatch.setattr(dedupe, "near_pairs", lambda *_: pairs)
+    monkeypatch.setattr(dedupe, "ROUNDS", 3)
+    store = dedupe.stored
+    monkeypatch.setattr(dedupe, "stored", lambda d, name: (t := store(d, name), read.append((name, t.count())))[0])
+    got = {r.ord: r.leader for r in dedupe.near_groups(None).collect()}
+    assert got == {i: i - i % 2 for i in range(n)} | {100: 100, 101: 100, 102: 100}
+    left = [c for name, c in read if name == "rest"]
+    assert left == sorted(left, reverse=True) and left[0] == n - 2 and left[-1] == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ NEAR, FEWEST, BLOCK = 0.85, 4, 1000
 SIDE, TOGETHER = 2000, 2000
 #: Classes of tokens of which every task knows how often they occur, and tokens for each 64 bits of an outline.
 RARE, OUTLINE = 1 << 22, 128
+#: Rounds whose leaders become one table.
+ROUNDS = 16
 #: Pairs that are Python objects at a time: a dense cell has a quarter of a million.
 SLICE = 1 << 14
 
@@ -163,17 +166,19 @@ def _common(pairs: pa.Table, sets: pa.Table, limit: int = SLICE) -> pa.Table:
 def near_groups(items: DataFrame, threshold: float = NEAR) -> DataFrame:
     """ord, leader: each item with the first earlier leader that it is like; leaders are like no earlier leader.
 
-    Rounds decide items from the earliest on: one with an earlier leader beside it follows; one whose earlier neighbours all follow leads.
+    Rounds decide items from the earliest on: those without an undecided earlier neighbour lead, and what is beside them follows. A round reads only the pairs of undecided items.
     """
     pairs = stored(near_pairs(items, threshold).select("a", "b"), "pairs")
-    nodes = pairs.select(F.col("a").alias("ord")).union(pairs.select(F.col("b").alias("ord"))).distinct()
-    state = stored(nodes.withColumn("leads", F.lit(None).cast("boolean")), "leaders")
-    while not state.where("leads is null").isEmpty():
-        beside = pairs.join(state.select(F.col("ord").alias("a"), F.col("leads").alias("other")), "a").groupBy(F.col("b").alias("ord")).agg(F.bool_or(F.coalesce("other", F.lit(False))).alias("some"), F.bool_and(F.coalesce(~F.col("other"), F.lit(False))).alias("none"))
-        decided = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("some").isNull() | F.col("none"), F.lit(True)).when(F.col("some"), F.lit(False))
-        state = stored(state.join(beside, "ord", "left").select("ord", decided.alias("leads")), "leaders")
-    leaders = state.where("leads").select("ord")
-    follows = pairs.join(leaders.select(F.col("ord").alias("a")), "a", "left_semi").join(state.where("not leads").select(F.col("ord").alias("b")), "b", "left_semi").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
+    rest, led = pairs, []
+    while not rest.isEmpty():
+        leaders = stored(rest.select(F.col("a").alias("ord")).distinct().join(rest.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti"), "leaders")
+        follow = stored(rest.join(leaders.select(F.col("ord").alias("a")), "a", "left_semi").select("b").distinct(), "follow")
+        rest = stored(rest.join(follow, "b", "left_anti").join(follow.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b"), "rest")
+        led.append(leaders)
+        if len(led) == ROUNDS:
+            led = [stored(reduce(DataFrame.unionByName, led), "leaders")]
+    leaders = reduce(DataFrame.unionByName, led) if led else pairs.select(F.col("a").alias("ord"))
+    follows = pairs.join(leaders.select(F.col("ord").alias("a")), "a").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
     return follows.unionByName(follows.select(F.col("leader").alias("ord"), "leader").distinct())
 
 
