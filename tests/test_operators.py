@@ -314,3 +314,10 @@ def test_rounds_of_leaders_read_the_pairs_of_undecided_items_alone(spark, monkey
     assert got == {i: i - i % 2 for i in range(n)} | {100: 100, 101: 100, 102: 100}
     left = [c for name, c in read if name == "rest"]
     assert left == sorted(left, reverse=True) and left[0] == n - 2 and left[-1] == 0
+
+
+def test_near_candidates_are_not_written_with_their_texts(spark, monkeypatch):
+    """Before, texts and their tokens were a table of more than twice the input."""
+    monkeypatch.setattr(dedupe, "stored", lambda d, name: pytest.fail(name))
+    rows = [(1, "one two three four five"), (2, "One two three four  five"), (3, "one two three four six"), (4, "too short"), (5, None), (6, " ")]
+    assert [r.ord for r in dedupe.near_candidates(df(spark, rows, "ord long, text string"), F.col("text")).collect()] == [3]
