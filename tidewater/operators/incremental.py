@@ -26,12 +26,17 @@ class Touched(NamedTuple):
     buckets: int
 
 
-def _keys(crawl: DataFrame) -> DataFrame:
-    """kind, key, item, n of crawl records."""
+def _keys(crawl: DataFrame, n: int = 1) -> DataFrame:
+    """kind, key, item of crawl records, each row counting n."""
     texts = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in rules.shared_keys().items()))
     shared = crawl.select(F.explode(texts).alias("t")).select("t.kind", "t.key", F.lit("").alias("item")).where("key is not null")
-    led = links.edges(crawl).where("is_internal and dst is not null").select(F.lit("link").alias("kind"), F.col("dst").alias("key"), F.lower(F.trim(F.coalesce("anchor", F.lit("")))).alias("item"))
-    return shared.unionByName(led).groupBy(*KEYS).agg(F.count("*").alias("n"))
+    led = links.edges(crawl).where("is_internal").select(F.lit("link").alias("kind"), F.col("dst").alias("key"), F.lower(F.trim(F.coalesce("anchor", F.lit("")))).alias("item"))
+    return shared.unionByName(led).withColumn("n", F.lit(n))
+
+
+def _summed(keys: DataFrame) -> DataFrame:
+    """kind, key, item, n of the keys whose sum is not 0. Keys that are null have no sum: a filter on them would move below the steps that resolve addresses, and these would run twice."""
+    return keys.groupBy(*KEYS).agg(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))).alias("n")).where("n <> 0")
 
 
 def _rules(crawl: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def _shared_rules(changes: DataFrame) -> DataFrame:
 
 def create(crawl: DataFrame, path: str, buckets: int = 256) -> None:
     """The tables of crawl records, in so many buckets (of keys and items, so that a page with a third of all links is spread)."""
-    keys = _keys(crawl).withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
+    keys = _summed(_keys(crawl)).withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
     keys.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/keys")
     shared = _shared_rules(_read(crawl.sparkSession, path).select("kind", F.lit(0).alias("before"), F.col("n").alias("after")))
     _rules(crawl).unionByName(shared).write.parquet(f"{path}/rules")
@@ -68,7 +73,7 @@ def update(path: str, before: DataFrame, after: DataFrame) -> Touched:
     """
     spark = before.sparkSession
     buckets = spark.read.parquet(f"{path}/buckets").first()[0]
-    signed = _keys(after).unionByName(_keys(before).withColumn("n", -F.col("n"))).groupBy(*KEYS).agg(F.sum("n").alias("d")).where("d <> 0")
+    signed = _summed(_keys(after).unionByName(_keys(before, -1))).withColumnRenamed("n", "d")
     delta, changed = counted(signed.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")), "delta")
     touched = [r[0] for r in delta.select("bucket").distinct().collect()]  # at most `buckets` numbers
     old = _read(spark, path).where(F.col("bucket").isin(touched)) if touched else _read(spark, path).limit(0)

@@ -11,9 +11,13 @@ from ..functions.scalars import count_if, equity_score, equity_strength, indexab
 
 def edges(crawl: DataFrame) -> DataFrame:
     """One row a link; keys by the analysis key, relative links as seen from their page."""
-    rows = crawl.select("ord", "url", F.posexplode("internal_links").alias("pos", "link")).select("ord", "url", "pos", "link.*")
-    absolute = F.when(urls.is_absolute(F.col("href")), F.col("href")).otherwise(F.coalesce(urls.join(F.col("url"), F.col("href")), F.col("href")))
-    return rows.select("ord", urls.analysis_key(F.col("url")).alias("src"), urls.analysis_key(absolute).alias("dst"), F.col("anchor_text").alias("anchor"), "pos", F.coalesce("is_internal", F.lit(False)).alias("is_internal"), text("rel").alias("rel"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("nofollow", "sponsored", "ugc")), F.col("href"), F.col("url").alias("page_url"))
+    own = urls.with_analysis_key(crawl.select("ord", "url", "internal_links"), "page_key", F.col("url"))
+    rows = own.select("ord", "url", "page_key", F.posexplode("internal_links").alias("pos", "link")).select("ord", "url", "page_key", "pos", "link.*")
+    # only links that need it go to Python
+    rows = rows.withColumn("plain", F.when(urls.is_absolute(F.col("href")), F.col("href")).otherwise(urls.join_plain(F.col("url"), F.col("href"))))
+    others = [F.when(F.col("plain").isNull(), F.col(c)) for c in ("url", "href")]
+    rows = urls.with_analysis_key(rows, "dst", F.coalesce("plain", urls.join(*others), "href"))
+    return rows.select("ord", F.col("page_key").alias("src"), "dst", F.col("anchor_text").alias("anchor"), "pos", F.coalesce("is_internal", F.lit(False)).alias("is_internal"), text("rel").alias("rel"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("nofollow", "sponsored", "ugc")), F.col("href"), F.col("url").alias("page_url"))
 
 
 def pages(crawl: DataFrame) -> DataFrame:
