@@ -32,7 +32,8 @@ def bfs(edges: DataFrame, roots: DataFrame, most: int | None = None, limit: int
     The first levels are searched one by one, each a stored table. What is reached by then leaves the graph; of the rest, chains are contracted (`chains`), so that the number of jobs grows with the
     branchings on a path and the logarithm of its length, not with the depth. most: stop after so many levels. limit: stop after the level with which so many are reached; both search level by level.
     """
-    links = stored(edges.where("src <> dst").select("src", "dst").distinct(), "links")
+    # loops go after the distinct: a condition on src and dst would move below the step that makes them, and they would be made twice
+    links = stored(edges.select("src", "dst").distinct(), "links").where("src <> dst")
     frontier = stored(roots.select("key", F.lit(0).alias("depth")).distinct(), "level")
     seen, count = frontier, frontier.count() if limit else 0
     for depth in numbers(1) if most is None else range(1, most + 1):
@@ -88,9 +89,10 @@ def chains(links: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
     state = _with_before(arcs).where("branching or before is not null")
     kind = links.schema["src"].dataType.simpleString()
     local = state.select("src", "dst", F.when(~F.col("branching"), F.col("before")).alias("before")).repartitionByRange("src").sortWithinPartitions("src").mapInArrow(lambda batches: _jump_within(batches, block), f"src {kind}, dst {kind}, at {kind}, via {kind}, origin {kind}, length long")
-    state, most = stored(local, "jumped"), 64
+    jumped, most = stored(local, "jumped"), 64
+    done, left = jumped.where("at is null"), jumped.where("at is not null")
     for turn in range(64):
-        left = state.where("at is not null")
+        state = done.unionByName(left)
         if turn == 6:
             # a circle of certain links has no beginning and is never reached: it is left when a chain of all links would have ended
             most = state.count().bit_length()
@@ -98,8 +100,10 @@ def chains(links: DataFrame, roots: DataFrame, block: int = BLOCK) -> DataFrame:
             break
         there = state.select(F.col("src").alias("at"), F.col("dst").alias("via"), F.col("at").alias("next_at"), F.col("via").alias("next_via"), F.col("origin").alias("next_origin"), F.col("length").alias("more"))
         moved = left.join(there, ["at", "via"]).select("src", "dst", F.col("next_at").alias("at"), F.col("next_via").alias("via"), F.col("next_origin").alias("origin"), (F.col("length") + F.col("more")).alias("length"))
-        state = stored(state.where("at is null").unionByName(moved), "jumped")
-    return state.where("origin is not null").select("origin", "dst", "length")
+        # only what moved is written; what has come to its origin stays in the table of its round
+        moved = stored(moved, "jumped")
+        done, left = done.unionByName(moved.where("at is null")), moved.where("at is not null")
+    return done.where("origin is not null").select("origin", "dst", "length")
 
 
 def _with_before(arcs: DataFrame) -> DataFrame:
@@ -159,7 +163,7 @@ def unreachable(keys: DataFrame, depths: DataFrame) -> DataFrame:
 
 def spider(edges: DataFrame, seed, most: int | None = None) -> DataFrame:
     """key, depth of pages found from a seed; with `most`, so many in the order of depth and key."""
-    roots = edges.sparkSession.createDataFrame([(seed,)], f"key {edges.schema['src'].dataType.simpleString()}")
+    roots = edges.sparkSession.range(1, numPartitions=1).select(F.lit(seed).cast(edges.schema["src"].dataType).alias("key"))
     found = bfs(edges, roots, limit=most)
     return found if most is None else found.orderBy("depth", "key").limit(most)
 
