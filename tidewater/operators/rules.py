@@ -117,13 +117,14 @@ def insights(crawl: DataFrame, keys: DataFrame, edges: DataFrame, depths: DataFr
     keys: key, ord, status_code, robots of each page; edges between keys.
     """
     hops = redirects.chains(crawl)
-    named = lambda rows, rule: rows.select("ord", "url", F.lit(rule).alias("rule_id"))
-    found = named(hops.where("hop_count >= 2"), "insight-redirect-chains").unionByName(named(hops.where("is_loop"), "insight-redirect-loops")).unionByName(named(hops.where("ends_in_error"), "insight-redirect-broken-end"))
+    held = {"insight-redirect-chains": F.col("hop_count") >= 2, "insight-redirect-loops": F.col("is_loop"), "insight-redirect-broken-end": F.col("ends_in_error")}
+    found = hops.select("ord", "url", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(rule)) for rule, c in held.items())))).alias("rule_id"))
     if flags is not None and "links" not in flags or edges.where("is_internal").isEmpty():
         return found
     pages = keys.select("key", "ord").join(crawl.select("ord", "url"), "ord")
-    own = lambda rows, rule: named(pages.join(rows.select("key"), "key", "left_semi"), rule)
-    return found.unionByName(own(links.orphans(keys, edges).where("indexable"), "insight-orphan-pages")).unionByName(own(links.low_links(keys, edges), "insight-low-link-pages")).unionByName(own(depths.where("depth > 3"), "insight-deep-pages"))
+    said = lambda rows, rule: rows.select("key", F.lit(rule).alias("rule_id"))
+    of_keys = said(links.orphans(keys, edges).where("indexable"), "insight-orphan-pages").unionByName(said(links.low_links(keys, edges), "insight-low-link-pages")).unionByName(said(depths.where("depth > 3"), "insight-deep-pages"))
+    return found.unionByName(pages.join(of_keys.distinct(), "key").select("ord", "url", "rule_id"))
 
 
 def dimension(spark) -> DataFrame:
